@@ -1,0 +1,6 @@
+"""Every query of the library by name, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
