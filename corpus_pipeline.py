@@ -1,25 +1,67 @@
-"""From raw documents to token ids: the stages, each a DataFrame written as Parquet and read again."""
+"""From raw documents to token ids: stages that each take a DataFrame of documents and return one.
+
+Every stage but the last returns the columns of ``documents``. ``run`` writes each result as Parquet
+to the shared scratch folder and reads it again as the next stage's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.llm import byte_bpe, mixing, neardup, quality, secrets
+from weft.runtime import materialize, scratch_path, table
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids``, a null among them like any other."""
+    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the learned decision list let pass."""
+    return rows_of(docs, quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates."""
+    return rows_of(docs, neardup.near_duplicates(docs).filter("kept"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by a mark."""
+    found = secrets.scan_history(docs, scratch_path(spark, "ledger"))
+    return secrets.redact(docs, found).withColumn("n_chars", F.length("text").cast("long"))
+
 
-from weft.llm import neardup
-from weft.runtime import materialize, table
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mix = mixing.Mix()
+    taken = mixing.mix_sources(docs, mix).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u"), "copies").distinct()
+    keyed = docs.withColumn("__u", mixing.uniform(mix.seed, "doc_id", "text")).alias("d")
+    both = keyed.join(taken.alias("t").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("d.__u") == F.col("t.__u")))
+    return both.select(*(F.col(f"d.{c}") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document of the mix, with the digest of what they decode to."""
+    return byte_bpe.encode_digests(docs, byte_bpe.vocabulary_path())
 
 
-STAGES = [("near_dedup", one_of_each_group)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+#: A learned list, hashed sampling and a tokenizer are beyond SQL; tests hold the stages to plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

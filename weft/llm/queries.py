@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from weft.llm import neardup, pii, secrets
+from weft.llm import bloom_lm, byte_bpe, chat, cover_tree, mixing, neardup, pii, quality, secrets, token_files
 
-QUERIES = {f.__name__: f for f in (pii.op1_pii, neardup.op4_neardup, secrets.op6_secrets)}
-SQL = {"op4_neardup": neardup.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pii.op1_pii,
+        mixing.op2_mixing,
+        quality.op3_quality,
+        neardup.op4_neardup,
+        token_files.op5_token_files,
+        secrets.op6_secrets,
+        cover_tree.op7_topk,
+        bloom_lm.op8_lm,
+        chat.op9_chat,
+        byte_bpe.op10_byte_bpe,
+    )
+}
+SQL = {"op4_neardup": neardup.SQL, "op7_topk": cover_tree.SQL, "op9_chat": chat.SQL}

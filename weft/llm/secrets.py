@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,31 +116,32 @@ def scan_history(
     return paths.join(ledger.drop("rule_version"), "blob").select(path_col, "blob", *(n for n, _ in FIELDS))
 
 
-def redact(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace the spans of ``found`` in ``df``, joined by the text's digest; other texts stay as they are.
+def without(text: str | None, spans: str | None, mark: str) -> str | None:
+    """``text`` with each run of overlapping spans replaced by ``mark``."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",")):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(df: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """Replace the spans of ``found`` (blob, spans) in the texts of ``df``; other rows stay as they are.
 
     Only blobs with a span take part in the join, each once.
     """
-    hits = found.filter(F.col("spans") != "").select(F.col("blob").alias("__blob"), "spans").dropDuplicates(["__blob"])
+    hits = found.filter(F.col("spans") != "").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
     keyed = df.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, s, mark) for t, s in zip(text, spans)], dtype=object)
+
     both = keyed.join(hits, "__blob", "left")
-    # spans are disjoint runs after merging; cut the text at their ends and keep what lies outside
-    marks = F.transform(
-        F.split("spans", ","),
-        lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")),
-    )
-    cut = F.aggregate(
-        F.array_sort(marks),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, m: F.struct(
-            F.when(m["s"] >= a["at"], F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, m["s"] - a["at"]), F.lit(mark)))
-            .otherwise(a["out"])
-            .alias("out"),
-            F.greatest(a["at"], m["e"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))),
-    )
-    return both.withColumn(text_col, F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(text_col))).select(*df.columns)
+    return both.withColumn(text_col, cut(text_col, "__spans")).select(*df.columns)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
