@@ -2,5 +2,334 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions.text import display_path, preview
+from weft.operators import files, insights, search, sessions
+from weft.operators import turns as turn_reads
+from weft.operators.paging import keyset
+from weft.plans import standins as S
+from weft.runtime import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+TOTALS = """totals AS (SELECT project_id, provider, session_id, count(*) AS turn_count, max(started_at) AS latest_turn_at, min(started_at) AS first_turn_at,
+  arg_max(status, turn_ordinal) AS latest_status, arg_min(user_message, turn_ordinal) AS first_user_prompt,
+  CASE WHEN count(*) = count(total_token_count) THEN sum(total_token_count)::BIGINT END AS total_token_count,
+  count(*) FILTER (status = 'aborted') AS aborted_turn_count FROM {} GROUP BY 1, 2, 3)"""
+LISTED = ["project_id", "provider", "session_id", "turn_count", "latest_turn_at", "first_turn_at", "latest_status", "first_user_prompt", "total_token_count", "aborted_turn_count"]
+COLUMNS = ", ".join(LISTED)
+NEWEST = "ORDER BY latest_turn_at DESC NULLS LAST, provider, session_id DESC"
+
+
+# --- sessions and turns --------------------------------------------------------------------------
+
+
+@query("session_list", with_(S.SQL_CHAT, TOTALS.format("chat_turns")) + f"""SELECT s.project_id, s.provider, s.session_id, coalesce(turn_count, 0) AS turn_count, latest_turn_at, first_turn_at,
+  latest_status, first_user_prompt[:500] AS first_user_prompt, total_token_count, aborted_turn_count
+FROM chat_sessions s LEFT JOIN totals USING (project_id, provider, session_id) WHERE origin_kind = 'local' {NEWEST} LIMIT 50""")
+def session_list(spark, d):
+    return sessions.list_sessions(S.chat_sessions(spark, d), S.chat_turns(spark, d), limit=50).select(*LISTED)
+
+
+@query("session_list_window", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_USERS, TOTALS.format("turns")) + f"""SELECT {COLUMNS}, user_name, user_email
+FROM sessions JOIN totals USING (project_id, provider, session_id) LEFT JOIN (SELECT user_id, display_name AS user_name, email AS user_email FROM users) u ON origin_user_id = user_id
+WHERE latest_turn_at >= '1996-01-01T00:00:00Z' AND latest_turn_at < '1999-06-01T00:00:00Z' AND provider = 'codex' {NEWEST} LIMIT 500 OFFSET 20""")
+def session_list_window(spark, d):
+    out = sessions.list_sessions(
+        S.sessions(spark, d), S.turns(spark, d), S.users(spark, d), provider="codex", since="1996-01-01T00:00:00Z", until="1999-06-01T00:00:00Z", origin="all", limit=500, offset=20
+    )
+    return out.select(*LISTED, "user_name", "user_email")
+
+
+@query("session_author", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_USERS, TOTALS.format("turns")) + f"""SELECT {COLUMNS} FROM sessions
+LEFT JOIN totals USING (project_id, provider, session_id) JOIN users ON origin_user_id = user_id
+WHERE origin_kind = 'shared' AND email = 'c20@example.com' {NEWEST} LIMIT 100""".replace("turn_count,", "coalesce(turn_count, 0) AS turn_count,", 1))
+def session_author(spark, d):
+    return sessions.list_sessions(S.sessions(spark, d), S.turns(spark, d), S.users(spark, d), origin="shared", author="c20@example.com", limit=100).select(*LISTED)
+
+
+TOUCHING = "SELECT " + COLUMNS.replace("turn_count,", "coalesce(turn_count, 0) AS turn_count,", 1) + """ FROM sessions LEFT JOIN totals USING (project_id, provider, session_id)
+WHERE origin_kind = 'local' AND session_id IN (SELECT session_id FROM accesses WHERE {}) """ + NEWEST + " LIMIT 200"
+
+
+@query("session_touching_exact", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_ACCESSES, TOTALS.format("turns")) + TOUCHING.format("access_type IN ('read', 'write', 'edit') AND lower(shown) = 'src/m10/f130.rs'"))
+def session_touching_exact(spark, d):
+    keys = sessions.touching_exact(S.accesses(spark, d), "SRC/m10/f130.rs", S.ROOT)
+    return sessions.sessions_touching(S.sessions(spark, d), S.turns(spark, d), keys, limit=200).select(*LISTED)
+
+
+@query("session_touching_glob", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_ACCESSES, TOTALS.format("turns")) + TOUCHING.format("regexp_full_match(lower(shown), 'docs/t3/g1[^/]*\\.md')"))
+def session_touching_glob(spark, d):
+    keys = sessions.touching_glob(S.accesses(spark, d), "docs/T3/G1*.md", S.ROOT)
+    return sessions.sessions_touching(S.sessions(spark, d), S.turns(spark, d), keys, limit=200).select(*LISTED)
+
+
+@query("session_edited_files", with_(S.SQL_ACCESSES) + """SELECT project_id, provider, session_id, array_to_string(list_sort(list(DISTINCT shown)), '|') AS edited_files
+FROM accesses WHERE access_type IN ('write', 'edit') GROUP BY 1, 2, 3""")
+def session_edited_files(spark, d):
+    return sessions.edited_files(S.accesses(spark, d), S.ROOT).withColumn("edited_files", F.array_join("edited_files", "|"))
+
+
+@query("resolve_prefix", with_(S.SQL_SESSIONS) + """SELECT project_id, provider, session_id, (SELECT count(*) FROM sessions WHERE session_id LIKE 'ord-12%') AS total,
+  (SELECT count(*) FROM sessions WHERE session_id LIKE 'ord-12%') > 50 AS truncated FROM sessions WHERE session_id LIKE 'ord-12%' ORDER BY 1, 2, 3 LIMIT 50""")
+def resolve_prefix(spark, d):
+    return sessions.resolve_prefix(S.sessions(spark, d), "ORD-12")
+
+
+@query("turn_sessionise", with_(S.SQL_CHAT) + """SELECT project_id, provider, session_id, turn_ordinal, started_at, completed_at, status, user_message, final_answer_text,
+  duration_ms, total_token_count, primary_model FROM chat_turns""")
+def turn_sessionise(spark, d):
+    return S.chat_turns(spark, d).drop("effective_agent_runtime_ms")
+
+
+SQL_PREVIEW = """CASE WHEN length({0}) <= 500 THEN {0} ELSE {0}[:499] || '…' END"""
+COLLAPSED = "trim(regexp_replace({}, '[\\s\\x0b]+', ' ', 'g'))"
+
+
+@query("turn_list", with_(S.SQL_CHAT, f"c AS (SELECT *, {COLLAPSED.format('user_message')} AS u, {COLLAPSED.format('final_answer_text')} AS a FROM chat_turns)") + f"""SELECT project_id, provider, session_id, turn_ordinal,
+  {SQL_PREVIEW.format('u')} AS user_prompt_preview, least(length(u), 500) AS user_prompt_preview_chars, length(u) AS user_prompt_preview_total_chars,
+  {SQL_PREVIEW.format('a')} AS agent_answer_preview, final_answer_text IS NOT NULL AS has_final_answer FROM c""")
+def turn_list(spark, d):
+    out = turn_reads.list_turns(S.chat_turns(spark, d), limit=2_000_000_000)
+    keep = ["user_prompt_preview", "user_prompt_preview_chars", "user_prompt_preview_total_chars", "agent_answer_preview", "has_final_answer"]
+    return out.select("project_id", "provider", "session_id", "turn_ordinal", *keep)
+
+
+@query("token_sum_nullpoison", with_(S.SQL_TURNS) + """SELECT project_id, provider, session_id, count(*) AS turn_count, count(total_token_count) AS known,
+  CASE WHEN count(*) = count(total_token_count) THEN sum(total_token_count)::BIGINT END AS total_token_count FROM turns GROUP BY 1, 2, 3""")
+def token_sum_nullpoison(spark, d):
+    from weft.operators.paging import whole_sum
+
+    t = S.turns(spark, d).groupBy("project_id", "provider", "session_id")
+    return t.agg(F.count(F.lit(1)).alias("turn_count"), F.count("total_token_count").alias("known"), whole_sum("total_token_count").alias("total_token_count"))
+
+
+@query("keyset_page", with_(S.SQL_TURNS) + """SELECT project_id, provider, session_id, turn_ordinal, started_at FROM turns
+WHERE started_at < '1998-03-01T00:00:00Z' OR (started_at = '1998-03-01T00:00:00Z' AND (provider, session_id, turn_ordinal) > ('claude', 'ord-5', 2))
+ORDER BY started_at DESC, provider, session_id, turn_ordinal LIMIT 300""")
+def keyset_page(spark, d):
+    after = {"started_at": "1998-03-01T00:00:00Z", "provider": "claude", "session_id": "ord-5", "turn_ordinal": 2}
+    return keyset(S.turns(spark, d), after, 300).select("project_id", "provider", "session_id", "turn_ordinal", "started_at")
+
+
+# --- workspace -----------------------------------------------------------------------------------
+
+
+@query("project_aggregates", with_(S.SQL_SESSIONS, S.SQL_TURNS) + """SELECT project_id, session_count, coalesce(turn_count, 0) AS turn_count, last_activity_at
+FROM (SELECT project_id, count(*) AS session_count FROM sessions GROUP BY 1) LEFT JOIN (SELECT project_id, count(*) AS turn_count, max(started_at) AS last_activity_at FROM turns GROUP BY 1) USING (project_id)""")
+def project_aggregates(spark, d):
+    return insights.project_aggregates(S.sessions(spark, d), S.turns(spark, d))
+
+
+@query("workspace_projects", with_(S.SQL_SESSIONS, S.SQL_TURNS) + """SELECT 'p' || n_nationkey AS id, n_name AS name, coalesce(session_count, 0) AS session_count, coalesce(turn_count, 0) AS turn_count, last_activity_at FROM nation
+LEFT JOIN (SELECT project_id, count(*) AS session_count FROM sessions GROUP BY 1) s ON s.project_id = 'p' || n_nationkey
+LEFT JOIN (SELECT project_id, count(*) AS turn_count, max(started_at) AS last_activity_at FROM turns GROUP BY 1) t ON t.project_id = 'p' || n_nationkey""")
+def workspace_projects(spark, d):
+    config = table(spark, d, "nation").select(F.concat(F.lit("p"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return insights.workspace(config, S.sessions(spark, d), S.turns(spark, d))
+
+
+WINDOWED = """w AS (SELECT *, started_at[:10]::DATE AS day FROM turns), edge AS (SELECT max(day) AS e, max(day) - 29 AS b FROM w),
+inside AS (SELECT w.* FROM w, edge WHERE day BETWEEN b AND e)"""
+
+
+@query("insight_workspace_daily", with_(S.SQL_TURNS, WINDOWED) + """SELECT g.date, g.project_id, coalesce(ms, 0)::BIGINT AS active_time_ms
+FROM (SELECT unnest(generate_series(b, e, INTERVAL 1 DAY))::DATE AS date, project_id FROM edge, (SELECT DISTINCT project_id FROM turns)) g
+LEFT JOIN (SELECT day, project_id, sum(duration_ms) AS ms FROM inside WHERE status = 'completed' AND duration_ms >= 2000 GROUP BY 1, 2) t ON g.date = t.day AND g.project_id = t.project_id""")
+def insight_workspace_daily(spark, d):
+    return insights.workspace_daily(S.turns(spark, d), 30)
+
+
+@query("insight_workspace_recent", with_(S.SQL_TURNS, WINDOWED) + """SELECT * FROM (SELECT project_id, provider, session_id,
+  coalesce(sum(duration_ms) FILTER (status = 'completed' AND duration_ms >= 2000), 0)::BIGINT AS active_time_ms,
+  count(*) FILTER (status = 'completed' AND duration_ms >= 2000) AS included_turn_count,
+  count(*) FILTER (NOT (status = 'completed' AND duration_ms >= 2000)) AS excluded_turn_count, max(started_at) AS latest_turn_at FROM inside GROUP BY 1, 2, 3)
+WHERE active_time_ms > 0 ORDER BY latest_turn_at DESC, project_id, provider, session_id LIMIT 50""")
+def insight_workspace_recent(spark, d):
+    return insights.workspace_recent(S.turns(spark, d), 30)
+
+
+RECENT = "recent AS (SELECT * FROM turns ORDER BY started_at DESC, provider, session_id, turn_ordinal LIMIT 1000)"
+CALLS = f"calls AS (SELECT {S.sql_identity('l_orderkey', 'ord-')}, l_linenumber::BIGINT AS turn_ordinal, l_returnflag || '_' || l_linestatus AS tool_name FROM lineitem)"
+
+
+@query("insight_project_tools", with_(S.SQL_TURNS, RECENT, CALLS) + """SELECT tool_name, count(*) AS call_count FROM calls SEMI JOIN recent USING (project_id, provider, session_id, turn_ordinal)
+GROUP BY 1 ORDER BY call_count DESC, tool_name LIMIT 10""")
+def insight_project_tools(spark, d):
+    return insights.project_tools(insights.latest_turns(S.turns(spark, d)), S.calls(spark, d))
+
+
+@query("insight_project_failures", with_(S.SQL_TURNS, RECENT) + """SELECT started_at[:10]::DATE AS day, count(*) AS turn_count, count(*) FILTER (status <> 'completed') AS failure_count,
+  coalesce(sum(duration_ms) FILTER (status = 'completed' AND duration_ms >= 2000), 0)::BIGINT AS active_time_ms FROM recent GROUP BY 1""")
+def insight_project_failures(spark, d):
+    return insights.project_daily(insights.latest_turns(S.turns(spark, d)))
+
+
+@query("insight_project_files", with_(S.SQL_TURNS, S.SQL_ACCESSES, RECENT) + """SELECT shown AS path, count(*) FILTER (access_type IN ('read', 'list')) AS read_count,
+  count(*) FILTER (access_type IN ('write', 'edit')) AS write_count FROM accesses SEMI JOIN recent USING (project_id, provider, session_id, turn_ordinal)
+GROUP BY 1 HAVING count(*) FILTER (access_type IN ('read', 'list')) > 0 ORDER BY 2 DESC, 2 + 3 DESC, count(*) DESC, path LIMIT 10""")
+def insight_project_files(spark, d):
+    shown = display_path(F.col("repo_relative_path"), F.col("path"), S.ROOT)
+    return insights.project_files(insights.latest_turns(S.turns(spark, d)), S.accesses(spark, d).withColumn("shown", shown), written=False)
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+FILE_CTES = (S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_ACCESSES, S.SQL_TOUCHES)
+
+
+def touched(spark, d, **more):
+    return files.touches(S.accesses(spark, d), S.turns(spark, d), S.sessions(spark, d), root=S.ROOT, **more)
+
+
+@query("files_raw", with_(*FILE_CTES) + """SELECT provider, session_id, repo_relative_path, path, count(*) AS touch_count, count(*) FILTER (access_type = 'read') AS read_count,
+  count(*) FILTER (access_type <> 'read') AS write_count, min(started_at) AS first_touched_at, max(started_at) AS last_touched_at,
+  min(turn_ordinal) AS first_turn_ordinal, max(turn_ordinal) AS last_turn_ordinal FROM touches GROUP BY 1, 2, 3, 4""")
+def files_raw(spark, d):
+    return files.raw_rows(touched(spark, d))
+
+
+@query("files_top", with_(*FILE_CTES) + """SELECT shown AS path, count(*) AS touch_count, count(DISTINCT session_id) AS session_count, count(*) FILTER (access_type = 'read') AS read_count,
+  count(*) FILTER (access_type <> 'read') AS write_count, min(started_at) AS first_touched_at, max(started_at) AS last_touched_at
+FROM touches GROUP BY 1 ORDER BY touch_count DESC, session_count DESC, last_touched_at DESC, path LIMIT 100""")
+def files_top(spark, d):
+    return files.top_files(touched(spark, d), limit=100)
+
+
+@query("files_path_sessions", with_(*FILE_CTES) + """SELECT provider, session_id, count(*) AS touch_count, count(*) FILTER (access_type = 'read') AS read_count, count(*) FILTER (access_type <> 'read') AS write_count,
+  min(started_at) AS first_touched_at, max(started_at) AS last_touched_at, min(turn_ordinal) AS first_turn_ordinal, max(turn_ordinal) AS last_turn_ordinal,
+  array_to_string(list_sort(list(DISTINCT shown)), '|') AS matched_paths, count(DISTINCT shown) AS matched_paths_count, false AS matched_paths_truncated
+FROM touches WHERE regexp_full_match(shown, 'src/(.*/)?f[^/]*1[^/]\\.rs') GROUP BY 1, 2 ORDER BY touch_count DESC, last_touched_at DESC, provider, session_id LIMIT 300""")
+def files_path_sessions(spark, d):
+    return files.path_sessions(touched(spark, d), "src/**/f*1?.rs", S.ROOT, limit=300).withColumn("matched_paths", F.array_join("matched_paths", "|"))
+
+
+@query("files_cotouched", with_(*FILE_CTES) + f""", pairs AS (SELECT DISTINCT provider, session_id, coalesce(repo_relative_path, CASE WHEN path LIKE '{S.ROOT}/%' THEN path[{len(S.ROOT) + 2}:] ELSE path END) AS path FROM touches)
+SELECT path, count(*) AS co_touch_count FROM pairs SEMI JOIN (SELECT provider, session_id FROM pairs WHERE lower(path) = 'src/m0/f80.rs') s USING (provider, session_id)
+WHERE lower(path) <> 'src/m0/f80.rs' GROUP BY 1 ORDER BY 2 DESC, lower(path), path LIMIT 500""".replace(", pairs AS", ", pairs AS"))
+def files_cotouched(spark, d):
+    return files.co_touched(touched(spark, d), "SRC/M0/F80.rs", S.ROOT, limit=500)
+
+
+SQL["files_cotouched"] = SQL["files_cotouched"].replace("\n, pairs AS", ", pairs AS")
+
+
+@query("session_files", with_(*FILE_CTES, "mine AS (SELECT * FROM touches WHERE session_id = 'ord-42' OR session_id = 'ord-42')") + """SELECT shown AS path, count(*) FILTER (access_type = 'read') AS read_count, count(*) FILTER (access_type <> 'read') AS write_count,
+  min(turn_ordinal) AS first_turn_ordinal, max(turn_ordinal) AS last_turn_ordinal, (SELECT count(DISTINCT shown) FROM mine) AS file_count FROM mine GROUP BY 1
+ORDER BY count(*) DESC, 3 DESC, 2 DESC, path LIMIT 100""")
+def session_files(spark, d):
+    return files.session_files(touched(spark, d, origin="local"), {"session_id": "ord-42"})
+
+
+# --- search --------------------------------------------------------------------------------------
+
+EVIDENCE = "evidence AS (SELECT conv_id, turn AS evidence_ordinal, CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'final_answer' ELSE 'commentary' END AS field, text FROM conversations)"
+
+
+def chat_evidence(spark, d):
+    c = table(spark, d, "conversations")
+    field = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "final_answer").otherwise("commentary")
+    return c.select("conv_id", F.col("turn").alias("evidence_ordinal"), field.alias("field"), "text")
+
+
+SQL_SNIPPET = """(CASE WHEN {at} > 80 THEN '…' ELSE '' END) || text[greatest({at} - 80, 0) + 1 : {at} + {n} + 80] || (CASE WHEN {at} + {n} + 80 < length(text) THEN '…' ELSE '' END)"""
+HITS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY evidence_ordinal) AS rn FROM m)
+SELECT conv_id, count(*) FILTER (rn <= 2) AS matches_count, count(*) > 2 AS matches_truncated,
+  string_agg(evidence_ordinal || ':' || field || ':' || snippet, '|' ORDER BY rn) FILTER (rn <= 2) AS matches FROM ranked WHERE rn <= 3 GROUP BY 1"""
+
+
+def flat_hits(matches):
+    out = search.turn_hits(matches, ["conv_id"], 2)
+    text = F.transform("matches", lambda m: F.concat(m["evidence_ordinal"], F.lit(":"), m["field"], F.lit(":"), m["snippet"]))
+    return out.withColumn("matches", F.array_join(text, "|"))
+
+
+@query("search_literal", with_(EVIDENCE, f"m AS (SELECT *, {SQL_SNIPPET.format(at='(instr(text, $$ the $$) - 1)', n=5)} AS snippet FROM evidence WHERE field IN ('user_message', 'final_answer') AND contains(text, ' the '))", HITS))
+def search_literal(spark, d):
+    return flat_hits(search.literal_matches(chat_evidence(spark, d), " the ", ("user_message", "final_answer")))
+
+
+PATTERN = "(?:tion|ment)[a-z]*[.,]\\s"
+
+
+@query("search_regex", with_(EVIDENCE, f"x AS (SELECT *, regexp_extract(text, '{PATTERN}') AS hit FROM evidence WHERE regexp_matches(text, '{PATTERN}'))", f"m AS (SELECT *, {SQL_SNIPPET.format(at='(instr(text, hit) - 1)', n='length(hit)')} AS snippet FROM x)", HITS))
+def search_regex(spark, d):
+    fields = search.check_arguments("regex")
+    return flat_hits(search.regex_matches(chat_evidence(spark, d), PATTERN, fields))
+
+
+STAGED = """staged AS (SELECT project_id, provider, session_id, turn_ordinal, path, {} AS stage FROM accesses)
+SELECT project_id, provider, session_id, turn_ordinal, min(stage) AS stage, array_to_string(list_sort(list(DISTINCT path)), '|') AS matched_paths,
+  count(DISTINCT path) AS matched_paths_count FROM staged WHERE stage IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+def flat_paths(hits):
+    return hits.withColumn("matched_paths", F.array_join("matched_paths", "|")).drop("matched_paths_truncated")
+
+
+@query("search_filename_staged", with_(S.SQL_ACCESSES, STAGED.format("CASE WHEN lower(file_name) = 'f12' THEN 0 WHEN lower(file_name) LIKE 'f12%' THEN 1 WHEN lower(file_name) LIKE '%f12%' THEN 2 END")))
+def search_filename_staged(spark, d):
+    return flat_paths(search.name_search(S.accesses(spark, d), "F12"))
+
+
+@query("search_path_fragment", with_(S.SQL_ACCESSES, STAGED.format("CASE WHEN lower(path) LIKE 'src/m2%' THEN 1 WHEN lower(path) LIKE '%src/m2%' THEN 2 END")))
+def search_path_fragment(spark, d):
+    return flat_paths(search.fragment_search(S.accesses(spark, d), "src/M2"))
+
+
+@query("search_path_glob", with_(S.SQL_ACCESSES, STAGED.format("CASE WHEN regexp_full_match(lower(shown), 'src/m1[^/]/f[^/]*\\.rs') THEN 0 END")))
+def search_path_glob(spark, d):
+    return flat_paths(search.glob_search(S.accesses(spark, d), "src/m1?/*.rs", S.ROOT))
+
+
+@query("search_page_glob", """SELECT page_id, url FROM pages WHERE regexp_full_match(lower(url), 'https?://[^/]*\\.com/(.*/)?[0-9][^/]*')""")
+def search_page_glob(spark, d):
+    from weft.functions.text import fold, glob_to_regex
+
+    https, http = (glob_to_regex(f"{s}://*.com/**/[0-9]*") for s in ("https", "http"))
+    u = fold(F.col("url"))
+    return table(spark, d, "pages").filter(u.rlike(https) | u.rlike(http)).select("page_id", "url")
+
+
+SQL_TERMS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+BM25 = rf"""WITH t AS (SELECT doc_id, {SQL_TERMS} AS ts FROM documents),
+len AS (SELECT doc_id, len(ts) AS length FROM t WHERE len(ts) > 0), stats AS (SELECT count(*) AS rows, avg(length) AS mean FROM len),
+occ AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM t),
+a AS (SELECT doc_id, count(*) AS tf FROM occ WHERE term = 'tion' GROUP BY 1),
+b AS (SELECT x.doc_id, count(*) AS tf FROM occ x JOIN occ y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 AND x.term = 'of' AND y.term = 'the' GROUP BY 1)
+SELECT a.doc_id, round(greatest(ln((rows - na + 0.5) / (na + 0.5)), 1e-6) * a.tf * 2.2 / (a.tf + 1.2 * (0.25 + 0.75 * length / mean))
+  + greatest(ln((rows - nb + 0.5) / (nb + 0.5)), 1e-6) * b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score
+FROM a JOIN b USING (doc_id) JOIN len USING (doc_id), stats, (SELECT count(*) AS na FROM a), (SELECT count(*) AS nb FROM b)"""
+
+
+@query("search_keyword_bm25", BM25)
+def search_keyword_bm25(spark, d):
+    index = search.index_terms(table(spark, d, "documents"), ("text",), ["doc_id"])
+    hits = search.keyword_search(index, search.document_lengths(index, ["doc_id"]), "tion of-the", ["doc_id"])
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("document_preview", f"SELECT doc_id, {SQL_PREVIEW.format('t')} AS preview, least(length(t), 500) AS chars, length(t) AS total_chars FROM (SELECT doc_id, {COLLAPSED.format('text')} AS t FROM documents)")
+def document_preview(spark, d):
+    text, chars, total = preview(F.col("text"), 500)
+    return table(spark, d, "documents").select("doc_id", text.alias("preview"), chars.alias("chars"), total.alias("total_chars"))

@@ -1,0 +1,168 @@
+"""The engine's tables derived from general ones, in Spark and as DuckDB CTEs of the same rows.
+
+Conversations are sessions whose user rows open turns; orders are sessions whose lines are turns that
+touch files; events are tool calls; documents and pages are texts and paths to search.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weft.functions.text import file_name
+from weft.functions.times import iso
+from weft.runtime import table
+
+ROOT = "/w/repo"
+
+
+def identity(key, prefix: str) -> list:
+    return [
+        F.concat(F.lit("p"), key % 7).alias("project_id"),
+        F.when(key % 2 == 0, "codex").otherwise("claude").alias("provider"),
+        F.concat(F.lit(prefix), key).alias("session_id"),
+    ]
+
+
+def sql_identity(key: str, prefix: str) -> str:
+    return f"'p' || ({key} % 7) AS project_id, CASE WHEN {key} % 2 = 0 THEN 'codex' ELSE 'claude' END AS provider, '{prefix}' || {key} AS session_id"
+
+
+def users(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    return c.select(
+        F.concat(F.lit("cust-"), "c_custkey").alias("user_id"),
+        F.col("c_name").alias("display_name"),
+        F.concat(F.lit("c"), "c_custkey", F.lit("@example.com")).alias("email"),
+    )
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        *identity(k, "ord-"),
+        F.when(k % 5 == 0, "shared").otherwise("local").alias("origin_kind"),
+        F.concat(F.lit("cust-"), "o_custkey").alias("origin_user_id"),
+        F.when(F.col("o_orderstatus") == "F", "included").when(F.col("o_orderstatus") == "P", "excluded").otherwise("unset").alias("share_state"),
+        F.lit(ROOT).alias("cwd"),
+    )
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    part = F.min("l_partkey")
+    g = li.groupBy("l_orderkey", "l_linenumber").agg(
+        iso(F.min("l_shipdate")).alias("started_at"),
+        F.when(F.max("l_linestatus") == "F", "completed").when(F.max("l_returnflag") == "R", "aborted").otherwise("incomplete").alias("status"),
+        (F.sum("l_quantity") * 100).cast("long").alias("duration_ms"),
+        F.when(part % 10 != 0, part).alias("total_token_count"),
+        F.concat(F.lit("m"), F.min("l_suppkey") % 5).alias("primary_model"),
+    )
+    return g.select(
+        *identity(F.col("l_orderkey"), "ord-"),
+        F.col("l_linenumber").cast("long").alias("turn_ordinal"),
+        "started_at",
+        "status",
+        "duration_ms",
+        F.col("duration_ms").alias("effective_agent_runtime_ms"),
+        "total_token_count",
+        "primary_model",
+        F.concat(F.lit("order "), "l_orderkey", F.lit("  line\t"), "l_linenumber").alias("user_message"),
+        F.when(F.col("status") == "completed", F.concat(F.lit("shipped "), "started_at")).alias("final_answer_text"),
+    )
+
+
+def path_of(k):
+    return (
+        F.when(k % 4 == 0, F.concat(F.lit("src/m"), k % 40, F.lit("/f"), k, F.lit(".rs")))
+        .when(k % 4 == 1, F.concat(F.lit("./src//m"), k % 40, F.lit("/x/../f"), k, F.lit(".rs")))
+        .when(k % 4 == 2, F.concat(F.lit(ROOT + "/src/m"), k % 40, F.lit("/f"), k, F.lit(".rs")))
+        .otherwise(F.concat(F.lit("docs\\T"), k % 10, F.lit("\\g"), k, F.lit(".md")))
+    )
+
+
+def accesses(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    k = F.col("l_partkey")
+    rows = li.select(
+        *identity(F.col("l_orderkey"), "ord-"),
+        F.col("l_linenumber").cast("long").alias("turn_ordinal"),
+        F.when(k % 17 == 0, "list").when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").otherwise("edit").alias("access_type"),
+        path_of(k).alias("path"),
+    )
+    return rows.withColumn("repo_relative_path", F.when(~F.col("path").startswith("/"), F.col("path"))).withColumn("file_name", file_name(F.col("path")))
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """One tool call a line, named by its return flag and status."""
+    li = table(spark, d, "lineitem")
+    return li.select(*identity(F.col("l_orderkey"), "ord-"), F.col("l_linenumber").cast("long").alias("turn_ordinal"), F.concat("l_returnflag", F.lit("_"), "l_linestatus").alias("tool_name"))
+
+
+ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+SQL_USERS = "users AS (SELECT 'cust-' || c_custkey AS user_id, c_name AS display_name, 'c' || c_custkey || '@example.com' AS email FROM customer)"
+SQL_SESSIONS = f"""sessions AS (SELECT {sql_identity('o_orderkey', 'ord-')},
+  CASE WHEN o_orderkey % 5 = 0 THEN 'shared' ELSE 'local' END AS origin_kind, 'cust-' || o_custkey AS origin_user_id,
+  CASE o_orderstatus WHEN 'F' THEN 'included' WHEN 'P' THEN 'excluded' ELSE 'unset' END AS share_state FROM orders)"""
+SQL_TURNS = f"""turns AS (SELECT *, duration_ms AS effective_agent_runtime_ms, CASE WHEN status = 'completed' THEN 'shipped ' || started_at END AS final_answer_text FROM (
+  SELECT {sql_identity('l_orderkey', 'ord-')}, l_linenumber::BIGINT AS turn_ordinal, {ISO.format('min(l_shipdate)')} AS started_at,
+  CASE WHEN max(l_linestatus) = 'F' THEN 'completed' WHEN max(l_returnflag) = 'R' THEN 'aborted' ELSE 'incomplete' END AS status,
+  (sum(l_quantity) * 100)::BIGINT AS duration_ms, CASE WHEN min(l_partkey) % 10 <> 0 THEN min(l_partkey) END AS total_token_count,
+  'm' || (min(l_suppkey) % 5) AS primary_model, 'order ' || l_orderkey || '  line' || chr(9) || l_linenumber AS user_message
+  FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
+SQL_ACCESSES = f"""accesses AS (SELECT *, CASE WHEN path NOT LIKE '/%' THEN path END AS repo_relative_path,
+  regexp_extract(replace(path, '\\', '/'), '[^/]*$') AS file_name,
+  CASE WHEN part % 4 < 3 THEN 'src/m' || (part % 40) || '/f' || part || '.rs' ELSE 'docs/T' || (part % 10) || '/g' || part || '.md' END AS shown FROM (
+  SELECT {sql_identity('l_orderkey', 'ord-')}, l_linenumber::BIGINT AS turn_ordinal, l_partkey AS part,
+  CASE WHEN l_partkey % 17 = 0 THEN 'list' WHEN l_returnflag = 'R' THEN 'read' WHEN l_returnflag = 'A' THEN 'write' ELSE 'edit' END AS access_type,
+  CASE l_partkey % 4 WHEN 0 THEN 'src/m' || (l_partkey % 40) || '/f' || l_partkey || '.rs'
+    WHEN 1 THEN './src//m' || (l_partkey % 40) || '/x/../f' || l_partkey || '.rs'
+    WHEN 2 THEN '{ROOT}/src/m' || (l_partkey % 40) || '/f' || l_partkey || '.rs'
+    ELSE 'docs\\T' || (l_partkey % 10) || '\\g' || l_partkey || '.md' END AS path FROM lineitem))"""
+SQL_TOUCHES = """touches AS (SELECT a.*, t.started_at FROM accesses a JOIN turns t USING (project_id, provider, session_id, turn_ordinal)
+  JOIN (SELECT DISTINCT session_id FROM sessions WHERE origin_kind = 'local') s USING (session_id) WHERE access_type IN ('read', 'write', 'edit'))"""
+
+
+def chat_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as turns: a user row opens one, the last assistant row after it answers it."""
+    c = table(spark, d, "conversations")
+    opened = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("turn_ordinal", opened).filter("turn_ordinal > 0")
+    at = lambda t: iso(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + t * 60))
+    answer = F.when(F.col("role") == "assistant", F.col("turn"))
+    g = c.groupBy("conv_id", "turn_ordinal").agg(
+        F.min("turn").alias("opened"), F.max(answer).alias("answered"), F.max_by("text", answer).alias("final_answer_text"), F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user_message")
+    )
+    return g.select(
+        *identity(F.col("conv_id"), "conv-"),
+        "turn_ordinal",
+        at(F.col("opened")).alias("started_at"),
+        at(F.col("answered")).alias("completed_at"),
+        F.when(F.col("answered").isNotNull(), "completed").otherwise("incomplete").alias("status"),
+        "user_message",
+        F.when(F.col("answered").isNotNull(), F.col("final_answer_text")).alias("final_answer_text"),
+        ((F.col("answered") - F.col("opened")) * 60_000).alias("duration_ms"),
+        F.when(F.col("answered").isNotNull(), F.length("user_message") + F.length("final_answer_text")).cast("long").alias("total_token_count"),
+        F.when(F.col("answered").isNotNull(), F.concat(F.lit("model-"), F.col("conv_id") % 4)).alias("primary_model"),
+        ((F.col("answered") - F.col("opened")) * 60_000).alias("effective_agent_runtime_ms"),
+    )
+
+
+def chat_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """One session a conversation, those without a user row included."""
+    ids = table(spark, d, "conversations").select("conv_id").distinct()
+    k = F.col("conv_id")
+    return ids.select(*identity(k, "conv-"), F.when(k % 5 == 0, "shared").otherwise("local").alias("origin_kind"), F.concat(F.lit("u"), k % 4).alias("origin_user_id"))
+
+
+SQL_CHAT = f"""chat_sessions AS (SELECT DISTINCT {sql_identity('conv_id', 'conv-')}, CASE WHEN conv_id % 5 = 0 THEN 'shared' ELSE 'local' END AS origin_kind FROM conversations),
+opened AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS turn_ordinal FROM conversations),
+grouped AS (SELECT conv_id, turn_ordinal, min(turn) AS opened, max(turn) FILTER (role = 'assistant') AS answered,
+  arg_max(text, turn) FILTER (role = 'assistant') AS final_answer_text, max(text) FILTER (role = 'user') AS user_message FROM opened WHERE turn_ordinal > 0 GROUP BY 1, 2),
+chat_turns AS (SELECT {sql_identity('conv_id', 'conv-')}, turn_ordinal,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + opened * 60), '%Y-%m-%dT%H:%M:%SZ') AS started_at,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + answered * 60), '%Y-%m-%dT%H:%M:%SZ') AS completed_at,
+  CASE WHEN answered IS NULL THEN 'incomplete' ELSE 'completed' END AS status, user_message, final_answer_text,
+  (answered - opened) * 60000 AS duration_ms, CASE WHEN answered IS NOT NULL THEN length(user_message) + length(final_answer_text) END AS total_token_count,
+  CASE WHEN answered IS NOT NULL THEN 'model-' || (conv_id % 4) END AS primary_model FROM grouped)"""
