@@ -15,10 +15,10 @@ from weft.operators.sessions import matches_glob
 from weft.schema import TURN_KEY
 
 CONTEXT = 80
-#: Evidence fields; the last one takes part on request only.
+#: Evidence fields; tool output takes part on request only.
 FIELDS = (
-    "user_message", "final_answer", "reasoning", "commentary", "tool_name", "tool_arguments", "attachment",
-    "delegation", "hook_summary", "provider_item", "tool_status", "tool_output",
+    "user_message", "final_answer", "commentary", "reasoning_summary", "tool_name", "tool_arguments", "tool_output",
+    "delegation_summary", "delegation_metadata", "hook_summary", "attachment_metadata", "provider_response_item_metadata",
 )
 MODES = ("keyword", "literal", "regex", "file-name", "path-fragment", "file-path")
 K1, B = 1.2, 0.75

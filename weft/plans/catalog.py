@@ -333,3 +333,159 @@ def search_keyword_bm25(spark, d):
 def document_preview(spark, d):
     text, chars, total = preview(F.col("text"), 500)
     return table(spark, d, "documents").select("doc_id", text.alias("preview"), chars.alias("chars"), total.alias("total_chars"))
+
+
+# --- ingest and derivation -----------------------------------------------------------------------
+
+
+@query("dedupe_priority", f"""SELECT session_id, path, size, mtime_ms FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY size DESC, mtime_ms DESC, path DESC) AS rn FROM (
+  SELECT 'user-' || user_id AS session_id, 'f' || event_id AS path, floor(value)::BIGINT AS size, epoch_ms(ts) // 60000 AS mtime_ms FROM events WHERE event_type <> 'error')) WHERE rn = 1""")
+def dedupe_priority(spark, d):
+    from weft.operators.ingest import dedupe_priority as first
+
+    e = table(spark, d, "events").filter("event_type <> 'error'")
+    rows = e.select(
+        F.concat(F.lit("user-"), "user_id").alias("session_id"),
+        F.concat(F.lit("f"), "event_id").alias("path"),
+        F.floor("value").cast("long").alias("size"),
+        F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60_000).cast("long").alias("mtime_ms"),
+    )
+    return first(rows, ["session_id"], "size", "mtime_ms", "path")
+
+
+@query("counter_delta", """SELECT user_id, event_id, total, CASE WHEN total >= coalesce(before, 0) THEN total - coalesce(before, 0) ELSE coalesce(last, total) END AS delta FROM (
+  SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (
+    SELECT user_id, event_id, ts, floor(value)::BIGINT AS total, CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END AS last FROM events))""")
+def counter_delta(spark, d):
+    from weft.operators.ingest import counter_delta as delta
+
+    e = table(spark, d, "events")
+    rows = e.select("user_id", "event_id", "ts", F.floor("value").cast("long").alias("total"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("last"))
+    return delta(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "total", "last").select("user_id", "event_id", "total", "delta")
+
+
+@query("token_dedupe", """SELECT user_id, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM (SELECT user_id, ts::DATE, event_type, max(floor(value)::BIGINT) AS a, max(event_id % 100) AS b FROM events GROUP BY ALL) GROUP BY 1""")
+def token_dedupe(spark, d):
+    from weft.operators.ingest import token_dedupe as dedupe
+
+    e = table(spark, d, "events")
+    rows = e.select("user_id", F.concat(F.to_date("ts"), "event_type").alias("request"), F.floor("value").cast("long").alias("a"), (F.col("event_id") % 100).alias("b"))
+    return dedupe(rows, ["user_id"], "request", ("a", "b"))
+
+
+@query("project_owner", with_("roots AS (SELECT * FROM (VALUES ('/w', 'all'), ('/w/repo', 'repo'), ('/w/repo/src/m2', 'm2'), ('/w/repo/src/m22', 'm22')) t(root, project_id))", S.SQL_ACCESSES, "paths AS (SELECT DISTINCT path FROM accesses)") + """SELECT path, arg_max(project_id, length(root)) AS project_id
+FROM paths LEFT JOIN roots ON starts_with(path, root || '/') GROUP BY 1""")
+def project_owner(spark, d):
+    from weft.operators.ingest import owner_by_prefix
+
+    roots = spark.createDataFrame([("/w", "all"), ("/w/repo", "repo"), ("/w/repo/src/m2", "m2"), ("/w/repo/src/m22", "m22")], "root string, project_id string")
+    return owner_by_prefix(S.accesses(spark, d).select("path").distinct(), roots)
+
+
+@query("evidence_explode", """SELECT conv_id, turn_ordinal, (row_number() OVER (PARTITION BY conv_id, turn_ordinal ORDER BY k) - 1) AS evidence_ordinal, field, text FROM (
+  SELECT conv_id, turn_ordinal, 0 AS k, 'user_message' AS field, user_message AS text FROM grouped UNION ALL
+  SELECT conv_id, turn_ordinal, 1, 'final_answer', final_answer_text FROM grouped) WHERE trim(text) <> ''""")
+def evidence_explode(spark, d):
+    from weft.operators.derive import evidence
+    from weft.schema import STEP
+
+    t = S.chat_turns(spark, d).withColumn("steps", F.array().cast(f"array<{STEP}>"))
+    out = evidence(t)
+    return out.select(F.regexp_extract("session_id", r"\d+", 0).cast("long").alias("conv_id"), "turn_ordinal", "evidence_ordinal", "field", "text")
+
+
+SQL["evidence_explode"] = with_(S.SQL_CHAT) + SQL["evidence_explode"]
+
+
+@query("redact_assignments", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\btoken = "[^\s"][^"\r\n]{3,}"', 'token = "[REDACTED_SECRET]"', 'g'), '[A-Za-z0-9+/=_-]{512,}', '[REDACTED_BLOB]', 'g') AS text FROM documents""")
+def redact_assignments(spark, d):
+    from weft.operators.redact import redact_text
+
+    return table(spark, d, "documents").select("doc_id", redact_text(F.col("text")).alias("text"))
+
+
+@query("tool_access_kind", """SELECT event_id, CASE WHEN k IN ('glob_view', 'list_signup') THEN 'list' WHEN k = 'edit_click' THEN 'edit' WHEN k = 'write_error' THEN 'write' ELSE 'read' END AS access_type
+FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'glob_view' WHEN 'signup' THEN 'list_signup' WHEN 'click' THEN 'edit_click' WHEN 'error' THEN 'write_error' ELSE 'grep_x' END AS k FROM events)""")
+def tool_access_kind(spark, d):
+    from weft.operators.derive import access_kind
+
+    t = F.col("event_type")
+    tool = F.when(t == "view", "Glob_view").when(t == "signup", "List_signup").when(t == "click", "EDIT_click").when(t == "error", "Write_error").otherwise("Grep_x")
+    return table(spark, d, "events").select("event_id", access_kind(tool).alias("access_type"))
+
+
+@query("tool_outcome", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN k > 90 THEN 'error' END AS status, event_type = 'error' OR k > 90 AS is_error
+FROM (SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events)""")
+def tool_outcome(spark, d):
+    from weft.operators.derive import outcome
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    status = F.when(F.col("event_type") == "error", F.lit("failed"))
+    out = F.to_json(F.struct(status.alias("status"), F.struct(F.when(k > 90, 1).otherwise(0).alias("exit_code")).alias("metadata")))
+    s, bad = outcome(out)
+    return table(spark, d, "events").select("event_id", s.alias("status"), bad.alias("is_error"))
+
+
+# --- incremental and share -----------------------------------------------------------------------
+
+MANIFEST = """found AS (SELECT o_orderkey AS id, o_custkey AS size, epoch_ms(o_orderdate) AS mtime_ms, o_orderpriority AS meta FROM orders WHERE o_orderkey % 11 <> 3),
+manifest AS (SELECT o_orderkey AS id, o_custkey + (o_orderkey % 13 = 0)::INT AS size, epoch_ms(o_orderdate) AS mtime_ms, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE o_orderpriority END AS meta FROM orders WHERE o_orderkey % 7 <> 2)"""
+
+
+@query("manifest_diff", with_(MANIFEST) + """SELECT id, CASE WHEN m.size IS NULL THEN 'copy' WHEN f.size IS NULL THEN 'remove' WHEN f.size <> m.size OR f.mtime_ms <> m.mtime_ms THEN 'copy'
+  WHEN f.meta <> m.meta THEN 'rewrite' ELSE 'keep' END AS action FROM found f FULL JOIN manifest m USING (id)""")
+def manifest_diff(spark, d):
+    from weft.operators.incremental import manifest_diff as diff
+
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    base = [k.alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime_ms")]
+    found = o.filter(k % 11 != 3).select(*base, F.col("o_custkey").alias("size"), F.col("o_orderpriority").alias("meta"))
+    old = o.filter(k % 7 != 2).select(*base, (F.col("o_custkey") + F.when(k % 13 == 0, 1).otherwise(0)).alias("size"), F.when(k % 17 == 0, "x").otherwise(F.col("o_orderpriority")).alias("meta"))
+    return diff(found, old, ["id"])
+
+
+@query("prune_anti", with_(S.SQL_TURNS) + """SELECT project_id, provider, session_id, turn_ordinal FROM turns
+WHERE project_id NOT IN ('p1', 'p2') OR (turn_ordinal <= 3 AND project_id IN ('p1', 'p2'))""")
+def prune_anti(spark, d):
+    from weft.operators.incremental import prune
+
+    t = S.turns(spark, d).select("project_id", "provider", "session_id", "turn_ordinal")
+    keep = t.filter("project_id in ('p1', 'p2') and turn_ordinal <= 3")
+    return prune(t, keep, ["project_id"])
+
+
+@query("sessions_without_turns", with_(S.SQL_SESSIONS, S.SQL_TURNS) + "SELECT project_id, provider, session_id FROM sessions ANTI JOIN turns USING (project_id, provider, session_id)")
+def sessions_without_turns(spark, d):
+    from weft.operators.incremental import without_turns
+
+    return without_turns(S.sessions(spark, d), S.turns(spark, d)).select("project_id", "provider", "session_id")
+
+
+@query("session_upsert", """SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL OR (n.id IS NOT NULL AND o.kind = 'shared') THEN n.v ELSE o.v END AS v, CASE WHEN o.id IS NULL OR (n.id IS NOT NULL AND o.kind = 'shared') THEN n.kind ELSE o.kind END AS kind
+FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'shared' ELSE 'local' END AS kind, o_orderstatus AS v FROM orders WHERE o_orderkey % 2 = 0) o
+FULL JOIN (SELECT o_orderkey AS id, 'shared' AS kind, o_orderpriority AS v FROM orders WHERE o_orderkey % 3 = 0) n ON o.id = n.id""")
+def session_upsert(spark, d):
+    from weft.operators.incremental import upsert
+
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    old = o.filter(k % 2 == 0).select(k.alias("id"), F.when(k % 5 == 0, "shared").otherwise("local").alias("kind"), F.col("o_orderstatus").alias("v"))
+    new = o.filter(k % 3 == 0).select(k.alias("id"), F.lit("shared").alias("kind"), F.col("o_orderpriority").alias("v"))
+    return upsert(old, new, ["id"], only="kind = 'shared'")
+
+
+@query("share_status", with_(S.SQL_SESSIONS) + """SELECT count(*) FILTER (origin_kind = 'local' AND share_state = 'included') AS included, count(*) FILTER (origin_kind = 'local' AND share_state = 'excluded') AS excluded,
+  count(*) FILTER (origin_kind = 'local' AND share_state = 'unset') AS unset, count(*) FILTER (origin_kind <> 'local') AS shared, count(*) AS total FROM sessions""")
+def share_status(spark, d):
+    from weft.operators.share import status
+
+    return status(S.sessions(spark, d))
+
+
+@query("share_selected", with_(S.SQL_SESSIONS, S.SQL_TURNS) + """SELECT project_id, provider, session_id FROM sessions SEMI JOIN turns USING (project_id, provider, session_id)
+WHERE origin_kind = 'local' AND (share_state = 'included' OR (project_id IN ('p1', 'p4') AND share_state <> 'excluded'))""")
+def share_selected(spark, d):
+    from weft.operators.share import selected
+
+    policies = spark.createDataFrame([("p1", "all"), ("p2", "manual"), ("p4", "all")], "project_id string, default_policy string")
+    return selected(S.sessions(spark, d), policies, S.turns(spark, d)).select("project_id", "provider", "session_id")

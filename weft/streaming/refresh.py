@@ -1,0 +1,62 @@
+"""Continuous refresh: a file stream of sessions, folded into the tables batch by batch.
+
+A changed file is read again as a whole and its session replaced, so late lines need no watermark. A
+batch writes a new version of the table and then moves the pointer to it; a batch that is run again
+after a failure finds its version and writes nothing twice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Versions:
+    """A table as numbered Parquet versions and a pointer file, on any store that Spark writes."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def current(self) -> int | None:
+        if not self.fs.exists(self.path("current")):
+            return None
+        return int(self.spark.read.text(f"{self.root}/current").first()[0])
+
+    def read(self) -> DataFrame | None:
+        v = self.current()
+        return None if v is None else self.spark.read.parquet(f"{self.root}/v{v}")
+
+    def write(self, df: DataFrame, version: int) -> None:
+        """Write the version, then point to it; readers see the old one until then."""
+        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
+        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+
+
+def fold_batch(versions: Versions, key: list[str], build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: rows built from the batch replace those of their keys in the table."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        done = versions.current()
+        if done is not None and done >= epoch:
+            return
+        fresh = build(batch)
+        old = versions.read()
+        if old is not None:
+            fresh = old.join(fresh.select(*key).distinct(), key, "left_anti").unionByName(fresh)
+        versions.write(fresh, epoch)
+
+    return run
+
+
+def watch(spark: SparkSession, source: str, pattern: str, build: Callable[[DataFrame], DataFrame], versions: Versions, key: list[str], checkpoint: str, once: bool = True, every: str = "60 seconds"):
+    """Start the refresh query over whole files; ``once`` takes what is there and ends."""
+    raw = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(source)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    writer = raw.writeStream.foreachBatch(fold_batch(versions, key, build)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
