@@ -349,3 +349,50 @@ def test_turn_views(spark):
     assert [s.type for s in row.steps] == ["tool_call", "commentary"] and row.steps[0].arguments == "" and row.steps[1].text == "c" and row.steps_has_more and row.token_usage is None
     with pytest.raises(ValueError):
         show_turn(t, {}, raw_steps=True)
+
+
+def test_claude_steps(spark):
+    def m(kind, at, **more):
+        return json.dumps({"type": kind, "timestamp": at, **more})
+
+    rows = [
+        m("user", "1", message={"role": "user", "content": "go"}),
+        m("assistant", "2", message={"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "so"}, {"type": "tool_use", "id": "t", "name": "Read", "input": {"path": "a"}}]}),
+        m("user", "3", message={"content": [{"type": "tool_result", "tool_use_id": "t", "content": "no", "is_error": True}]}),
+        m("attachment", "4", attachment={"type": "file"}),
+        m("progress", "5", data={"type": "agent_progress", "agentId": "g", "prompt": "do"}),
+        m("system", "6", subtype="stop_hook_summary", hookCount=2),
+        m("assistant", "7", message={"content": [{"type": "text", "text": "fin"}, {"type": "odd", "x": 1}]}, toolUseResult={"totalTokens": 9}),
+    ]
+    good, _ = ingest.quarantine(ingest.lines(spark.createDataFrame([("f", "\n".join(rows))], "file string, text string")))
+    lines = good.select("file", "line", F.lit(1).alias("turn_ordinal"), (F.col("line") == 7).alias("final"))
+    steps = ingest.claude_steps(good, lines).first().steps
+    assert [s.type for s in steps] == ["reasoning", "commentary", "tool_call", "tool_call_output", "attachment", "delegation", "hook_summary", "provider_response_item"]
+    assert steps[2].arguments == '{"path":"a"}' and json.loads(steps[3].output) == {"is_error": True, "content": "no"} and steps[5].agent_id == "g" and steps[6].hook_count == 2
+    assert [r.total for r in ingest.delegated_tokens(good).collect()] == [9]
+
+
+def test_schema_differences():
+    from weft.functions.schemas import differences
+
+    assert differences({"required": ["a", "b"], "x": {"y": 1}}, {"x": {"y": 1}, "required": ["b", "a"]}) == []
+    assert differences({"x": {"y": 1, "z": 2}}, {"x": {"y": 2, "w": 3}}) == ["/x/w: added", "/x/y: changed", "/x/z: removed"]
+
+
+def test_keyword_snippet(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    assert value(spark, search.keyword_snippet(F.col("p"), "W20"), p=long) == "…" + " ".join(f"w{k}" for k in range(18, 34)) + "…"
+    assert value(spark, search.keyword_snippet(F.col("p"), "w1"), p="w0 w1") == "w0 w1"
+
+
+def test_status_and_commands(spark):
+    from weft.operators import insights
+
+    projects = spark.createDataFrame([("p", "n")], "id string, name string")
+    s = spark.createDataFrame([("p", "c", "s")], "project_id string, provider string, session_id string")
+    t = spark.createDataFrame([("p", "2024-01-01T00:00:00Z")], "project_id string, started_at string")
+    todo = spark.createDataFrame([("p", "copy"), ("p", "copy"), ("p", "keep")], "project_id string, action string")
+    r = insights.project_status(projects, s, t, todo).first()
+    assert (r.session_count, r.turn_count, r.to_copy, r.to_remove) == (1, 1, 2, 0)
+    calls = spark.createDataFrame([("s", "Bash", '{"command":"ls","workdir":"/w"}'), ("s", "Read", "{}")], "session_id string, tool_name string, arguments_text string")
+    assert [tuple(x) for x in insights.turn_commands({"session_id": "s"}, calls).collect()] == [("Bash", "ls", "/w")]

@@ -265,3 +265,69 @@ def archive_kind(path: Column) -> tuple[Column, Column, Column]:
     parent, agent = (F.regexp_extract(path, r"/claude/([^/]+)/subagents/([^/]+)\.jsonl$", k) for k in (1, 2))
     session = F.when(codex != "", codex).when(main != "", main).when(agent != "", F.concat(parent, F.lit("/subagents/"), agent))
     return session, F.when((codex != "") | (main != ""), "primary").when(agent != "", "subagent"), F.when(agent != "", parent)
+
+
+# --- steps of Claude turns -----------------------------------------------------------------------
+
+
+def make_step(kind: str, **fields: Column) -> Column:
+    """A step of the given fields, the others null, typed as the step schema says."""
+    from weft.schema import STEP
+
+    names = [f.split(":")[0] for f in STEP[len("struct<") : -1].split(",")]
+    values = {"type": F.lit(kind), **fields}
+    return F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(STEP)
+
+
+def claude_steps(parsed: DataFrame, turns_of_lines: DataFrame) -> DataFrame:
+    """(file, turn_ordinal, steps): every item of every line of a turn as a step, in order.
+
+    ``turns_of_lines`` gives (file, line, turn_ordinal, final), where a final line's text is the turn's
+    answer and no commentary.
+    """
+    rows = parsed.join(turns_of_lines.filter("turn_ordinal > 0"), ["file", "line"])
+    v = F.col("v")
+    get = lambda c, p, t="string": F.try_variant_get(c, p, t)
+    at, kind, sub = get(v, "$.timestamp"), get(v, "$.type"), get(v, "$.subtype")
+    items = F.coalesce(get(v, "$.message.content", "array<variant>"), F.array(F.lit(None).cast("variant")))
+    each = rows.select("file", "turn_ordinal", "line", "final", "v", at.alias("at"), kind.alias("kind"), sub.alias("sub"), F.posexplode(items).alias("pos", "i"))
+    i, item, time = F.col("i"), get(F.col("i"), "$.type"), F.col("at")
+    result = F.coalesce(get(i, "$.content"), F.to_json(get(i, "$.content", "variant")))
+    wrapped = F.when(F.coalesce(get(i, "$.is_error", "boolean"), F.lit(False)), F.to_json(F.struct(F.lit(True).alias("is_error"), result.alias("content")))).otherwise(result)
+    data = lambda p: get(F.col("v"), p)
+    whole = F.to_json(F.col("v"))
+    plain = (F.col("kind") == "assistant") & i.isNull()
+    step = (
+        F.when(item == "thinking", make_step("reasoning", timestamp=time, summary_list=F.array(get(i, "$.thinking"))))
+        .when((item == "text") & (F.col("kind") == "assistant") & ~F.col("final"), make_step("commentary", timestamp=time, text=get(i, "$.text")))
+        .when(plain & ~F.col("final") & data("$.message.content").isNotNull(), make_step("commentary", timestamp=time, text=data("$.message.content")))
+        .when(item == "tool_use", make_step("tool_call", timestamp=time, call_id=get(i, "$.id"), name=get(i, "$.name"), arguments=F.to_json(get(i, "$.input", "variant"))))
+        .when(item == "tool_result", make_step("tool_call_output", timestamp=time, call_id=get(i, "$.tool_use_id"), output=wrapped))
+        .when(F.col("kind") == "attachment", make_step("attachment", timestamp=time, attachment_type=data("$.attachment.type"), payload_json=F.to_json(get(F.col("v"), "$.attachment", "variant"))))
+        .when(
+            (F.col("kind") == "progress") & (data("$.data.type") == "agent_progress"),
+            make_step("delegation", timestamp=time, event=F.lit("agent_progress"), agent_id=data("$.data.agentId"), summary=data("$.data.prompt"), payload_json=whole),
+        )
+        .when(
+            (F.col("kind") == "system") & F.col("sub").startswith("task_"),
+            make_step("delegation", timestamp=time, event=F.col("sub"), task_id=data("$.task_id"), status=data("$.status"), summary=data("$.summary"), payload_json=whole),
+        )
+        .when(
+            (F.col("kind") == "system") & (F.col("sub") == "stop_hook_summary"),
+            make_step(
+                "hook_summary", timestamp=time, hook_count=get(F.col("v"), "$.hookCount", "long"), prevented_continuation=get(F.col("v"), "$.preventedContinuation", "boolean"),
+                has_output=get(F.col("v"), "$.hasOutput", "boolean"), level=data("$.level"),
+            ),
+        )
+        .when((item == "text") | item.isNull() | F.col("kind").isin("user"), F.lit(None))
+        .otherwise(make_step("provider_response_item", timestamp=time, item_type=F.coalesce(item, F.col("kind")), payload_json=F.to_json(i)))
+    )
+    each = each.withColumn("step", step).filter("step is not null")
+    g = each.groupBy("file", "turn_ordinal").agg(F.sort_array(F.collect_list(F.struct("line", "pos", "step"))).alias("s"))
+    return g.select("file", "turn_ordinal", F.transform("s", lambda x: x["step"]).alias("steps"))
+
+
+def delegated_tokens(parsed: DataFrame) -> DataFrame:
+    """(file, line, total): tokens that a delegated agent reports with its result."""
+    total = F.try_variant_get(F.col("v"), "$.toolUseResult.totalTokens", "long")
+    return parsed.select("file", "line", total.alias("total")).filter("total is not null")

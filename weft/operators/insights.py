@@ -97,3 +97,21 @@ def turn_insights(key: dict, calls: DataFrame, touched: DataFrame) -> tuple[Data
         F.count_if(F.col("access_type").isin("read", "list")).alias("read_count"), F.count_if(F.col("access_type").isin("write", "edit")).alias("write_count")
     )
     return tools, files.orderBy(F.desc(F.col("read_count") + F.col("write_count")), F.desc("write_count"), F.desc("read_count"), "path")
+
+
+def turn_commands(key: dict, calls: DataFrame) -> DataFrame:
+    """Shell commands of one turn with the folder they ran in."""
+    from weft.operators.shell import shell_commands
+
+    folder = F.coalesce(*(F.try_variant_get(F.try_parse_json("arguments_text"), f"$.{k}", "string") for k in ("workdir", "cwd")))
+    return shell_commands(scope.equal(calls, **key)).select("tool_name", F.col("command").alias("command_text"), folder.alias("workdir"))
+
+
+def project_status(projects: DataFrame, sessions: DataFrame, turns: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """The workspace with what a refresh would do: files to copy and to remove, from a manifest diff by project."""
+    rows = workspace(projects, sessions, turns)
+    if pending is None:
+        return rows
+    todo = pending.groupBy("project_id").agg(F.count_if(F.col("action") == "copy").alias("to_copy"), F.count_if(F.col("action") == "remove").alias("to_remove"))
+    rows = rows.join(todo, rows["id"] == todo["project_id"], "left").drop("project_id")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("to_copy", "to_remove")})

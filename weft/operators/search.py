@@ -212,3 +212,14 @@ def match_range(text: str, query: str, mode: str) -> tuple[int, int] | None:
     start = text.rfind("/") + 1 if mode == "file-name" else 0
     at = low.find(fold_text(query), start)
     return (at, at + len(query)) if at >= 0 else None
+
+
+def keyword_snippet(text: Column, query: str, width: int = 16) -> Column:
+    """``width`` words of the text around the first keyword, with ellipses where words are left out."""
+    wanted = {t for p in query_phrases(query) for t in p}
+    words = F.array_remove(F.split(text, r"\s+"), "")
+    hit = F.transform(words, lambda w: F.exists(terms(w), lambda t: t.isin(*wanted)) if wanted else F.lit(False))
+    first = F.coalesce(F.nullif(F.array_position(hit, True), F.lit(0)), F.lit(1)).cast("int")
+    start = F.greatest(F.lit(1), F.least(first - 2, F.size(words) - width + 1))
+    cut = F.array_join(F.slice(words, start, width), " ")
+    return F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(start + width - 1 < F.size(words), "…").otherwise(""))
