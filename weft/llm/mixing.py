@@ -113,8 +113,8 @@ def within(name: str) -> Column:
 def ranked(rows: DataFrame) -> DataFrame:
     """Pareto rank q of each row from its u and its source's share, and the bucket of q."""
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mean = F.col("merits") / F.col("source_size")
-    rows = rows.withColumn("whole", F.floor(share)).withColumn("pi", F.least(F.lit(1.0), (share - F.col("whole")) * merit(F.col("size")) / mean))
+    mean = F.try_divide(F.col("merits"), F.col("source_size"))
+    rows = rows.withColumn("whole", F.floor(share)).withColumn("pi", F.least(F.lit(1.0), F.coalesce(F.try_divide((share - F.col("whole")) * merit(F.col("size")), mean), F.lit(0.0))))
     odds = F.col("u") / (1.0 - F.col("u"))
     # certain documents rank first, and those that can't be taken have no rank
     rows = rows.withColumn("q", F.when(F.col("pi") >= 1, F.col("u") * 1e-9).when((F.col("pi") > 0) & (F.col("size") > 0), odds * (1.0 - F.col("pi")) / F.col("pi")))
@@ -130,15 +130,21 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     one = materialize(cut(open_, "one"), "cut_one")
     rest = on_source(open_, one).filter(~within("one")).withColumn("room", F.col("one_left")).filter(F.col("size") <= F.col("room"))
     two = materialize(cut(rest, "two"), "cut_two")
-    cuts = on_source(one, two)
-    # the document that brings the words nearest to the target, if any brings them nearer
-    gap = F.coalesce("two_left", "one_left")
-    lone = on_source(open_, cuts).filter(~within("one") & ~(within("two") & (F.col("size") <= F.col("one_left")))).withColumn("miss", F.abs(gap - F.col("size")))
-    fit = lone.filter(F.col("miss") < gap).groupBy("source").agg(F.min(F.struct("miss", "q")).alias("f")).select("source", F.col("f.q").alias("fit_q"))
+    cuts = on_source(one, two).withColumn("two_left", F.coalesce("two_left", "one_left"))
+    first = within("one") | (within("two") & (F.col("size") <= F.col("one_left")))
+    so_far = F.col("whole") + F.when(first, 1).otherwise(0)
+    # where long documents leave a gap that the others can't fill once, some of these are taken again
+    again = on_source(open_, cuts).filter((so_far + 1 <= mix.most) & (F.col("size") <= F.col("two_left"))).withColumn("room", F.col("two_left"))
+    cuts = on_source(cuts, materialize(cut(again, "three"), "cut_three")).withColumn("three_left", F.coalesce("three_left", "two_left"))
+    third = within("three") & (so_far + 1 <= mix.most) & (F.col("size") <= F.col("two_left"))
+    copies = so_far + F.when(third, 1).otherwise(0)
+    # last the document that brings the words nearest to the target, if any brings them nearer
+    lone = on_source(open_, cuts).filter(copies + 1 <= mix.most).withColumn("miss", F.abs(F.col("three_left") - F.col("size")))
+    fit = lone.filter(F.col("miss") < F.col("three_left")).groupBy("source").agg(F.min(F.struct("miss", "q")).alias("f")).select("source", F.col("f.q").alias("fit_q"))
     cuts = materialize(on_source(cuts, fit), "cuts")
-    chosen = within("one") | (within("two") & (F.col("size") <= F.col("one_left"))) | F.coalesce(F.col("q") == F.col("fit_q"), F.lit(False))
+    copies = copies + F.when(F.coalesce((F.col("q") == F.col("fit_q")) & (copies + 1 <= mix.most), F.lit(False)), 1).otherwise(0)
     return on_source(rows, cuts).select(
-        F.col("id").alias(id_col), "u", "size", "source_size", "target", (F.col("whole") + F.when(F.col("q").isNotNull() & chosen, 1).otherwise(0)).alias("copies")
+        F.col("id").alias(id_col), "u", "size", "source_size", "target", F.when(F.col("q").isNull(), F.col("whole")).otherwise(copies).alias("copies")
     )
 
 
