@@ -26,27 +26,31 @@ from pyspark.sql import functions as F
 
 from weft.runtime import table
 
-BLOCK, QUERIES, LEAF = 2048, 512, 48
+BLOCK, QUERIES, LEAF = 2048, 512, 16
 SCALE = 1024
 
 
 class Node:
-    """A centre, the radius that covers all points below, points held here, and children."""
+    """A centre, the radius that covers all points below, points held here, and children.
+
+    Groups of at most ``hold`` points stay in the node itself: more than 0 for data, whose points are
+    compared together anyway, 0 for queries, each group of which has a bound of its own.
+    """
 
     __slots__ = ("all", "center", "children", "norm", "norms", "centers", "radii", "points", "radius")
 
-    def __init__(self, v: np.ndarray, center: int, members: np.ndarray, dist: np.ndarray):
+    def __init__(self, v: np.ndarray, center: int, members: np.ndarray, dist: np.ndarray, hold: int):
         self.center, self.radius, self.all = v[center], float(dist.max(initial=0.0)), members
         self.norm = math.sqrt(float(self.center @ self.center))
         self.points, self.children = members, []
         if len(members) > LEAF and self.radius > 0:
-            self.split(v, center, members, dist)
+            self.split(v, center, members, dist, hold)
         if self.children:
             self.centers = np.stack([c.center for c in self.children])
             self.norms = np.array([c.norm for c in self.children])
             self.radii = np.array([c.radius for c in self.children])
 
-    def split(self, v: np.ndarray, center: int, members: np.ndarray, dist: np.ndarray) -> None:
+    def split(self, v: np.ndarray, center: int, members: np.ndarray, dist: np.ndarray, hold: int) -> None:
         """Centres more than half the radius apart, each with the points it covers first."""
         reach, loose = self.radius / 2, []
         near = dist <= reach
@@ -58,15 +62,15 @@ class Node:
             groups.append((left[0], left[near], d[near]))
             left = left[~near]
         for c, own, d in groups:
-            if len(own) <= 4:  # too few for a node of their own: held here
+            if len(own) <= hold:
                 loose.append(own)
             else:
-                self.children.append(Node(v, c, own, d))
+                self.children.append(Node(v, c, own, d, hold))
         self.points = np.concatenate(loose) if loose else members[:0]
 
 
-def tree(v: np.ndarray) -> Node:
-    return Node(v, 0, np.arange(len(v)), np.sqrt(((v - v[0]) ** 2).sum(1)))
+def tree(v: np.ndarray, hold: int = 4) -> Node:
+    return Node(v, 0, np.arange(len(v)), np.sqrt(((v - v[0]) ** 2).sum(1)), hold)
 
 
 class Search:
@@ -103,8 +107,6 @@ class Search:
             for c, most in zip(a.children, bound + slack):
                 if most >= self.worst(c):
                     self.walk(c, b)
-            if len(a.points):
-                self.compare(a.points, b.all)
             return
         self.compare(a.all, b.points)
         if b.children:
@@ -141,7 +143,7 @@ def best_of_block(k: int, queries: pa.Table, data: pa.Table) -> pa.Table:
             place = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = np.sort(by[place <= k])
             s = Search(qid, q, xid[keep], x[keep], k)
-            s.walk(tree(q), tree(s.x))
+            s.walk(tree(q, 0), tree(s.x))
             at, col = np.nonzero(np.isfinite(s.score))
             out = (qid[at].tolist(), s.id[at, col].tolist(), s.score[at, col].astype(np.int64).tolist())
         else:
