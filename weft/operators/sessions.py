@@ -11,6 +11,8 @@ from weft.operators.paging import page, whole_sum
 from weft.schema import SESSION_KEY
 
 CAP = 500
+#: Largest page whose keys are broadcast.
+BROADCAST = 10_000
 
 
 def turn_totals(turns: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def turn_totals(turns: DataFrame) -> DataFrame:
 
 def newest_first() -> list[Column]:
     """Sessions without turns last; ties by provider up and session id down."""
-    return [F.desc_nulls_last("latest_turn_at"), F.asc("provider"), F.desc("session_id")]
+    return [F.desc_nulls_last("latest_turn_at"), F.asc("provider"), F.desc("session_id"), F.asc("project_id")]
 
 
 def compact(df: DataFrame, full: bool = False) -> DataFrame:
@@ -64,12 +66,22 @@ def list_sessions(
     offset: int = 0,
     full: bool = False,
 ) -> DataFrame:
-    """A page of sessions, newest turn first; time bounds apply to each session's latest turn."""
+    """A page of sessions, newest turn first; time bounds apply to each session's latest turn.
+
+    The page is found from times alone. Texts and sums are then taken for its sessions only, so no
+    prompt or answer of another session is shuffled.
+    """
     kept = scope.with_author(scope.origin(scope.equal(sessions, project_id=project_id, provider=provider), origin), users, author)
-    totals = scope.in_window(turn_totals(scope.equal(turns, project_id=project_id, provider=provider)), since, until, "latest_turn_at")
+    mine = scope.equal(turns, project_id=project_id, provider=provider)
+    latest = scope.in_window(mine.groupBy(*SESSION_KEY).agg(F.max("started_at").alias("latest_turn_at")), since, until, "latest_turn_at")
     bounded = since is not None or until is not None
-    rows = kept.join(totals, SESSION_KEY, "inner" if bounded else "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)))
-    return compact(page(rows, newest_first(), limit, offset), full)
+    rows = page(kept.join(latest, SESSION_KEY, "inner" if bounded else "left"), newest_first(), limit, offset)
+    keys = rows.select(*SESSION_KEY)
+    if limit <= BROADCAST:
+        keys = F.broadcast(keys)  # at most a page of rows
+    totals = turn_totals(mine.join(keys, SESSION_KEY, "left_semi")).drop("latest_turn_at")
+    out = rows.join(totals, SESSION_KEY, "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)))
+    return compact(out, full).orderBy(*newest_first())
 
 
 def touching_exact(accesses: DataFrame, path: str, root: str | None = None) -> DataFrame:
