@@ -489,3 +489,34 @@ def share_selected(spark, d):
 
     policies = spark.createDataFrame([("p1", "all"), ("p2", "manual"), ("p4", "all")], "project_id string, default_policy string")
     return selected(S.sessions(spark, d), policies, S.turns(spark, d)).select("project_id", "provider", "session_id")
+
+
+@query("sessions_by_keys", with_(S.SQL_SESSIONS, S.SQL_TURNS, TOTALS.format("turns"), "keys AS (SELECT 'ord-' || (s_suppkey * 3) AS session_id, s_suppkey AS sort_index FROM supplier)") + """SELECT project_id, provider, session_id, sort_index, coalesce(turn_count, 0) AS turn_count, latest_status
+FROM sessions JOIN keys USING (session_id) LEFT JOIN totals USING (project_id, provider, session_id)""")
+def sessions_by_keys(spark, d):
+    k = F.col("s_suppkey") * 3
+    keys = table(spark, d, "supplier").select(*S.identity(k, "ord-"), F.col("s_suppkey").alias("sort_index"))
+    return sessions.sessions_by_key(S.sessions(spark, d), S.turns(spark, d), keys).select("project_id", "provider", "session_id", "sort_index", "turn_count", "latest_status")
+
+
+@query("version_epoch", """SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'e3' WHEN p_size > 20 OR (p_size = 20 AND p_partkey % 10 >= 5) THEN 'e2' WHEN p_size >= 7 THEN 'e1' END AS epoch,
+  CASE WHEN p_size < 7 THEN NULL WHEN p_size < 45 OR (p_size = 45 AND p_partkey % 10 <= 2) THEN 'exact' ELSE 'best_effort_forward' END AS determinism FROM part""")
+def version_epoch(spark, d):
+    from weft.operators.ingest import epoch
+
+    version = F.concat(F.lit("0."), "p_size", F.lit("."), F.col("p_partkey") % 10, F.lit("-rc"))
+    name, sure = epoch(version, [("0.7.0", "e1"), ("0.20.5", "e2"), ("0.40.0", "e3")], "0.45.2")
+    return table(spark, d, "part").select("p_partkey", name.alias("epoch"), sure.alias("determinism"))
+
+
+@query("term_statistics", f"""SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS rows FROM (SELECT doc_id, unnest({SQL_TERMS}) AS term FROM documents) GROUP BY 1""")
+def term_statistics(spark, d):
+    index = search.index_terms(table(spark, d, "documents"), ("text",), ["doc_id"])
+    per = index.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("display_paths", with_(S.SQL_ACCESSES) + "SELECT DISTINCT path, shown, file_name FROM accesses")
+def display_paths(spark, d):
+    a = S.accesses(spark, d).select("path", "repo_relative_path", "file_name").distinct()
+    return a.select("path", display_path(F.col("repo_relative_path"), F.col("path"), S.ROOT).alias("shown"), "file_name")
