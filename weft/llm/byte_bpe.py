@@ -15,13 +15,15 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.segments import SegmentCodes
-from weft.llm.spans import map_texts
 from weft.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -85,7 +87,7 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + message(2, trainer) + message(3, normal)
 
 
-class ByteBpe:
+class ByteBpe(SegmentCodes):
     """Encoder and decoder for one vocabulary."""
 
     def __init__(self, path: str, pattern: str | None = None):
@@ -94,44 +96,62 @@ class ByteBpe:
         import sentencepiece
 
         self.tokens = read_ranks(path)
+        super().__init__("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
         self.cut = regex.compile(pattern or public_tokenizers.PATTERN).findall
-        self.names = {b: c for b, c in enumerate(byte_characters())}
-        self.latin = str.maketrans({chr(b): c for b, c in self.names.items()})
-        self.codes = SegmentCodes(self.encode_segment)
+        self.latin = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
-    def encode_segment(self, text: str) -> tuple[list[int], str]:
-        ids: list[int] = []
-        for piece in self.cut(text):
-            ids += self.model.encode(piece.encode().decode("latin-1").translate(self.latin), num_threads=1)
-        return ids, ",".join(map(str, ids))
+    def pieces(self, text: str) -> list[str]:
+        """Byte-mapped pre-tokens of a text."""
+        return [p.encode().decode("latin-1").translate(self.latin) for p in self.cut(text)]
+
+    def whole(self, text: str) -> bytes:
+        found = self.model.encode(self.pieces(text), num_threads=1) if text else []
+        return np.array([i for ids in found for i in ids], self.dtype).tobytes()
+
+    def learn(self, names: list[str]) -> list[bytes]:
+        each = [self.pieces(s if s[0] == "\n" else " " + s) for s in names]
+        found = iter(self.model.encode([p for ps in each for p in ps], num_threads=1))
+        return [np.array([i for _ in ps for i in next(found)], self.dtype).tobytes() for ps in each]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.codes.of(text) for i in ids]
+        return np.frombuffer(self.of([text])[0], self.dtype).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def loaded(path: str) -> ByteBpe:
     """One encoder for each Python worker."""
     return ByteBpe(path)
 
 
-def digest_row(path: str, text: str) -> tuple[int, str, str]:
-    bpe = loaded(path)
-    codes = bpe.codes.of(text)
-    ids = [i for part, _ in codes for i in part]
-    written = ",".join([s for _, s in codes])
-    return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+def digests(bpe: ByteBpe, texts: list[str]) -> list[tuple[int, str, str]]:
+    """Number of ids, digest of the ids in decimal, and digest of what they decode to, for each text."""
+    names, out = [str(i) for i in range(len(bpe.tokens))], []
+    for raw in bpe.of(texts):
+        ids = np.frombuffer(raw, bpe.dtype).tolist()
+        written = ",".join([names[i] for i in ids])
+        out.append((len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+    return out
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_tokens, digest of the ids in decimal joined by commas, digest of the decoded bytes."""
-    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return map_texts(df, [id_col], text_col, fields, functools.partial(digest_row, path))
+    source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([source.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for b in batches:
+            if b.num_rows:
+                n, ids, text = zip(*digests(bpe, [t or "" for t in b.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], names=schema.names)
+        bpe.known.clear()  # an idle worker holds no memory of segments
+
+    return source.mapInArrow(run, schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,36 +3,54 @@
 Public byte-level BPE vocabularies split a text by a pattern in which a space or line end before a
 non-space always starts a new piece: it either leads the next word or stands alone as the last of its
 run. Tokens of the segments, encoded one by one and joined, are thus the tokens of the text. Segments
-repeat, so a bounded memory of them does most of the work.
+repeat, so a bounded memory of them does most of the work, and the unknown ones of many texts are
+encoded in one call.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from typing import TypeVar
 
-#: Only characters that no library takes for white space count as non-space here.
-CUT = re.compile("(?=[ \n][!-~À-ɏ])")
-Code = TypeVar("Code")
+import numpy as np
 
+#: A space or line end after which no cut is certain: only characters that no library takes for white
+#: space count as non-space. A text with such a spot is encoded whole.
+UNSAFE = re.compile("[ \n](?![!-~À-ɏ])")
+SAFE = re.compile("[!-~À-ɏ]")
 
-class SegmentCodes(dict):
-    """Codes of segments; ``encode`` makes a missing one. Emptied at ``limit`` entries.
 
-    Segments longer than ``longest`` are encoded each time, so that the memory stays bounded.
-    """
-
-    def __init__(self, encode: Callable[[str], Code], limit: int = 300_000, longest: int = 64):
-        self.encode, self.limit, self.longest = encode, limit, longest
+class SegmentCodes:
+    """Ids of texts as little-endian bytes of ``dtype``; subclasses encode.
 
-    def __missing__(self, segment: str) -> Code:
-        code = self.encode(segment)
-        if len(segment) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[segment] = code
-        return code
+    The memory is emptied when it holds ``limit`` segments, and keeps none longer than ``longest``.
+    """
 
-    def of(self, text: str) -> list[Code]:
-        return [self[s] for s in CUT.split(text)] if text else []
+    def __init__(self, dtype: str, limit: int = 200_000, longest: int = 64):
+        self.dtype, self.limit, self.longest = np.dtype(dtype), limit, longest
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def learn(self, names: list[str]) -> list[bytes]:
+        """Ids of segments; a name is a segment that starts with a line end, or lacks the space it starts with."""
+        raise NotImplementedError
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        known, width = self.known, self.dtype.itemsize
+        for at in range(0, len(texts), 256):
+            if len(known) > self.limit:
+                known.clear()
+            some = texts[at : at + 256]
+            # the first segment is named as if a line end stood before it, whose id is dropped again
+            parts = [("\n" + t.replace("\n", " \n")).split(" ") if SAFE.match(t) and not UNSAFE.search(t) else None for t in some]
+            new = list(set().union(*(p for p in parts if p)).difference(known))
+            if new:
+                known.update(zip(new, self.learn(new)))
+            for t, p in zip(some, parts):
+                out.append(self.whole(t) if p is None else b"".join([known[s] for s in p])[width:])
+            for s in new:
+                if len(s) > self.longest:
+                    del known[s]
+        return out

@@ -20,7 +20,7 @@ BLOCK = 8192
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it holds ``limit`` words to bound memory."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:

@@ -18,6 +18,8 @@ table; other columns are not read.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.byte_bpe import vocabulary_path
+from weft.llm.byte_bpe import byte_characters, vocabulary_path
 from weft.llm.segments import SegmentCodes
 from weft.runtime import scratch_path, table
 
@@ -80,14 +82,91 @@ def unpack(payload: bytes, offsets, bits: int, start: int, end: int, block: int
     return np.concatenate(parts)[start - first * block : end - first * block]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> tuple[SegmentCodes, int]:
-    """Ids of a segment as little-endian bytes, and the vocabulary's size; one for each worker."""
+#: Letters of which a run is one piece in any version of the pattern's tables.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+class JoinedCodes(SegmentCodes):
+    """Segments through the tokenizers library.
+
+    A word of letters alone is one piece, so the library's model gets it byte-mapped and at once. A
+    letter before a closing comma or stop ends a piece, so such a word's ids are those of the word and
+    of the mark. Other segments are joined to one text: among its ids, just the first of each word is
+    a token that starts with a space; line starts are told apart by the line end's own id.
+    """
+
+    def __init__(self, tok, tokens: list[bytes]):
+        super().__init__(id_type(len(tokens)), limit=400_000)
+        self.tok = tok
+        self.spaced = np.array([t[:1] == b" " for t in tokens])
+        self.newline = tokens.index(b"\n")
+        self.marks = {m: np.array([tokens.index(m.encode())], self.dtype).tobytes() for m in ",."}
+        self.names = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def whole(self, text: str) -> bytes:
+        return self.ids(text).astype(self.dtype).tobytes() if text else b""
+
+    def cut(self, ids: np.ndarray, starts: list[int]) -> list[bytes]:
+        raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        return [raw[s * width : e * width] for s, e in zip(starts, [*starts[1:], len(ids)])]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it."""
+        if not words:
+            return []
+        space, gap = " ".translate(self.names), "\n".translate(self.names)
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.names).split(gap)
+        found = [[t.id for t in self.tok.model.tokenize(space + w)] for w in mapped]
+        starts = np.cumsum([0, *map(len, found)])[:-1].tolist()
+        return self.cut(np.array([i for ids in found for i in ids], np.int64), starts)
+
+    def joined(self, segments: list[str], lead: str) -> list[bytes]:
+        if not segments:
+            return []
+        ids = self.ids("".join([lead + s for s in segments]))
+        at = np.flatnonzero(self.spaced[ids] if lead else ids == self.newline)
+        if len(at) != len(segments):
+            raise ValueError("a segment's ids can't be told apart")
+        return self.cut(ids, at.tolist())
+
+    def learn(self, names: list[str]) -> list[bytes]:
+        kinds: dict[str, list[str]] = {"word": [], "mark": [], "line": [], "other": []}
+        for s in names:
+            if LETTERS.fullmatch(s):
+                kinds["word"].append(s)
+            elif s[-1] in ",." and LETTERS.fullmatch(s, 0, len(s) - 1):
+                kinds["mark"].append(s)
+            else:
+                kinds["line" if s[0] == "\n" else "other"].append(s)
+        bare = {s[:-1] for s in kinds["mark"]}.difference(self.known, kinds["word"])
+        words = kinds["word"] + list(bare)
+        new = dict(zip(words, self.words(words)))
+        new |= zip(kinds["other"], self.joined(kinds["other"], " "))
+        new |= zip(kinds["line"], self.joined(kinds["line"], ""))
+        for s in kinds["mark"]:
+            new[s] = (new.get(s[:-1]) or self.known[s[:-1]]) + self.marks[s[-1]]
+        return [new[s] for s in names]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> tuple[JoinedCodes, int]:
+    """Encoder of texts, and the vocabulary's size; one for each worker."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return SegmentCodes(lambda s: np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()), tok.get_vocab_size()
+    size = tok.get_vocab_size()
+    byte = {c: b for b, c in enumerate(byte_characters())}
+    tokens = [bytes(byte.get(c, 0) for c in tok.id_to_token(i)) for i in range(size)]
+    return JoinedCodes(tok, tokens), size
+
+
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def encode_texts(docs: DataFrame, path: str, end_id: int, cuts: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -99,12 +178,12 @@ def encode_texts(docs: DataFrame, path: str, end_id: int, cuts: list[int], id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, size = encoder(path)
-        width = "<u2" if size <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], id_type(size)).tobytes()
         for b in batches:
-            ids = [np.frombuffer(b"".join(codes.of(t or "")) + end, "<u4").astype(width).tobytes() for t in b.column(1).to_pylist()]
+            ids = [i + end for i in codes.of([t or "" for t in b.column(1).to_pylist()])]
             at = np.searchsorted(np.array(cuts, np.int64), b.column(0).fill_null(-(1 << 63)).to_numpy(), "right")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array(ids, pa.binary())], names=["range", "id", "ids"])
+        codes.known.clear()  # an idle worker holds no memory of segments
 
     return source.mapInArrow(run, "range int, id long, ids binary")
 
@@ -128,7 +207,7 @@ def write_token_files(
 
 def write_shards(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = encoder(path)[1]
-    bits, width = bits_for(size), "<u2" if size <= 1 << 16 else "<u4"
+    bits, width = bits_for(size), id_type(size)
     key, seq, docs, held, total = None, 0, [], [], 0
 
     def shard() -> pa.RecordBatch:
