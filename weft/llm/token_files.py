@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weft.llm.byte_bpe import byte_characters, vocabulary_path
 from weft.llm.segments import SegmentCodes
