@@ -6,8 +6,6 @@ files are independent and lines of a file stay together only for their window.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,9 +253,6 @@ def owner_by_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root
     return paths.join(best, path, "left")
 
 
-ARCHIVE = re.compile(r"/claude/([^/]+)/(?:\1|subagents/([^/]+))\.jsonl$")
-
-
 def archive_kind(path: Column) -> tuple[Column, Column, Column]:
     """(session_id, kind, parent) of an archive path; kind is null for what isn't a session file."""
     codex = F.regexp_extract(path, r"/codex/rollout-[^/]*?([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1)
