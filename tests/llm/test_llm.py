@@ -408,6 +408,24 @@ def test_bloom_levels(spark):
     assert len(tight.bits) * 8 <= 512 * 64
 
 
+def test_filter_beyond_a_broadcast_keeps_every_ngram(spark, data, monkeypatch):
+    docs, out = table(spark, data, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    rows = lambda **more: sorted((tuple(r) for r in bloom_lm.score_documents(docs, out, **more).collect()), key=lambda r: r[0])
+    # 2 ** 16 bits are too few for these texts: the filter is a table, and scores are those of the broadcast one
+    for head in (10, bloom_lm.HEAD):
+        for a, b in zip(rows(head=head), rows(head=head, bits=1 << 16), strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    # more segments than buckets
+    monkeypatch.setattr(bloom_lm, "SEGMENT_BITS", 1024)
+    monkeypatch.setattr(bloom_lm, "BUCKETS", 64)
+    wide = rows(bits=1 << 16)
+    assert [r[:5] for r in wide] == [r[:5] for r in rows()]
+    assert sum(r[6] for r in wide) == pytest.approx(sum(r[6] for r in rows()), rel=0.02)
+    # and of texts with null, equal and missing ids
+    for odd in (frame(spark, ODD), frame(spark, ODD, ids=[None] * len(ODD)), frame(spark, [])):
+        assert bloom_lm.score_documents(odd, F.lit(False), bits=512).count() == odd.count()
+
+
 def test_language_model_of_odd_texts(spark):
     for rows in (frame(spark, ODD), frame(spark, [])):
         assert bloom_lm.score_documents(rows, F.lit(False)).count() == rows.count()

@@ -3,10 +3,11 @@
 Counts of words and of word pairs come from all training documents. A count c is stored as its level
 1 + floor(log2(c)): the filter holds the entries (n-gram, 1) ... (n-gram, level), and a reader probes
 levels upward until one is missing (Talbot and Osborne, 2007). The filter has a fixed number of bits
-for each entry up to BITS bits in all, so that it may be broadcast; if a corpus needs more, pairs of
-the lowest levels are left out and back off to their word, as with any cut-off of rare n-grams. The
-level of the cut-off comes from the counts of all pairs. Errors are one-sided: a level may be read too
-high with a chance of about two in a hundred.
+for each entry of every n-gram, so it grows with the corpus. Up to BITS bits it is broadcast. Beyond
+them its segments stay a table: each chunk of texts sends its distinct keys to their segments and gets
+their levels back, by two shuffles of packed keys, so a frequent key is one key of each chunk. Scores
+are the same either way. Errors are one-sided: a level may be read too high with a chance of about two
+in a hundred.
 
 A text's score is the sum of log10 P(word | word before), with Dirichlet smoothing toward the add-half
 unigram estimate. The base score uses exact counts: the HEAD most frequent words, a bounded table, are
@@ -22,7 +23,7 @@ uses N = V = 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from weft.llm.superminhash import GOLDEN, ROLL, U64, WordHashes, mix
 from weft.runtime import materialize, table
 
-#: At most so many bits in the filter (64 MiB), about so many for each entry, and probes of each entry.
+#: At most so many bits in a filter that is broadcast (64 MiB), about so many for each entry, and probes of each entry.
 BITS, PER_ENTRY, PROBES = 1 << 29, 9, 4
-#: Segments of the filter; an entry's probes stay within the one its key names.
+#: Segments of the filter; an entry's probes stay within the one its key names. A filter that isn't broadcast
+#: has as many times two of them as keep each within SEGMENT_BITS; keys are sent to at most BUCKETS groups of them.
 SEGMENTS = 512
 SHIFT = U64(64 - 9)
+SEGMENT_BITS, BUCKETS = 1 << 20, 4096
 HEAD = 1_000_000
 #: Weight of the unigram estimate, in tokens.
 PRIOR = 3.0
@@ -90,12 +93,44 @@ def count_rows(order: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBat
     )
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first, the bytes of the widest gap, and the gaps in so many bytes each."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return keys[:1].tobytes() + bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[8])
+    gaps = np.zeros((len(raw), 8), np.uint8)
+    gaps[:, : data[8]] = raw
+    return np.cumsum(np.concatenate([np.frombuffer(data, U64, 1), gaps.view(U64).ravel()]), dtype=U64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers by place, so that the high ones, mostly zeros, take little when compressed."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, list[slice]]:
+    """The groups of ascending keys that share their bits above ``shift``: names and places."""
+    names, starts = np.unique((keys >> U64(shift)).astype(np.int32), return_index=True)
+    return names, [slice(s, e) for s, e in zip(starts, [*starts[1:], len(keys)])]
+
+
 def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (n 1) and pairs (n 2) of each chunk of texts."""
+    """Counts of words (n 1) and pairs (n 2) of each chunk of texts, packed by segment."""
     np.seterr(over="ignore")
     for _, h, row in token_batches(batches, 0):
         for order, keys in ((1, h), (2, pair_key(contexts(h, row), h))):
-            yield count_rows(order, *np.unique(keys, return_counts=True))
+            keys, counts = np.unique(keys, return_counts=True)
+            names, places = cut(keys, int(SHIFT))
+            binary = [pa.array([f(x[at]) for at in places], pa.binary()) for f, x in ((pack, keys), (planes, counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), order, np.int32)), pa.array(names), *binary], names=["n", "segment", "keys", "counts"])
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +139,15 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows are folded into the sums whenever they outnumber them, so memory follows the distinct keys.
     """
     held: dict[int, list] = {1: [], 2: []}
-    size = {1: 0, 2: 0}
+    size, fresh = {1: 0, 2: 0}, {1: 0, 2: 0}
     for b in batches:
-        n, key, c = (x.to_numpy() for x in b.columns)
-        for order, parts in held.items():
-            at = n == order
-            parts.append((key[at].view(U64), c[at]))
-            if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > max(CHUNK, size[order]):
+        for k in range(b.num_rows):
+            order, parts = b.column(0)[k].as_py(), held[b.column(0)[k].as_py()]
+            parts.append((unpack(b.column(2)[k].as_py()), unplanes(b.column(3)[k].as_py()).astype(np.int64)))
+            fresh[order] += len(parts[-1][0])
+            if fresh[order] > max(CHUNK, size[order]):
                 parts[:] = [summed(*(np.concatenate(x) for x in zip(*parts)))]
-                size[order] = len(parts[0][0])
+                size[order], fresh[order] = len(parts[0][0]), 0
     for order, parts in held.items():
         if parts:
             keys, counts = summed(*(np.concatenate(x) for x in zip(*parts)))
@@ -120,21 +155,36 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield count_rows(order, keys[at : at + CHUNK], counts[at : at + CHUNK])
 
 
-def segment(key: str):
-    return F.shiftrightunsigned(key, int(SHIFT))
-
-
 def count_ngrams(texts: DataFrame) -> DataFrame:
     """(n, key, c): exact counts of words and pairs over all ``texts`` (one text column)."""
-    rows = texts.mapInArrow(local_counts, "n int, key long, c long")
+    rows = texts.mapInArrow(local_counts, "n int, segment int, keys binary, counts binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt by segment, so that a segment of the filter is built from few tasks
-    return materialize(rows.repartition(parts, segment("key")).mapInArrow(add_up, "n int, key long, c long"), "ngrams")
+    return materialize(rows.repartition(parts, "segment").mapInArrow(add_up, "n int, key long, c long"), "ngrams")
+
+
+def probe(bits: np.ndarray, per_segment: int, shift: int, first: int, keys: np.ndarray) -> np.ndarray:
+    """Highest level up to which all levels of each key are found; ``bits`` begin at segment ``first``."""
+    out, live, k = np.zeros(len(keys), np.int8), np.arange(len(keys)), keys
+    level = 0
+    while len(live):
+        level += 1
+        base, mask = ((k >> U64(shift)).astype(np.int64) - first) * per_segment, U64(per_segment - 1)
+        x = mix(k + GOLDEN * U64(level))
+        step = (x >> U64(32)) | U64(1)
+        found = np.arange(len(live))
+        for _ in range(PROBES):
+            p = base[found] + (x[found] & mask).astype(np.int64)
+            found = found[(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+            x = x + step
+        live, k = live[found], k[found]
+        out[live] = level
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """What the workers get: the filter, the head table, and totals."""
+    """What the workers get: the filter unless it is a table (then no bits), the head table, and totals."""
 
     bits: np.ndarray
     per_segment: int
@@ -142,35 +192,31 @@ class Model:
     head_counts: np.ndarray
     total: int
     distinct: int
+    segments: int = SEGMENTS
+
+    @property
+    def shift(self) -> int:
+        return 65 - self.segments.bit_length()
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Highest level up to which all levels of each key are found, by repeated probes."""
-        out, live, k = np.zeros(len(keys), np.int8), np.arange(len(keys)), keys
-        level = 0
-        while len(live):
-            level += 1
-            base, mask = (k >> SHIFT).astype(np.int64) * self.per_segment, U64(self.per_segment - 1)
-            x = mix(k + GOLDEN * U64(level))
-            step = (x >> U64(32)) | U64(1)
-            found = np.arange(len(live))
-            for _ in range(PROBES):
-                p = base[found] + (x[found] & mask).astype(np.int64)
-                found = found[(self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
-                x = x + step
-            live, k = live[found], k[found]
-            out[live] = level
-        return out
+        return probe(self.bits, self.per_segment, self.shift, 0, keys)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Mean count of the level that is found; 0 for none."""
         level = self.levels(keys).astype(np.float64)
         return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
 
-    def word_counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words, exact where the head table has them, and whether it has."""
+    def head(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the words that the head table has, and whether it has them."""
         at = np.minimum(np.searchsorted(self.head_keys, h), max(0, len(self.head_keys) - 1))
         known = self.head_keys[at] == h if len(self.head_keys) else np.zeros(len(h), bool)
         c = np.where(known, self.head_counts[at], 0).astype(np.float64) if len(self.head_keys) else np.zeros(len(h))
+        return c, known
+
+    def word_counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, exact where the head table has them, and whether it has."""
+        c, known = self.head(h)
         rare = np.flatnonzero(~known)
         if len(rare):
             keys, back = np.unique(h[rare], return_inverse=True)
@@ -185,7 +231,18 @@ class Model:
         return np.log10(np.minimum(p, 1.0))
 
 
-def filled(per_segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Told(Model):
+    """A model whose filter is elsewhere, with the levels that it gave for the keys of one chunk."""
+
+    asked: np.ndarray = field(default_factory=lambda: np.empty(0, U64))
+    told: np.ndarray = field(default_factory=lambda: np.empty(0, np.int8))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.told[np.searchsorted(self.asked, keys)]
+
+
+def filled(per_segment: int, shift: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(segment, bits) of the (key, level) rows of a partition, each segment as often as it is met anew."""
     np.seterr(over="ignore")
     part: dict[int, np.ndarray] = {}
@@ -193,7 +250,7 @@ def filled(per_segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         key, level = b.column(0).to_numpy().view(U64), b.column(1).to_numpy()
         for k in range(1, int(level.max(initial=0)) + 1):
             keys = key[level >= k]
-            seg, x = (keys >> SHIFT).astype(np.int64), mix(keys + GOLDEN * U64(k))
+            seg, x = (keys >> U64(shift)).astype(np.int64), mix(keys + GOLDEN * U64(k))
             step = (x >> U64(32)) | U64(1)
             order = np.argsort(seg, kind="stable")
             seg, x, step = seg[order], x[order], step[order]
@@ -222,72 +279,175 @@ def merged(rows: pa.Table) -> pa.Table:
 
 def fit(texts: DataFrame, bits: int = BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all ``texts`` (one text column), and the table of their exact counts."""
+    return fitted(texts, bits, head)[:2]
+
+
+def fitted(texts: DataFrame, bits: int, head: int) -> tuple[Model, DataFrame, DataFrame | None]:
+    """Model, exact counts, and the filter as a table (segment, bits) if it needs more than ``bits``."""
     ngrams = count_ngrams(texts)
     level = F.floor(F.log2("c")).cast("int") + 1
     by_level = ngrams.groupBy("n", level.alias("level")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect()
     words = {r["level"]: r["k"] for r in by_level if r["n"] == 1}
-    pairs = {r["level"]: r["k"] for r in by_level if r["n"] == 2}
     total, distinct = sum(r["c"] for r in by_level if r["n"] == 1), sum(words.values())
-    # lowest levels at which words, and then pairs, fit: an n-gram of level l takes l entries
-    room = bits // PER_ENTRY
-    entries = lambda by, low: sum(l * k for l, k in by.items() if l >= low)  # noqa: E731, E741
-    low_w = next(x for x in range(1, 99) if entries(words, x) <= room // 2)
-    low_p = next(x for x in range(1, 99) if entries(pairs, x) <= room - entries(words, low_w))
-    need = max(1, entries(words, low_w) + entries(pairs, low_p)) * PER_ENTRY // SEGMENTS
-    per_segment = min(bits // SEGMENTS, max(1024, 1 << (need - 1).bit_length()))
-    stored = ngrams.withColumn("level", level).filter(F.when(F.col("n") == 1, F.col("level") >= low_w).otherwise(F.col("level") >= low_p))
-    parts = stored.select("key", "level").mapInArrow(lambda b: filled(per_segment, b), "segment int, bits binary")
-    rows = parts.groupBy("segment").applyInArrow(merged, "segment int, bits binary").collect()  # SEGMENTS rows, `bits` bits in all
-    array = np.zeros(SEGMENTS * per_segment // 8, np.uint8)
-    for r in rows:
-        at = r["segment"] * per_segment // 8
-        array[at : at + per_segment // 8] = np.frombuffer(r["bits"], np.uint8)
-    del rows
+    # an n-gram of level l takes l entries, and none is left out
+    entries = max(1, sum(r["level"] * r["k"] for r in by_level))
+    apart, segments, most = entries > bits // PER_ENTRY, SEGMENTS, bits // SEGMENTS
+    if apart:
+        most = SEGMENT_BITS
+        while entries * PER_ENTRY // segments > most:
+            segments *= 2
+    need = entries * PER_ENTRY // segments
+    per_segment = min(most, max(1024, 1 << max(0, need - 1).bit_length()))
+    shift = 65 - segments.bit_length()
+    parts = ngrams.select("key", level.alias("level")).mapInArrow(lambda b: filled(per_segment, shift, b), "segment int, bits binary")
+    rows = parts.groupBy("segment").applyInArrow(merged, "segment int, bits binary")
+    if apart:
+        array, rows = np.empty(0, np.uint8), materialize(rows, "filter")
+    else:
+        array = np.zeros(segments * per_segment // 8, np.uint8)
+        for r in rows.collect():  # `segments` rows, `bits` bits in all
+            at = r["segment"] * per_segment // 8
+            array[at : at + per_segment // 8] = np.frombuffer(r["bits"], np.uint8)
     # head: whole levels of the most frequent words, at most `head` of them
     low_h = next(x for x in range(1, 99) if sum(k for l, k in words.items() if l >= x) <= head)  # noqa: E741
     top = ngrams.filter((F.col("n") == 1) & (level >= low_h)).select("key", "c").toArrow()
     keys, counts = top.column("key").to_numpy().view(U64), top.column("c").to_numpy()
     order = np.argsort(keys)
-    return Model(array, per_segment, keys[order], counts[order], total, distinct), ngrams
+    return Model(array, per_segment, keys[order], counts[order], total, distinct, segments), ngrams, rows if apart else None
+
+
+MORE = {"n_tokens": "long", "n_head": "long", "head_part": "double", "score": "double", "rare": "array<long>"}
+
+
+def score_chunk(m: Model, n: int, h: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+    """The columns MORE of ``n`` texts, whose tokens are ``h``."""
+    c, known = m.word_counts(h)
+    before = np.empty_like(c)
+    before[0], before[1:] = c[row == row[0]][-1], c[:-1]
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    end = m.word_counts(np.array([END], U64))[0][0]
+    before[first] = end
+    lm = m.log10(before, m.counts(pair_key(contexts(h, row), h)), c)
+    add = lambda x: np.bincount(row, x, n)
+    head_part = np.where(known, np.log10(m.unigram(c)), 0.0)
+    rare, owner = h[~known].view(np.int64), row[~known]
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare))
+    return [pa.array(np.bincount(row, minlength=n)), pa.array(add(known).astype(np.int64)), pa.array(add(head_part)), pa.array(add(lm)), lists]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Columns of ``docs`` but the last, its text, with scores and the words the head table lacks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
-    keep = [f for f in schema.fields][:-1]
+    keep = docs.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        m = shared.value
         for rows, h, row in token_batches(batches, len(keep)):
-            n = rows.num_rows
-            c, known = m.word_counts(h)
-            before = np.empty_like(c)
-            before[0], before[1:] = c[row == row[0]][-1], c[:-1]
-            first = np.concatenate([[True], row[1:] != row[:-1]])
-            end = m.word_counts(np.array([END], U64))[0][0]
-            before[first] = end
-            lm = m.log10(before, m.counts(pair_key(contexts(h, row), h)), c)
-            add = lambda x: np.bincount(row, x, n)  # noqa: B023, E731
-            head_part = np.where(known, np.log10(m.unigram(c)), 0.0)
-            rare, owner = h[~known].view(np.int64), row[~known]
-            ends = np.searchsorted(owner, np.arange(n + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare))
-            cols = [rows.column(i) for i in range(len(keep))]
-            cols += [pa.array(np.bincount(row, minlength=n)), pa.array(add(known).astype(np.int64)), pa.array(add(head_part)), pa.array(add(lm)), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), "n_tokens", "n_head", "head_part", "score", "rare"])
-
-    more = "n_tokens long, n_head long, head_part double, score double, rare array<long>"
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return docs.mapInArrow(run, f"{kept}, {more}")
+            cols = [*rows.columns[: len(keep)], *score_chunk(shared.value, rows.num_rows, h, row)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), *MORE])
+
+    return docs.mapInArrow(run, columns(keep))
+
+
+def columns(keep) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{k} {t}" for k, t in MORE.items())])
+
+
+# --- a filter that stays a table -----------------------------------------------------------------
+
+
+def asked(m: Model, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The distinct keys, ascending, whose levels ``score_chunk`` reads."""
+    return np.unique(np.concatenate([h[~m.head(h)[1]], pair_key(contexts(h, row), h)]))
+
+
+def chunked(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk of texts: its first row's number, its rows, their lengths, its words, and which each token is."""
+    for rows, h, row in token_batches(batches, keep):
+        held = pa.StructArray.from_arrays(rows.columns[:keep], fields=list(rows.schema)[:keep])
+        names, code = np.unique(h, return_inverse=True)
+        lengths = np.bincount(row, minlength=rows.num_rows).astype(np.int32)
+        binary = [pa.array([x], pa.binary()) for x in (lengths.tobytes(), pack(names), planes(code))]
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), *binary], names=["chunk", "rows", "lengths", "words", "codes"]
+        )
+
+
+def tokens(lengths: bytes, words: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and row numbers of a chunk's tokens."""
+    n = np.frombuffer(lengths, np.int32)
+    return unpack(words)[unplanes(codes)], np.repeat(np.arange(len(n)), n)
+
+
+def scored_apart(docs: DataFrame, model: Model, segments: DataFrame) -> DataFrame:
+    """``scored`` with the filter as a table; the first column of ``docs`` numbers its rows.
+
+    Memory of a task follows one chunk, or one bucket of the filter: all else streams by in order.
+    """
+    spark, keep = docs.sparkSession, docs.schema.fields[:-1]
+    shared, per_segment, shift = spark.sparkContext.broadcast(model), model.per_segment, model.shift
+    buckets = min(model.segments, BUCKETS)
+    to_bucket, each = 65 - buckets.bit_length(), model.segments // buckets
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row_type = "array<struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in keep) + ">>"
+    chunks = materialize(docs.mapInArrow(lambda b: chunked(len(keep), b), f"chunk long, rows {row_type}, lengths binary, words binary, codes binary"), "chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for b in batches:
+            for k in range(b.num_rows):
+                keys = asked(shared.value, *tokens(*(b.column(i)[k].as_py() for i in (1, 2, 3))))
+                names, places = cut(keys, to_bucket)
+                sent = [pack(keys[at]) for at in places]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([b.column(0)[k].as_py()] * len(sent), pa.int64()), pa.array(sent, pa.binary())], names=["bucket", "at", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        held, bits = -1, np.empty(0, np.uint8)
+        for b in batches:
+            out = []
+            for bucket, kind, at, data in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != held:  # a segment without entries has no row
+                    held, bits = bucket, np.zeros(each * per_segment // 8, np.uint8)
+                if kind == 0:
+                    start = (at - bucket * each) * per_segment // 8
+                    bits[start : start + len(data)] = np.frombuffer(data, np.uint8)
+                else:
+                    out.append((at, bucket, probe(bits, per_segment, shift, bucket * each, unpack(data)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "levels"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        told = []
+        for b in batches:
+            levels = b.column(2)
+            for k in range(b.num_rows):
+                if levels[k].is_valid:
+                    told.append(levels[k].as_py())
+                    continue
+                h, row = tokens(*(b.column(i)[k].as_py() for i in (4, 5, 6)))
+                rows = b.column(3)[k].values
+                m = Told(**vars(shared.value), asked=asked(shared.value, h, row), told=np.frombuffer(b"".join(told), np.int8))
+                told = []
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), *score_chunk(m, len(rows), h, row)], names=[*(f.name for f in keep), *MORE])
+
+    requests = chunks.select("chunk", "lengths", "words", "codes").mapInArrow(ask, "bucket int, at long, data binary")
+    table_rows = segments.select(F.floor(F.col("segment") / each).cast("int").alias("bucket"), F.lit(0).alias("kind"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("data"))
+    met = table_rows.unionByName(requests.withColumn("kind", F.lit(1))).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    answers = met.mapInArrow(answer, "chunk long, bucket int, levels binary")
+    # a chunk's levels by bucket, which is the order of its keys, and then the chunk
+    both = answers.unionByName(chunks, allowMissingColumns=True).select("chunk", "bucket", "levels", "rows", "lengths", "words", "codes")
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket")).mapInArrow(finish, columns(keep))
 
 
 def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, head: int = HEAD) -> DataFrame:
     """Scores of every row of ``docs``; the model learns from the rows that aren't ``held_out``."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model, ngrams = fit(rows.filter(~F.col("held_out")).select("text"), bits, head)
-    found = scored(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "text"), model)
+    model, ngrams, segments = fitted(rows.filter(~F.col("held_out")).select("text"), bits, head)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "text")
+    found = scored(numbered, model) if segments is None else scored_apart(numbered, model, segments)
     found = materialize(found, "scored")
     words = ngrams.filter("n = 1").select("key", F.col("c").alias("c"))
     # counts of the rare words of each text, joined by word, summed by text
