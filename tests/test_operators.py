@@ -396,3 +396,23 @@ def test_status_and_commands(spark):
     assert (r.session_count, r.turn_count, r.to_copy, r.to_remove) == (1, 1, 2, 0)
     calls = spark.createDataFrame([("s", "Bash", '{"command":"ls","workdir":"/w"}'), ("s", "Read", "{}")], "session_id string, tool_name string, arguments_text string")
     assert [tuple(x) for x in insights.turn_commands({"session_id": "s"}, calls).collect()] == [("Bash", "ls", "/w")]
+
+
+def test_turn_list_of_all_turns_is_no_top_k(spark, data):
+    from weft.operators import turns as reads
+    from weft.plans import catalog
+    from weft.plans import standins as S
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan(catalog.QUERIES["turn_list"](spark, data))
+    t = S.chat_turns(spark, data)
+    every = reads.list_turns(t, limit=None)
+    assert every.count() == t.count() > 10
+    # a page of previews orders no whole text
+    short = ["provider", "session_id", "turn_ordinal", "user_prompt_preview"]
+    top = plan(reads.list_turns(t, limit=3, offset=1).select(*short))
+    assert "TakeOrdered" in top and "final_answer_text" not in top.split("TakeOrdered")[1].split("\n")[0]
+    keys = [(r.project_id, r.provider, r.session_id, r.turn_ordinal, r.user_prompt_preview) for r in every.collect()]
+    page = reads.list_turns(t, limit=3, offset=1).collect()
+    assert [(r.project_id, r.provider, r.session_id, r.turn_ordinal, r.user_prompt_preview) for r in page] == sorted(keys)[1:4]
+    assert reads.list_turns(t, limit=None, offset=1).count() == len(keys) - 1

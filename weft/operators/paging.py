@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset .. offset + limit in a total order: a bounded top-k, not a full sort of the table."""
+def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
+    """Rows offset .. offset + limit in a total order: a bounded top-k, not a full sort of the table unless limit is None."""
+    if limit is None:
+        return df.orderBy(*order).offset(offset)
     return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
 
 

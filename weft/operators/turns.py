@@ -16,15 +16,16 @@ BULKY = ("arguments", "output", "payload_json", "text", "encrypted")
 NARRATED = ("commentary",)
 
 
-def list_turns(turns: DataFrame, session: dict | None = None, since: str | None = None, until: str | None = None, limit: int = 10, offset: int = 0, oneline: bool = False) -> DataFrame:
-    """A session's turns by ordinal with previews of prompt and answer."""
+def list_turns(turns: DataFrame, session: dict | None = None, since: str | None = None, until: str | None = None, limit: int | None = 10, offset: int = 0, oneline: bool = False) -> DataFrame:
+    """A session's turns by ordinal with previews of prompt and answer; without a limit all turns, in no order."""
     rows = scope.in_window(scope.equal(turns, **(session or {})), since, until)
-    rows = page(rows, [F.asc(k) for k in TURN_KEY], limit, offset)
     cap, cut = (ONELINE, first_line) if oneline else (PREVIEW, lambda c: c)
     for source, name in (("user_message", "user_prompt_preview"), ("final_answer_text", "agent_answer_preview")):
         text, chars, total = preview(cut(F.col(source)), cap)
         rows = rows.withColumns({name: text, f"{name}_chars": chars, f"{name}_total_chars": total})
-    return rows.withColumn("has_final_answer", F.col("final_answer_text").isNotNull())
+    rows = rows.withColumn("has_final_answer", F.col("final_answer_text").isNotNull())
+    # previews come first, so that a page of them alone orders keys and short texts
+    return page(rows, [F.asc(k) for k in TURN_KEY], limit, offset) if limit is not None or offset else rows
 
 
 def token_usage() -> Column:

@@ -110,7 +110,7 @@ COLLAPSED = "trim(regexp_replace({}, '[\\s\\x0b]+', ' ', 'g'))"
   {SQL_PREVIEW.format('u')} AS user_prompt_preview, least(length(u), 500) AS user_prompt_preview_chars, length(u) AS user_prompt_preview_total_chars,
   {SQL_PREVIEW.format('a')} AS agent_answer_preview, final_answer_text IS NOT NULL AS has_final_answer FROM c""")
 def turn_list(spark, d):
-    out = turn_reads.list_turns(S.chat_turns(spark, d), limit=2_000_000_000)
+    out = turn_reads.list_turns(S.chat_turns(spark, d), limit=None)
     keep = ["user_prompt_preview", "user_prompt_preview_chars", "user_prompt_preview_total_chars", "agent_answer_preview", "has_final_answer"]
     return out.select("project_id", "provider", "session_id", "turn_ordinal", *keep)
 
