@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -304,7 +305,7 @@ def test_byte_bpe_equals_the_library(docs):
     for t in [*made_texts(4000), *list(docs.values())[:80]]:
         ids = mine.encode(t)
         assert ids == enc.encode_ordinary(t) and mine.decode(ids) == t.encode()
-        n, a, b = byte_bpe.digests(mine, [t])[0]
+        n, a, b = byte_bpe.digests(mine, pa.array([t]))[0]
         assert (n, a, b) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
@@ -324,7 +325,7 @@ def test_token_files(spark):
     texts = [*ODD, *made_texts(300)]
     ids = random.Random(1).sample(range(-50, 5000), len(texts))
     out, path, tok = scratch_path(spark, "t"), byte_bpe.vocabulary_path(token_files.VOCABULARY), hugging()
-    token_files.write_token_files(frame(spark, texts, ids=ids), out, path, ranges=9)
+    token_files.write_token_files(frame(spark, texts, ids=ids), out, path, parts=9)
     shards = token_files.read_token_files(spark, out)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_digests(shards).collect()}
     start = 0
@@ -334,10 +335,13 @@ def test_token_files(spark):
         start += len(want)
     want = [*tok.encode(texts[5], add_special_tokens=False).ids, 2]
     assert token_files.read_document(shards, ids[5]).tolist() == want and token_files.read_document(shards, 9999) is None
-    for rows in (frame(spark, []), frame(spark, ["a", "b", "a"], ids=[None, 3, None])):
+    for rows in (frame(spark, []), frame(spark, ["a", "b", "a"], ids=[None, 3, None]), frame(spark, [f"{k} x" for k in range(200)], ids=[7] * 200)):
         out = scratch_path(spark, "t")
-        token_files.write_token_files(rows, out, path)
-        assert token_files.read_digests(token_files.read_token_files(spark, out)).count() == rows.count()
+        token_files.write_token_files(rows, out, path, parts=3)
+        back = token_files.read_token_files(spark, out)
+        found = token_files.read_digests(back).orderBy("start").collect()
+        assert len(found) == rows.count() and [r.start for r in found] == [sum(x.n_tokens for x in found[:k]) for k in range(len(found))]
+    assert back.select("range").distinct().count() > 1  # rows of one id are dealt out
 
 
 # --- 7: search -----------------------------------------------------------------------------------

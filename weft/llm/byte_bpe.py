@@ -99,6 +99,7 @@ class ByteBpe(SegmentCodes):
         super().__init__("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
         self.cut = regex.compile(pattern or public_tokenizers.PATTERN).findall
+        self.names = [str(i).encode() for i in range(len(self.tokens))]
         self.latin = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
     def pieces(self, text: str) -> list[str]:
@@ -128,13 +129,15 @@ def loaded(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def digests(bpe: ByteBpe, texts: list[str]) -> list[tuple[int, str, str]]:
+def digests(bpe: ByteBpe, texts: pa.Array) -> list[tuple[int, str, str]]:
     """Number of ids, digest of the ids in decimal, and digest of what they decode to, for each text."""
-    names, out = [str(i) for i in range(len(bpe.tokens))], []
-    for raw in bpe.of(texts):
-        ids = np.frombuffer(raw, bpe.dtype).tolist()
-        written = ",".join([names[i] for i in ids])
-        out.append((len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+    out = []
+    for ids, sizes in bpe.runs(texts):
+        at = 0
+        for n in sizes.tolist():
+            mine, at = ids[at : at + n].tolist(), at + n
+            written = b",".join([bpe.names[i] for i in mine])
+            out.append((n, hashlib.sha256(written).hexdigest(), hashlib.sha256(bpe.decode(mine)).hexdigest()))
     return out
 
 
@@ -147,9 +150,8 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         bpe = loaded(path)
         for b in batches:
             if b.num_rows:
-                n, ids, text = zip(*digests(bpe, [t or "" for t in b.column(1).to_pylist()]))
+                n, ids, text = zip(*digests(bpe, b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], names=schema.names)
-        bpe.known.clear()  # an idle worker holds no memory of segments
 
     return source.mapInArrow(run, schema)
 

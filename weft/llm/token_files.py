@@ -6,13 +6,12 @@ block has, the byte offset of each block and the id offset of each document; its
 ids, each block starting at a byte. Any document is read by unpacking only the blocks it touches, with
 numpy's bit operations. The table is written by Spark's Parquet writer, so it lands on any store.
 
-Documents are encoded where they are read. Their ids, packed, go through one shuffle that deals
-documents out by ranges of the order column, and each task writes its ranges as shards. Positions in
-the whole output come from a prefix sum over the shards' totals.
+One shuffle deals documents out by ranges of the order column, and each task encodes its range in order
+and writes it as shards. Positions in the whole output come from a prefix sum over the shards' totals.
 
-Defined results: null or empty text is just the end id; rows with equal order values keep together
-and are ordered by their ids' bytes; a null order value comes first; an empty table gives an empty
-table; other columns are not read.
+Defined results: null or empty text is just the end id; rows with equal order values are ordered by a
+hash of their texts, then by the texts; a null order value comes first; an empty table gives an empty
+table; other columns are not read; a text is never cut, and one beyond SHARD ids is a shard of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +85,10 @@ def unpack(payload: bytes, offsets, bits: int, start: int, end: int, block: int
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
+def letters(s: str) -> bool:
+    return s.isalpha() and (s.isascii() or LETTERS.fullmatch(s) is not None)
+
+
 class JoinedCodes(SegmentCodes):
     """Segments through the tokenizers library.
 
@@ -95,7 +99,7 @@ class JoinedCodes(SegmentCodes):
     """
 
     def __init__(self, tok, tokens: list[bytes]):
-        super().__init__(id_type(len(tokens)), limit=400_000)
+        super().__init__(id_type(len(tokens)))
         self.tok = tok
         self.spaced = np.array([t[:1] == b" " for t in tokens])
         self.newline = tokens.index(b"\n")
@@ -134,19 +138,19 @@ class JoinedCodes(SegmentCodes):
     def learn(self, names: list[str]) -> list[bytes]:
         kinds: dict[str, list[str]] = {"word": [], "mark": [], "line": [], "other": []}
         for s in names:
-            if LETTERS.fullmatch(s):
+            if letters(s):
                 kinds["word"].append(s)
-            elif s[-1] in ",." and LETTERS.fullmatch(s, 0, len(s) - 1):
+            elif s[-1] in ",." and letters(s[:-1]):
                 kinds["mark"].append(s)
             else:
                 kinds["line" if s[0] == "\n" else "other"].append(s)
-        bare = {s[:-1] for s in kinds["mark"]}.difference(self.known, kinds["word"])
+        bare = {s[:-1] for s in kinds["mark"]}.difference(self.known, self.older, kinds["word"])
         words = kinds["word"] + list(bare)
         new = dict(zip(words, self.words(words)))
         new |= zip(kinds["other"], self.joined(kinds["other"], " "))
         new |= zip(kinds["line"], self.joined(kinds["line"], ""))
         for s in kinds["mark"]:
-            new[s] = (new.get(s[:-1]) or self.known[s[:-1]]) + self.marks[s[-1]]
+            new[s] = (new.get(s[:-1]) or self.known.get(s[:-1]) or self.older[s[:-1]]) + self.marks[s[-1]]
         return [new[s] for s in names]
 
 
@@ -168,65 +172,44 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def encode_texts(docs: DataFrame, path: str, end_id: int, cuts: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(range, id, ids): ids of each text and ``end_id``, 16 bits each where the vocabulary allows.
+def write_token_files(docs: DataFrame, out_path: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
+    """Write the ids of all documents, each with ``end_id``, to ``out_path`` in ascending id order.
 
-    ``range`` is the number of ``cuts`` that are at most the document's id, 0 for a null id.
+    Texts are dealt out by ranges of (id, hash of the text), so rows of one id can fill many ranges.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, size = encoder(path)
-        end = np.array([end_id], id_type(size)).tobytes()
-        for b in batches:
-            ids = [i + end for i in codes.of([t or "" for t in b.column(1).to_pylist()])]
-            at = np.searchsorted(np.array(cuts, np.int64), b.column(0).fill_null(-(1 << 63)).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array(ids, pa.binary())], names=["range", "id", "ids"])
-        codes.known.clear()  # an idle worker holds no memory of segments
-
-    return source.mapInArrow(run, "range int, id long, ids binary")
-
-
-def edges_of(docs: DataFrame, id_col: str, ranges: int) -> list[int]:
-    """At most ``ranges`` - 1 ascending cuts of the id column; a scan of that column alone."""
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [k / ranges for k in range(1, ranges)], 10 * ranges).alias("q")).first()["q"]
-    return sorted(set(cuts or []))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("salt", F.xxhash64("text"))
+    order = [F.asc_nulls_first("id"), F.asc("salt")]
+    dealt = rows.repartitionByRange(parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ordered = dealt.sortWithinPartitions(*order, F.asc_nulls_first("text")).select("id", "text")
+    ordered.mapInArrow(functools.partial(write_shards, path, end_id), SHARD_SCHEMA).write.parquet(out_path)
 
 
-def write_token_files(
-    docs: DataFrame, out_path: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None
-) -> None:
-    """Write the ids of all documents to ``out_path`` in ascending id order."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = edges_of(docs, id_col, ranges or min(1000, 4 * parts))
-    dealt = encode_texts(docs, path, end_id, cuts, id_col, text_col)
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", F.asc_nulls_first("id"), "ids")
-    ordered.mapInArrow(functools.partial(write_shards, path), SHARD_SCHEMA).write.parquet(out_path)
-
-
-def write_shards(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = encoder(path)[1]
-    bits, width = bits_for(size), id_type(size)
-    key, seq, docs, held, total = None, 0, [], [], 0
+def write_shards(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards of one range, whose rows (id, text) come in order."""
+    codes, size = encoder(path)
+    bits, key, seq = bits_for(size), TaskContext.get().partitionId(), 0
+    docs, held, lengths, total = [], [], [], 0
 
     def shard() -> pa.RecordBatch:
-        ids = np.concatenate([np.frombuffer(h, width) for h in held])
-        payload, blocks = pack(ids, bits)
-        ends = np.concatenate([[0], np.cumsum([len(h) // int(width[2]) for h in held])])
-        row = [key, seq, next((d for d in docs if d is not None), None), len(docs), len(ids), bits, BLOCK, docs, ends, blocks, payload]
-        kinds = [f.type for f in SHARD_ARROW]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], schema=SHARD_ARROW)
+        payload, blocks = pack(np.concatenate(held), bits)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        row = [key, seq, next((d for d in docs if d is not None), None), len(docs), total, bits, BLOCK, docs, ends, blocks, payload]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARD_ARROW)], schema=SHARD_ARROW)
 
+    end = np.array([end_id], codes.dtype)
     for b in batches:
-        for r, i, ids in zip(*(c.to_pylist() for c in b.columns)):
-            n = len(ids) // int(width[2])
-            if docs and (r != key or total + n > SHARD):
-                yield shard()
-                seq, docs, held, total = (seq + 1 if r == key else 0), [], [], 0
-            key = r
-            docs.append(i)
-            held.append(ids)
-            total += n
+        ids_of_rows, at = b.column(0).to_pylist(), 0
+        for ids, sizes in codes.runs(b.column(1)):
+            start = 0
+            for n in sizes.tolist():
+                if docs and total + n + 1 > SHARD:
+                    yield shard()
+                    seq, docs, held, lengths, total = seq + 1, [], [], [], 0
+                docs.append(ids_of_rows[at])
+                held += [ids[start : start + n], end]
+                lengths.append(n + 1)
+                total, start, at = total + n + 1, start + n, at + 1
     if docs:
         yield shard()
 
@@ -239,31 +222,42 @@ SHARD_ARROW = pa.schema(
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``start``: how many ids all shards before hold.
+    return spark.read.schema(SHARD_SCHEMA).parquet(path)
+
+
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """(range, seq, before): how many ids all shards before hold.
 
-    Only one small row a shard (of about a million ids) takes part in the prefix sum.
+    A prefix sum in two steps: over the totals of the ranges, one small row a range, and within each range.
     """
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    order = Window.orderBy("range", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = shards.select("range", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("start"))
-    return shards.join(at, ["range", "seq"])
+    totals = shards.groupBy("range").agg(F.sum("n_ids").alias("n"))
+    before = lambda by, n: F.coalesce(F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = totals.select("range", before(Window.orderBy("range"), "n").alias("low"))
+    inside = shards.select("range", "seq", before(Window.partitionBy("range").orderBy("seq"), "n_ids").alias("at"))
+    return inside.join(ranges, "range").select("range", "seq", (F.col("low") + F.col("at")).alias("before"))
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
-    """One row a document from the packed shards: doc_id, start, n_tokens, ids_crc32."""
+    """One row a document from the packed shards: doc_id, start, n_tokens, ids_crc32.
+
+    Payloads are unpacked where they are read; only the documents' small rows meet the shards' starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                ends, blocks = row["doc_offsets"], row["block_offsets"]
-                ids = unpack(row["payload"], blocks, row["bits"], 0, row["n_ids"], row["block"]).astype("<u4")
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                ends = row["doc_offsets"]
+                ids = unpack(row["payload"], row["block_offsets"], row["bits"], 0, row["n_ids"], row["block"]).astype("<u4")
                 spans = list(zip(ends[:-1], ends[1:]))
-                cols = [row["doc_ids"], [row["start"] + s for s, _ in spans], [e - s for s, e in spans], [zlib.crc32(ids[s:e]) for s, e in spans]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.select("start", "n_ids", "bits", "block", "doc_ids", "doc_offsets", "block_offsets", "payload").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+                cols = [row["doc_ids"], [s for s, _ in spans], [e - s for s, e in spans], [zlib.crc32(ids[s:e]) for s, e in spans]]
+                places = [pa.array([row[c]] * len(spans), pa.int32()) for c in ("range", "seq")]
+                yield pa.RecordBatch.from_arrays([*places, *(pa.array(c, pa.int64()) for c in cols)], names=["range", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    packed = shards.select("range", "seq", "n_ids", "bits", "block", "doc_ids", "doc_offsets", "block_offsets", "payload")
+    rows = packed.mapInArrow(run, "range int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    both = rows.join(shard_starts(shards), ["range", "seq"])
+    return both.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_document(shards: DataFrame, doc_id: int) -> np.ndarray | None:
