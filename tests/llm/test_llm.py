@@ -381,58 +381,80 @@ def test_top_k_prunes_and_stays_exact():
 # --- 8: language model ---------------------------------------------------------------------------
 
 
-def test_language_model(spark, data, docs):
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    tokens = {i: (t or "").encode().lower().split() + [0] for i, t in docs.items()}
-    c = collections.Counter(w for i, ws in tokens.items() if not held(i) for w in ws)
+def plain_scores(texts, held):
+    """(held_out, n_tokens, n_known, train_tokens, base_score, score) with exact levels instead of a filter's."""
+    tokens = [(t or "").encode().lower().split() + [0] for t in texts]
+    c = collections.Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
+    pairs = collections.Counter(p for ws, h in zip(tokens, held) if not h for p in zip([0, *ws], ws))
     n, v = sum(c.values()), len(c)
+    about = lambda x: (2 ** (x.bit_length() - 1) + 2 ** x.bit_length() - 1) / 2 if x else 0.0
+    uni = lambda x: (x + 0.5) / (n + 0.5 * (v + 1))
+    out = []
+    for ws, h in zip(tokens, held):
+        lm = 0.0
+        for p, w in zip([0, *ws], ws):
+            before = about(c[p])
+            lm += math.log10(min(1.0, (min(about(pairs[p, w]), before) + bloom_lm.PRIOR * uni(about(c[w]))) / (before + bloom_lm.PRIOR)))
+        out.append((h, len(ws), sum(w in c for w in ws), n, sum(math.log10(uni(c[w])) for w in ws), lm))
+    return out
+
+
+def scores(docs, held, **more):
+    return sorted((tuple(r) for r in bloom_lm.score_documents(docs, held, **more).collect()), key=lambda r: repr(r))
+
+
+@pytest.mark.parametrize("bits", [bloom_lm.BITS, 0])
+def test_language_model_equals_brute_force(spark, data, docs, bits):
+    """The broadcast filter and one that stays with its segments; 60 bits an entry leave no false answers."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    for head in (10, bloom_lm.HEAD):
-        rows = bloom_lm.score_documents(table(spark, data, "documents"), out, head=head).collect()
-        assert len(rows) == len(docs)
-        for r in rows:
-            ws = tokens[r.doc_id]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(w in c for w in ws), n)
-            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
-            assert r.score < 0
-    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
-
-
-def test_bloom_levels(spark):
-    texts = ["a b " * 40, "a c", "d"]
-    model, ngrams = bloom_lm.fit(frame(spark, texts).select("text"))
-    exact = {(r.n, r.key): r.c for r in ngrams.collect()}
-    for order in (1, 2):
-        keys = [k for n, k in exact if n == order]
-        got = model.levels(np.array(keys, np.int64).view(np.uint64))
-        assert all(g >= math.floor(math.log2(exact[order, k])) + 1 for g, k in zip(got, keys))
-    missing = model.levels(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64))
-    assert (missing > 0).mean() < 0.05
-    tight, _ = bloom_lm.fit(frame(spark, texts).select("text"), bits=512 * 64)
-    assert len(tight.bits) * 8 <= 512 * 64
-
-
-def test_filter_beyond_a_broadcast_keeps_every_ngram(spark, data, monkeypatch):
-    docs, out = table(spark, data, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    rows = lambda **more: sorted((tuple(r) for r in bloom_lm.score_documents(docs, out, **more).collect()), key=lambda r: r[0])
-    # 2 ** 16 bits are too few for these texts: the filter is a table, and scores are those of the broadcast one
-    for head in (10, bloom_lm.HEAD):
-        for a, b in zip(rows(head=head), rows(head=head, bits=1 << 16), strict=True):
-            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
-    # more segments than buckets
-    monkeypatch.setattr(bloom_lm, "SEGMENT_BITS", 1024)
-    monkeypatch.setattr(bloom_lm, "BUCKETS", 64)
-    wide = rows(bits=1 << 16)
-    assert [r[:5] for r in wide] == [r[:5] for r in rows()]
-    assert sum(r[6] for r in wide) == pytest.approx(sum(r[6] for r in rows()), rel=0.02)
-    # and of texts with null, equal and missing ids
-    for odd in (frame(spark, ODD), frame(spark, ODD, ids=[None] * len(ODD)), frame(spark, [])):
-        assert bloom_lm.score_documents(odd, F.lit(False), bits=512).count() == odd.count()
+    got = sorted(map(tuple, bloom_lm.score_documents(table(spark, data, "documents"), out, bits=bits, per_entry=60).collect()))
+    ids = sorted(docs)
+    for r, i, want in zip(got, ids, plain_scores([docs[i] for i in ids], [held(i) for i in ids]), strict=True):
+        assert r[:5] == (i, *want[:4]) and r[5:] == pytest.approx(want[4:], rel=1e-9)
+
+
+def test_language_model_query(spark, data, docs):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    ids = sorted(docs)
+    want = plain_scores([docs[i] for i in ids], [held(i) for i in ids])
+    got = sorted(map(tuple, bloom_lm.op8_lm(spark, data).collect()))
+    for r, i, w in zip(got, ids, want, strict=True):
+        assert r[:5] == (i, *w[:4]) and r[5] == pytest.approx(w[4], rel=1e-9) and r[6] == pytest.approx(w[5], rel=0.05)
+    # 9 bits an entry: levels are sometimes read too high, which moves sums little
+    assert sum(r[6] for r in got) == pytest.approx(sum(w[5] for w in want), rel=0.01)
+    assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
+    # a filter that isn't broadcast reads the same bits
+    assert scores(table(spark, data, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1, bits=0) == sorted(got, key=repr)
+
+
+def test_bloom_levels():
+    rnd = np.random.default_rng(0)
+    keys, level = np.unique(rnd.integers(0, 1 << 63, 20000).astype(np.uint64)), None
+    level = bloom_lm.levels_of(rnd.zipf(1.5, len(keys)))
+    assert level.min() == 1 and bloom_lm.levels_of(np.array([0, 1, 2, 3, 4, 1 << 40])).tolist() == [0, 1, 2, 2, 3, 41]
+    bits = bloom_lm.built(keys, level, bloom_lm.PER_ENTRY)
+    assert len(bits) * 8 <= level.sum() * bloom_lm.PER_ENTRY + 64
+    got = bloom_lm.probe(bits, keys, 0, len(bits) * 8)
+    assert (got >= level).all() and (got > level).mean() < 0.03
+    missing = bloom_lm.probe(bits, rnd.integers(1 << 63, (1 << 64) - 1, 20000, dtype=np.uint64), 0, len(bits) * 8)
+    assert (missing > 0).mean() < 0.03
+    for k in (keys[:0], keys[:1], keys):
+        assert (bloom_lm.unpack(bloom_lm.pack(k)) == k).all()
+    for x in (level[:0], level, level.astype(np.int64) << 50):
+        assert (bloom_lm.unplanes(bloom_lm.planes(x)) == x).all()
 
 
 def test_language_model_of_odd_texts(spark):
-    for rows in (frame(spark, ODD), frame(spark, [])):
-        assert bloom_lm.score_documents(rows, F.lit(False)).count() == rows.count()
+    long = " ".join(f"w{k % 70000}" for k in range(150_000))
+    for texts, ids in ((ODD, None), (ODD, [None] * len(ODD)), ([], None), ([long, " x \x0b", long, "İ K A"], None)):
+        rows = frame(spark, texts, ids=ids)
+        for bits in (bloom_lm.BITS, 0):
+            got = scores(rows, F.lit(False), bits=bits, per_entry=600)
+            want = sorted(((i, *w) for i, w in zip(ids or range(len(texts)), plain_scores(texts, [False] * len(texts)))), key=lambda r: repr(r[:5]))
+            assert len(got) == len(want)
+            for g, w in zip(sorted(got, key=lambda r: (repr(r[0]), r[2:5], r[6])), sorted(want, key=lambda r: (repr(r[0]), r[2:5], r[6]))):
+                assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
     alone = bloom_lm.score_documents(frame(spark, ["a b"]), F.lit(True)).collect()
     assert alone[0].train_tokens == 0 and math.isfinite(alone[0].score)
 

@@ -2,95 +2,57 @@
 
 Counts of words and of word pairs come from all training documents. A count c is stored as its level
 1 + floor(log2(c)): the filter holds the entries (n-gram, 1) ... (n-gram, level), and a reader probes
-levels upward until one is missing (Talbot and Osborne, 2007). The filter has a fixed number of bits
-for each entry of every n-gram, so it grows with the corpus. Up to BITS bits it is broadcast. Beyond
-them its segments stay a table: each chunk of texts sends its distinct keys to their segments and gets
-their levels back, by two shuffles of packed keys, so a frequent key is one key of each chunk. Scores
-are the same either way. Errors are one-sided: a level may be read too high with a chance of about two
-in a hundred.
-
-A text's score is the sum of log10 P(word | word before), with Dirichlet smoothing toward the add-half
-unigram estimate. The base score uses exact counts: the HEAD most frequent words, a bounded table, are
-broadcast; the other words of each text, few by Zipf's law, are joined to the full table by a shuffle.
-So no frequent word makes a large group.
+levels upward until one is missing (Talbot and Osborne, 2007). The filter is cut into segments by the
+high bits of the keys, and each segment has PER_ENTRY bits for every entry of its own, so no n-gram is
+left out at any size. Errors are one-sided: a level may be read too high with a chance of about two in
+a hundred.
+
+Texts are cut into words once and kept as chunks. Each chunk sends its distinct keys, packed, with
+their training counts to the segments; a segment's task sums them, builds its bits and answers the
+exact counts of the words. A filter of at most BITS bits, which twice the training tokens bound before
+anything is counted, is broadcast and probed where the chunks are scored. Beyond that, the segment's
+task probes its bits for the keys it got, and levels travel back with the answers. Both ways read the
+same bits, so scores are the same. A key is sent once by each chunk, however often it occurs there, and
+a task holds one bucket of segments or one chunk at a time.
+
+A text's score is the sum of log10 P(word | word before) from the filter's counts alone, with Dirichlet
+smoothing toward the add-half unigram estimate. The base score uses the exact counts of all words.
 
 Defined results: null or empty text is the end token alone; a null id counts as remainder 0; repeated
 rows are scored alike and count as often as they occur; an empty table gives an empty table; other
-columns are not read. Words are told apart by 64-bit hashes. With no training documents every score
-uses N = V = 0.
+columns are not read; a text is never cut, and one beyond CHUNK bytes is a chunk of its own. Words are
+told apart by 64-bit hashes. With no training documents every score uses N = V = 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.superminhash import GOLDEN, ROLL, U64, WordHashes, mix
+from weft.llm.segments import slices
+from weft.llm.superminhash import GOLDEN, ROLL, U64, mix
 from weft.runtime import materialize, table
 
-#: At most so many bits in a filter that is broadcast (64 MiB), about so many for each entry, and probes of each entry.
+#: At most so many bits in a filter that is broadcast (64 MiB), so many for each entry, and probes of each entry.
 BITS, PER_ENTRY, PROBES = 1 << 29, 9, 4
-#: Segments of the filter; an entry's probes stay within the one its key names. A filter that isn't broadcast
-#: has as many times two of them as keep each within SEGMENT_BITS; keys are sent to at most BUCKETS groups of them.
-SEGMENTS = 512
-SHIFT = U64(64 - 9)
-SEGMENT_BITS, BUCKETS = 1 << 20, 4096
-HEAD = 1_000_000
+#: Training and other tokens for each segment of the filter, and the fewest segments.
+SEGMENT_TOKENS, LEAST_SEGMENTS = 1 << 20, 256
 #: Weight of the unigram estimate, in tokens.
 PRIOR = 3.0
 END = U64(0xE17A1465D2C0FFEE)
-#: Tokens that are held at once.
-CHUNK = 1_000_000
+#: Bytes of texts that make a chunk.
+CHUNK = 6 << 20
 
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(before * ROLL + GOLDEN) + word)
-
-
-def token_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, word hashes of their texts with an end each, row number of each token), about CHUNK tokens at once."""
-    hashes = WordHashes()
-    for batch in batches:
-        held, rows, total, start = [], [], 0, 0
-        for k, text in enumerate(batch.column(column).to_pylist()):
-            words = (text or "").encode().lower().split()
-            h = np.empty(len(words) + 1, U64)
-            h[:-1] = np.fromiter(map(hashes.__getitem__, words), U64, len(words))
-            h[-1] = END
-            held.append(h)
-            rows.append(len(h))
-            total += len(h)
-            if total >= CHUNK:
-                yield batch.slice(start, k + 1 - start), np.concatenate(held), np.repeat(np.arange(len(rows)), rows)
-                held, rows, total, start = [], [], 0, k + 1
-        if held:
-            yield batch.slice(start), np.concatenate(held), np.repeat(np.arange(len(rows)), rows)
-
-
-def contexts(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The token before each; the end token before the first of a text."""
-    before = np.empty_like(h)
-    before[0] = END
-    before[1:] = h[:-1]
-    return before
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def count_rows(order: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["n", "key", "c"]
-    )
+# --- chunks: texts as numbered words -------------------------------------------------------------
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -101,6 +63,8 @@ def pack(keys: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.empty(0, U64)
     raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[8])
     gaps = np.zeros((len(raw), 8), np.uint8)
     gaps[:, : data[8]] = raw
@@ -108,361 +72,309 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers by place, so that the high ones, mostly zeros, take little when compressed."""
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """The bytes of 64-bit numbers by place, so that the high ones, mostly zeros, take little when compressed."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : data[0]] = raw.T
+    return out.view(np.int64).ravel()
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes of the distinct words and the end, each text's tokens, and which hash each token is."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = parts.flatten().dictionary_encode()
+    names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary), " ")[0].as_py().encode().split(b" ")
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), U64, len(names))
+    words, to = np.unique(np.append(hashes[[n != b"" for n in names]], END), return_inverse=True)
+    place = np.zeros(len(names), np.int64)
+    place[[n != b"" for n in names]] = to[:-1]
+    code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    if b"" in names:  # white space at the ends of a text
+        full = code != names.index(b"")
+        code, row = code[full], row[full]
+    lengths = np.bincount(row, minlength=len(texts)) + 1
+    codes = np.full(int(lengths.sum()), to[-1], np.int64)
+    codes[np.arange(len(code)) + row] = place[code]
+    return words, lengths, codes
 
 
-def cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, list[slice]]:
-    """The groups of ascending keys that share their bits above ``shift``: names and places."""
-    names, starts = np.unique((keys >> U64(shift)).astype(np.int32), return_index=True)
-    return names, [slice(s, e) for s, e in zip(starts, [*starts[1:], len(keys)])]
+@dataclass(frozen=True)
+class Chunk:
+    """The words of some texts: hashes, tokens of each text, which hash each token is, and which texts are held out."""
 
+    words: np.ndarray
+    lengths: np.ndarray
+    codes: np.ndarray
+    held_out: np.ndarray
 
-def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (n 1) and pairs (n 2) of each chunk of texts, packed by segment."""
-    np.seterr(over="ignore")
-    for _, h, row in token_batches(batches, 0):
-        for order, keys in ((1, h), (2, pair_key(contexts(h, row), h))):
-            keys, counts = np.unique(keys, return_counts=True)
-            names, places = cut(keys, int(SHIFT))
-            binary = [pa.array([f(x[at]) for at in places], pa.binary()) for f, x in ((pack, keys), (planes, counts))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), order, np.int32)), pa.array(names), *binary], names=["n", "segment", "keys", "counts"])
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    def before(self) -> np.ndarray:
+        """The number of the token before each; the end token before the first of a text."""
+        out = np.empty_like(self.codes)
+        out[1:] = self.codes[:-1]
+        out[0] = np.searchsorted(self.words, END)  # every text ends with it, so it also stands before the next
+        return out
+
+    def pairs(self) -> np.ndarray:
+        h = self.words
+        return mix(mix(h * ROLL + GOLDEN)[self.before()] + h[self.codes])
+
+    def pack(self) -> list[bytes]:
+        return [pack(self.words), planes(self.lengths), planes(self.codes), np.packbits(self.held_out).tobytes()]
+
+    @staticmethod
+    def unpack(words: bytes, lengths: bytes, codes: bytes, held_out: bytes) -> Chunk:
+        n = unplanes(lengths)
+        return Chunk(unpack(words), n, unplanes(codes), np.unpackbits(np.frombuffer(held_out, np.uint8), count=len(n)).astype(bool))
 
 
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of each key of a partition, which holds all rows of its keys, by ascending key.
+PACKED = ("words", "lengths", "codes", "held_out")
 
-    Rows are folded into the sums whenever they outnumber them, so memory follows the distinct keys.
-    """
-    held: dict[int, list] = {1: [], 2: []}
-    size, fresh = {1: 0, 2: 0}, {1: 0, 2: 0}
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, held_out, text) as one row for each chunk."""
+    np.seterr(over="ignore")
+    k = 0
     for b in batches:
-        for k in range(b.num_rows):
-            order, parts = b.column(0)[k].as_py(), held[b.column(0)[k].as_py()]
-            parts.append((unpack(b.column(2)[k].as_py()), unplanes(b.column(3)[k].as_py()).astype(np.int64)))
-            fresh[order] += len(parts[-1][0])
-            if fresh[order] > max(CHUNK, size[order]):
-                parts[:] = [summed(*(np.concatenate(x) for x in zip(*parts)))]
-                size[order], fresh[order] = len(parts[0][0]), 0
-    for order, parts in held.items():
-        if parts:
-            keys, counts = summed(*(np.concatenate(x) for x in zip(*parts)))
-            for at in range(0, len(keys), CHUNK):
-                yield count_rows(order, keys[at : at + CHUNK], counts[at : at + CHUNK])
-
-
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(n, key, c): exact counts of words and pairs over all ``texts`` (one text column)."""
-    rows = texts.mapInArrow(local_counts, "n int, segment int, keys binary, counts binary")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt by segment, so that a segment of the filter is built from few tasks
-    return materialize(rows.repartition(parts, "segment").mapInArrow(add_up, "n int, key long, c long"), "ngrams")
-
-
-def probe(bits: np.ndarray, per_segment: int, shift: int, first: int, keys: np.ndarray) -> np.ndarray:
-    """Highest level up to which all levels of each key are found; ``bits`` begin at segment ``first``."""
-    out, live, k = np.zeros(len(keys), np.int8), np.arange(len(keys)), keys
+        at = 0
+        for texts in slices(pc.fill_null(b.column(2), ""), CHUNK):
+            rows = b.slice(at, len(texts))
+            at += len(texts)
+            held = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            c = Chunk(*numbered(texts), held)
+            kept = pa.StructArray.from_arrays(rows.columns[:2], fields=list(rows.schema)[:2])
+            sums = [[TaskContext.get().partitionId() << 32 | k], [int(c.lengths.sum())], [int(c.lengths[~held].sum())]]
+            k += 1
+            cols = [*(pa.array(s, pa.int64()) for s in sums), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.binary()) for x in c.pack())], names=["chunk", "n", "n_train", "rows", *PACKED])
+
+
+# --- the filter ----------------------------------------------------------------------------------
+
+
+def probes(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    """PROBES numbers below 2 ** 32 for each key and level."""
+    x = mix(keys + GOLDEN * U64(level))
+    step = (x << U64(31)) | U64(1)
+    for _ in range(PROBES):
+        yield x >> U64(32)
+        x = x + step
+
+
+def built(keys: np.ndarray, level: np.ndarray, per_entry: int) -> np.ndarray:
+    """Bits of a segment that holds levels 1 to ``level`` of each key, packed."""
+    size = max(64, -(-int(level.sum()) * per_entry // 64) * 64)
+    bits = np.zeros(size, np.bool_)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        for p in probes(keys[level >= k], k):
+            bits[p * U64(size) >> U64(32)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def probe(bits: np.ndarray, keys: np.ndarray, base: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
+    """Highest level up to which all levels of each key are found in its segment of ``bits``."""
+    out, live = np.zeros(len(keys), np.int8), np.arange(len(keys))
+    base, size = (np.broadcast_to(np.asarray(x, U64), len(keys)) for x in (base, size))
     level = 0
     while len(live):
         level += 1
-        base, mask = ((k >> U64(shift)).astype(np.int64) - first) * per_segment, U64(per_segment - 1)
-        x = mix(k + GOLDEN * U64(level))
-        step = (x >> U64(32)) | U64(1)
-        found = np.arange(len(live))
-        for _ in range(PROBES):
-            p = base[found] + (x[found] & mask).astype(np.int64)
-            found = found[(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
-            x = x + step
-        live, k = live[found], k[found]
+        found = np.ones(len(live), bool)
+        for p in probes(keys[live], level):
+            at = base[live] + (p * size[live] >> U64(32))
+            found &= (bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
+        live = live[found]
         out[live] = level
     return out
 
 
-@dataclass(frozen=True)
-class Model:
-    """What the workers get: the filter unless it is a table (then no bits), the head table, and totals."""
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2(c)), 0 for none."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int8)
 
-    bits: np.ndarray
-    per_segment: int
-    head_keys: np.ndarray
-    head_counts: np.ndarray
-    total: int
-    distinct: int
-    segments: int = SEGMENTS
-
-    @property
-    def shift(self) -> int:
-        return 65 - self.segments.bit_length()
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Highest level up to which all levels of each key are found, by repeated probes."""
-        return probe(self.bits, self.per_segment, self.shift, 0, keys)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Mean count of the level that is found; 0 for none."""
-        level = self.levels(keys).astype(np.float64)
-        return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
-
-    def head(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the words that the head table has, and whether it has them."""
-        at = np.minimum(np.searchsorted(self.head_keys, h), max(0, len(self.head_keys) - 1))
-        known = self.head_keys[at] == h if len(self.head_keys) else np.zeros(len(h), bool)
-        c = np.where(known, self.head_counts[at], 0).astype(np.float64) if len(self.head_keys) else np.zeros(len(h))
-        return c, known
-
-    def word_counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words, exact where the head table has them, and whether it has."""
-        c, known = self.head(h)
-        rare = np.flatnonzero(~known)
-        if len(rare):
-            keys, back = np.unique(h[rare], return_inverse=True)
-            c[rare] = self.counts(keys)[back]
-        return c, known
-
-    def unigram(self, c):
-        return (c + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
-    def log10(self, before_counts, pair_counts, word_counts) -> np.ndarray:
-        p = (np.minimum(pair_counts, before_counts) + PRIOR * self.unigram(word_counts)) / (before_counts + PRIOR)
-        return np.log10(np.minimum(p, 1.0))
+def mean_count(level: np.ndarray) -> np.ndarray:
+    """Mean count of a level; 0 for none."""
+    x = level.astype(np.float64)
+    return np.where(x > 0, (2.0 ** (x - 1) + 2.0**x - 1) / 2, 0.0)
 
 
-@dataclass(frozen=True)
-class Told(Model):
-    """A model whose filter is elsewhere, with the levels that it gave for the keys of one chunk."""
-
-    asked: np.ndarray = field(default_factory=lambda: np.empty(0, U64))
-    told: np.ndarray = field(default_factory=lambda: np.empty(0, np.int8))
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.told[np.searchsorted(self.asked, keys)]
+def cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, list[slice]]:
+    """The groups of ascending keys that share their bits above ``shift``: names and places."""
+    names, starts = np.unique((keys >> U64(shift)).astype(np.int64), return_index=True)
+    return names, [slice(s, e) for s, e in zip(starts, [*starts[1:], len(keys)])]
 
 
-def filled(per_segment: int, shift: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, bits) of the (key, level) rows of a partition, each segment as often as it is met anew."""
+def sent(shift: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, chunk, order, keys, counts): each chunk's distinct words (1) and pairs (2) with their training counts."""
     np.seterr(over="ignore")
-    part: dict[int, np.ndarray] = {}
     for b in batches:
-        key, level = b.column(0).to_numpy().view(U64), b.column(1).to_numpy()
-        for k in range(1, int(level.max(initial=0)) + 1):
-            keys = key[level >= k]
-            seg, x = (keys >> U64(shift)).astype(np.int64), mix(keys + GOLDEN * U64(k))
-            step = (x >> U64(32)) | U64(1)
-            order = np.argsort(seg, kind="stable")
-            seg, x, step = seg[order], x[order], step[order]
-            names, starts = np.unique(seg, return_index=True)
-            for name, s, e in zip(names.tolist(), starts, [*starts[1:], len(seg)]):
-                bits = part.setdefault(name, np.zeros(per_segment, np.bool_))
-                y = x[s:e]
-                for _ in range(PROBES):
-                    bits[(y & U64(per_segment - 1)).astype(np.int64)] = True
-                    y = y + step[s:e]
-                if len(part) > 16:  # rows come by ascending key, so the lowest is done
-                    low = min(part)
-                    yield segment_row(low, part.pop(low))
-    for name in sorted(part):
-        yield segment_row(name, part[name])
-
-
-def segment_row(name: int, bits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-
-def merged(rows: pa.Table) -> pa.Table:
-    whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows.column("bits").to_pylist()])
-    return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
-
-
-def fit(texts: DataFrame, bits: int = BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of all ``texts`` (one text column), and the table of their exact counts."""
-    return fitted(texts, bits, head)[:2]
-
-
-def fitted(texts: DataFrame, bits: int, head: int) -> tuple[Model, DataFrame, DataFrame | None]:
-    """Model, exact counts, and the filter as a table (segment, bits) if it needs more than ``bits``."""
-    ngrams = count_ngrams(texts)
-    level = F.floor(F.log2("c")).cast("int") + 1
-    by_level = ngrams.groupBy("n", level.alias("level")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect()
-    words = {r["level"]: r["k"] for r in by_level if r["n"] == 1}
-    total, distinct = sum(r["c"] for r in by_level if r["n"] == 1), sum(words.values())
-    # an n-gram of level l takes l entries, and none is left out
-    entries = max(1, sum(r["level"] * r["k"] for r in by_level))
-    apart, segments, most = entries > bits // PER_ENTRY, SEGMENTS, bits // SEGMENTS
-    if apart:
-        most = SEGMENT_BITS
-        while entries * PER_ENTRY // segments > most:
-            segments *= 2
-    need = entries * PER_ENTRY // segments
-    per_segment = min(most, max(1024, 1 << max(0, need - 1).bit_length()))
-    shift = 65 - segments.bit_length()
-    parts = ngrams.select("key", level.alias("level")).mapInArrow(lambda b: filled(per_segment, shift, b), "segment int, bits binary")
-    rows = parts.groupBy("segment").applyInArrow(merged, "segment int, bits binary")
-    if apart:
-        array, rows = np.empty(0, np.uint8), materialize(rows, "filter")
-    else:
-        array = np.zeros(segments * per_segment // 8, np.uint8)
-        for r in rows.collect():  # `segments` rows, `bits` bits in all
-            at = r["segment"] * per_segment // 8
-            array[at : at + per_segment // 8] = np.frombuffer(r["bits"], np.uint8)
-    # head: whole levels of the most frequent words, at most `head` of them
-    low_h = next(x for x in range(1, 99) if sum(k for l, k in words.items() if l >= x) <= head)  # noqa: E741
-    top = ngrams.filter((F.col("n") == 1) & (level >= low_h)).select("key", "c").toArrow()
-    keys, counts = top.column("key").to_numpy().view(U64), top.column("c").to_numpy()
-    order = np.argsort(keys)
-    return Model(array, per_segment, keys[order], counts[order], total, distinct, segments), ngrams, rows if apart else None
-
-
-MORE = {"n_tokens": "long", "n_head": "long", "head_part": "double", "score": "double", "rare": "array<long>"}
-
-
-def score_chunk(m: Model, n: int, h: np.ndarray, row: np.ndarray) -> list[pa.Array]:
-    """The columns MORE of ``n`` texts, whose tokens are ``h``."""
-    c, known = m.word_counts(h)
-    before = np.empty_like(c)
-    before[0], before[1:] = c[row == row[0]][-1], c[:-1]
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    end = m.word_counts(np.array([END], U64))[0][0]
-    before[first] = end
-    lm = m.log10(before, m.counts(pair_key(contexts(h, row), h)), c)
-    add = lambda x: np.bincount(row, x, n)
-    head_part = np.where(known, np.log10(m.unigram(c)), 0.0)
-    rare, owner = h[~known].view(np.int64), row[~known]
-    ends = np.searchsorted(owner, np.arange(n + 1))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare))
-    return [pa.array(np.bincount(row, minlength=n)), pa.array(add(known).astype(np.int64)), pa.array(add(head_part)), pa.array(add(lm)), lists]
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns of ``docs`` but the last, its text, with scores and the words the head table lacks."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.schema.fields[:-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        for rows, h, row in token_batches(batches, len(keep)):
-            cols = [*rows.columns[: len(keep)], *score_chunk(shared.value, rows.num_rows, h, row)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), *MORE])
+        for k in range(b.num_rows):
+            c = Chunk.unpack(*(b.column(i)[k].as_py() for i in range(1, 5)))
+            train = ~c.held_out[c.row]
+            words = np.bincount(c.codes[train], minlength=len(c.words))
+            all_pairs = c.pairs()
+            pairs = np.unique(all_pairs)
+            some, n = np.unique(all_pairs[train], return_counts=True)
+            counts = np.zeros(len(pairs), np.int64)
+            counts[np.searchsorted(pairs, some)] = n
+            for order, keys, x in ((1, c.words, words), (2, pairs, counts)):
+                names, places = cut(keys, shift)
+                cols = [pa.array(names), pa.array([b.column(0)[k].as_py()] * len(names), pa.int64()), pa.array([order] * len(names), pa.int8())]
+                cols += [pa.array([pack(keys[at]) for at in places], pa.binary()), pa.array([planes(x[at]) for at in places], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["segment", "chunk", "order", "keys", "counts"])
+
+
+ANSWER = "segment long, chunk long, order byte, levels binary, counts binary, bits binary, distinct long"
+
+
+def answered(per_entry: int, probing: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to the rows of ``sent``, which come by segment, and one row with the bits of each segment."""
+    np.seterr(over="ignore")
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+    def flush(segment: int, held: list[tuple]) -> pa.RecordBatch:
+        out, distinct, entries = [], 0, []
+        asked = []
+        for order in (1, 2):
+            rows = [(chunk, unpack(keys), unplanes(counts)) for chunk, o, keys, counts in held if o == order]
+            if not rows:
+                continue
+            keys, back = np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, back, np.concatenate([c for _, _, c in rows]))
+            entries.append((keys[total > 0], levels_of(total[total > 0])))
+            asked.append((order, rows, keys, back, total))
+            if order == 1:
+                distinct = int((total > 0).sum())
+        bits = built(*(np.concatenate(x) for x in zip(*entries)), per_entry)
+        for order, rows, keys, back, total in asked:
+            level = probe(bits, keys, 0, len(bits) * 8) if probing else None
+            at = 0
+            for chunk, k, _ in rows:
+                mine, at = back[at : at + len(k)], at + len(k)
+                if order == 1 or probing:
+                    out.append((segment, chunk, order, level[mine].tobytes() if probing else None, planes(total[mine]) if order == 1 else None, None, None))
+        out.append((segment, None, None, None, None, bits.tobytes(), distinct))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    current, held = None, []
+    for b in batches:
+        for segment, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and segment != current:
+                yield flush(current, held)
+                held = []
+            current = segment
+            held.append(row)
+    if held:
+        yield flush(current, held)
 
-    return docs.mapInArrow(run, columns(keep))
 
+@dataclass(frozen=True)
+class Model:
+    """Totals, and the filter where it is broadcast: its bits, and the first bit and the size of each segment."""
 
-def columns(keep) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{k} {t}" for k, t in MORE.items())])
+    total: int
+    distinct: int
+    shift: int
+    bits: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    sizes: np.ndarray | None = None
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        segment = (keys >> U64(self.shift)).astype(np.int64)
+        return probe(self.bits, keys, self.starts[segment], self.sizes[segment])
 
-# --- a filter that stays a table -----------------------------------------------------------------
+    def unigram(self, c):
+        return (c + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
+    def log10(self, before_counts, pair_counts, word_counts) -> np.ndarray:
+        p = (np.minimum(pair_counts, before_counts) + PRIOR * self.unigram(word_counts)) / (before_counts + PRIOR)
+        return np.log10(np.minimum(p, 1.0))
 
-def asked(m: Model, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The distinct keys, ascending, whose levels ``score_chunk`` reads."""
-    return np.unique(np.concatenate([h[~m.head(h)[1]], pair_key(contexts(h, row), h)]))
 
+def whole_filter(answers: DataFrame, model: Model, segments: int) -> Model:
+    """The model with all bits, of which the training tokens have shown that there are at most BITS."""
+    rows = answers.filter("bits is not null").select("segment", "bits").toArrow()
+    order = np.argsort(rows.column("segment").to_numpy())
+    parts = [rows.column("bits")[int(k)].as_py() for k in order]
+    sizes = np.full(segments, 64, np.int64)
+    starts = np.zeros(segments, np.int64)
+    at = rows.column("segment").to_numpy()[order]
+    sizes[at] = [len(p) * 8 for p in parts]
+    starts[at] = np.cumsum(sizes[at]) - sizes[at] + 64  # a segment that no key named is 64 empty bits
+    bits = np.frombuffer(bytes(8) + b"".join(parts), np.uint8)
+    return Model(model.total, model.distinct, model.shift, bits, starts, sizes)
 
-def chunked(keep: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk of texts: its first row's number, its rows, their lengths, its words, and which each token is."""
-    for rows, h, row in token_batches(batches, keep):
-        held = pa.StructArray.from_arrays(rows.columns[:keep], fields=list(rows.schema)[:keep])
-        names, code = np.unique(h, return_inverse=True)
-        lengths = np.bincount(row, minlength=rows.num_rows).astype(np.int32)
-        binary = [pa.array([x], pa.binary()) for x in (lengths.tobytes(), pack(names), planes(code))]
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), *binary], names=["chunk", "rows", "lengths", "words", "codes"]
-        )
 
+# --- scores --------------------------------------------------------------------------------------
 
-def tokens(lengths: bytes, words: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and row numbers of a chunk's tokens."""
-    n = np.frombuffer(lengths, np.int32)
-    return unpack(words)[unplanes(codes)], np.repeat(np.arange(len(n)), n)
 
+def scored(c: Chunk, m: Model, exact: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray | None, pairs: np.ndarray) -> list[pa.Array]:
+    """n_tokens, n_known, base_score and score of each text of a chunk."""
+    add = lambda x: np.bincount(c.row, x, len(c.lengths))
+    words = mean_count(word_level)
+    pair = mean_count(pair_level[np.searchsorted(np.unique(pairs), pairs)] if pair_level is not None else m.levels(pairs))
+    lm = m.log10(words[c.before()], pair, words[c.codes])
+    base = np.log10(m.unigram(exact.astype(np.float64)))
+    return [pa.array(c.lengths), pa.array(add((exact > 0)[c.codes]).astype(np.int64)), pa.array(add(base[c.codes])), pa.array(add(lm))]
 
-def scored_apart(docs: DataFrame, model: Model, segments: DataFrame) -> DataFrame:
-    """``scored`` with the filter as a table; the first column of ``docs`` numbers its rows.
 
-    Memory of a task follows one chunk, or one bucket of the filter: all else streams by in order.
-    """
-    spark, keep = docs.sparkSession, docs.schema.fields[:-1]
-    shared, per_segment, shift = spark.sparkContext.broadcast(model), model.per_segment, model.shift
-    buckets = min(model.segments, BUCKETS)
-    to_bucket, each = 65 - buckets.bit_length(), model.segments // buckets
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, per_entry: int = PER_ENTRY) -> DataFrame:
+    """Scores of every row of ``docs``; the model learns from the rows that aren't ``held_out``."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    packed = ", ".join(f"{c} binary" for c in PACKED)
+    chunks = materialize(rows.mapInArrow(chunked, f"chunk long, n long, n_train long, rows array<struct<id:{id_type},held_out:boolean>>, {packed}"), "chunks")
+    n, total = (x or 0 for x in chunks.agg(F.sum("n"), F.sum("n_train")).first())
+    segments = LEAST_SEGMENTS
+    while segments * SEGMENT_TOKENS < n:
+        segments *= 2
+    shift = 65 - segments.bit_length()
+    # a token adds at most one entry for its word and one for its pair
+    apart = 2 * total * per_entry + 128 * segments > bits
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row_type = "array<struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in keep) + ">>"
-    chunks = materialize(docs.mapInArrow(lambda b: chunked(len(keep), b), f"chunk long, rows {row_type}, lengths binary, words binary, codes binary"), "chunks")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        for b in batches:
-            for k in range(b.num_rows):
-                keys = asked(shared.value, *tokens(*(b.column(i)[k].as_py() for i in (1, 2, 3))))
-                names, places = cut(keys, to_bucket)
-                sent = [pack(keys[at]) for at in places]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([b.column(0)[k].as_py()] * len(sent), pa.int64()), pa.array(sent, pa.binary())], names=["bucket", "at", "data"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        held, bits = -1, np.empty(0, np.uint8)
-        for b in batches:
-            out = []
-            for bucket, kind, at, data in zip(*(c.to_pylist() for c in b.columns)):
-                if bucket != held:  # a segment without entries has no row
-                    held, bits = bucket, np.zeros(each * per_segment // 8, np.uint8)
-                if kind == 0:
-                    start = (at - bucket * each) * per_segment // 8
-                    bits[start : start + len(data)] = np.frombuffer(data, np.uint8)
-                else:
-                    out.append((at, bucket, probe(bits, per_segment, shift, bucket * each, unpack(data)).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "levels"])
+    requests = chunks.select("chunk", *PACKED).mapInArrow(lambda b: sent(shift, b), "segment long, chunk long, order byte, keys binary, counts binary")
+    met = requests.repartition(parts, "segment").sortWithinPartitions("segment").select("segment", "chunk", "order", "keys", "counts")
+    answers = materialize(met.mapInArrow(lambda b: answered(per_entry, apart, b), ANSWER), "answers")
+    distinct = answers.agg(F.sum("distinct")).first()[0] or 0
+    model = Model(total, distinct, shift)
+    shared = spark.sparkContext.broadcast(model if apart else whole_filter(answers, model, segments))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        told = []
+        m = shared.value
+        levels: dict[int, list[bytes]] = {1: [], 2: []}
+        counts: list[np.ndarray] = []
         for b in batches:
-            levels = b.column(2)
             for k in range(b.num_rows):
-                if levels[k].is_valid:
-                    told.append(levels[k].as_py())
+                order = b.column(2)[k].as_py()
+                if order is not None:
+                    levels[order].append(b.column(3)[k].as_py() or b"")
+                    if order == 1:
+                        counts.append(unplanes(b.column(4)[k].as_py()))
                     continue
-                h, row = tokens(*(b.column(i)[k].as_py() for i in (4, 5, 6)))
-                rows = b.column(3)[k].values
-                m = Told(**vars(shared.value), asked=asked(shared.value, h, row), told=np.frombuffer(b"".join(told), np.int8))
-                told = []
-                yield pa.RecordBatch.from_arrays([*rows.flatten(), *score_chunk(m, len(rows), h, row)], names=[*(f.name for f in keep), *MORE])
-
-    requests = chunks.select("chunk", "lengths", "words", "codes").mapInArrow(ask, "bucket int, at long, data binary")
-    table_rows = segments.select(F.floor(F.col("segment") / each).cast("int").alias("bucket"), F.lit(0).alias("kind"), F.col("segment").cast("long").alias("at"), F.col("bits").alias("data"))
-    met = table_rows.unionByName(requests.withColumn("kind", F.lit(1))).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = met.mapInArrow(answer, "chunk long, bucket int, levels binary")
-    # a chunk's levels by bucket, which is the order of its keys, and then the chunk
-    both = answers.unionByName(chunks, allowMissingColumns=True).select("chunk", "bucket", "levels", "rows", "lengths", "words", "codes")
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("bucket")).mapInArrow(finish, columns(keep))
-
-
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, head: int = HEAD) -> DataFrame:
-    """Scores of every row of ``docs``; the model learns from the rows that aren't ``held_out``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model, ngrams, segments = fitted(rows.filter(~F.col("held_out")).select("text"), bits, head)
-    numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "text")
-    found = scored(numbered, model) if segments is None else scored_apart(numbered, model, segments)
-    found = materialize(found, "scored")
-    words = ngrams.filter("n = 1").select("key", F.col("c").alias("c"))
-    # counts of the rare words of each text, joined by word, summed by text
-    term = lambda c: F.log10((c + 0.5) / (model.total + 0.5 * (model.distinct + 1)))
-    each = found.select("row", F.explode("rare").alias("key"))
-    rest = each.join(words, "key", "left").groupBy("row").agg(F.count("c").alias("n_rare"), F.sum(term(F.coalesce("c", F.lit(0)))).alias("rare_part"))
-    return found.join(rest, "row", "left").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("head_part") + F.coalesce("rare_part", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+                c = Chunk.unpack(*(b.column(i)[k].as_py() for i in range(6, 10)))
+                told = [np.frombuffer(b"".join(levels[o]), np.int8) for o in (1, 2)] if apart else [m.levels(c.words), None]
+                cols = scored(c, m, np.concatenate(counts), *told, c.pairs())
+                levels, counts = {1: [], 2: []}, []
+                yield pa.RecordBatch.from_arrays([*b.column(5)[k].values.flatten(), *cols], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    # a chunk's answers by segment, which is the order of its keys, and then the chunk
+    both = answers.filter("bits is null").drop("bits", "distinct").unionByName(chunks.drop("n", "n_train"), allowMissingColumns=True)
+    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("segment")).select("chunk", "segment", "order", "levels", "counts", "rows", *PACKED)
+    found = both.mapInArrow(finish, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
