@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 UNSAFE = "[ \n](?:[^!-~À-ɏ]|\\z)"
 SAFE = "^[!-~À-ɏ]"
 #: Characters (bytes) of texts that are cut at once.
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 
 
 def slices(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
@@ -52,7 +52,7 @@ class SegmentCodes:
     younger, and the older is dropped when the younger is full. None is longer than ``longest``.
     """
 
-    def __init__(self, dtype: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, dtype: str, limit: int = 250_000, longest: int = 64):
         self.dtype, self.limit, self.longest = np.dtype(dtype), limit, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -112,6 +112,7 @@ class SegmentCodes:
                 out.append(inside[ends[k] - sizes[k] : ends[k]] if ok else np.frombuffer(self.whole(next(rest)), self.dtype))
                 k += ok
             yield np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        pa.default_memory_pool().release_unused()  # workers may outnumber tasks
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
