@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm import bloom_lm, byte_bpe, chat, components, cover_tree, mixing, neardup, pii, quality, queries, secrets, token_files
+from weft.llm import bloom_lm, byte_bpe, chat, components, cover_tree, mixing, neardup, pii, quality, queries, secrets, skew, token_files
 from weft.llm.superminhash import WordHashes, shingle_set, signature
 from weft.runtime import scratch_path, table
 
@@ -84,6 +85,81 @@ def test_pii_context_and_checksums():
     assert kinds("call 555-123-4567") == ["phone_local"] and kinds("sum 555-123-4567") == []
 
 
+    assert kinds("bank account ES91 2100 0418 4502 0005 1332 EUR 12") == ["iban"] and kinds("IBAN ES9121000418450200051332 BIC ABCD") == ["iban"]
+    assert kinds("Konto DE89 3704 0044 0532 0130 00") == ["iban"] and kinds("téléphone 555-123-4567") == ["phone_local"]
+
+
+def plain_added(text, base):
+    """The method's own spans, each proposal held against every base span."""
+    out = []
+    for d in pii.DETECTORS:
+        for m in d.pattern.finditer(text):
+            end, x = pii.score(d, text, *m.span())
+            if x >= pii.THRESHOLD and all(e <= m.start() or s >= end for s, e, _ in base):
+                out.append((m.start(), end, d.kind))
+    return sorted(out)
+
+
+def test_pii_added_spans_match_brute_force(docs):
+    rnd = random.Random(15)
+    parts = ["a@b.co", "ssn", "123-45-6789", "bank", "GB82 WEST 1234 5698 7654 32", "call", "555-123-4567", "+1 555 123 4567", "1.2.3.4", "part", "x" * 30, "4111 1111 1111 1111"]
+    made = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    seen = collections.Counter()
+    for text in [*made, *docs.values()]:
+        base = pii.base_spans(text)
+        found = sorted(x[:3] for x in pii.scored_spans(text, base))
+        assert found == plain_added(text, base)
+        seen.update(k for *_, k in found)
+    assert set(seen) == {d.kind for d in pii.DETECTORS}
+
+
+def test_pii_of_many_spans_takes_linear_time():
+    def seconds(n):
+        text, start = "a@b.co ssn 123-45-6789 " * n, time.process_time()
+        pii.pii_row(text)
+        return time.process_time() - start
+
+    assert seconds(16_000) < 24 * max(seconds(1000), 0.005)
+
+
+def test_pii_query(spark, data, docs):
+    for r in pii.op1_pii(spark, data).collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans, r.scored) == pii.pii_row(docs[r.doc_id] or "")
+
+
+def test_secret_rules_added_to_the_base_kinds():
+    kinds = lambda t: {s.split(":")[0] for s in secrets.secret_row(t)[4].split(",") if s} - set(secrets.BASE)
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,F0\n\nMIIB+a/b=\n-----END RSA PRIVATE KEY-----"
+    hits = {
+        "github": "ghp_" + "a1B2" * 9, "slack": "xoxb-1234567890-ab", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "private_key": key,
+        "url_login": "https://me:pw@host/x", "access_temporary": "ASIA" + "A9" * 8, "service_key": "sk-" + "Ab-9" * 5, "npm": "npm_" + "aB3" * 8,
+        "github_fine": "github_pat_" + "A_9" * 8, "bearer": "Bearer abc.def-ghi~123",
+    }
+    for kind, text in hits.items():
+        assert kinds(f"x {text} y") == {kind}, kind
+    for near in ("ghp_short", "xoxz-1234567890-ab", "eyJhb.eyJz.c2l", "-----BEGIN RSA PRIVATE KEY-----\nabc", "https://host/x@y", "ASIA123", "sk-short", "npm_x", "github_pat_1", "bearer of news"):
+        assert not kinds(near), near
+    text = key + "\n" + key.replace("END", "BEG") + key
+    spans = [s for s in secrets.secret_row(text)[4].split(",") if s.startswith("private")]
+    assert len(spans) == 2 and spans[0] == f"private_key:0:{len(key)}"
+
+
+def test_secrets_query(spark, data, docs):
+    for r in secrets.op6_secrets(spark, data).collect():
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == secrets.secret_row(docs[r.doc_id] or "")
+
+
+def test_salted_join_deals_out_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 10)
+    left = spark.createDataFrame([(k % 3 if k < 30 else 7, k) for k in range(100)], "key long, x long")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "key long, y string")
+    hot = skew.hot_keys_of(left, "key")
+    assert [(r.key, r["__parts"]) for r in hot.collect()] == [(7, 7)]
+    for how in ("inner", "left", "left_semi"):
+        got, want = skew.salted_join(left, right, "key", hot, ["x"], how), left.join(right, "key", how)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select(*got.columns).collect()), key=repr)
+
+
 def test_secrets_match_plain_patterns(docs):
     rnd = random.Random(6)
     made = ["".join(rnd.choice(["token", "API_KEY", "Password", ":", "=", " ", '"', "a", "AKIA", "A9", "deadbeef", "ſecret", "toKen"]) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
@@ -514,6 +590,18 @@ def test_pipeline_stages(spark, data, docs):
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in last)
 
 
+def test_pipeline_rows_that_share_an_id(spark, data):
+    import corpus_pipeline as p
+
+    good = " ".join(f"word{k} of prose" for k in range(40))
+    near = good + " end"
+    rows = frame(spark, [good, good, near, "bad", "other " + " ".join(f"thing{k} here" for k in range(40)), None], ids=[7, 7, 7, 7, None, None]).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = p.materialize(p.quality_rules(spark, rows, data), "q")
+    assert sorted(r.text[:5] for r in kept.collect()) == ["other", "word0", "word0", "word0"]
+    left = p.near_dedup(spark, kept, data).collect()
+    assert len(left) == 2 and {r.doc_id for r in left} == {7, None}
+
+
 @pytest.mark.parametrize("texts", [[], ODD])
 def test_pipeline_of_odd_tables(spark, data, texts):
     import corpus_pipeline as p

@@ -15,7 +15,8 @@
 
 Defined results: null text, or a text without words, has n_shingles 0, is linked with nothing and is
 kept. Rows with one doc_id are told apart by their text. A null doc_id is never the smallest of a
-component that holds another id. Extra columns are not read.
+component that holds another id. Extra columns are not read. A text is never cut; its set may be as long
+as the text. Equal rows of one doc_id share a fate, and are all kept if their id is the component's.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm.components import components
+from weft.llm.skew import hot_keys, hot_keys_of, salted_join
 from weft.llm.superminhash import WordHashes, band_keys, shingle_set, signature
 from weft.runtime import materialize, table
 
 BANDS, ROWS = 32, 4
-#: Buckets up to this size emit their open pairs; larger ones are compared in blocks of BLOCK members.
-SMALL, BLOCK = 16, 1024
+#: Buckets up to this size emit their open pairs; larger ones are compared in blocks of about BLOCK members
+#: or SHINGLES shingles, whichever are fewer.
+SMALL, BLOCK, SHINGLES = 16, 1024, 1 << 20
 
 
 def linked(inter, n_a, n_b):
@@ -89,7 +92,8 @@ def shingle_sets(docs: DataFrame, sk: DataFrame, nodes: DataFrame, id_col: str,
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     side = lambda c, k: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{k}"), F.col("shingles").alias(f"s_{k}"))
-    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    both = salted_join(pairs, side("u", "a"), "u", hot_keys_of(pairs, "u"), ["v"])
+    both = salted_join(both, side("v", "b"), "v", hot_keys_of(pairs, "v"), ["u"])
     inter = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(linked(inter, F.col("n_a"), F.col("n_b"))).select("u", "v")
 
@@ -133,17 +137,19 @@ def links_in_block(table_: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 
-def links_in_large(members: DataFrame, sets: DataFrame) -> DataFrame:
+def links_in_large(members: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
     """Links across components in large buckets: (key, node, root) rows in blocks."""
-    per = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"))
-    main = main.select("key", F.col("m.root").alias("main"), F.ceil((F.col("size") - F.col("m.c")) / BLOCK).cast("int").alias("n_out"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n_all"))
-    m = members.join(main, "key")
+    per = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = per.groupBy("key").agg(F.max(F.struct("c", "root", "s")).alias("m"), F.sum("c").alias("size"), F.sum("s").alias("shingles"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / SHINGLES)).cast("int")
+    n_out, n_all = blocks(F.col("size") - F.col("m.c"), F.col("shingles") - F.col("m.s")), blocks(F.col("size"), F.col("shingles"))
+    main = main.select("key", F.col("m.root").alias("main"), n_out.alias("n_out"), n_all.alias("n_all"))
+    m = salted_join(members, main, "key", hot, ["node"])
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = m.select("key", "node", "root", F.lit(1).alias("side"), block("n_all").alias("j"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"))
     out = m.filter("root <> main").select("key", "node", "root", F.lit(0).alias("side"), block("n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
     packed = sets.mapInArrow(pack, "node binary, packed binary")
-    rows = every.unionByName(out).join(packed, "node")
+    rows = every.unionByName(out).join(packed, "node")  # a node is in a bucket of each band at most
     return rows.groupBy("key", "i", "j").applyInArrow(links_in_block, "u binary, v binary")
 
 
@@ -159,24 +165,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sk.filter("node is not null").select("node", "n", "keys").dropDuplicates(["node"])
     bands = materialize(nodes.select("node", "n", F.explode("keys").alias("key")), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialize(bands.join(shared, "key"), "members")
+    hot = hot_keys(shared, "key", "size", bands.count())
+    members = materialize(salted_join(bands, shared, "key", hot, ["node"]), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     sets = materialize(shingle_sets(docs, sk.select("id", "node"), weight.select("node"), id_col, text_col), "sets")
 
     weighed = members.join(weight, "node")
     pivot = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
-    stars = members.join(pivot, "key").filter((F.col("node") != F.col("pivot")) & sizes_allow("n", "pn")).select(*ordered("node", "pivot")).distinct()
+    stars = salted_join(members, pivot, "key", hot, ["node"]).filter((F.col("node") != F.col("pivot")) & sizes_allow("n", "pn")).select(*ordered("node", "pivot")).distinct()
     stars = materialize(stars, "stars")
     first = components(confirm(stars, sets))
 
     rooted = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rooted = materialize(rooted.join(still, "key", "left_semi"), "open")
+    rooted = materialize(salted_join(rooted, still, "key", hot, ["node"]), "open")
     small = rooted.filter(F.col("size") <= SMALL)
     a, b = small.alias("a"), small.alias("b")
     across = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sizes_allow("a.n", "b.n")
     pairs = a.join(b, across).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = confirm(pairs, sets).unionByName(links_in_large(rooted.filter(F.col("size") > SMALL), sets))
+    more = confirm(materialize(pairs, "pairs"), sets).unionByName(links_in_large(rooted.filter(F.col("size") > SMALL), sets, hot))
     at = lambda c, to: first.select(F.col("node").alias(c), F.col("root").alias(to))
     lifted = more.join(at("u", "a"), "u", "left").join(at("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
     second = components(lifted).select(F.col("node").alias("root"), F.col("root").alias("top"))

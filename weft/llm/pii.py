@@ -2,7 +2,9 @@
 
 Four base kinds (email, ip, card, phone) are always kept once their own check passes. The other
 kinds are weaker alone: each has a prior score, a checksum or context words near the span raise it,
-words that speak against it lower it, and the span stays if its score reaches the threshold.
+words that speak against it lower it, and the span stays if its score reaches the threshold. Context
+words are those of English, German, French and Spanish. Where a checksum fails, the span is tried again
+without the words at its end, so that a word after a number doesn't hide it.
 
 Defined results: null or empty text has no spans; a repeated row gives a repeated result; an empty
 table gives an empty table; other columns of the input are ignored, so their names cannot clash.
@@ -12,8 +14,10 @@ Every pattern is written to scan a text in linear time, so very long texts need
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -45,6 +49,15 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def account_end(text: str, start: int, end: int) -> int | None:
+    """Where an account number from ``start`` ends: the longest run of its groups that passes the check."""
+    while end - start >= 15:
+        if len(text[start:end].replace(" ", "")) <= 34 and mod97(text[start:end]):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches around each ``@``; the local part goes back no further than the last match."""
     floor, at = 0, text.find("@")
@@ -84,14 +97,14 @@ class Detector:
     kind: str
     pattern: re.Pattern
     prior: float
-    confirm: Callable[[str], bool] | None = None
+    confirm: Callable[[str, int, int], int | None] | None = None
     confirmed: float = 0.0
     near: re.Pattern | None = None
     against: re.Pattern | None = None
 
 
 def words(*alternatives: str) -> re.Pattern:
-    return re.compile(r"(?<![a-z])(?:" + "|".join(alternatives) + r")(?![a-z])", re.I | re.A)
+    return re.compile(r"(?<![^\W\d_])(?:" + "|".join(alternatives) + r")(?![^\W\d_])", re.I)
 
 
 #: The method's own kinds.
@@ -100,53 +113,57 @@ DETECTORS = (
         "iban",
         re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
         0.2,
-        mod97,
+        account_end,
         0.6,
-        words("iban", "account", "bank", "transfer"),
-        words("isbn", "part", "order", "serial"),
+        words("iban", "account", "bank", "transfer", "konto", "überweisung", "compte", "banque", "virement", "cuenta", "banco", "transferencia"),
+        words("isbn", "part", "order", "serial", "teil", "bestellung", "pièce", "commande", "pieza", "pedido"),
     ),
     Detector(
         "ssn",
         re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"),
         0.4,
-        near=words("ssn", "social", "security", "taxpayer"),
-        against=words("part", "order", "serial", "ticket"),
+        near=words("ssn", "social", "security", "taxpayer", "sozialversicherung", "sécurité", "sociale", "seguridad"),
+        against=words("part", "order", "serial", "ticket", "teil", "bestellung", "pièce", "commande", "pieza", "pedido"),
     ),
     Detector(
         "phone_local",
         re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
         0.4,
-        near=words("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp"),
-        against=words("part", "order", "serial", "version"),
+        near=words("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "telefon", "handy", "anruf", "téléphone", "tél", "portable", "teléfono", "móvil", "llamar"),
+        against=words("part", "order", "serial", "version", "teil", "bestellung", "pièce", "commande", "pieza", "pedido"),
     ),
 )
 THRESHOLD, WINDOW, NEAR, AGAINST = 0.7, 48, 0.35, -0.4
 RANK = {k: i for i, k in enumerate([*BASE, *(d.kind for d in DETECTORS)])}
 
 
-def score(d: Detector, text: str, start: int, end: int) -> float:
-    """Prior, plus the checksum's weight, plus or less that of words within WINDOW characters."""
+def score(d: Detector, text: str, start: int, end: int) -> tuple[int, float]:
+    """The span's end, and prior, plus the checksum's weight, plus or less that of words within WINDOW characters."""
     total = d.prior
     if d.confirm:
-        if not d.confirm(text[start:end]):
-            return 0.0
-        total += d.confirmed
+        confirmed = d.confirm(text, start, end)
+        if confirmed is None:
+            return end, 0.0
+        end, total = confirmed, total + d.confirmed
     around = text[max(0, start - WINDOW) : start] + "\n" + text[end : end + WINDOW]
     if d.near and d.near.search(around):
         total += NEAR
     if d.against and d.against.search(around):
         total += AGAINST
-    return total
+    return end, total
 
 
 def scored_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
     """Spans of the method's own kinds that reach THRESHOLD and overlap no base span."""
     found = []
     taken = sorted((s, e) for s, e, _ in base)
+    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
     for d in DETECTORS:
         for m in d.pattern.finditer(text):
-            if (x := score(d, text, *m.span())) >= THRESHOLD and not any(s < m.end() and m.start() < e for s, e in taken):
-                found.append((*m.span(), d.kind, x))
+            end, x = score(d, text, *m.span())
+            # base spans that start before the end reach no further than reach[...]
+            if x >= THRESHOLD and reach[bisect_left(starts, end)] <= m.start():
+                found.append((m.start(), end, d.kind, x))
     return found
 
 

@@ -54,15 +54,19 @@ def repeated_words(grams: Column) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts and ratios of each whole text; one projection, no shuffle."""
-    t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    t = t.select("id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)).alias("lines"))
+    """Base counts, ratios and a hash of each whole text; one projection, no shuffle.
+
+    Windows of a text are compared by 64-bit hashes.
+    """
+    t = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    t = t.select("id", "text_hash", "text", F.array_remove(F.split("text", SPACE), "").alias("words"), F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD)).alias("lines"))
     at = lambda i, k: F.get("words", i + k)
     grams = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))))
     t = t.withColumn("grams", F.coalesce(grams, F.array().cast("array<bigint>")))
     count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
     t = t.select(
         "id",
+        "text_hash",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),

@@ -8,7 +8,9 @@ of those blobs only, appends the findings, and joins the ledger back to all path
 Defined results: null text is the empty blob, which has no findings; repeated rows give repeated
 results; an empty table gives an empty table and leaves the ledger as it was; only the named columns
 are read, so other columns cannot clash; a null path is joined like any other value, by its blob.
-A blob goes through one shuffle, dealt by its row, so a text with many copies makes no large group.
+A text goes through one shuffle, dealt by its row, and blobs with many paths are dealt out when findings
+are joined back or cut out of texts, so a text with many copies makes no large group; only rows that
+are equal in all columns stay together. A text is never cut, however long.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.skew import hot_keys_of, salted_join
 from weft.llm.spans import digest, joined, map_texts
 from weft.runtime import scratch_path, table
 
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
 )
@@ -37,7 +40,13 @@ RULES = (
     ("github", "gh", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", "xox", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,24}PRIVATE KEY-----")),
+    # up to the first dash that starts no header such as Proc-Type: the next marker ends the scan, found or not
+    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]|-(?!----))+-----END [A-Z ]{0,24}PRIVATE KEY-----")),
+    ("access_temporary", "ASIA", re.compile(r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16,}")),
+    ("service_key", "sk-", re.compile(r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{16,}")),
+    ("npm", "npm_", re.compile(r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{20,}")),
+    ("github_fine", "github_pat_", re.compile(r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{20,}")),
+    ("bearer", "earer", re.compile(r"(?<![A-Za-z])[Bb]earer\x20+[A-Za-z0-9._~+/=-]{12,}")),
     ("url_login", "://", re.compile(r"(?<=://)[^\s/:@]{1,128}:[^\s/@]{1,256}(?=@)")),
 )
 RANK = {k: i for i, k in enumerate([*BASE, *(r[0] for r in RULES)])}
@@ -113,7 +122,8 @@ def scan_history(
     paths = history.select(
         F.col(path_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("blob")
     )
-    return paths.join(ledger.drop("rule_version"), "blob").select(path_col, "blob", *(n for n, _ in FIELDS))
+    both = salted_join(paths, ledger.drop("rule_version"), "blob", hot_keys_of(paths, "blob"), [path_col])
+    return both.select(path_col, "blob", *(n for n, _ in FIELDS))
 
 
 def without(text: str | None, spans: str | None, mark: str) -> str | None:
@@ -140,7 +150,8 @@ def redact(df: DataFrame, found: DataFrame, text_col: str = "text", mark: str =
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, s, mark) for t, s in zip(text, spans)], dtype=object)
 
-    both = keyed.join(hits, "__blob", "left")
+    others = [c for c in df.columns if c != text_col]
+    both = salted_join(keyed, hits, "__blob", hot_keys_of(keyed.select("__blob"), "__blob"), others or [text_col], "left")
     return both.withColumn(text_col, cut(text_col, "__spans")).select(*df.columns)
 
 
