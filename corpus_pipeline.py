@@ -13,30 +13,44 @@ from weft.llm import byte_bpe, mixing, neardup, quality, secrets
 from weft.runtime import materialize, scratch_path, table
 
 
-def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ``ids``, a null among them like any other."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: a row's doc_id and a hash of its text, as rows may share an id or have none."""
+    return docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are among ``keys`` (id, hash), nulls among them like any other."""
+    keys = keys.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(keys.hint("shuffle_hash"), same, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list let pass."""
-    return rows_of(docs, quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept"))
+    """Documents that the base rule and the learned decision list let pass.
+
+    Null or empty texts go. Each row is judged by its own text, also among rows of one id.
+    """
+    judged = quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept")
+    return rows_of(docs, judged.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
-    return rows_of(docs, neardup.near_duplicates(docs).filter("kept"))
+    """One document of each group of near-duplicates: that of smallest id, then of smallest text hash.
+
+    Of rows equal in id and text one stays. Documents without words are in no group and stay.
+    """
+    found = neardup.near_duplicates(keyed(docs), id_col="__key").filter("kept")
+    return rows_of(docs, found.select("__key.id", "__key.hash")).withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark."""
+    """All documents, each secret replaced by a mark; a null text stays null, n_chars follows the text."""
     found = secrets.scan_history(docs, scratch_path(spark, "ledger"))
     return secrets.redact(docs, found).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; texts without words never. Equal rows share a fate."""
     mix = mixing.Mix()
     taken = mixing.mix_sources(docs, mix).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u"), "copies").distinct()
     keyed = docs.withColumn("__u", mixing.uniform(mix.seed, "doc_id", "text")).alias("d")
@@ -45,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every document of the mix, with the digest of what they decode to."""
+    """Digests of the byte-level BPE ids of every row of the mix, and of what they decode to; null text has no ids."""
     return byte_bpe.encode_digests(docs, byte_bpe.vocabulary_path())
 
 
