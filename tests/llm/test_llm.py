@@ -444,7 +444,7 @@ def test_top_k(spark):
     assert cover_tree.top_k(df.limit(0), df).count() == 0 and cover_tree.top_k(df, df.limit(0)).count() == 0
 
 
-def test_top_k_prunes_and_stays_exact():
+def test_top_k_prunes_and_stays_exact(spark, monkeypatch):
     rnd = np.random.default_rng(4)
     x = np.floor(1024 * (rnd.normal(size=(40, 8))[np.arange(2000) % 40] + 0.01 * rnd.normal(size=(2000, 8))))
     s = cover_tree.Search(np.arange(50), x[:50], np.arange(2000), x, 5)
@@ -452,6 +452,29 @@ def test_top_k_prunes_and_stays_exact():
     assert s.compared < 0.6 * 50 * 2000
     big = cover_tree.exact_scores(np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 1.0], [1.0, 1.0]]))
     assert big == [[(1 << 63) - 1, (1 << 40) + 3]]
+    # over several nodes and parts: clustered vectors are compared with few others
+    monkeypatch.setattr(cover_tree, "ROWS", 20)
+    monkeypatch.setattr(cover_tree, "PART", 2000)
+    rows = [(i, v) for i, v in enumerate((x / 1024).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = cover_tree.hits_of(df.filter("vec_id % 20 = 0"), df, 5).cache()
+    compared, pairs = found.agg(F.sum("compared"), F.sum("pairs")).first()
+    assert pairs < 0.3 * 100 * 2000 and compared <= pairs
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_tree.best_first(found, 5).collect())
+    assert got == plain_top(rows, [r for r in rows if r[0] % 20 == 0], 5)
+
+
+def test_top_k_of_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "PART", 200)
+    rnd = random.Random(12)
+    rows = [(i, [rnd.choice([-1, 1]) * 2.0 ** rnd.randint(0, 60) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = lambda x: min((1 << 63) - 1, max(-(1 << 63), x))
+    want = []
+    for qi, q in rows[::20]:
+        best = sorted((-held(sum(int(1024 * a) * int(1024 * b) for a, b in zip(q, v))), i) for i, v in rows if i != qi)[:10]
+        want += [(qi, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, cover_tree.top_k(df.filter("vec_id % 20 = 0"), df).collect())) == want
 
 
 # --- 8: language model ---------------------------------------------------------------------------
