@@ -210,28 +210,93 @@ def plain_targets(sizes):
     return out
 
 
+def plain_copies(rows, target):
+    """Copies of (size, u) rows of one source: whole copies, certain ones, the ranked sample, one fill."""
+    total = sum(s for s, _ in rows)
+    if not total:
+        return [0] * len(rows)
+    whole = math.floor(target / total)
+    room, merit = target - whole * total, lambda s: math.log2(s + 2)
+    top, rate = None, 0.0
+    for v in sorted({s for s, _ in rows if s}, reverse=True) if room > 0 else []:
+        rest = sum(s * merit(s) for s, _ in rows if s <= v)
+        r = (room - sum(s for s, _ in rows if s > v)) / rest
+        if 0 <= r and r * merit(v) <= 1:
+            top, rate = v, r
+            break
+    out = [whole if s else 0 for s, _ in rows]
+    if top is None:
+        return out
+    left = room
+    for k, (s, _) in enumerate(rows):
+        if s > top:
+            out[k], left = out[k] + 1, left - s
+    if rate > 0:
+        rank = lambda s, u: u / (1 - u) * (1 - min(1.0, rate * merit(s))) / min(1.0, rate * merit(s))
+        by = collections.defaultdict(list)
+        for k, (s, u) in enumerate(rows):
+            if 0 < s <= top:
+                by[rank(s, u)].append(k)
+        for q in sorted(by):
+            words = sum(rows[k][0] for k in by[q])
+            if words > left:
+                break
+            left -= words
+            for k in by[q]:
+                out[k] += 1
+    free = [(abs(left - s), u) for k, (s, u) in enumerate(rows) if s and out[k] < 2]
+    if free:
+        u = min(free)[1]
+        mine = [k for k, r in enumerate(rows) if r[0] and r[1] == u and out[k] < 2]
+        if abs(left - sum(rows[k][0] for k in mine)) < left:
+            for k in mine:
+                out[k] += 1
+    return out
+
+
 def test_mixing(spark, data):
     rnd = random.Random(2)
     texts = [" ".join(["w"] * rnd.choice([0, 5, 50, 50, 400])) for _ in range(600)] + [None, "a " * 20000]
     names = [rnd.choice(["hot"] * 6 + ["b", "é", "c", "ab", None]) for _ in texts]
-    for df in (frame(spark, texts, sources=names), table(spark, data, "documents")):
-        source = {r.doc_id: r.source for r in df.collect()}
+    ids = [k // 2 for k in range(len(texts))]  # some rows are equal in id and text
+    for df in (frame(spark, texts, sources=names), frame(spark, texts, ids=ids, sources=names), frame(spark, texts, ids=[None] * len(texts), sources=names), table(spark, data, "documents")):
         rows = mixing.mix_sources(df).collect()
+        assert len(rows) == df.count()
+        source = {(r.doc_id, r.u): r.source for r in df.withColumn("u", mixing.uniform(mixing.Mix().seed, "doc_id", "text")).collect()}
         by = collections.defaultdict(list)
         for r in rows:
-            by[source[r.doc_id]].append(r)
-        wanted = plain_targets({s: sum(r["size"] for r in x) for s, x in by.items()})
-        for s, x in by.items():
-            assert x[0].target == pytest.approx(wanted[s], rel=1e-9)
-            taken = sum(r["size"] * r.copies for r in x)
-            # whole documents: no nearer than half the longest one can be promised
-            assert abs(taken - wanted[s]) <= max(0.02 * wanted[s], max(r["size"] for r in x) / 2)
-            assert all(0 <= r.copies <= 2 for r in x)
+            by[source[r.doc_id, r.u]].append(r)
+        if len({(i, t, s) for i, t, s in zip(ids, texts, names)}) == len({(i, t) for i, t in zip(ids, texts)}) or df.columns[-1] != "text2":
+            wanted = plain_targets({s: sum(r["size"] for r in x) for s, x in by.items()})
+            for s, x in by.items():
+                assert x[0].target == pytest.approx(wanted[s], rel=1e-9)
+                taken = sum(r["size"] * r.copies for r in x)
+                assert [r.copies for r in x] == plain_copies([(r["size"], r.u) for r in x], x[0].target)
+                # whole documents: no nearer than half the longest one can be promised
+                assert abs(taken - wanted[s]) <= max(0.02 * wanted[s], max(r["size"] for r in x) / 2)
+                # expected words of the sample are the room that whole copies leave
+                room = x[0].target - math.floor(x[0].target / max(1, x[0].source_size)) * x[0].source_size
+                assert sum(r["size"] * r.pi for r in x) == pytest.approx(room, rel=1e-6, abs=1e-6)
+        assert all(0 <= r.copies <= 2 for r in rows)
         assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_sources(df).collect()), key=repr)
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert {r.copies for r in mixing.mix_sources(frame(spark, [None, "", " "])).collect()} == {0}
 
 
+def test_mixing_odds_are_kept_over_seeds(spark):
+    """Documents are taken about as often as their inclusion odds say."""
+    sizes = [3, 5, 8, 13, 21, 34, 55, 89] * 100
+    df = frame(spark, [" ".join(["w"] * n) for n in sizes], sources=["a" if k % 3 else "b" for k in range(len(sizes))])
+    seen, odds = collections.Counter(), collections.Counter()
+    for seed in range(3):
+        for r in mixing.mix_sources(df, mixing.Mix(seed=seed)).collect():
+            whole = math.floor(r.target / r.source_size)
+            seen[r["size"]] += r.copies - whole
+            odds[r["size"]] += r.pi
+    assert sum(seen.values()) == pytest.approx(sum(odds.values()), rel=0.05)
+    assert all(seen[n] == pytest.approx(odds[n], abs=5 * math.sqrt(300 / 4)) for n in set(sizes))
+
+
 # --- 3: quality ----------------------------------------------------------------------------------
 
 

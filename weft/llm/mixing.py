@@ -2,20 +2,25 @@
 
 A source's target is its share of the budget by weight, at most MOST times its own size; what sources
 at that limit leave is shared out again among the others by weight. A document's expected copies are
-its source's target over its size: the whole part is allocated for certain, the rest is a sample. For
-the sample each document has inclusion odds that follow its merit (here the logarithm of its length,
-so probabilities are unequal within a source) and random odds from a hash; its rank is random odds
-over inclusion odds (Rosen's Pareto sampling), and the documents of lowest rank are taken while their
-words fit. The words still missing, less than one document, are filled the same way from documents
-that fit, and last by the one document that comes nearest.
+its source's target over its size: the whole part is allocated for certain, the rest is a sample whose
+words are to fill the room that is left.
 
-The cuts are found without sorting a source: words are summed in BUCKETS buckets of the rank, and only
-the bucket in which the sum passes the target is ordered. What is decided for each source is a few
-thresholds, which a join applies to all documents.
+Inclusion odds follow a document's merit, here the logarithm of its length, so probabilities are unequal
+within a source. They are solved for: what is above 1 is held at 1 and shared out among the others, until
+the expected words of the sample are the room. Documents with odds of 1 are taken. The others are ranked
+by random odds, from a hash, over inclusion odds (Rosen's Pareto sampling), and those of lowest rank are
+taken while their words fit. One fill step follows: the document whose size is nearest to the words still
+missing is taken once more, if that brings the source nearer to its target. A source is thus within half
+its longest document of its target.
+
+The odds depend on a size alone, so they are solved on counts of sizes. The cut is found without sorting
+a source: words are summed in BUCKETS buckets of the rank, and only the bucket in which the sum passes
+the room is ordered. What is decided for each source is a few numbers, which a join applies to all rows.
 
 Defined results: null or empty text has size 0 and is never sampled; a null source is a source of its
 own and comes last; equal rows (id and text) share one rank and so one fate; an empty table gives an
-empty table. Reruns agree, as ranks are hashes. One row for each source is ranked in one task.
+empty table; a text is never cut, only counted. Reruns agree, as ranks are hashes. One row for each
+source is ranked in one task.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ class Mix:
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """(source, source_size, merits, target) from one row a source: the shares, filled up to the limits."""
+    """(source, source_size, target) from one row a source: the shares, filled up to the limits."""
     by_name = Window.orderBy(F.asc_nulls_last("source"))
     weight = F.element_at(F.array(*map(F.lit, mix.weights)), (F.row_number().over(by_name) - 1) % len(mix.weights) + 1)
     s = sizes.withColumn("w", weight.cast("double")).withColumn("cap", mix.most * F.col("source_size"))
@@ -52,7 +57,7 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     rate = left / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("rate", rate).withColumn("full", F.col("rate") * F.col("w") > F.col("cap"))
     shared = F.first(F.when(~F.col("full"), F.col("rate")), ignorenulls=True).over(everything)
-    return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(shared * F.col("w"))).select("source", "source_size", "merits", "target")
+    return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(shared * F.col("w"))).select("source", "source_size", "target")
 
 
 def merit(size: Column) -> Column:
@@ -110,41 +115,58 @@ def within(name: str) -> Column:
     return F.coalesce((F.col("bucket") < b) | ((F.col("bucket") == b) & (F.col("q") <= q)), F.lit(False))
 
 
+def odds(counts: DataFrame) -> DataFrame:
+    """(source, top, rate): documents longer than ``top`` are certain, others have odds of rate * merit.
+
+    From (source, size, n, room): going down the sizes, the first at which the rest of the room, spread
+    over it and all shorter ones by merit, gives it odds of at most 1.
+    """
+    words = F.col("n") * F.col("size")
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    before = lambda x: F.coalesce(F.sum(x).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(words * merit(F.col("size"))).over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = counts.withColumn("rate", (F.col("room") - before(words)) / rest)
+    fits = rows.filter((F.col("rate") >= 0) & (F.col("rate") * merit(F.col("size")) <= 1))
+    return fits.groupBy("source").agg(F.max(F.struct("size", "rate")).alias("m")).select("source", F.col("m.size").alias("top"), F.col("m.rate").alias("rate"))
+
+
 def ranked(rows: DataFrame) -> DataFrame:
-    """Pareto rank q of each row from its u and its source's share, and the bucket of q."""
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mean = F.try_divide(F.col("merits"), F.col("source_size"))
-    rows = rows.withColumn("whole", F.floor(share)).withColumn("pi", F.least(F.lit(1.0), F.coalesce(F.try_divide((share - F.col("whole")) * merit(F.col("size")), mean), F.lit(0.0))))
-    odds = F.col("u") / (1.0 - F.col("u"))
-    # certain documents rank first, and those that can't be taken have no rank
-    rows = rows.withColumn("q", F.when(F.col("pi") >= 1, F.col("u") * 1e-9).when((F.col("pi") > 0) & (F.col("size") > 0), odds * (1.0 - F.col("pi")) / F.col("pi")))
+    """Pareto rank q of each row from its u and its odds, and the bucket of q; none for certain rows."""
+    pi = F.least(F.lit(1.0), F.col("rate") * merit(F.col("size")))
+    q = F.col("u") / (1.0 - F.col("u")) * (1.0 - pi) / pi
+    rows = rows.withColumn("q", F.when((F.col("size") <= F.col("top")) & (F.col("size") > 0) & (pi > 0), q))
     return rows.withColumn("bucket", F.least(F.floor(F.col("q") / (1.0 + F.col("q")) * BUCKETS).cast("int"), F.lit(BUCKETS - 1)))
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, u, size, source_size, target, copies."""
+    """One row per row of ``docs``: id, u, size, source_size, target, pi, q, copies."""
     rows = materialize(sized(docs, id_col, text_col, source_col, mix.seed), "sized")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * merit(F.col("size"))).alias("merits"))
-    rows = ranked(on_source(rows, materialize(targets(sizes, mix), "targets")))
-    open_ = rows.filter("q is not null").withColumn("room", F.col("target") - F.col("whole") * F.col("source_size"))
-    one = materialize(cut(open_, "one"), "cut_one")
-    rest = on_source(open_, one).filter(~within("one")).withColumn("room", F.col("one_left")).filter(F.col("size") <= F.col("room"))
-    two = materialize(cut(rest, "two"), "cut_two")
-    cuts = on_source(one, two).withColumn("two_left", F.coalesce("two_left", "one_left"))
-    first = within("one") | (within("two") & (F.col("size") <= F.col("one_left")))
-    so_far = F.col("whole") + F.when(first, 1).otherwise(0)
-    # where long documents leave a gap that the others can't fill once, some of these are taken again
-    again = on_source(open_, cuts).filter((so_far + 1 <= mix.most) & (F.col("size") <= F.col("two_left"))).withColumn("room", F.col("two_left"))
-    cuts = on_source(cuts, materialize(cut(again, "three"), "cut_three")).withColumn("three_left", F.coalesce("three_left", "two_left"))
-    third = within("three") & (so_far + 1 <= mix.most) & (F.col("size") <= F.col("two_left"))
-    copies = so_far + F.when(third, 1).otherwise(0)
-    # last the document that brings the words nearest to the target, if any brings them nearer
-    lone = on_source(open_, cuts).filter(copies + 1 <= mix.most).withColumn("miss", F.abs(F.col("three_left") - F.col("size")))
-    fit = lone.filter(F.col("miss") < F.col("three_left")).groupBy("source").agg(F.min(F.struct("miss", "q")).alias("f")).select("source", F.col("f.q").alias("fit_q"))
-    cuts = materialize(on_source(cuts, fit), "cuts")
-    copies = copies + F.when(F.coalesce((F.col("q") == F.col("fit_q")) & (copies + 1 <= mix.most), F.lit(False)), 1).otherwise(0)
-    return on_source(rows, cuts).select(
-        F.col("id").alias(id_col), "u", "size", "source_size", "target", F.when(F.col("q").isNull(), F.col("whole")).otherwise(copies).alias("copies")
+    counts = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
+    sizes = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    each = targets(sizes, mix)
+    share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    each = each.withColumn("whole", F.floor(share)).withColumn("room", F.col("target") - F.col("whole") * F.col("source_size"))
+    each = materialize(each, "targets")
+    positive = on_source(counts, each.select("source", "room")).filter("size > 0 and room > 0")
+    solved = on_source(each, odds(positive))
+    certain = F.sum(F.when(F.col("size") > F.col("top"), F.col("n") * F.col("size")).otherwise(0))
+    sure = on_source(positive.drop("room"), solved.select("source", "top")).groupBy("source").agg(certain.alias("sure"))
+    solved = materialize(on_source(solved, sure).withColumn("room", F.col("room") - F.coalesce("sure", F.lit(0))).drop("sure"), "odds")
+    rows = ranked(on_source(rows, solved))
+    cuts = materialize(cut(rows.filter("q is not null"), "one"), "cut")
+    # where no document has a rank, all of the room is left
+    cuts = on_source(solved.select("source", "room"), cuts).withColumn("one_left", F.coalesce("one_left", "room")).drop("room")
+    copies = F.col("whole") + F.when(within("one") | (F.col("size") > F.col("top")), 1).otherwise(0)
+    open_ = on_source(rows, cuts).withColumn("copies", copies)
+    # equal rows are taken together, so a document counts as often as it occurs
+    free = open_.filter((F.col("size") > 0) & (F.col("copies") + 1 <= mix.most))
+    near = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("one_left") - F.col("size")), "u")).alias("f")).select("source", F.col("f.u").alias("fill_u"))
+    alike = on_source(free, near).filter("u = fill_u").groupBy("source").agg(F.sum("size").alias("added"), F.first("fill_u").alias("fill_u"), F.first("one_left").alias("left"))
+    fill = materialize(alike.filter(F.abs(F.col("left") - F.col("added")) < F.col("left")).select("source", "fill_u"), "fill")
+    filled = F.coalesce((F.col("u") == F.col("fill_u")) & (F.col("size") > 0) & (F.col("copies") + 1 <= mix.most), F.lit(False))
+    pi = F.when((F.col("size") > 0) & F.col("top").isNotNull(), F.least(F.lit(1.0), F.when(F.col("size") > F.col("top"), 1.0).otherwise(F.col("rate") * merit(F.col("size"))))).otherwise(0.0)
+    return on_source(open_, fill).select(
+        F.col("id").alias(id_col), "u", "size", "source_size", "target", pi.alias("pi"), "q", F.when(F.col("size") > 0, F.col("copies") + F.when(filled, 1).otherwise(0)).otherwise(0).cast("long").alias("copies")
     )
 
 
