@@ -1,0 +1,123 @@
+"""From session files to the tables: one plan for each provider, from lines to derived rows.
+
+Files are independent, so all of it is joins and grouped passes over (file, turn). Metrics are counted
+before anything is redacted, derived rows come from what is left after it. Turns are written once and
+read again by the four tables that derive from them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.operators import derive, ingest
+from weft.operators.redact import redact_steps, redact_text
+from weft.runtime import materialize
+from weft.schema import METRICS, SESSION_KEY, TOKENS, TURN_KEY
+
+#: Parts that each stored table is dealt to by a hash of the session.
+BUCKETS = 256
+TURN_COLUMNS = ["turn_id", "started_at", "completed_at", "status", "user_message", "final_answer_at", "final_answer_text", "primary_model", *TOKENS, *METRICS, "has_final_answer", "steps"]
+
+
+def provider_turns(raw: DataFrame, provider: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turns by file, what each file says of its session, files that are skipped with a reason).
+
+    ``raw`` has whole files (file, text). A file with a line that isn't JSON is skipped, not fatal.
+    """
+    parsed, bad = ingest.quarantine(ingest.lines(raw))
+    v = F.col("v")
+    if provider == "codex":
+        turns = ingest.codex_turns(ingest.codex_events(parsed))
+        at = F.when(ingest.text_of(v, "$.type") == "session_meta", F.col("line"))
+        values = {n: ingest.text_of(v, f"$.payload.{p}") for n, p in (("session_id", "id"), ("cwd", "cwd"), ("cli_version", "cli_version"), ("repository_url", "git.repository_url"))}
+    else:
+        turns = ingest.claude_turns(ingest.claude_events(parsed), parsed)
+        at = F.col("line")
+        values = {n: ingest.text_of(v, f"$.{p}") for n, p in (("session_id", "sessionId"), ("cwd", "cwd"), ("cli_version", "version"))} | {"repository_url": F.lit(None).cast("string")}
+    first = [F.min(F.when(at.isNotNull() & c.isNotNull(), F.struct(F.col("line"), c.alias("x"))))["x"].alias(n) for n, c in values.items()]
+    return turns, parsed.groupBy("file").agg(*first), bad
+
+
+def determinism(provider: str):
+    """(epoch, how sure it is) of a session's version."""
+    starts = ingest.CODEX_EPOCHS if provider == "codex" else [(v, f"from_{v}") for v in ingest.CLAUDE_EPOCHS]
+    return ingest.epoch(F.col("cli_version"), list(starts), starts[-1][0])
+
+
+def provider_tables(raw: DataFrame, provider: str, owners: DataFrame) -> dict[str, DataFrame]:
+    """All tables of one provider's files (file, text, size, mtime_ms); ``owners`` maps roots to projects.
+
+    Of several files of one session the largest and newest one that parses is taken. A session whose
+    folder lies in no project is left out.
+    """
+    turns, about, skipped = provider_turns(raw, provider)
+    files = raw.select("file", "size", "mtime_ms").join(skipped.select("file", "reason"), "file", "left")
+    found = files.join(about, "file").filter("session_id is not null").withColumn("__readable", F.col("reason").isNull())
+    one = ingest.dedupe_priority(found, ["session_id"], "size", "mtime_ms", "file", "__readable").drop("reason", "__readable")
+    homes = ingest.owner_by_prefix(one.select(F.col("cwd").alias("path")).filter("path is not null").distinct(), owners).filter("project_id is not null")
+    name, sure = determinism(provider)
+    sessions = one.join(homes.withColumnRenamed("path", "cwd"), "cwd").withColumn("provider", F.lit(provider))
+    sessions = materialize(
+        sessions.select(
+            *SESSION_KEY, F.lit(None).cast("string").alias("parent_session_id"), F.lit("primary").alias("session_kind"), F.col("file").alias("archive_path"), "cwd", "cli_version",
+            name.alias("schema_id"), F.coalesce(sure, F.lit("best_effort_forward")).alias("determinism"), F.col("size").alias("source_size"), F.col("mtime_ms").alias("source_mtime_ms"),
+            F.lit("local").alias("origin_kind"), F.lit(None).cast("string").alias("origin_user_id"), F.lit("unset").alias("share_state"),
+        ),
+        "sessions",
+    )
+    mine = turns.join(sessions.select(*SESSION_KEY, F.col("archive_path").alias("file")), "file")
+    measured = derive.metrics(mine)
+    clean = measured.withColumns({"user_message": redact_text(F.col("user_message")), "final_answer_text": redact_text(F.col("final_answer_text")), "steps": redact_steps(F.col("steps"))})
+    turns = materialize(clean.select(*TURN_KEY, *TURN_COLUMNS), "turns")
+    calls = derive.pair_calls(turns)
+    return {
+        "sessions": sessions,
+        "turns": turns,
+        "tool_calls": calls,
+        "file_accesses": derive.file_accesses(calls, sessions),
+        "turn_evidence": derive.evidence(turns),
+        "turn_search": derive.search_text(turns),
+        "skipped": skipped,
+    }
+
+
+def derived(turns: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
+    """The derived tables, rebuilt from stored turns and sessions."""
+    calls = derive.pair_calls(turns)
+    return {"tool_calls": calls, "file_accesses": derive.file_accesses(calls, sessions), "turn_evidence": derive.evidence(turns), "turn_search": derive.search_text(turns)}
+
+
+def all_tables(raw: dict[str, DataFrame], owners: DataFrame) -> dict[str, DataFrame]:
+    """Tables of every provider's files together."""
+    out: dict[str, DataFrame] = {}
+    for provider, files in raw.items():
+        for name, rows in provider_tables(files, provider, owners).items():
+            out[name] = out[name].unionByName(rows) if name in out else rows
+    return out
+
+
+def bucket():
+    return F.pmod(F.xxhash64("provider", "session_id"), F.lit(BUCKETS)).cast("int")
+
+
+def write_tables(tables: dict[str, DataFrame], root: str) -> None:
+    """Write each table dealt by session, rows of a session together, so that a session's reads prune to one part."""
+    for name, rows in tables.items():
+        if "session_id" not in rows.columns:
+            rows.write.mode("overwrite").parquet(f"{root}/{name}")
+            continue
+        key = [c for c in TURN_KEY if c in rows.columns]
+        dealt = rows.withColumn("bucket", bucket()).repartition("bucket").sortWithinPartitions("bucket", *key)
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}")
+
+
+def read_table(spark: SparkSession, root: str, name: str, provider: str | None = None, session_id: str | None = None) -> DataFrame:
+    """A stored table; given a session, only the part that can hold it is read."""
+    rows = spark.read.parquet(f"{root}/{name}")
+    if "bucket" not in rows.columns:
+        return rows
+    if provider and session_id:
+        at = spark.range(1).select(F.pmod(F.xxhash64(F.lit(provider), F.lit(session_id)), F.lit(BUCKETS)).cast("int")).first()[0]
+        rows = rows.filter((F.col("bucket") == at) & (F.col("provider") == provider) & (F.col("session_id") == session_id))
+    return rows.drop("bucket")

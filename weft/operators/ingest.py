@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.schema import STEP, TOKENS
+
 FILE = ["file"]
 
 
@@ -40,6 +42,10 @@ def message_text(v: Column, path: str) -> Column:
 BOILERPLATE = ("<user_instructions>", "<environment_context>", "# AGENTS.md instructions", "<turn_aborted>")
 
 
+#: The counters of a Codex usage object.
+COUNTERS = {"input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "all": "total_tokens"}
+
+
 def codex_events(parsed: DataFrame) -> DataFrame:
     """(file, line, at, kind, text, …): what each line of a Codex file means for its turns."""
     v = F.col("v")
@@ -71,8 +77,10 @@ def codex_events(parsed: DataFrame) -> DataFrame:
         F.coalesce(content, text_of(v, "$.payload.last_agent_message")).alias("text"),
         text_of(v, "$.payload.phase").alias("phase"),
         text_of(v, "$.payload.model").alias("model"),
-        number("$.payload.info.total_token_usage.total_tokens").alias("total"),
-        number("$.payload.info.last_token_usage.total_tokens").alias("last"),
+        F.try_variant_get(v, "$.payload.info.total_token_usage", "variant").isNotNull().alias("counted"),
+        *(number(f"$.payload.info.{kind}_token_usage.{field}").alias(f"{kind}_{name}") for name, field in COUNTERS.items() for kind in ("total", "last")),
+        text_of(v, "$.payload.id").alias("item_id"),
+        F.coalesce(text_of(v, "$.payload.turn_id"), text_of(v, "$.turn_id")).alias("turn_id"),
         text_of(v, "$.payload.call_id").alias("call_id"),
         text_of(v, "$.payload.name").alias("name"),
         F.coalesce(text_of(v, "$.payload.arguments"), text_of(v, "$.payload.input")).alias("arguments"),
@@ -92,45 +100,69 @@ def sessionise(events: DataFrame, by: list[str] = FILE, order: str = "line") ->
     return events.withColumn("turn_ordinal", F.sum(F.when(F.col("boundary"), 1).otherwise(0)).over(w))
 
 
-def counter_delta(rows: DataFrame, by: list[str], order: list, total: str, last: str | None = None) -> DataFrame:
-    """``delta`` of a running total: its rise; after a reset the last request's value, else the total itself."""
+def counter_delta(rows: DataFrame, by: list[str], order: list, total: str, last: str | None = None, name: str = "delta") -> DataFrame:
+    """``name``: the rise of a running total since the row before.
+
+    Without a total before, or after a reset, the last request's own value counts, else the total; without
+    a total the last request's value alone.
+    """
     before = F.lag(total).over(Window.partitionBy(*by).orderBy(*order))
-    fall_back = F.coalesce(F.col(last), F.col(total)) if last else F.col(total)
-    return rows.withColumn("delta", F.when(F.col(total) >= F.coalesce(before, F.lit(0)), F.col(total) - F.coalesce(before, F.lit(0))).otherwise(fall_back))
+    single = F.col(last) if last else F.lit(None).cast("long")
+    rise = F.when(F.col(total) >= before, F.col(total) - before).when(F.col(total).isNotNull(), F.coalesce(single, F.col(total))).otherwise(single)
+    return rows.withColumn(name, rise)
 
 
-def codex_turns(events: DataFrame) -> DataFrame:
-    """Turns of Codex files: prompt, last final answer, status, tokens, first real model, steps.
+def saturating_sum(c: Column | str) -> Column:
+    """Sum of a long column that stops at the largest long; null if every value is."""
+    return F.least(F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
+
 
-    Token counts before the first turn are added to it.
+def codex_usage(events: DataFrame) -> DataFrame:
+    """(file, turn_ordinal, TOKENS): the rises of the file's running totals, summed by turn.
+
+    Counts before the first turn are added to it.
     """
+    rows = events.filter("kind = 'tokens' and counted")
+    for c in COUNTERS:
+        rows = counter_delta(rows, FILE, ["line"], f"total_{c}", f"last_{c}", c)
+    uncached = F.greatest(F.col("input") - F.coalesce("cached", F.lit(0)), F.lit(0).cast("long"))
+    both = F.when(F.col("input").isNotNull() & F.col("output").isNotNull(), F.col("input") + F.col("output")).otherwise(F.col("all"))
+    values = (F.when(F.col("input").isNotNull(), uncached), F.col("cached"), F.lit(None).cast("long"), F.col("output"), F.col("reasoning"), F.col("all"), both)
+    rows = rows.select("file", F.greatest("turn_ordinal", F.lit(1)).alias("turn_ordinal"), *(v.cast("long").alias(t) for t, v in zip(TOKENS, values)))
+    return rows.groupBy("file", "turn_ordinal").agg(*(saturating_sum(t).alias(t) for t in TOKENS))
+
+
+def codex_turns(events: DataFrame) -> DataFrame:
+    """Turns of Codex files: prompt, last final answer, status, tokens, first real model, steps."""
     e = sessionise(choose_boundaries(events))
-    tokens = counter_delta(e.filter("kind = 'tokens' and total is not null"), FILE, ["line"], "total", "last")
-    spent = tokens.groupBy("file", F.greatest("turn_ordinal", F.lit(1)).alias("turn_ordinal")).agg(F.sum("delta").alias("total_token_count"))
     answer = (F.col("kind") == "assistant") & (F.coalesce("phase", F.lit("final_answer")) == "final_answer")
     final = F.struct(F.col("line"), F.col("at"), F.col("text"))
     done = F.max(F.when(F.col("kind") == "complete", final))
     said = F.max(F.when(answer, final))
-    step = F.when(
-        F.col("kind").isin("tool_call", "tool_call_output", "reasoning") | ((F.col("kind") == "assistant") & (F.col("phase") == "commentary")),
-        F.struct("line", F.when(F.col("kind") == "assistant", "commentary").otherwise(F.col("kind")).alias("type"), F.col("at").alias("timestamp"), "text", "call_id", "name", "arguments", "output"),
+    time = F.col("at")
+    step = (
+        F.when(F.col("kind") == "tool_call", make_step("tool_call", timestamp=time, call_id=F.col("call_id"), name=F.col("name"), arguments=F.col("arguments")))
+        .when(F.col("kind") == "tool_call_output", make_step("tool_call_output", timestamp=time, call_id=F.col("call_id"), output=F.col("output")))
+        .when(F.col("kind") == "reasoning", make_step("reasoning", timestamp=time, text=F.col("text"), summary_list=F.array_compact(F.array("text"))))
+        .when((F.col("kind") == "assistant") & (F.col("phase") == "commentary"), make_step("commentary", timestamp=time, text=F.col("text")))
     )
     real = F.col("model").isNotNull() & ~F.col("model").rlike("^<.*>$")
     g = e.filter("turn_ordinal > 0").groupBy("file", "turn_ordinal").agg(
         F.min_by("text", "line").alias("user_message"),
         F.min_by("at", "line").alias("started_at"),
+        F.min(F.when(F.col("turn_id").isNotNull(), F.struct("line", "turn_id"))).alias("named"),
         said.alias("said"),
         done.alias("done"),
         F.max(F.when(F.col("kind") == "abort", F.col("at"))).alias("aborted_at"),
-        F.min_by("model", F.when(real, F.col("line"))).alias("model"),
         F.min(F.when(real, F.struct("line", "model"))).alias("first_model"),
-        F.sort_array(F.collect_list(step)).alias("steps"),
+        F.sort_array(F.collect_list(F.when(step.isNotNull(), F.struct("line", step.alias("step"))))).alias("steps"),
     )
-    g = g.join(spent, ["file", "turn_ordinal"], "left")
+    g = g.join(codex_usage(e), ["file", "turn_ordinal"], "left")
     status = F.when(F.col("aborted_at").isNotNull(), "aborted").when(F.col("done").isNotNull() | F.col("said").isNotNull(), "completed").otherwise("incomplete")
     return g.select(
         "file",
-        "turn_ordinal",
+        F.col("turn_ordinal").cast("long"),
+        F.col("named.turn_id").alias("turn_id"),
         "started_at",
         F.coalesce("aborted_at", "done.at", "said.at").alias("completed_at"),
         status.alias("status"),
@@ -138,8 +170,8 @@ def codex_turns(events: DataFrame) -> DataFrame:
         F.coalesce("said.at", F.when(F.col("done.text").isNotNull(), F.col("done.at"))).alias("final_answer_at"),
         F.coalesce("said.text", "done.text").alias("final_answer_text"),
         F.col("first_model.model").alias("primary_model"),
-        "total_token_count",
-        "steps",
+        *TOKENS,
+        F.transform("steps", lambda x: x["step"]).alias("steps"),
     )
 
 
@@ -154,28 +186,52 @@ def claude_events(parsed: DataFrame) -> DataFrame:
     prompt_text = F.when(F.coalesce(content, F.lit("")) != "", content).otherwise(F.concat(F.lit("<"), F.array_join(F.array_distinct(images), " + "), F.lit(" prompt>")))
     origin = F.try_variant_get(v, "$.origin", "variant")
     meta = F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)) | (origin.isNotNull() & ~F.is_variant_null(origin))
-    usage = lambda f: F.try_variant_get(v, f"$.message.usage.{f}", "long")
     stop = text_of(v, "$.message.stop_reason")
     uses_tool = F.coalesce(F.exists(types, lambda t: t == "tool_use"), F.lit(False))
+    version = text_of(v, "$.version")
+    texts = F.filter(F.transform(F.filter(items, lambda i: i["type"] == "text"), lambda i: i["text"]), lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
+    answer = F.when(F.schema_of_variant(F.try_variant_get(v, "$.message.content", "variant")) == "STRING", content).otherwise(F.array_join(texts, "\n\n"))
+    terminal = stop.isin("end_turn", "stop_sequence") | (text_ends_turn(version) & ~uses_tool)
+    error = F.coalesce(F.try_variant_get(v, "$.isApiErrorMessage", "boolean"), F.lit(False)) | F.try_variant_get(v, "$.error", "variant").isNotNull()
+    direct, delegated = usage(v, "$.message.usage", F.lit(None).cast("long")), usage(v, "$.toolUseResult.usage", F.try_variant_get(v, "$.toolUseResult.totalTokens", "long"))
     return parsed.select(
         "file",
         "line",
         text_of(v, "$.timestamp").alias("at"),
         kind.alias("kind"),
         F.coalesce((kind == "user") & ~meta & ~only_results, F.lit(False)).alias("boundary"),
-        F.when(kind == "user", prompt_text).otherwise(content).alias("text"),
+        F.when(kind == "user", prompt_text).otherwise(answer).alias("text"),
         F.when(text_of(v, "$.message.model").rlike("^<.*>$"), F.lit(None)).otherwise(text_of(v, "$.message.model")).alias("model"),
-        F.coalesce(text_of(v, "$.requestId"), text_of(v, "$.message.id"), text_of(v, "$.uuid"), F.concat(F.lit("line-"), "line")).alias("request"),
-        *(usage(f).alias(f) for f in USAGE),
-        F.coalesce((kind == "assistant") & (stop.isin("end_turn", "stop_sequence") | (stop.isNull() & ~uses_tool & (F.coalesce(content, F.lit("")) != ""))), F.lit(False)).alias("ends"),
-        F.coalesce(F.try_variant_get(v, "$.isApiErrorMessage", "boolean"), F.lit(False)).alias("failed"),
+        F.coalesce(text_of(v, "$.requestId"), text_of(v, "$.message.id"), text_of(v, "$.timestamp")).alias("request"),
+        F.when(kind == "assistant", direct).alias("direct"),
+        F.when(kind == "user", delegated).alias("delegated"),
+        F.coalesce((kind == "assistant") & terminal & (F.coalesce(answer, F.lit("")) != ""), F.lit(False)).alias("ends"),
+        F.coalesce((kind == "assistant") & error, F.lit(False)).alias("failed"),
+        F.coalesce((stop != "end_turn") | stop.isNull(), F.lit(True)).alias("open_stop"),
+        text_of(v, "$.uuid").alias("uuid"),
         text_of(v, "$.sessionId").alias("session"),
         text_of(v, "$.cwd").alias("cwd"),
-        text_of(v, "$.version").alias("version"),
+        version.alias("version"),
     )
 
 
-USAGE = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+def text_ends_turn(version: Column) -> Column:
+    """Whether text without a tool call ends a turn whatever the stop reason: so it was before 2.1.84."""
+    return F.coalesce(version_key(version) < version_literal("2.1.84"), F.lit(False))
+
+
+#: The counters of a Claude usage object.
+USAGE = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens")
+
+
+def usage(v: Column, path: str, provider_total: Column) -> Column:
+    """TOKENS of a usage object as a struct, null without any; a provider's own total stands for the sum."""
+    get = lambda f: F.try_variant_get(v, f"{path}.{f}", "long")
+    fresh, read, written, out = map(get, USAGE)
+    whole = F.when(fresh.isNotNull() & read.isNotNull() & written.isNotNull() & out.isNotNull(), fresh + read + written + out)
+    whole = whole.when(fresh.isNotNull() & out.isNotNull() & read.isNull() & written.isNull(), fresh + out)
+    values = (fresh, read, written, out, F.lit(None).cast("long"), provider_total, F.coalesce(provider_total, whole))
+    return F.when(F.coalesce(fresh, read, written, out, provider_total).isNotNull(), F.struct(*(x.cast("long").alias(t) for t, x in zip(TOKENS, values))))
 
 
 def token_dedupe(rows: DataFrame, by: list[str], request: str, fields: tuple[str, ...]) -> DataFrame:
@@ -184,29 +240,49 @@ def token_dedupe(rows: DataFrame, by: list[str], request: str, fields: tuple[str
     return each.groupBy(*by).agg(*(F.sum(f).alias(f) for f in fields))
 
 
-def claude_turns(events: DataFrame) -> DataFrame:
-    """Turns of Claude files; status follows the last line that ends the turn or fails."""
+def claude_usage(events: DataFrame) -> DataFrame:
+    """(file, turn_ordinal, TOKENS): each request's largest counters, and what delegated agents report."""
+    by = ["file", "turn_ordinal"]
+    direct = events.filter("direct is not null").select(*by, "request", "direct.*")
+    each = direct.groupBy(*by, "request").agg(*(F.max(t).alias(t) for t in TOKENS)).drop("request")
+    every = each.unionByName(events.filter("delegated is not null").select(*by, "delegated.*"))
+    return every.groupBy(*by).agg(*(saturating_sum(t).alias(t) for t in TOKENS))
+
+
+def claude_turns(events: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Turns of Claude files; status and answer are those of the last line that ends the turn.
+
+    Without such a line the turn is incomplete and ends with its last error, if any. ``parsed`` are the
+    lines the events came from; given these, turns have their steps.
+    """
     e = sessionise(events).filter("turn_ordinal > 0")
-    ended = F.when(F.col("ends") & ~F.col("failed"), F.struct("line", "at", "text"))
+    broken = F.col("open_stop") & (F.col("failed") | (F.col("text") == "No response requested."))
+    ended = F.when(F.col("ends"), F.struct("line", "at", "text", F.when(broken, "incomplete").otherwise("completed").alias("status")))
     g = e.groupBy("file", "turn_ordinal").agg(
         F.min_by("text", "line").alias("user_message"),
         F.min_by("at", "line").alias("started_at"),
+        F.min_by("uuid", "line").alias("turn_id"),
         F.max(ended).alias("done"),
-        F.max(F.when(F.col("failed"), F.col("line"))).alias("failed_line"),
+        F.max(F.when(F.col("failed"), F.struct("line", "at"))).alias("error"),
         F.min(F.when(F.col("model").isNotNull(), F.struct("line", "model"))).alias("first_model"),
     )
-    used = token_dedupe(e.filter("kind = 'assistant'"), ["file", "turn_ordinal"], "request", USAGE)
-    ok = F.col("done").isNotNull() & (F.coalesce("failed_line", F.lit(0)) < F.col("done.line"))
-    return g.join(used, ["file", "turn_ordinal"], "left").select(
+    g = g.join(claude_usage(e), ["file", "turn_ordinal"], "left")
+    if parsed is not None:
+        g = g.join(claude_steps(parsed, e.select("file", "line", "turn_ordinal", F.col("ends").alias("final"))), ["file", "turn_ordinal"], "left")
+    steps = F.col("steps") if parsed is not None else F.lit(None)
+    return g.select(
         "file",
-        "turn_ordinal",
+        F.col("turn_ordinal").cast("long"),
+        "turn_id",
         "started_at",
-        F.when(ok, F.col("done.at")).alias("completed_at"),
-        F.when(ok, "completed").otherwise("incomplete").alias("status"),
+        F.coalesce("done.at", "error.at").alias("completed_at"),
+        F.coalesce("done.status", F.lit("incomplete")).alias("status"),
         "user_message",
-        F.when(ok, F.col("done.text")).alias("final_answer_text"),
+        F.col("done.at").alias("final_answer_at"),
+        F.col("done.text").alias("final_answer_text"),
         F.col("first_model.model").alias("primary_model"),
-        *USAGE,
+        *TOKENS,
+        F.coalesce(steps, F.array()).cast(f"array<{STEP}>").alias("steps"),
     )
 
 
@@ -221,24 +297,38 @@ def identity_checks(events: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def version_key(version: Column) -> Column:
-    """Comparable form of a dotted version; null if it has no three numbers."""
-    return F.when(version.rlike(r"^\d+\.\d+\.\d+"), F.transform(F.split(F.regexp_extract(version, r"^(\d+\.\d+\.\d+)", 1), r"\."), lambda p: p.cast("int")))
+    """Comparable form of a dotted version, a pre-release before its release; null if it has no three numbers."""
+    core = F.split(F.regexp_extract(version, r"^(\d+\.\d+\.\d+)", 1), r"\.")
+    alpha = F.regexp_extract(version, r"^\d+\.\d+\.\d+-alpha\.(\d+)$", 1)
+    last = F.when(alpha != "", alpha.cast("int")).otherwise(F.lit((1 << 31) - 1))
+    return F.when(version.rlike(r"^\d+\.\d+\.\d+"), F.concat(F.transform(core, lambda p: p.cast("int")), F.array(last)))
+
+
+def version_literal(version: str) -> Column:
+    core, _, alpha = version.partition("-alpha.")
+    return F.array(*(F.lit(int(p)) for p in core.split(".")), F.lit(int(alpha) if alpha else (1 << 31) - 1))
 
 
 def epoch(version: Column, starts: list[tuple[str, str]], last_exact: str) -> tuple[Column, Column]:
     """Schema epoch of a version and how sure it is; ``starts`` are (first version, id) in rising order."""
     key = version_key(version)
-    lit = lambda s: F.array(*(F.lit(int(p)) for p in s.split(".")))
     name = F.lit(None).cast("string")
     for first, label in starts:
-        name = F.when(key >= lit(first), F.lit(label)).otherwise(name)
-    return name, F.when(name.isNotNull(), F.when(key <= lit(last_exact), "exact").otherwise("best_effort_forward"))
+        name = F.when(key >= version_literal(first), F.lit(label)).otherwise(name)
+    return name, F.when(name.isNotNull(), F.when(key <= version_literal(last_exact), "exact").otherwise("best_effort_forward"))
+
+
+#: First versions of the providers' schema epochs.
+CODEX_EPOCHS = (("0.33.0", "initial"), ("0.35.0-alpha.3", "compaction_prelude"), ("0.35.0-alpha.8", "legacy"), ("0.95.0", "phased_messages"), ("0.97.0", "structured_tool_output"), ("0.104.0-alpha.1", "turn_lifecycle"))
+CLAUDE_EPOCHS = ("1.0.88", "2.0.8", "2.0.29", "2.0.53", "2.0.73", "2.1.16", "2.1.38", "2.1.62", "2.1.84", "2.1.90", "2.1.161", "2.1.198")
 
 
-def dedupe_priority(candidates: DataFrame, key: list[str], size: str, modified: str, path: str) -> DataFrame:
-    """One file a session: largest, then newest, then last by path; only readable candidates are given."""
-    order = Window.partitionBy(*key).orderBy(F.desc(size), F.desc(modified), F.desc(path))
-    return candidates.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+def dedupe_priority(candidates: DataFrame, key: list[str], size: str, modified: str, path: str, readable: str | None = None) -> DataFrame:
+    """One file a session: largest, then newest, then last by path; files that don't parse give way to those that do."""
+    order = [F.desc(readable)] if readable else []
+    order += [F.desc(size), F.desc(modified), F.desc(path)]
+    ranked = candidates.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return ranked.filter(F.col("rn") == 1 if not readable else (F.col("rn") == 1) & F.col(readable)).drop("rn")
 
 
 def owner_by_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root", owner: str = "project_id") -> DataFrame:
@@ -267,8 +357,6 @@ def archive_kind(path: Column) -> tuple[Column, Column, Column]:
 
 def make_step(kind: str, **fields: Column) -> Column:
     """A step of the given fields, the others null, typed as the step schema says."""
-    from weft.schema import STEP
-
     names = [f.split(":")[0] for f in STEP[len("struct<") : -1].split(",")]
     values = {"type": F.lit(kind), **fields}
     return F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(STEP)
@@ -320,9 +408,3 @@ def claude_steps(parsed: DataFrame, turns_of_lines: DataFrame) -> DataFrame:
     each = each.withColumn("step", step).filter("step is not null")
     g = each.groupBy("file", "turn_ordinal").agg(F.sort_array(F.collect_list(F.struct("line", "pos", "step"))).alias("s"))
     return g.select("file", "turn_ordinal", F.transform("s", lambda x: x["step"]).alias("steps"))
-
-
-def delegated_tokens(parsed: DataFrame) -> DataFrame:
-    """(file, line, total): tokens that a delegated agent reports with its result."""
-    total = F.try_variant_get(F.col("v"), "$.toolUseResult.totalTokens", "long")
-    return parsed.select("file", "line", total.alias("total")).filter("total is not null")

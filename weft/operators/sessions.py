@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from weft.functions.text import display_path, fold, fold_text, glob_to_regex, normal_path
 from weft.operators import scope
 from weft.operators.paging import page, whole_sum
-from weft.schema import SESSION_KEY
+from weft.schema import METRICS, SESSION_KEY, TOKENS
 
 CAP = 500
+#: Change statistics, whose unknown values count as none.
+CHANGES = tuple(m for m in METRICS if m.startswith(("changed_", "added_", "removed_")))
 #: Largest page whose keys are broadcast.
 BROADCAST = 10_000
 
@@ -20,18 +22,18 @@ def turn_totals(turns: DataFrame) -> DataFrame:
 
     First and latest values are minima and maxima of structs, so one grouped pass serves them all.
     """
-    first = F.min_by(F.struct("user_message"), "turn_ordinal")
+    first = F.min_by(F.struct("user_message", "started_at"), "turn_ordinal")
     last = F.max_by(F.struct("status", "primary_model", "final_answer_text"), "turn_ordinal")
     return turns.groupBy(*SESSION_KEY).agg(
         F.count(F.lit(1)).alias("turn_count"),
         F.max("started_at").alias("latest_turn_at"),
-        F.min("started_at").alias("first_turn_at"),
+        first["started_at"].alias("first_turn_at"),
         last["status"].alias("latest_status"),
         last["primary_model"].alias("primary_model"),
         last["final_answer_text"].alias("final_agent_message"),
         first["user_message"].alias("first_user_prompt"),
-        whole_sum("total_token_count").alias("total_token_count"),
-        whole_sum("effective_agent_runtime_ms").alias("effective_agent_runtime_ms"),
+        *(whole_sum(c).alias(c) for c in (*TOKENS, "effective_agent_runtime_ms") if c in turns.columns),
+        *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in CHANGES if c in turns.columns),
         F.count_if(F.col("status") == "aborted").alias("aborted_turn_count"),
     )
 
@@ -80,7 +82,8 @@ def list_sessions(
     if limit <= BROADCAST:
         keys = F.broadcast(keys)  # at most a page of rows
     totals = turn_totals(mine.join(keys, SESSION_KEY, "left_semi")).drop("latest_turn_at")
-    out = rows.join(totals, SESSION_KEY, "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)))
+    out = rows.join(totals, SESSION_KEY, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("turn_count", "aborted_turn_count", *CHANGES) if c in out.columns})
     return compact(out, full).orderBy(*newest_first())
 
 

@@ -32,12 +32,12 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-TOTALS = """totals AS (SELECT project_id, provider, session_id, count(*) AS turn_count, max(started_at) AS latest_turn_at, min(started_at) AS first_turn_at,
+TOTALS = """totals AS (SELECT project_id, provider, session_id, count(*) AS turn_count, max(started_at) AS latest_turn_at, arg_min(started_at, turn_ordinal) AS first_turn_at,
   arg_max(status, turn_ordinal) AS latest_status, arg_min(user_message, turn_ordinal) AS first_user_prompt,
   CASE WHEN count(*) = count(total_token_count) THEN sum(total_token_count)::BIGINT END AS total_token_count,
   count(*) FILTER (status = 'aborted') AS aborted_turn_count FROM {} GROUP BY 1, 2, 3)"""
 LISTED = ["project_id", "provider", "session_id", "turn_count", "latest_turn_at", "first_turn_at", "latest_status", "first_user_prompt", "total_token_count", "aborted_turn_count"]
-COLUMNS = ", ".join(LISTED)
+COLUMNS = ", ".join(LISTED).replace("aborted_turn_count", "coalesce(aborted_turn_count, 0) AS aborted_turn_count")
 NEWEST = "ORDER BY latest_turn_at DESC NULLS LAST, provider, session_id DESC"
 
 
@@ -45,7 +45,7 @@ NEWEST = "ORDER BY latest_turn_at DESC NULLS LAST, provider, session_id DESC"
 
 
 @query("session_list", with_(S.SQL_CHAT, TOTALS.format("chat_turns")) + f"""SELECT s.project_id, s.provider, s.session_id, coalesce(turn_count, 0) AS turn_count, latest_turn_at, first_turn_at,
-  latest_status, first_user_prompt[:500] AS first_user_prompt, total_token_count, aborted_turn_count
+  latest_status, first_user_prompt[:500] AS first_user_prompt, total_token_count, coalesce(aborted_turn_count, 0) AS aborted_turn_count
 FROM chat_sessions s LEFT JOIN totals USING (project_id, provider, session_id) WHERE origin_kind = 'local' {NEWEST} LIMIT 50""")
 def session_list(spark, d):
     return sessions.list_sessions(S.chat_sessions(spark, d), S.chat_turns(spark, d), limit=50).select(*LISTED)
@@ -96,10 +96,49 @@ def resolve_prefix(spark, d):
     return sessions.resolve_prefix(S.sessions(spark, d), "ORD-12")
 
 
-@query("turn_sessionise", with_(S.SQL_CHAT) + """SELECT project_id, provider, session_id, turn_ordinal, started_at, completed_at, status, user_message, final_answer_text,
-  duration_ms, total_token_count, primary_model FROM chat_turns""")
+def assembled(spark, d):
+    """The tables that the assembly makes of the conversations' session files."""
+    from weft.operators.assemble import all_tables
+
+    return all_tables(S.session_files(spark, d), S.owners(spark))
+
+
+REDACTED = """regexp_replace({}, '\\btoken = "[^\\s"][^"\\r\\n]{{3,}}"', 'token = "[REDACTED_SECRET]"', 'g')"""
+
+
+@query("turn_sessionise", with_(S.SQL_FILES) + f"""SELECT project_id, provider, session_id, turn_ordinal, started_at, completed_at, status, {REDACTED.format('user_message')} AS user_message,
+  {REDACTED.format('final_answer_text')} AS final_answer_text, duration_ms, step_count, primary_model, input_uncached_token_count, output_token_count, input_uncached_token_count + output_token_count AS total_token_count
+FROM file_turns LEFT JOIN (SELECT conv_id, ordinal AS turn_ordinal, sum(asked)::BIGINT AS input_uncached_token_count, sum(said)::BIGINT AS output_token_count FROM spent GROUP BY 1, 2) USING (conv_id, turn_ordinal)""")
 def turn_sessionise(spark, d):
-    return S.chat_turns(spark, d).drop("effective_agent_runtime_ms")
+    keep = ["started_at", "completed_at", "status", "user_message", "final_answer_text", "duration_ms", "step_count", "primary_model", "input_uncached_token_count", "output_token_count", "total_token_count"]
+    return assembled(spark, d)["turns"].select("project_id", "provider", "session_id", "turn_ordinal", *keep)
+
+
+@query("refresh_tables", with_(S.SQL_FILES) + f"""SELECT session_id, coalesce(turns, 0) AS turns, coalesce(calls, 0) AS calls, coalesce(calls, 0) AS accesses, coalesce(turns + answered + 3 * calls, 0) AS fragments
+FROM (SELECT DISTINCT 'conv-' || conv_id AS session_id FROM conversations)
+LEFT JOIN (SELECT session_id, count(*) AS turns, sum(calls)::BIGINT AS calls, count(*) FILTER (status = 'completed') AS answered FROM file_turns GROUP BY 1) USING (session_id)""")
+def refresh_tables(spark, d):
+    """Rows of each stored table by session, after a write and a read of all of them."""
+    from weft.operators.assemble import read_table, write_tables
+    from weft.runtime import scratch_path
+
+    root = scratch_path(spark, "tables")
+    write_tables(assembled(spark, d), root)
+    out = read_table(spark, root, "sessions").select("session_id")
+    for name, column in (("turns", "turns"), ("tool_calls", "calls"), ("file_accesses", "accesses"), ("turn_evidence", "fragments")):
+        out = out.join(read_table(spark, root, name).groupBy("session_id").agg(F.count(F.lit(1)).alias(column)), "session_id", "left").withColumn(column, F.coalesce(column, F.lit(0)))
+    return out
+
+
+@query("refresh_tool_calls", with_(S.SQL_FILES) + """SELECT project_id, provider, session_id, turn_ordinal, row_number() OVER (PARTITION BY conv_id, turn_ordinal ORDER BY turn) - 1 AS call_ordinal, call_id,
+  'Read' AS tool_name, json_object('path', path)::VARCHAR AS arguments_text, 'ok' AS output_text, false AS is_error FROM file_calls""")
+def refresh_tool_calls(spark, d):
+    return assembled(spark, d)["tool_calls"].drop("timestamp", "status")
+
+
+@query("refresh_file_accesses", with_(S.SQL_FILES) + "SELECT project_id, provider, session_id, turn_ordinal, call_id, 'read' AS access_type, path, path AS repo_relative_path, regexp_extract(path, '[^/]*$') AS file_name FROM file_calls")
+def refresh_file_accesses(spark, d):
+    return assembled(spark, d)["file_accesses"].drop("timestamp", "call_ordinal", "tool_name")
 
 
 SQL_PREVIEW = """CASE WHEN length({0}) <= 500 THEN {0} ELSE {0}[:499] || '…' END"""
@@ -115,13 +154,10 @@ def turn_list(spark, d):
     return out.select("project_id", "provider", "session_id", "turn_ordinal", *keep)
 
 
-@query("token_sum_nullpoison", with_(S.SQL_TURNS) + """SELECT project_id, provider, session_id, count(*) AS turn_count, count(total_token_count) AS known,
-  CASE WHEN count(*) = count(total_token_count) THEN sum(total_token_count)::BIGINT END AS total_token_count FROM turns GROUP BY 1, 2, 3""")
+@query("token_sum_nullpoison", with_(S.SQL_TURNS) + """SELECT project_id, provider, session_id, count(*) AS turn_count,
+  CASE WHEN count(*) = count(total_token_count) THEN sum(total_token_count)::BIGINT END AS total_token_count, sum(duration_ms)::BIGINT AS effective_agent_runtime_ms FROM turns GROUP BY 1, 2, 3""")
 def token_sum_nullpoison(spark, d):
-    from weft.operators.paging import whole_sum
-
-    t = S.turns(spark, d).groupBy("project_id", "provider", "session_id")
-    return t.agg(F.count(F.lit(1)).alias("turn_count"), F.count("total_token_count").alias("known"), whole_sum("total_token_count").alias("total_token_count"))
+    return sessions.turn_totals(S.turns(spark, d)).select("project_id", "provider", "session_id", "turn_count", "total_token_count", "effective_agent_runtime_ms")
 
 
 @query("keyset_page", with_(S.SQL_TURNS) + """SELECT project_id, provider, session_id, turn_ordinal, started_at FROM turns
@@ -338,29 +374,29 @@ def document_preview(spark, d):
 # --- ingest and derivation -----------------------------------------------------------------------
 
 
-@query("dedupe_priority", f"""SELECT session_id, path, size, mtime_ms FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY size DESC, mtime_ms DESC, path DESC) AS rn FROM (
-  SELECT 'user-' || user_id AS session_id, 'f' || event_id AS path, floor(value)::BIGINT AS size, epoch_ms(ts) // 60000 AS mtime_ms FROM events WHERE event_type <> 'error')) WHERE rn = 1""")
+@query("dedupe_priority", """SELECT session_id, path, size, mtime_ms FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY parses DESC, size DESC, mtime_ms DESC, path DESC) AS rn FROM (
+  SELECT 'user-' || user_id AS session_id, 'f' || event_id AS path, floor(value)::BIGINT AS size, epoch_ms(ts) // 60000 AS mtime_ms, event_type <> 'error' AS parses FROM events)) WHERE rn = 1 AND parses""")
 def dedupe_priority(spark, d):
     from weft.operators.ingest import dedupe_priority as first
 
-    e = table(spark, d, "events").filter("event_type <> 'error'")
-    rows = e.select(
+    rows = table(spark, d, "events").select(
         F.concat(F.lit("user-"), "user_id").alias("session_id"),
         F.concat(F.lit("f"), "event_id").alias("path"),
         F.floor("value").cast("long").alias("size"),
         F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60_000).cast("long").alias("mtime_ms"),
+        (F.col("event_type") != "error").alias("parses"),
     )
-    return first(rows, ["session_id"], "size", "mtime_ms", "path")
+    return first(rows, ["session_id"], "size", "mtime_ms", "path", "parses").drop("parses")
 
 
-@query("counter_delta", """SELECT user_id, event_id, total, CASE WHEN total >= coalesce(before, 0) THEN total - coalesce(before, 0) ELSE coalesce(last, total) END AS delta FROM (
+@query("counter_delta", """SELECT user_id, event_id, total, CASE WHEN total >= before THEN total - before WHEN total IS NOT NULL THEN coalesce(last, total) ELSE last END AS delta FROM (
   SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (
-    SELECT user_id, event_id, ts, floor(value)::BIGINT AS total, CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END AS last FROM events))""")
+    SELECT user_id, event_id, ts, CASE WHEN event_id % 11 <> 0 THEN floor(value)::BIGINT END AS total, CASE WHEN event_id % 3 <> 0 THEN event_id % 50 END AS last FROM events))""")
 def counter_delta(spark, d):
     from weft.operators.ingest import counter_delta as delta
 
-    e = table(spark, d, "events")
-    rows = e.select("user_id", "event_id", "ts", F.floor("value").cast("long").alias("total"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50).alias("last"))
+    e, k = table(spark, d, "events"), F.col("event_id")
+    rows = e.select("user_id", "event_id", "ts", F.when(k % 11 != 0, F.floor("value").cast("long")).alias("total"), F.when(k % 3 != 0, k % 50).alias("last"))
     return delta(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "total", "last").select("user_id", "event_id", "total", "delta")
 
 
@@ -382,21 +418,16 @@ def project_owner(spark, d):
     return owner_by_prefix(S.accesses(spark, d).select("path").distinct(), roots)
 
 
-@query("evidence_explode", """SELECT conv_id, turn_ordinal, (row_number() OVER (PARTITION BY conv_id, turn_ordinal ORDER BY k) - 1) AS evidence_ordinal, field, text FROM (
-  SELECT conv_id, turn_ordinal, 0 AS k, 'user_message' AS field, user_message AS text FROM grouped UNION ALL
-  SELECT conv_id, turn_ordinal, 1, 'final_answer', final_answer_text FROM grouped) WHERE trim(text) <> ''""")
+@query("evidence_explode", with_(S.SQL_FILES, f"""e AS (SELECT conv_id, turn_ordinal, -2 AS turn, 0 AS k, 'user_message' AS field, {REDACTED.format('user_message')} AS text FROM file_turns
+  UNION ALL SELECT conv_id, turn_ordinal, -1, 0, 'final_answer', {REDACTED.format('final_answer_text')} FROM file_turns
+  UNION ALL SELECT conv_id, turn_ordinal, turn, 0, 'tool_name', 'Read' FROM file_calls
+  UNION ALL SELECT conv_id, turn_ordinal, turn, 1, 'tool_arguments', json_object('path', path)::VARCHAR FROM file_calls
+  UNION ALL SELECT conv_id, turn_ordinal, turn, 2, 'tool_output', 'ok' FROM file_calls)""") + """SELECT conv_id, turn_ordinal, row_number() OVER (PARTITION BY conv_id, turn_ordinal ORDER BY turn, k) - 1 AS evidence_ordinal, field, text FROM e WHERE trim(text) <> ''""")
 def evidence_explode(spark, d):
-    from weft.operators.derive import evidence
-    from weft.schema import STEP
-
-    t = S.chat_turns(spark, d).withColumn("steps", F.array().cast(f"array<{STEP}>"))
-    out = evidence(t)
+    out = assembled(spark, d)["turn_evidence"]
     return out.select(F.regexp_extract("session_id", r"\d+", 0).cast("long").alias("conv_id"), "turn_ordinal", "evidence_ordinal", "field", "text")
 
 
-SQL["evidence_explode"] = with_(S.SQL_CHAT) + SQL["evidence_explode"]
-
-
 @query("redact_assignments", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\btoken = "[^\s"][^"\r\n]{3,}"', 'token = "[REDACTED_SECRET]"', 'g'), '[A-Za-z0-9+/=_-]{512,}', '[REDACTED_BLOB]', 'g') AS text FROM documents""")
 def redact_assignments(spark, d):
     from weft.operators.redact import redact_text
@@ -428,7 +459,7 @@ def tool_outcome(spark, d):
 
 # --- incremental and share -----------------------------------------------------------------------
 
-MANIFEST = """found AS (SELECT o_orderkey AS id, o_custkey AS size, epoch_ms(o_orderdate) AS mtime_ms, o_orderpriority AS meta FROM orders WHERE o_orderkey % 11 <> 3),
+MANIFEST = """found AS (SELECT o_orderkey AS id, o_custkey AS size, epoch_ms(o_orderdate) AS mtime_ms, o_orderpriority AS meta FROM orders WHERE o_orderkey % 11 <> 3 OR o_orderkey % 7 = 2),
 manifest AS (SELECT o_orderkey AS id, o_custkey + (o_orderkey % 13 = 0)::INT AS size, epoch_ms(o_orderdate) AS mtime_ms, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE o_orderpriority END AS meta FROM orders WHERE o_orderkey % 7 <> 2)"""
 
 
@@ -440,7 +471,7 @@ def manifest_diff(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     base = [k.alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime_ms")]
-    found = o.filter(k % 11 != 3).select(*base, F.col("o_custkey").alias("size"), F.col("o_orderpriority").alias("meta"))
+    found = o.filter((k % 11 != 3) | (k % 7 == 2)).select(*base, F.col("o_custkey").alias("size"), F.col("o_orderpriority").alias("meta"))
     old = o.filter(k % 7 != 2).select(*base, (F.col("o_custkey") + F.when(k % 13 == 0, 1).otherwise(0)).alias("size"), F.when(k % 17 == 0, "x").otherwise(F.col("o_orderpriority")).alias("meta"))
     return diff(found, old, ["id"])
 
@@ -464,13 +495,13 @@ def sessions_without_turns(spark, d):
 
 @query("session_upsert", """SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL OR (n.id IS NOT NULL AND o.kind = 'shared') THEN n.v ELSE o.v END AS v, CASE WHEN o.id IS NULL OR (n.id IS NOT NULL AND o.kind = 'shared') THEN n.kind ELSE o.kind END AS kind
 FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'shared' ELSE 'local' END AS kind, o_orderstatus AS v FROM orders WHERE o_orderkey % 2 = 0) o
-FULL JOIN (SELECT o_orderkey AS id, 'shared' AS kind, o_orderpriority AS v FROM orders WHERE o_orderkey % 3 = 0) n ON o.id = n.id""")
+FULL JOIN (SELECT o_orderkey AS id, 'shared' AS kind, o_orderpriority AS v FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 <> 0) n ON o.id = n.id""")
 def session_upsert(spark, d):
     from weft.operators.incremental import upsert
 
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     old = o.filter(k % 2 == 0).select(k.alias("id"), F.when(k % 5 == 0, "shared").otherwise("local").alias("kind"), F.col("o_orderstatus").alias("v"))
-    new = o.filter(k % 3 == 0).select(k.alias("id"), F.lit("shared").alias("kind"), F.col("o_orderpriority").alias("v"))
+    new = o.filter((k % 3 == 0) | (k % 2 != 0)).select(k.alias("id"), F.lit("shared").alias("kind"), F.col("o_orderpriority").alias("v"))
     return upsert(old, new, ["id"], only="kind = 'shared'")
 
 

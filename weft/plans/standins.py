@@ -124,6 +124,86 @@ SQL_TOUCHES = """touches AS (SELECT a.*, t.started_at FROM accesses a JOIN turns
   JOIN (SELECT DISTINCT session_id FROM sessions WHERE origin_kind = 'local') s USING (session_id) WHERE access_type IN ('read', 'write', 'edit'))"""
 
 
+def lines_of(events: DataFrame) -> DataFrame:
+    """(file, text, size, mtime_ms) from (conv_id, turn, k, json): the lines of each conversation in order."""
+    name = F.concat(F.lit("/a/"), F.when(F.col("conv_id") % 2 == 0, "codex").otherwise("claude"), F.lit("/conv-"), "conv_id", F.lit(".jsonl"))
+    g = events.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "k", "json"))).alias("rows"))
+    text = F.array_join(F.col("rows")["json"], "\n")
+    return g.select(name.alias("file"), text.alias("text"), F.octet_length(text).cast("long").alias("size"), F.col("conv_id").alias("mtime_ms"))
+
+
+def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Conversations as whole session files: Codex lines for even ids, Claude lines for odd ones.
+
+    Each assistant row reads a file by a tool, answers, and reports tokens: as input the letters of the
+    user rows since the answer before, as output its own. Codex totals also hold the system row's.
+    """
+    c = table(spark, d, "conversations").withColumn("n", F.length("text").cast("long"))
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    role = lambda r: F.col("role") == r
+    so_far = lambda r: F.coalesce(F.sum(F.when(role(r), F.col("n"))).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    answers = Window.partitionBy("conv_id", "role").orderBy("turn")
+    c = c.withColumns({"users": so_far("user"), "said": so_far("assistant"), "system": so_far("system")})
+    c = c.withColumn("first", F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id")))
+    c = c.withColumn("asked", F.col("users") - F.coalesce(F.lag("users").over(answers), F.lit(0)))
+    at = iso(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60))
+    obj = lambda **f: F.struct(*(v.alias(k) if not isinstance(v, str) else F.lit(v).alias(k) for k, v in f.items()))
+    model, cwd = F.concat(F.lit("model-"), F.col("conv_id") % 4), F.concat(F.lit("/w/p"), F.col("conv_id") % 7)
+    call = F.concat(F.lit("call-"), "turn")
+    path = F.concat(F.lit("src/m"), F.col("conv_id") % 5, F.lit("/f"), "turn", F.lit(".rs"))
+
+    def codex(kind: str, payload) -> list:
+        return [F.to_json(obj(timestamp=at, type=kind, payload=payload))]
+
+    usage = lambda i, o: obj(input_tokens=i, output_tokens=o, total_tokens=i + o)
+    meta = codex("session_meta", obj(id=F.concat(F.lit("conv-"), "conv_id"), cwd=cwd, cli_version="0.100.0"))
+    message = codex("response_item", obj(type="message", role=F.col("role"), content=F.array(obj(type="output_text", text=F.col("text")))))
+    tokens = codex("event_msg", obj(type="token_count", info=obj(total_token_usage=usage(F.col("users") + F.col("system"), F.col("said")), last_token_usage=usage(F.col("asked"), F.col("n")))))
+    spoken = (
+        codex("turn_context", obj(model=model))
+        + codex("response_item", obj(type="function_call", call_id=call, name="Read", arguments=F.to_json(obj(path=path))))
+        + codex("response_item", obj(type="function_call_output", call_id=call, output="ok"))
+        + message
+        + tokens
+    )
+    none = F.array().cast("array<string>")
+    opening = F.when(F.col("first"), F.array(*meta)).otherwise(none)
+    even = F.when(role("user"), F.array(*codex("event_msg", obj(type="user_message", message=F.col("text"))))).when(role("assistant"), F.array(*spoken)).otherwise(F.array(*message))
+
+    def claude(kind: str, content, **more) -> list:
+        extra = {k: v for k, v in more.items() if k != "message"}
+        return [F.to_json(obj(type=kind, sessionId=F.concat(F.lit("conv-"), "conv_id"), cwd=cwd, version="2.1.90", timestamp=at, message=obj(role=kind, content=content, **more.get("message", {})), **extra))]
+
+    spent = obj(input_tokens=F.col("asked"), output_tokens=F.col("n"))
+    turns = (
+        claude("assistant", F.array(obj(type="tool_use", id=call, name="Read", input=obj(path=path))), requestId=call, message={"model": model, "stop_reason": F.lit("tool_use"), "usage": spent})
+        + claude("user", F.array(obj(type="tool_result", tool_use_id=call, content="ok")))
+        + claude("assistant", F.array(obj(type="text", text=F.col("text"))), requestId=call, message={"model": model, "stop_reason": F.lit("end_turn"), "usage": spent})
+    )
+    odd = F.when(role("user"), F.array(*claude("user", F.col("text")))).when(role("assistant"), F.array(*turns)).otherwise(F.array(*claude("system", F.col("text"))))
+    lines = c.select("conv_id", "turn", F.posexplode(F.when(F.col("conv_id") % 2 == 0, F.concat(opening, even)).otherwise(odd)).alias("k", "json"))
+    return {"codex": lines_of(lines.filter("conv_id % 2 = 0")), "claude": lines_of(lines.filter("conv_id % 2 = 1"))}
+
+
+def owners(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"/w/p{k}", f"p{k}") for k in range(7)], "root string, project_id string")
+
+
+#: Turns and calls of the session files, from the conversations by the providers' rules.
+SQL_FILES = f"""numbered AS (SELECT *, sum((role = 'user')::INT) OVER w AS ordinal, sum((role = 'assistant')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answers
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+asked AS (SELECT conv_id, coalesce(answers, 0) AS answers, sum(length(text)) FILTER (role = 'user') AS asked FROM numbered GROUP BY 1, 2),
+spent AS (SELECT n.conv_id, n.turn, n.ordinal, coalesce(a.asked, 0) AS asked, length(n.text) AS said FROM numbered n JOIN asked a ON n.conv_id = a.conv_id AND coalesce(n.answers, 0) = a.answers WHERE role = 'assistant'),
+file_turns AS (SELECT {sql_identity('conv_id', 'conv-')}, conv_id, ordinal::BIGINT AS turn_ordinal,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + opened * 60), '%Y-%m-%dT%H:%M:%SZ') AS started_at,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + answered * 60), '%Y-%m-%dT%H:%M:%SZ') AS completed_at,
+  CASE WHEN answered IS NULL THEN 'incomplete' ELSE 'completed' END AS status, user_message, final_answer_text, (answered - opened) * 60000 AS duration_ms,
+  calls, 2 * calls AS step_count, CASE WHEN answered IS NOT NULL THEN 'model-' || (conv_id % 4) END AS primary_model FROM (
+  SELECT conv_id, ordinal, min(turn) AS opened, max(turn) FILTER (role = 'assistant') AS answered, arg_max(text, turn) FILTER (role = 'assistant') AS final_answer_text,
+    max(text) FILTER (role = 'user') AS user_message, count(*) FILTER (role = 'assistant') AS calls FROM numbered WHERE ordinal > 0 GROUP BY 1, 2)),
+file_calls AS (SELECT {sql_identity('conv_id', 'conv-')}, conv_id, turn, ordinal::BIGINT AS turn_ordinal, 'call-' || turn AS call_id, 'src/m' || (conv_id % 5) || '/f' || turn || '.rs' AS path FROM spent WHERE ordinal > 0)"""
+
+
 def chat_turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as turns: a user row opens one, the last assistant row after it answers it."""
     c = table(spark, d, "conversations")

@@ -19,12 +19,21 @@ STEP = (
     "agent_id:string,agent_type:string,status:string,hook_count:bigint,prevented_continuation:boolean,"
     "has_output:boolean,level:string,item_type:string,payload_json:string>"
 )
-TOKENS = ("input_token_count", "cached_input_token_count", "cache_creation_token_count", "output_token_count", "reasoning_token_count", "total_token_count", "delegated_token_count")
+#: A turn's token counters.
+TOKENS = (
+    "input_uncached_token_count", "cache_read_token_count", "cache_write_token_count", "output_token_count", "reasoning_token_count",
+    "provider_total_token_count", "total_token_count",
+)
 TURNS = (
     "project_id string, provider string, session_id string, turn_ordinal long, turn_id string, started_at string, "
     "completed_at string, status string, user_message string, final_answer_at string, final_answer_text string, "
     f"primary_model string, {', '.join(f'{t} long' for t in TOKENS)}, steps array<{STEP}>"
 )
+#: Measures that are counted when a turn is taken in, before anything is redacted.
+METRICS = (
+    "step_count", "tool_call_count", "tool_output_count", "attachment_count", "delegation_count", "hook_summary_count",
+    "duration_ms", "effective_agent_runtime_ms", "changed_file_count", "added_line_count", "removed_line_count",
+)
 TOOL_CALLS = (
     "project_id string, provider string, session_id string, turn_ordinal long, call_ordinal long, call_id string, "
     "timestamp string, tool_name string, arguments_text string, output_text string, status string, is_error boolean"

@@ -1,8 +1,10 @@
 """Continuous refresh: a file stream of sessions, folded into the tables batch by batch.
 
 A changed file is read again as a whole and its session replaced, so late lines need no watermark. A
-batch writes a new version of the table and then moves the pointer to it; a batch that is run again
-after a failure finds its version and writes nothing twice.
+table lies in buckets by a hash of its key. A batch writes only the buckets it touches, as a new version
+of these, and then a new pointer that names the version of every bucket. Pointers are numbered and only
+complete ones are read, so a crash at any moment leaves the version before; a batch that is run again
+after a failure finds its pointer and writes nothing twice.
 """
 
 from __future__ import annotations
@@ -12,44 +14,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Buckets of a table; a pointer has a row for each.
+BUCKETS = 256
+
 
 class Versions:
-    """A table as numbered Parquet versions and a pointer file, on any store that Spark writes."""
+    """A table as buckets in numbered Parquet versions, on any store that Spark writes."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, key: list[str], buckets: int = BUCKETS):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def current(self) -> int | None:
-        if not self.fs.exists(self.path("current")):
+        """The number of the highest pointer that was written to its end."""
+        at = self.path("pointers")
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        done = [int(n) for n in names if n.isdigit() and self.fs.exists(self.path(f"pointers/{n}/_SUCCESS"))]
+        return max(done, default=None)
+
+    def pointer(self) -> dict[int, int]:
+        """The version that holds each bucket."""
+        at = self.current()
+        if at is None:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").csv(f"{self.root}/pointers/{at:020d}").collect()}
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets; None where nothing was written."""
+        held = {b: v for b, v in self.pointer().items() if buckets is None or b in buckets}
+        if not held:
             return None
-        return int(self.spark.read.text(f"{self.root}/current").first()[0])
-
-    def read(self) -> DataFrame | None:
-        v = self.current()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v{v}")
+        paths = [f"{self.root}/v{v}/bucket={b}" for b, v in sorted(held.items())]
+        return self.spark.read.parquet(*paths)
 
     def write(self, df: DataFrame, version: int) -> None:
-        """Write the version, then point to it; readers see the old one until then."""
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        """Write the buckets of ``df`` in place of those before; readers see the old ones until the pointer is complete."""
+        self.put(self.bucketed(df), sorted(r[0] for r in self.bucketed(df).select("bucket").distinct().collect()), version)
+
+    def put(self, rows: DataFrame, touched: list[int], version: int) -> None:
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v{version}")
+        there = [b for b in touched if self.fs.exists(self.path(f"v{version}/bucket={b}"))]
+        held = {b: v for b, v in self.pointer().items() if b not in touched} | {b: version for b in there}
+        self.spark.createDataFrame(sorted(held.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").csv(f"{self.root}/pointers/{version:020d}")
 
 
 def fold_batch(versions: Versions, key: list[str], build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: rows built from the batch replace those of their keys in the table."""
+    """A foreachBatch function: rows built from the batch replace those of their keys in the buckets they fall into."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         done = versions.current()
         if done is not None and done >= epoch:
             return
-        fresh = build(batch)
-        old = versions.read()
+        fresh = versions.bucketed(build(batch))
+        touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most a row a bucket
+        old = versions.read(touched) if touched else None
         if old is not None:
-            fresh = old.join(fresh.select(*key).distinct(), key, "left_anti").unionByName(fresh)
-        versions.write(fresh, epoch)
+            kept = old.join(fresh.select(*key).distinct(), key, "left_anti")
+            fresh = versions.bucketed(kept).unionByName(fresh)
+        versions.put(fresh, touched, epoch)
 
     return run
 
