@@ -35,13 +35,21 @@ from pyspark.sql import functions as F
 from weft.runtime import materialize, table
 
 #: Rows of the sample that gives the nodes' centres, rows for each node, and the most nodes.
-SAMPLE, ROWS, NODES = 4096, 512, 1024
+SAMPLE, ROWS, NODES = 4096, 2048, 1024
 #: Bytes of vectors in a part, and queries that walk a part's tree at once.
 PART, QUERIES = 8 << 20, 512
 SEEDS, LEAF = 2, 16
+#: Most children of a node; points that none of so many centres covers go to the nearest.
+FAN = 64
 SCALE = 1024
 
 
+def nearest(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of the centres, and how far it is, for each vector."""
+    which = np.argmin((c * c).sum(1)[None, :] - 2 * (v @ c.T), axis=1)
+    return which, np.sqrt(((v - c[which]) ** 2).sum(1))
+
+
 class Node:
     """A centre, the radius that covers all points below, points held here, and children.
 
@@ -68,11 +76,14 @@ class Node:
         near = dist <= reach
         groups = [(center, members[near], dist[near])]
         left = members[~near]
-        while len(left):
+        while len(left) and len(groups) < FAN:
             d = np.sqrt(((v[left] - v[left[0]]) ** 2).sum(1))
             near = d <= reach
             groups.append((left[0], left[near], d[near]))
             left = left[~near]
+        if len(left):
+            which, d = nearest(v[left], v[np.array([c for c, _, _ in groups])])
+            groups = [(c, np.concatenate([own, left[which == k]]), np.concatenate([near, d[which == k]])) for k, (c, own, near) in enumerate(groups)]
         for c, own, d in groups:
             if len(own) <= hold:
                 loose.append(own)
@@ -86,20 +97,19 @@ def tree(v: np.ndarray, hold: int = 4) -> Node:
 
 
 def leaves(root: Node, most: int) -> list[Node]:
-    """A cut of the tree of at most ``most`` nodes: the widest node is opened first while that fits."""
+    """A cut of the tree of at most ``most`` nodes: the widest is opened first, its fullest children taken.
+
+    Their centres need not cover the sample: every row goes to the nearest of them, and radii follow the rows.
+    """
     cut_, done = [root], []
     while cut_:
         cut_.sort(key=lambda n: n.radius)
         wide = cut_.pop()
-        loose = 1 if len(wide.points) else 0
-        if not wide.children or len(cut_) + len(done) + len(wide.children) + loose > most:
-            done.append(wide)
+        room = most - len(cut_) - len(done)
+        if wide.children and room > 1:
+            cut_ += sorted(wide.children, key=lambda n: -len(n.all))[:room]
         else:
-            cut_ += wide.children
-            if loose:  # points that are held in the node itself stay with its centre
-                alone = Node.__new__(Node)
-                alone.center, alone.children, alone.points, alone.radius = wide.center, [], wide.points, 0.0
-                done.append(alone)
+            done.append(wide)
     return done
 
 
@@ -214,12 +224,6 @@ def by_length(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.Reco
         yield dim, batch.filter(pa.array(dims == dim))
 
 
-def nearest(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest of the centres, and how far it is, for each vector."""
-    which = np.argmin((c * c).sum(1)[None, :] - 2 * (v @ c.T), axis=1)
-    return which, np.sqrt(((v - c[which]) ** 2).sum(1))
-
-
 def assigned(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, dist, norm, vec_id, embedding) of data rows."""
     for b in batches:

@@ -70,7 +70,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, sk: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, n, shingles) of the given nodes, from one document of each; the others' texts stay."""
-    one = sk.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id")).alias("o")).select(F.col("o.id").alias("one"))
+    # grouped before the join, so that a node of many copies is one row of each task by then
+    one = sk.groupBy("node").agg(F.min(F.struct("id")).alias("o")).join(nodes, "node", "left_semi").select(F.col("o.id").alias("one"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     source = source.join(one.distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("one")), "left_semi").select("text")
 
@@ -195,7 +196,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = least.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
     lowest = named.groupBy("top").agg(F.min("id").alias("component"))
     label = materialize(named.join(lowest, "top").select("node", "component"), "labels")
-    return sk.select("id", "n", "node").join(label, "node", "left").select(
+    copies = hot_keys_of(sk.filter("node is not null"), "node")
+    return salted_join(sk.select("id", "n", "node"), label, "node", copies, ["id"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
