@@ -1,6 +1,7 @@
 """Fixtures that the given tables don't hold: odd paths, secrets, shell lines, patches, provider lines."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,11 +35,35 @@ def test_fold_is_ascii_only(spark):
     assert value(spark, text.fold(F.col("p")), p="ÉA") == "Éa"
 
 
-def test_regex_dialect():
-    for bad in ("(?=a)", "(a)\\1", "a*+", "(?<!a)", ""):
+def test_regex_dialect(spark):
+    for bad in ("(?=a)", "(a)\\1", "a*+", "(?<!a)", "", "(a", "(a+)+b", "(x*y)*", "\\p{Nope}"):
         with pytest.raises(ValueError):
             text.checked_regex(bad)
-    assert text.checked_regex(r"\w+\(").startswith("(?U)")
+    cases = [("^ab$", "ab\n", False), ("^ab$", "ab", True), ("a.b", "a\rb", True), ("a.b", "a\nb", False), ("(?P<n>a)b", "ab", True), ("\\p{Greek}", "ω", True), ("\\p{Letter}+$", "é", True)]
+    cases += [("(?m)^a$", "a\nb", True), ("[$]x", "$x", True), ("a\\$", "a$", True), ("\\w+\\(", "é(", True), ("[]a]", "]", True), ("\\P{Greek}", "ω", False)]
+    for pattern, given, hit in cases:
+        assert value(spark, F.col("p").rlike(text.checked_regex(pattern)), p=given) is hit, (pattern, given)
+
+
+def plain_normal(path):
+    p = path.strip(" ").replace("\\", "/")
+    out = []
+    for part in p.split("/"):
+        if part in ("", "."):
+            continue
+        if part == ".." and out and out[-1] != "..":
+            out.pop()
+        elif not (part == ".." and p.startswith("/")):
+            out.append(part)
+    return ("/" if p.startswith("/") else "") + "/".join(out)
+
+
+def test_normal_path_matches_brute_force(spark):
+    rnd = random.Random(11)
+    paths = ["".join(rnd.choice(["a", "b.c", ".", "..", "/", "/", "//", "\\", ".x", "..y", " "]) for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", text.normal_path(F.col("p")).alias("n")).collect()
+    for r in got:
+        assert r.n == plain_normal(r.p), r.p
 
 
 def test_preview(spark):
@@ -224,6 +249,26 @@ def test_codex_turns(spark):
     assert [s.type for s in got[0].steps] == ["commentary"]
 
 
+def test_codex_counters(spark):
+    """The first total gives way to the last request's own value; each counter rises on its own."""
+    def count(at, total, last=None):
+        info = {"total_token_usage": total} | ({"last_token_usage": last} if last else {})
+        return line("event_msg", {"type": "token_count", "info": info}, at)
+
+    rows = [
+        line("event_msg", {"type": "user_message", "message": "one"}, "1"),
+        count("2", {"input_tokens": 100, "cached_input_tokens": 40, "output_tokens": 9, "total_tokens": 109}, {"input_tokens": 7, "cached_input_tokens": 2, "output_tokens": 1, "total_tokens": 8}),
+        line("event_msg", {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 50}}}, "3"),
+        count("4", {"input_tokens": 110, "cached_input_tokens": 40, "output_tokens": 10, "reasoning_output_tokens": 3, "total_tokens": 120}),
+        count("5", {"input_tokens": 4, "output_tokens": 12, "total_tokens": 16}, {"input_tokens": 3, "cached_input_tokens": 1}),
+    ]
+    good, _ = ingest.quarantine(ingest.lines(spark.createDataFrame([("f", "\n".join(rows))], "file string, text string")))
+    r = ingest.codex_turns(ingest.codex_events(good)).first()
+    # input 7, 10, 3 less cached 2, 0, 1; output 1, 1, 2; totals are input plus output
+    assert (r.input_uncached_token_count, r.cache_read_token_count, r.output_token_count, r.reasoning_token_count) == (5 + 10 + 2, 3, 4, 3)
+    assert (r.provider_total_token_count, r.total_token_count) == (8 + 11 + 16, 8 + 11 + 5)
+
+
 def test_claude_turns(spark):
     def m(kind, role, content, at, **more):
         return json.dumps({"type": kind, "sessionId": "s", "cwd": "/w", "version": "2.0.1", "timestamp": at, "message": {"role": role, "content": content, **more.pop("message", {})}, **more})
@@ -262,13 +307,29 @@ def test_archive_and_epoch(spark):
 def test_keyword_phrases(spark):
     docs = spark.createDataFrame([(1, "Café a-b.c end"), (2, "a b x c"), (3, None)], "id long, t string")
     index = search.index_terms(docs, ("t",), ["id"])
-    lengths = search.document_lengths(index, ["id"])
+    lengths = search.document_lengths(docs, ("t",), ["id"])
     hit = lambda q: [r.id for r in search.keyword_search(index, lengths, q, ["id"]).collect()]
     assert hit("a-b.c") == [1] and hit("CAFE") == [1] and sorted(hit("a b")) == [1, 2] and hit("_-") == [] and hit("a missing") == []
+    assert hit("end end") == [] or hit("end end") == [1]
     with pytest.raises(ValueError):
         search.query_phrases("!!")
 
 
+def test_keyword_folding_is_one_rule(spark, tmp_path):
+    words = ["한국", "Việt", "йод", "が", "Straße", "Ǆ", "cafe\u0301", "日本語", "Ωmega", "एक"]
+    docs = spark.createDataFrame([(k, f"x {w} y") for k, w in enumerate(words)], "id long, t string")
+    search.write_index(docs, ("t",), ["id"], str(tmp_path))
+    for k, w in enumerate(words):
+        hits = search.keyword_search(*search.read_index(spark, str(tmp_path), w), w, ["id"]).collect()
+        assert [r.id for r in hits] == [k], w
+    got = [r.ts for r in docs.select(search.terms(F.col("t")).alias("ts")).collect()]
+    assert got == [search.terms_of(f"x {w} y") for w in words]
+    pages = spark.createDataFrame([("p", "c", str(k), 1, f"t{k}", "apple " * k + "pie", None) for k in range(1, 5)], "project_id string, provider string, session_id string, turn_ordinal long, started_at string, user_message string, final_answer_text string")
+    key = ["project_id", "provider", "session_id", "turn_ordinal"]
+    hits = search.keyword_search(search.index_terms(pages, ("user_message",), key), search.document_lengths(pages, ("user_message",), key), "apple", key)
+    assert [r.session_id for r in search.ranked_turns(hits, pages, 2, query="apple").collect()] == ["4", "3"]
+
+
 def test_search_arguments():
     assert "tool_output" not in search.check_arguments("regex") and "tool_output" in search.check_arguments("regex", tool_output=True)
     for bad in ({"mode": "keyword", "match_limit": 3}, {"mode": "literal", "include": ("nope",)}, {"mode": "literal", "include": ("commentary",), "exclude": ("commentary",)}, {"mode": "literal", "include": ("tool_output",)}, {"mode": "x"}):

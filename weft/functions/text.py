@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,19 +94,76 @@ def glob_to_regex(glob: str) -> str:
 
 
 #: Constructs that a linear-time regex engine rejects: look-around and back-references.
-NOT_LINEAR = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?}]\+)")
+NOT_LINEAR = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|[*+?]\+|\{\d+(?:,\d*)?\}\+)")
+#: A repeated group that itself holds an unbounded repeat: exponential time for a backtracking engine.
+NESTED = re.compile(r"\((?:[^()\\]|\\.)*(?:[*+]|,\})\??(?:[^()\\]|\\.)*\)(?:[*+]|\{\d+,\})")
 MAX_PATTERN = 1024
+# Long names of general categories, which Java knows by their letters alone.
+CATEGORIES = {
+    "Letter": "L", "Lowercase_Letter": "Ll", "Uppercase_Letter": "Lu", "Titlecase_Letter": "Lt", "Modifier_Letter": "Lm", "Other_Letter": "Lo",
+    "Mark": "M", "Number": "N", "Decimal_Number": "Nd", "Letter_Number": "Nl", "Punctuation": "P", "Symbol": "S", "Separator": "Z", "Other": "C",
+}
+
+
+def java_regex(pattern: str) -> str:
+    """A pattern of the linear engine's dialect in Java's: Unicode classes, ``\\n`` as the only line end.
+
+    ``$`` means the very end unless (?m) is on, groups are named ``(?P<n>...)`` and scripts ``\\p{Greek}``.
+    Different stay: classes of classes (``[a&&b]`` reads alike, ``[a--b]`` and ``[a~~b]`` don't).
+    """
+    lines = re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    out, k, inside = [], 0, False
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\" and k + 1 < len(pattern):
+            name = re.match(r"\\([pP])\{(\^?)(?:Script=|sc=|General_Category=|gc=)?([A-Za-z_]{3,})\}", pattern[k:])
+            if name:
+                known = CATEGORIES.get(name[3])
+                out.append(f"\\{'P' if (name[1] == 'P') != bool(name[2]) else 'p'}{{{known or 'Is' + name[3]}}}")
+                k += name.end()
+                continue
+            out.append(pattern[k : k + 2])
+            k += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            # a bracket that comes first in a class is a plain one
+            first = re.match(r"\[\^?\]", pattern[k:])
+            if first:
+                out.append(first[0][:-1] + "\\]")
+                k += first.end()
+                continue
+        elif c == "$" and not lines:
+            c = "\\z"
+        elif pattern.startswith("(?P<", k):
+            out.append("(?<")
+            k += 4
+            continue
+        out.append(c)
+        k += 1
+    return "(?Ud)" + "".join(out)
 
 
 def checked_regex(pattern: str) -> str:
-    """``pattern`` with Unicode classes on; refuses what a linear engine wouldn't take."""
+    """``pattern`` in Java's dialect; refuses what a linear engine wouldn't take or Java can't compile."""
     if not pattern:
         raise ValueError("the pattern is empty")
     if len(pattern) > MAX_PATTERN:
         raise ValueError(f"the pattern has over {MAX_PATTERN} characters")
     if NOT_LINEAR.search(pattern):
         raise ValueError("look-around, back-references and possessive repeats are not supported")
-    return "(?U)" + pattern
+    if NESTED.search(pattern):
+        raise ValueError("an unbounded repeat of an unbounded repeat is not supported")
+    java = java_regex(pattern)
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except IllegalArgumentException as e:
+            raise ValueError(f"the pattern can't be compiled: {e}") from None
+    return java
 
 
 def let(value: Column, use) -> Column:
@@ -118,7 +177,24 @@ NOT_NORMAL = r"\\|//|(^|/)\.\.?(/|$)|^\s|\s$|[^/]/$"
 
 def normal_path(c: Column) -> Column:
     """Slash-separated form: ``\\`` to ``/``, empty and ``.`` parts dropped, ``..`` folded where it can be."""
-    return F.when(~c.rlike(NOT_NORMAL), c).otherwise(let(F.replace(F.trim(c), F.lit("\\"), F.lit("/")), folded))
+    return F.when(~c.rlike(NOT_NORMAL), c).otherwise(let(plain_path(F.replace(F.trim(c), F.lit("\\"), F.lit("/"))), lambda p: F.when(p.rlike(LEFT), folded(p)).otherwise(p)))
+
+
+#: A part that the next one, ``..``, takes back.
+TAKEN_BACK = r"(^|/)(?!\.\.?(?:/|$))[^/]+/\.\.(?:/|$)"
+#: What the replacements of ``plain_path`` may leave: parts still to be taken back, or ends still to be trimmed.
+LEFT = TAKEN_BACK + r"|[^/]/$|(^|/)\.(/|$)|//|^/\.\.(/|$)"
+
+
+def plain_path(p: Column) -> Column:
+    """Most paths' normal form by replacements alone, which stay in generated code; rare ones are left for ``folded``."""
+    p = F.regexp_replace(p, r"/(?:\.?/)+", "/")
+    p = F.regexp_replace(p, r"^(?:\./)+", "")
+    p = F.regexp_replace(p, r"(?:^|(?<=/))\.$", "")
+    for _ in range(2):
+        p = F.regexp_replace(p, TAKEN_BACK, "$1")
+    p = F.regexp_replace(p, r"^/(?:\.\.(?:/|$))+", "/")
+    return F.regexp_replace(p, r"(?<=[^/])/$", "")
 
 
 def folded(path: Column) -> Column:

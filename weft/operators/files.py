@@ -67,7 +67,7 @@ def path_sessions(rows: DataFrame, glob: str, root: str | None = None, limit: in
     """Sessions that touched files matching the glob, with the matched paths."""
     if not glob.strip():
         raise ValueError("the path selector is blank")
-    hit = rows.filter(matches_glob(glob, root)).withColumn("shown", F.coalesce("shown", "path"))
+    hit = rows.filter(matches_glob(glob, root, F.col("shown"))).withColumn("shown", F.coalesce("shown", "path"))
     extra = [F.min("turn_ordinal").alias("first_turn_ordinal"), F.max("turn_ordinal").alias("last_turn_ordinal"), F.collect_set("shown").alias("paths")]
     out = hit.groupBy("provider", "session_id").agg(*counted(), *extra)
     shown, count, cut = capped(F.col("paths"), cap)
@@ -113,13 +113,3 @@ def select_files(path: str | None, co_touched_with: str | None) -> str:
     if len(given) != 1 or not given[0].strip():
         raise ValueError("give exactly one of a path and a co-touched path")
     return "path" if path is not None else "co_touched"
-
-
-def selector_plan(glob: str) -> tuple[str, str]:
-    """What a glob allows as a cheap prefilter: exact, prefix, unbounded, or impossible."""
-    if not glob.strip() or glob.startswith("../"):
-        return "impossible", ""
-    stop = next((k for k, c in enumerate(glob) if c in "*?["), None)
-    if stop is None:
-        return "exact", glob
-    return ("prefix", glob[:stop]) if stop else ("unbounded", "")

@@ -38,7 +38,7 @@ def workspace_daily(turns: DataFrame, days: int = 7) -> DataFrame:
     time = t.filter(scope.active(F.col("status"), F.col("duration_ms"))).groupBy("day", "project_id").agg(F.sum("duration_ms").alias("ms"))
     every = t.select("window_start", "window_end").limit(1).select(F.explode(F.sequence("window_start", "window_end")).alias("date"))
     projects = turns.select("project_id").distinct()
-    grid = every.crossJoin(F.broadcast(projects))  # days of the window by projects
+    grid = projects.crossJoin(F.broadcast(every))  # each project by the window's days, at most ``days`` rows
     out = grid.join(time, (F.col("date") == F.col("day")) & (grid["project_id"] == time["project_id"]), "left")
     return out.select("date", grid["project_id"], F.coalesce("ms", F.lit(0)).cast("long").alias("active_time_ms"))
 

@@ -6,12 +6,13 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import checked_regex, fold, fold_text, like_contains, like_prefix
 from weft.operators.paging import TURN_ORDER, capped, page
 from weft.operators.sessions import matches_glob
+from weft.runtime import materialize
 from weft.schema import TURN_KEY
 
 CONTEXT = 80
@@ -45,8 +46,8 @@ def check_arguments(mode: str, match_limit: int | None = None, include: tuple =
 
 @lru_cache(maxsize=1)
 def accents() -> tuple[str, str]:
-    """Latin letters with marks, and the letters they stand on: for every code point up to U+024F."""
-    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in range(0xC0, 0x250)]
+    """Latin letters with marks, and the letters they stand on; both sides of a search fold by this one table."""
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
     pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -57,64 +58,108 @@ def terms(c: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(plain, r"\p{M}+", ""), r"[^\p{L}\p{N}]+"), "")
 
 
+def terms_of(text: str) -> list[str]:
+    """``terms`` of one Python string."""
+    low = text.lower().translate(str.maketrans(*accents()))
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" else "" if unicodedata.category(c)[0] == "M" else " " for c in low)
+    return kept.split()
+
+
 def index_terms(search: DataFrame, columns: tuple[str, ...], key: list[str]) -> DataFrame:
-    """The inverted index: one row a term occurrence, with its column and position.
+    """The inverted index: one row a term occurrence, with its column and position; phrases stay within a column."""
+    every = F.array(*(F.struct(F.lit(k).alias("col"), terms(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for k, c in enumerate(columns)))
+    rows = search.select(*key, F.explode(every).alias("c"))
+    return rows.select(*key, F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
 
-    Positions of a column start far beyond those of the one before, so no phrase crosses columns.
-    """
-    each = [search.select(*key, F.lit(k).alias("col"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")) for k, c in enumerate(columns)]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out
+
+def document_lengths(search: DataFrame, columns: tuple[str, ...], key: list[str]) -> DataFrame:
+    """Terms of each row that has any, counted without unfolding them."""
+    n = F.lit(0)
+    for c in columns:
+        n = n + F.size(terms(F.coalesce(F.col(c), F.lit(""))))
+    return search.select(*key, n.cast("long").alias("length")).filter("length > 0")
+
+
+def term_statistics(index: DataFrame, key: list[str]) -> DataFrame:
+    """Occurrences of each term, and rows that hold it."""
+    per = index.groupBy("term", *key).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
+
+
+#: Parts of a stored index, by a hash of the term.
+INDEX_PARTS = 64
+
+
+def term_part(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(INDEX_PARTS)).cast("int")
 
 
-def document_lengths(index: DataFrame, key: list[str]) -> DataFrame:
-    return index.groupBy(*key).agg(F.count(F.lit(1)).alias("length"))
+def write_index(search: DataFrame, columns: tuple[str, ...], key: list[str], root: str) -> None:
+    """Store the index by term, so that a query reads its terms' parts alone, with the rows' lengths beside it."""
+    index = index_terms(search, columns, key).withColumn("part", term_part(F.col("term")))
+    index.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{root}/index")
+    document_lengths(search, columns, key).write.mode("overwrite").parquet(f"{root}/lengths")
+
+
+def read_index(spark: SparkSession, root: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """(occurrences of the query's terms, lengths) of a stored index."""
+    wanted = sorted({t for p in query_phrases(query) for t in p})
+    index = spark.read.parquet(f"{root}/index")
+    parts = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(term_part(F.col("t"))).distinct().collect()]
+    return index.filter(F.col("part").isin(parts) & F.col("term").isin(wanted)).drop("part"), spark.read.parquet(f"{root}/lengths")
 
 
 def query_phrases(query: str) -> list[list[str]]:
     """Each keyword as the terms it is indexed under; a keyword without any term is an empty phrase."""
-    words = [w for w in re.split(r"[^\w.\-]+", query) if w]
+    words = [w for w in re.split(r"[^\w.\-\u0300-\u036f]+", query) if w]
     if not words:
         raise ValueError("the query has no keyword")
-    low = [unicodedata.normalize("NFD", w.lower()) for w in words]
-    return [[t for t in re.split(r"[\W_]+", "".join(c for c in w if not unicodedata.combining(c))) if t] for w in low]
-
-
-def phrase_counts(index: DataFrame, phrase: list[str], key: list[str]) -> DataFrame:
-    """How often the phrase occurs in each row: starts of its terms that coincide."""
-    starts = None
-    for k, term in enumerate(phrase):
-        at = index.filter(F.col("term") == term).select(*key, "col", (F.col("pos") - k).alias("start"))
-        starts = at if starts is None else starts.join(at, [*key, "col", "start"], "left_semi")
-    return starts.groupBy(*key).agg(F.count(F.lit(1)).alias("tf"))
+    return [terms_of(w) for w in words]
 
 
 def keyword_search(index: DataFrame, lengths: DataFrame, query: str, key: list[str]) -> DataFrame:
-    """``key`` and ``score`` of the rows that hold every phrase, by BM25 over the whole corpus."""
+    """``key`` and ``score`` of the rows that hold every phrase, by BM25 over the whole corpus.
+
+    One pass over the index: each occurrence of a term proposes the starts of the phrases it belongs to,
+    and a start that all terms of a phrase propose is an occurrence of the phrase.
+    """
     phrases = query_phrases(query)
-    stats = lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"))
     if not all(phrases):
         return lengths.select(*key, F.lit(0.0).alias("score")).limit(0)
-    hits = None
+    places: dict[str, list[tuple[int, int]]] = {}
     for k, phrase in enumerate(phrases):
-        tf = phrase_counts(index, phrase, key).withColumnRenamed("tf", f"tf{k}")
-        n = tf.agg(F.count(F.lit(1)).alias(f"n{k}"))
-        tf = tf.crossJoin(F.broadcast(n))  # one row
-        hits = tf if hits is None else hits.join(tf, key)
-    hits = hits.join(lengths, key).crossJoin(F.broadcast(stats))  # one row
+        for j, term in enumerate(phrase):
+            places.setdefault(term, []).append((k, j))
+    chain = F
+    for term, at in places.items():
+        chain = chain.when(F.col("term") == term, F.array(*(F.struct(F.lit(k).alias("k"), (F.col("pos") - j).alias("start")) for k, j in at)))
+    starts = index.filter(F.col("term").isin(*places)).select(*key, "col", F.inline(chain)).groupBy(*key, "col", "k", "start").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.get(F.array(*(F.lit(len(p)) for p in phrases)), F.col("k")) == F.col("n")
+    tf = starts.filter(whole).groupBy(*key).agg(*(F.count_if(F.col("k") == k).alias(f"tf{k}") for k in range(len(phrases))))
+    tf = materialize(tf, "term_counts")
+    n = tf.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
+    stats = lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"))
+    both = tf
+    for k in range(len(phrases)):
+        both = both.filter(F.col(f"tf{k}") > 0)
+    hits = both.join(lengths, key).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(stats))  # one row each
     score = F.lit(0.0)
     for k in range(len(phrases)):
-        n, tf = F.col(f"n{k}"), F.col(f"tf{k}")
-        idf = F.greatest(F.log((F.col("rows") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        n_k, tf_k = F.col(f"n{k}"), F.col(f"tf{k}")
+        idf = F.greatest(F.log((F.col("rows") - n_k + 0.5) / (n_k + 0.5)), F.lit(1e-6))
+        score = score + idf * tf_k * (K1 + 1) / (tf_k + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.select(*key, score.alias("score"))
 
 
-def ranked_turns(hits: DataFrame, turns: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """The best turns: score, then newest first."""
-    return page(hits.join(turns, TURN_KEY), [F.desc("score"), *TURN_ORDER()], limit, offset)
+def ranked_turns(hits: DataFrame, turns: DataFrame, limit: int, offset: int = 0, query: str | None = None) -> DataFrame:
+    """The best turns: score, then newest first; given the query, each with a snippet of its texts."""
+    keys = page(hits.join(turns.select(*TURN_KEY, "started_at"), TURN_KEY), [F.desc("score"), *TURN_ORDER()], limit, offset)
+    if query is None:
+        return keys.join(turns.drop("started_at"), TURN_KEY).orderBy(F.desc("score"), *TURN_ORDER())
+    # texts are read for the page alone
+    rows = keys.join(turns.drop("started_at"), TURN_KEY)
+    text = F.concat_ws("\n", "user_message", "final_answer_text")
+    return rows.withColumn("snippet", keyword_snippet(text, query)).orderBy(F.desc("score"), *TURN_ORDER())
 
 
 # --- evidence ------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,11 +98,31 @@ def touching_exact(accesses: DataFrame, path: str, root: str | None = None) -> D
     return accesses.filter(F.col("access_type").isin("read", "write", "edit") & F.coalesce(hit, F.lit(False))).select(*SESSION_KEY).distinct()
 
 
-def matches_glob(glob: str, root: str | None) -> Column:
-    """Whether an access matches in its project-scoped or its plain normal form."""
+def matches_glob(glob: str, root: str | None, shown: Column | None = None) -> Column:
+    """Whether an access matches in its project-scoped or its plain normal form.
+
+    ``shown`` is the project-scoped form where it is known. A literal of the glob, which raw paths must
+    hold as well, goes first, so that most other paths are never normalised.
+    """
+    plan, literal = selector_plan(glob)
+    if plan == "impossible":
+        return F.lit(False)
     pattern = glob_to_regex(glob)
-    scoped = fold(display_path(F.col("repo_relative_path"), F.col("path"), root))
-    return F.coalesce(scoped.rlike(pattern), F.lit(False)) | fold(normal_path(F.col("path"))).rlike(pattern)
+    scoped = fold(shown if shown is not None else display_path(F.col("repo_relative_path"), F.col("path"), root))
+    same = (lambda c: c == fold_text(glob)) if plan == "exact" else (lambda c: c.rlike(pattern))
+    hit = F.coalesce(same(scoped), F.lit(False)) | F.coalesce(same(fold(normal_path(F.col("path")))), F.lit(False))
+    if not literal:
+        return hit
+    raw = F.coalesce(fold(F.col("repo_relative_path")).contains(literal), F.lit(False)) | fold(F.col("path")).contains(literal)
+    return F.when(raw, hit).otherwise(F.lit(False))
+
+
+def selector_plan(glob: str) -> tuple[str, str]:
+    """How a glob is matched (exact, pattern, or impossible), and the longest literal within one of its components."""
+    if not glob.strip() or glob.startswith("../"):
+        return "impossible", ""
+    parts = re.split(r"/|\*|\?|\[[^\]]*\]?", fold_text(glob))
+    return "pattern" if re.search(r"[*?\[]", glob) else "exact", max(parts, key=len)
 
 
 def touching_glob(accesses: DataFrame, glob: str, root: str | None = None) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.operators.redact import redact_text
+from weft.operators.redact import redact_steps, redact_text
 from weft.schema import SESSION_KEY, TURN_KEY
 
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,199}$"
@@ -37,10 +39,12 @@ def status(sessions: DataFrame) -> DataFrame:
 
 
 def export(turns: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Turns of the selected sessions, texts redacted once more, each with the hash of its content."""
+    """Turns of the selected sessions, texts and steps redacted once more, each with the hash of its content."""
     rows = turns.join(sessions.select(*SESSION_KEY), SESSION_KEY, "left_semi")
     for c in ("user_message", "final_answer_text"):
         rows = rows.withColumn(c, redact_text(F.col(c)))
+    if "steps" in rows.columns:
+        rows = rows.withColumn("steps", redact_steps(F.col("steps")))
     content = F.to_json(F.struct(*rows.columns))
     return rows.withColumn("content_sha256", F.sha2(content, 256)).withColumn("bytes", F.octet_length(content).cast("long"))
 
@@ -48,20 +52,28 @@ def export(turns: DataFrame, sessions: DataFrame) -> DataFrame:
 def chunks(rows: DataFrame, size: str, order: list[str], by: list[str], limit: int = CHUNK) -> DataFrame:
     """``chunk`` numbers in order, cut before a chunk would pass ``limit``; a larger row is a chunk of its own.
 
-    Greedy packing within each group of ``by``; groups are small by design, one for each session.
+    Greedy packing within each group of ``by``: a group's rows stream by in order, and a task holds one
+    batch and the running size, however long the group is.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = F.collect_list(F.col(size)).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    numbered = rows.withColumn("__k", F.count(F.lit(1)).over(w)).withColumn("__sizes", sizes)
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("held"))
-
-    def step(a, s):
-        fits = (a["chunk"] >= 0) & (a["held"] + s <= limit)
-        chunk = F.when(fits, a["chunk"]).otherwise(a["chunk"] + 1)
-        return F.struct(F.concat(a["out"], F.array(chunk)).alias("out"), chunk.alias("chunk"), F.when(fits, a["held"] + s).otherwise(s.cast("long")).alias("held"))
-
-    packed = numbered.filter("__k = 1").select(*by, F.aggregate("__sizes", zero, step, lambda a: a["out"]).alias("__chunks"))
-    return numbered.drop("__sizes").join(packed, by).withColumn("chunk", F.get("__chunks", (F.col("__k") - 1).cast("int"))).drop("__k", "__chunks")
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())])
+    names, at = rows.columns, rows.columns.index(size)
+    keys = [names.index(c) for c in by]
+
+    def run(batches):
+        group, chunk, held = None, -1, 0
+        for b in batches:
+            out = []
+            for s, key in zip(b.column(at).to_pylist(), zip(*(b.column(k).to_pylist() for k in keys))):
+                if key != group:
+                    group, chunk, held = key, -1, 0
+                if chunk >= 0 and held + s <= limit:
+                    held += s
+                else:
+                    chunk, held = chunk + 1, s
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*names, "chunk"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def same_export(before: DataFrame, after: DataFrame, key: list[str]) -> bool:

@@ -12,7 +12,7 @@ from weft.operators import files, insights, search, sessions
 from weft.operators import turns as turn_reads
 from weft.operators.paging import keyset
 from weft.plans import standins as S
-from weft.runtime import table
+from weft.runtime import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,7 +120,6 @@ LEFT JOIN (SELECT session_id, count(*) AS turns, sum(calls)::BIGINT AS calls, co
 def refresh_tables(spark, d):
     """Rows of each stored table by session, after a write and a read of all of them."""
     from weft.operators.assemble import read_table, write_tables
-    from weft.runtime import scratch_path
 
     root = scratch_path(spark, "tables")
     write_tables(assembled(spark, d), root)
@@ -360,11 +359,55 @@ FROM a JOIN b USING (doc_id) JOIN len USING (doc_id), stats, (SELECT count(*) AS
 
 @query("search_keyword_bm25", BM25)
 def search_keyword_bm25(spark, d):
-    index = search.index_terms(table(spark, d, "documents"), ("text",), ["doc_id"])
-    hits = search.keyword_search(index, search.document_lengths(index, ["doc_id"]), "tion of-the", ["doc_id"])
+    docs = table(spark, d, "documents")
+    lengths = materialize(search.document_lengths(docs, ("text",), ["doc_id"]), "lengths")
+    hits = search.keyword_search(search.index_terms(docs, ("text",), ["doc_id"]), lengths, "tion of-the", ["doc_id"])
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+PAGED = rf"""t AS (SELECT *, {SQL_TERMS.replace("text", "coalesce(user_message, '') || ' | ' || coalesce(final_answer_text, '')")} AS ts FROM chat_turns),
+len AS (SELECT session_id, turn_ordinal, len(ts) AS length FROM t WHERE len(ts) > 0), stats AS (SELECT count(*) AS rows, avg(length) AS mean FROM len),
+occ AS (SELECT session_id, turn_ordinal, unnest(ts) AS term FROM t), a AS (SELECT session_id, turn_ordinal, count(*) AS tf FROM occ WHERE term = 'que' GROUP BY ALL),
+b AS (SELECT session_id, turn_ordinal, count(*) AS tf FROM occ WHERE term = 'en' GROUP BY ALL)
+SELECT t.session_id, t.turn_ordinal, round(greatest(ln((rows - na + 0.5) / (na + 0.5)), 1e-6) * a.tf * 2.2 / (a.tf + 1.2 * (0.25 + 0.75 * length / mean))
+  + greatest(ln((rows - nb + 0.5) / (nb + 0.5)), 1e-6) * b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score, started_at
+FROM a JOIN b USING (session_id, turn_ordinal) JOIN len USING (session_id, turn_ordinal) JOIN t USING (session_id, turn_ordinal), stats, (SELECT count(*) AS na FROM a), (SELECT count(*) AS nb FROM b)
+ORDER BY score DESC, started_at DESC, provider, t.session_id, t.turn_ordinal LIMIT 50"""
+
+
+@query("search_keyword_page", with_(S.SQL_CHAT, PAGED))
+def search_keyword_page(spark, d):
+    """The best page of turns from a stored index of which only the query's terms are read."""
+    turns, root = S.chat_turns(spark, d), scratch_path(spark, "search")
+    search.write_index(turns, ("user_message", "final_answer_text"), search.TURN_KEY, root)
+    hits = search.keyword_search(*search.read_index(spark, root, "Qué EN"), "Qué EN", search.TURN_KEY)
+    hits = hits.withColumn("score", F.round("score", 6))
+    return search.ranked_turns(hits, turns, 50, query="Qué EN").select("session_id", "turn_ordinal", "score", "started_at")
+
+
+LINES = r"[a-z]{3}\.$"
+
+
+@query("search_regex_lines", with_(EVIDENCE) + """SELECT conv_id, evidence_ordinal FROM evidence WHERE regexp_matches(text, '[a-z]{3}\\.\\z')""")
+def search_regex_lines(spark, d):
+    """``$`` is the very end of a text, also of one that ends with a line end."""
+    return search.regex_matches(chat_evidence(spark, d), LINES, search.check_arguments("regex")).select("conv_id", "evidence_ordinal")
+
+
+@query("share_export", with_(S.SQL_FILES) + f"""SELECT session_id, turn_ordinal, {REDACTED.format('user_message')} AS user_message, calls AS redacted_calls FROM file_turns""")
+def share_export(spark, d):
+    """Shared turns whose steps were given a planted secret: none leaves."""
+    from weft.operators.ingest import make_step
+    from weft.operators.share import export
+
+    tables = assembled(spark, d)
+    planted = make_step("tool_call", name=F.lit("Bash"), arguments=F.lit('{"cmd":"run","api_key":"hunter22"}'))
+    turns = tables["turns"].withColumn("steps", F.transform("steps", lambda s: F.when(s["type"] == "tool_call", planted).otherwise(s)))
+    shared = export(turns, tables["sessions"])
+    safe = F.size(F.filter("steps", lambda s: s["arguments"] == '{"cmd":"run","api_key":"[REDACTED_SECRET]"}')).cast("long")
+    return shared.select("session_id", "turn_ordinal", "user_message", safe.alias("redacted_calls"))
+
+
 @query("document_preview", f"SELECT doc_id, {SQL_PREVIEW.format('t')} AS preview, least(length(t), 500) AS chars, length(t) AS total_chars FROM (SELECT doc_id, {COLLAPSED.format('text')} AS t FROM documents)")
 def document_preview(spark, d):
     text, chars, total = preview(F.col("text"), 500)
@@ -542,9 +585,7 @@ def version_epoch(spark, d):
 
 @query("term_statistics", f"""SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS rows FROM (SELECT doc_id, unnest({SQL_TERMS}) AS term FROM documents) GROUP BY 1""")
 def term_statistics(spark, d):
-    index = search.index_terms(table(spark, d, "documents"), ("text",), ["doc_id"])
-    per = index.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
+    return search.term_statistics(search.index_terms(table(spark, d, "documents"), ("text",), ["doc_id"]), ["doc_id"])
 
 
 @query("display_paths", with_(S.SQL_ACCESSES) + "SELECT DISTINCT path, shown, file_name FROM accesses")
