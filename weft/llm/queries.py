@@ -17,6 +17,9 @@ QUERIES = {
         bloom_lm.op8_lm,
         chat.op9_chat,
         byte_bpe.op10_byte_bpe,
+        # parts of operators 2 and 3 that SQL can state
+        mixing.mix_targets,
+        quality.quality_base,
     )
 }
-SQL = {"op4_neardup": neardup.SQL, "op7_topk": cover_tree.SQL, "op9_chat": chat.SQL}
+SQL = {"op4_neardup": neardup.SQL, "op7_topk": cover_tree.SQL, "op9_chat": chat.SQL, "mix_targets": mixing.TARGETS_SQL, "quality_base": quality.BASE_SQL}
