@@ -392,8 +392,8 @@ def test_envelope(spark, tmp_path):
 
     assert e.envelope("x", spark.range(3), 2)["data"]["has_more"] is True
     with pytest.raises(e.QueryError) as err:
-        e.one_of([1, 2].__class__(), "session")
-    assert err.value.code == "not_found" and err.value.envelope()["error"]["code"] == "not_found"
+        e.one_session([], "session")
+    assert err.value.code == "unknown_session" and err.value.envelope()["error"]["code"] == "unknown_session"
     (tmp_path / "c.toml").write_text('[[projects]]\nname = "A b"\nlocal_path = "/w"\n[watch]\ndebounce_s = 5\n')
     c = e.Config.load(str(tmp_path / "c.toml"))
     assert c.debounce_s == 5 and c.projects[0].id.startswith("a-b-") and len(c.projects[0].id) == 16
@@ -478,3 +478,106 @@ def test_turn_list_of_all_turns_is_no_top_k(spark, data):
     page = reads.list_turns(t, limit=3, offset=1).collect()
     assert [(r.project_id, r.provider, r.session_id, r.turn_ordinal, r.user_prompt_preview) for r in page] == sorted(keys)[1:4]
     assert reads.list_turns(t, limit=None, offset=1).count() == len(keys) - 1
+
+
+def test_owners_by_folder_and_repository(spark):
+    roots = spark.createDataFrame([("/w/a", "a", False), ("/w/a/sub", "b", False), ("/lk", "a", True), ("/w/c", "c", False)], "root string, project_id string, linked boolean")
+    upstreams = spark.createDataFrame([("a", None, "ua"), ("b", "/w/a/sub", "ub")], "project_id string, root string, url string")
+    cases = [
+        ("none", "/w/a/x", None, ["a"]), ("deeper wins", "/w/a/sub/x", None, ["b"]), ("own url", "/w/a/x", "ua", ["a"]), ("foreign url above", "/w/a/x", "zz", []),
+        ("foreign url, very folder", "/w/a", "zz", ["a"]), ("folder's url", "/w/a/sub/x", "ub", ["b"]), ("folder has another url", "/w/a/sub/x", "zz", []),
+        ("linked, no url", "/lk/x", None, ["a"]), ("linked, project's url", "/lk/x", "ua", []), ("linked, very folder", "/lk", "zz", ["a"]),
+        ("no evidence", "/w/c/x", "zz", ["c"]), ("below no root", "/other", "ua", ["a"]), ("below no root, no url", "/other", None, []), ("not a part", "/w/ab", None, []),
+    ]
+    rows = spark.createDataFrame([(n, c, u) for n, c, u, _ in cases], "k string, cwd string, repository_url string")
+    got = {}
+    for r in ingest.owners_of(rows, roots, upstreams, ["k"]).collect():
+        got.setdefault(r.k, []).append(r.project_id)
+    for name, _, _, wanted in cases:
+        assert sorted(got.get(name, [])) == wanted, name
+
+
+def test_epochs_of_real_versions(spark):
+    name, _ = ingest.epoch(F.col("p"), list(ingest.CODEX_EPOCHS), "0.104.0")
+    for v, wanted in (("0.32.9", None), ("0.33.0", "initial"), ("0.35.0-alpha.2", "initial"), ("0.35.0-alpha.3", "compaction_prelude"), ("0.35.0", "legacy"), ("0.97.1", "structured_tool_output"), ("0.104.0-alpha.1", "turn_lifecycle")):
+        assert value(spark, name, p=v) == wanted, v
+    ends = ingest.text_ends_turn(F.col("p"))
+    assert value(spark, ends, p="2.1.83") and not value(spark, ends, p="2.1.84") and not value(spark, ends, p="x")
+
+
+def test_envelope_codes(tmp_path):
+    import os
+
+    from weft.plans import envelope as e
+
+    full = "01234567-89ab-cdef-0123-456789abcdef"
+    assert [e.session_id_shape(x) for x in (full, full[:9], full[:8] + "x", "", "g", full + "0")] == ["full", "prefix", "invalid", "invalid", "invalid", "invalid"]
+    for text, prefix, code in (("", False, "missing_required_identity"), ("zz", True, "invalid_session_id"), (full[:4], False, "invalid_session_id")):
+        with pytest.raises(e.QueryError) as error:
+            e.checked_session_id(text, prefix)
+        assert error.value.code == code and code in e.CODES
+    one = {"project_id": "p", "provider": "codex", "session_id": "s"}
+    assert e.one_session([one, one | {"provider": "claude"}], "s", across_providers=True) == one
+    for matches, code in (([], "unknown_session"), ([one, one | {"session_id": "t"}], "ambiguous_session")):
+        with pytest.raises(e.QueryError) as error:
+            e.one_session(matches, "s", across_providers=True)
+        assert error.value.code == code
+    lock = tmp_path / "lock"
+    lock.write_text('{"pid": 999999999}')
+    assert e.refresh_status(str(lock)) == {"running": False, "holder": '{"pid": 999999999}'}
+    with e.refresh_lock(str(lock)):
+        assert str(os.getpid()) in lock.read_text() and e.refresh_status(str(lock))["running"]
+        with pytest.raises(e.QueryError), e.refresh_lock(str(lock)):
+            pass
+    assert not lock.exists()
+    c = e.Config((e.Project("a", "A", "/a"), e.Project("b", "B", "/b")))
+    assert c.linked("a", "/x").linked("a", "/x").projects[0].known_paths == ("/x",) and c.renamed("a", "Z").projects[0].name == "Z" and len(c.removed("a").projects) == 1
+    for wrong in (lambda: c.renamed("a", "B"), lambda: c.removed("zz")):
+        with pytest.raises(e.QueryError):
+            wrong()
+
+
+def test_manifest_and_carried_tables(spark, tmp_path):
+    entries = spark.createDataFrame([("f", 1, 2, "m")], "id string, size long, mtime_ms long, meta string")
+    incremental.write_manifest(entries, str(tmp_path / "m"))
+    assert incremental.read_manifest(spark, str(tmp_path / "m"), "id string, size long, mtime_ms long, meta string").collect() == entries.collect()
+    key = "project_id string, provider string, session_id string"
+    s = lambda *rows: spark.createDataFrame(rows, f"{key}, origin_kind string, share_state string")
+    t = lambda *ids: spark.createDataFrame([("p", "c", i, 1) for i in ids], f"{key}, turn_ordinal long")
+    old = {"sessions": s(("p", "c", "1", "local", "included"), ("p", "c", "2", "shared", "unset"), ("p", "c", "3", "shared", "unset")), "turns": t("1", "2", "3")}
+    new = {"sessions": s(("p", "c", "1", "local", "unset"), ("p", "c", "3", "local", "unset")), "turns": t("1", "3")}
+    got = incremental.carry_shared(old, new)
+    assert sorted((r.session_id, r.origin_kind, r.share_state) for r in got["sessions"].collect()) == [("1", "local", "included"), ("2", "shared", "unset"), ("3", "local", "unset")]
+    assert sorted(r.session_id for r in got["turns"].collect()) == ["1", "2", "3"]
+    both = s(("p", "c", "1", "local", "unset"), ("q", "c", "1", "shared", "unset"), ("q", "c", "2", "shared", "unset"))
+    assert sorted((r.project_id, r.session_id) for r in incremental.promote_local(both).collect()) == [("p", "1"), ("q", "2")]
+    assert incremental.remove_project(old, "p")["turns"].count() == 0
+
+
+def test_assembled_tables_and_what_is_skipped(spark, tmp_path):
+    from weft.operators import assemble
+
+    def session(sid, version, *more):
+        return "\n".join([line("session_meta", {"id": sid, "cwd": "/w/p", "cli_version": version}, "2024-01-01T00:00:00Z"), *more])
+
+    ask = line("event_msg", {"type": "user_message", "message": "token = abcd1234 go"}, "2024-01-01T00:00:01Z")
+    call = line("response_item", {"type": "function_call", "call_id": "c", "name": "Read", "arguments": json.dumps({"path": "/w/p/a.rs", "api_key": "hunter22"})}, "2024-01-01T00:00:02Z")
+    say = line("response_item", {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "done"}]}, "2024-01-01T00:00:03Z")
+    files = [
+        ("big_bad", session("s1", "0.100.0", ask, "{"), 999, 9), ("good", session("s1", "0.100.0", ask, call, say), 50, 5), ("small", session("s1", "0.100.0", ask), 10, 9),
+        ("early", session("s2", "0.10.0", ask), 1, 1), ("nameless", say, 1, 1), ("foreign", session("s3", "0.100.0", ask).replace("/w/p", "/elsewhere"), 1, 1),
+    ]
+    raw = spark.createDataFrame(files, "file string, text string, size long, mtime_ms long")
+    tables = assemble.provider_tables(raw, "codex", spark.createDataFrame([("/w", "p1")], "root string, project_id string"))
+    assemble.write_tables(tables, str(tmp_path))
+    read = lambda name, **k: assemble.read_table(spark, str(tmp_path), name, **k)
+    assert [(r.session_id, r.archive_path, r.schema_id, r.project_id) for r in read("sessions").collect()] == [("s1", "good", "structured_tool_output", "p1")]
+    turn = read("turns", provider="codex", session_id="s1").first()
+    assert turn.user_message == "token = [REDACTED_SECRET] go" and turn.final_answer_text == "done" and turn.tool_call_count == 1 and turn.duration_ms == 2000
+    assert "hunter22" not in turn.steps[0].arguments and read("tool_calls").first().tool_name == "Read"
+    assert [(r.path, r.repo_relative_path) for r in read("file_accesses").collect()] == [("/w/p/a.rs", "a.rs")]
+    assert sorted((r.file, r.reason) for r in read("skipped").collect()) == [("big_bad", "line 3 is not JSON"), ("early", "unsupported version"), ("nameless", "no session id")]
+    again = assemble.derived(read("turns"), read("sessions"))
+    assert again["turn_evidence"].exceptAll(read("turn_evidence").select(again["turn_evidence"].columns)).isEmpty()
+    moved = incremental.migrated(read("turns").drop("tool_call_count")).first()
+    assert moved.tool_call_count == 1 and moved.duration_ms == 2000

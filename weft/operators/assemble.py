@@ -53,7 +53,11 @@ def provider_tables(raw: DataFrame, provider: str, owners: DataFrame) -> dict[st
     """
     turns, about, skipped = provider_turns(raw, provider)
     files = raw.select("file", "size", "mtime_ms").join(skipped.select("file", "reason"), "file", "left")
-    found = files.join(about, "file").filter("session_id is not null").withColumn("__readable", F.col("reason").isNull())
+    found = files.join(about, "file").filter("session_id is not null")
+    early = F.lit(False)
+    if provider == "codex":
+        early = F.coalesce(ingest.version_key(F.col("cli_version")) < ingest.version_literal(ingest.CODEX_EPOCHS[0][0]), F.lit(False))
+    found = found.withColumn("__readable", F.col("reason").isNull() & ~early)
     one = ingest.dedupe_priority(found, ["session_id"], "size", "mtime_ms", "file", "__readable").drop("reason", "__readable")
     homes = ingest.owner_by_prefix(one.select(F.col("cwd").alias("path")).filter("path is not null").distinct(), owners).filter("project_id is not null")
     name, sure = determinism(provider)
@@ -78,7 +82,7 @@ def provider_tables(raw: DataFrame, provider: str, owners: DataFrame) -> dict[st
         "file_accesses": derive.file_accesses(calls, sessions),
         "turn_evidence": derive.evidence(turns),
         "turn_search": derive.search_text(turns),
-        "skipped": skipped,
+        "skipped": skipped.select("file", "reason").unionByName(unusable(found, about, provider)),
     }
 
 
@@ -88,6 +92,15 @@ def derived(turns: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
     return {"tool_calls": calls, "file_accesses": derive.file_accesses(calls, sessions), "turn_evidence": derive.evidence(turns), "turn_search": derive.search_text(turns)}
 
 
+def unusable(found: DataFrame, about: DataFrame, provider: str) -> DataFrame:
+    """Files that parse but name no session, or one of a version before the first epoch."""
+    unnamed = about.filter("session_id is null").select("file", F.lit("no session id").alias("reason"))
+    if provider != "codex":
+        return unnamed
+    early = ingest.version_key(F.col("cli_version")) < ingest.version_literal(ingest.CODEX_EPOCHS[0][0])
+    return unnamed.unionByName(found.filter(early).select("file", F.lit("unsupported version").alias("reason")))
+
+
 def all_tables(raw: dict[str, DataFrame], owners: DataFrame) -> dict[str, DataFrame]:
     """Tables of every provider's files together."""
     out: dict[str, DataFrame] = {}

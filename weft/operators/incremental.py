@@ -5,10 +5,10 @@ Tables are immutable versions: an operator builds the next version of a table fr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.schema import SESSION_KEY, TURN_KEY
+from weft.schema import METRICS, SESSION_KEY, TURN_KEY
 
 
 def manifest_diff(found: DataFrame, manifest: DataFrame, key: list[str]) -> DataFrame:
@@ -80,3 +80,56 @@ def prune(turns: DataFrame, keep: DataFrame, scope: list[str]) -> DataFrame:
 def without_turns(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     """Sessions that no turn is left of."""
     return sessions.join(turns.select(*SESSION_KEY).distinct(), SESSION_KEY, "left_anti")
+
+
+# --- manifests, carried and migrated tables ------------------------------------------------------
+
+#: Version of the manifest format.
+MANIFEST = 1
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """Store the manifest (key columns, size, mtime_ms, meta) as JSON lines that name the format's version."""
+    entries.withColumn("version", F.lit(MANIFEST)).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored manifest; entries of another version count as none, so that their files are copied again."""
+    return spark.read.schema(f"{schema}, version int").json(path).filter(F.col("version") == MANIFEST).drop("version")
+
+
+def promote_local(sessions: DataFrame) -> DataFrame:
+    """Sessions without shared rows whose provider and id a local session has: it has taken their place."""
+    local = sessions.filter("origin_kind = 'local'").select("provider", "session_id").distinct()
+    shared = sessions.filter("origin_kind <> 'local'").join(local, ["provider", "session_id"], "left_anti")
+    return sessions.filter("origin_kind = 'local'").unionByName(shared)
+
+
+def carry_shared(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Rebuilt tables with what only the old ones know: shared sessions and their rows, and share states.
+
+    A shared session that is local now is left out, and its rows with it.
+    """
+    shared = old["sessions"].filter("origin_kind <> 'local'").join(new["sessions"].select("provider", "session_id").distinct(), ["provider", "session_id"], "left_anti")
+    keys = shared.select(*SESSION_KEY)
+    out = {"sessions": keep_share_state(new["sessions"], old["sessions"]).unionByName(shared, allowMissingColumns=True)}
+    for name in new:
+        if name in old and name != "sessions" and "session_id" in new[name].columns:
+            out[name] = new[name].unionByName(old[name].join(keys, SESSION_KEY, "left_semi"), allowMissingColumns=True)
+    return {**new, **out}
+
+
+def migrated(turns: DataFrame) -> DataFrame:
+    """Stored turns of an older version: metrics where they are missing, and redacted by today's rules."""
+    from weft.operators.derive import metrics
+    from weft.operators.redact import redact_steps, redact_text
+
+    known = [m for m in METRICS if m in turns.columns]
+    fresh = metrics(turns.withColumnsRenamed({m: f"__{m}" for m in known}))
+    fresh = fresh.withColumns({m: F.coalesce(f"__{m}", m) for m in known}).drop(*(f"__{m}" for m in known))
+    return fresh.withColumns({"user_message": redact_text(F.col("user_message")), "final_answer_text": redact_text(F.col("final_answer_text")), "steps": redact_steps(F.col("steps"))})
+
+
+def remove_project(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
+    """All tables without a project's rows."""
+    return {name: without_project(t, project_id) if "project_id" in t.columns else t for name, t in tables.items()}

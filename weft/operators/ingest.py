@@ -343,6 +343,48 @@ def owner_by_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root
     return paths.join(best, path, "left")
 
 
+def ancestors(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` once for each folder above or at ``path``: ``root`` and its number of parts, ``depth``."""
+    parts = F.split(F.regexp_replace(path, "(?<=.)/+$", ""), "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("root"), n.alias("depth"), (n == F.size(parts)).alias("exact")))
+    return rows.select("*", F.inline(up))
+
+
+#: How a project's root meets a session's folder.
+ABOVE, EXACT, LINKED = 0, 1, 2
+
+
+def owners_of(sessions: DataFrame, roots: DataFrame, upstreams: DataFrame, key: list[str]) -> DataFrame:
+    """(key, project_id) of the projects that own each session, by its folder and its repository.
+
+    ``sessions`` has ``cwd`` and ``repository_url``. ``roots`` (root, project_id, linked) are the projects'
+    folders, ``upstreams`` (project_id, root, url) their repositories: of the whole project where root is
+    null. The deepest root above the folder decides whose path it is; several projects at one depth all
+    may have it. There a session without a repository belongs, one whose repository is an upstream of a
+    folder at that depth or below, one in the very folder, and, unless the folder is only linked, one
+    whose repository is the project's or for which no repository of project or folder is known. A folder
+    below no root goes to the projects that have its repository as an upstream.
+    """
+    s = sessions.select(*key, "cwd", "repository_url")
+    up = ancestors(s.filter(F.coalesce("cwd", F.lit("")) != ""), "cwd")
+    hits = up.join(roots, "root")
+    deepest = hits.groupBy(*key).agg(F.max("depth").alias("deepest"))
+    # of one depth a linked folder counts before the very folder, and that before a folder above
+    rank = F.when(F.col("exact"), EXACT).when(F.col("linked"), LINKED).otherwise(ABOVE)
+    mine = hits.groupBy(*key, "project_id").agg(F.max(F.struct("depth", rank.alias("rank"))).alias("m"), F.first("repository_url").alias("url")).join(deepest, key).filter("m.depth = deepest")
+    scoped = up.join(upstreams.filter("root is not null").withColumnRenamed("url", "known"), "root").select(*key, "project_id", F.col("depth").alias("at"), "known")
+    whole = upstreams.filter("root is null").groupBy("project_id").agg(F.collect_set("url").alias("urls"))
+    below = mine.join(scoped, [*key, "project_id"], "left").withColumn("known", F.when(F.col("at") >= F.col("m.depth"), F.col("known")))
+    seen = below.groupBy(*key, "project_id", "m", "url").agg(F.collect_set("known").alias("path_urls")).join(whole, "project_id", "left")
+    urls = F.coalesce("urls", F.array().cast("array<string>"))
+    listed = F.array_contains(urls, F.col("url"))
+    nothing = (F.size(urls) == 0) & (F.size("path_urls") == 0)
+    belongs = F.col("url").isNull() | F.array_contains("path_urls", F.col("url")) | (F.col("m.rank") == EXACT) | ((F.col("m.rank") == ABOVE) & (listed | nothing))
+    inside = seen.filter(belongs).select(*key, "project_id")
+    outside = s.join(deepest.select(*key), key, "left_anti").join(upstreams.filter("root is null").select("project_id", F.col("url").alias("repository_url")).distinct(), "repository_url")
+    return inside.unionByName(outside.select(*key, "project_id"))
+
+
 def archive_kind(path: Column) -> tuple[Column, Column, Column]:
     """(session_id, kind, parent) of an archive path; kind is null for what isn't a session file."""
     codex = F.regexp_extract(path, r"/codex/rollout-[^/]*?([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1)

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import checked_regex, fold, fold_text, like_contains, like_prefix
+from weft.functions.text import checked_regex, fold, fold_text, like_contains, like_prefix, preview
 from weft.operators.paging import TURN_ORDER, capped, page
 from weft.operators.sessions import matches_glob
 from weft.runtime import materialize
@@ -159,7 +159,8 @@ def ranked_turns(hits: DataFrame, turns: DataFrame, limit: int, offset: int = 0,
     # texts are read for the page alone
     rows = keys.join(turns.drop("started_at"), TURN_KEY)
     text = F.concat_ws("\n", "user_message", "final_answer_text")
-    return rows.withColumn("snippet", keyword_snippet(text, query)).orderBy(F.desc("score"), *TURN_ORDER())
+    shown = F.coalesce(F.nullif(keyword_snippet(text, query), F.lit("")), preview(F.col("user_message"), 300)[0])
+    return rows.withColumn("snippet", shown).orderBy(F.desc("score"), *TURN_ORDER())
 
 
 # --- evidence ------------------------------------------------------------------------------------

@@ -51,6 +51,14 @@ def show_turn(turns: DataFrame, key: dict, step_limit: int = 10, step_offset: in
     return out.drop("steps").withColumnRenamed("shown", "steps")
 
 
+def show_turns(turns: DataFrame, session: dict, limit: int | None = None, offset: int = 0, narrative: bool = True) -> DataFrame:
+    """Details of a session's turns by ordinal: all of them, or a page."""
+    rows = scope.equal(turns, **session).withColumn("token_usage", token_usage())
+    if narrative:
+        rows = rows.withColumn("steps", narrated(F.col("steps")))
+    return page(rows, [F.asc("turn_ordinal")], limit, offset)
+
+
 def narrated(steps: Column) -> Column:
     """Steps whose bulky fields are blank, but for commentary's text."""
 
