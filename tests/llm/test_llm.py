@@ -337,6 +337,84 @@ def test_quality_on_held_out_labels(spark, data):
     assert right >= 0.95 * total
 
 
+def plain_cover(rows, edges):
+    """Rules as lists of (feature, above, bin), grown and pruned over (bins, bad, part) rows in memory."""
+    meets = lambda r, rule: all((r[0][f] > b) == above for f, above, b in rule)
+    rules = []
+    while len(rules) < quality.MAX_RULES:
+        rule, inside = [], [r for r in rows if r[2] < 2]
+        while len(rule) < quality.MAX_CONDITIONS:
+            bad = sum(r[1] for r in inside)
+            if not bad or bad == len(inside):
+                break
+            best = None
+            for f in range(len(edges)):
+                for b in range(len(edges[f])):
+                    for above in (False, True):
+                        x = [r for r in inside if (r[0][f] > b) == above]
+                        p = sum(r[1] for r in x)
+                        gain = p * (math.log2(p / len(x)) - math.log2(bad / len(inside))) if p else 0.0
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                            best = (gain, (f, above, b))
+            if best is None:
+                break
+            rule.append(best[1])
+            inside = [r for r in inside if meets(r, rule)]
+        worth = []
+        for k in range(len(rule)):
+            x = [r for r in rows if r[2] == 2 and meets(r, rule[: k + 1])]
+            p = sum(r[1] for r in x)
+            worth.append(((2 * p - len(x)) / max(1, len(x)), -k, p, len(x)))
+        if not worth:
+            break
+        _, k, p, n = max(worth)
+        if p < quality.LEAST or p < quality.PRECISION * n:
+            break
+        rules.append(rule[: 1 - k])
+        rows = [r for r in rows if not meets(r, rules[-1])]
+    return rules
+
+
+def test_quality_list_equals_brute_force(spark, monkeypatch):
+    rnd = random.Random(21)
+    kinds = [lambda w: w, lambda w: "##" + w, lambda w: w.upper() + "!!", lambda w: w + "9999"]
+    texts, marks = [], []
+    for k in range(360):
+        kind = k % 6 if k % 6 < 4 else 0
+        texts.append(" ".join(kinds[kind](rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(0, 99))) for _ in range(rnd.randint(12, 60))))
+        marks.append(int(kind == 0) if rnd.random() > 0.02 else rnd.randint(0, 1))
+    labels = spark.createDataFrame([(k, m, 0) for k, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    seen = []
+    binned = quality.binned
+    monkeypatch.setattr(quality, "binned", lambda *a: seen.append(binned(*a)) or seen[-1])
+    stats = quality.statistics(frame(spark, texts))
+    learned = quality.learn(stats, labels)
+    rows, edges = seen[0]
+    rows = [(r.bins, r.bad, r.part) for r in rows.collect()]
+    assert [[(c.feature, c.above, c.bin) for c in r] for r in learned.rules] == plain_cover(rows, edges)
+    assert learned.rules
+    numbered = {r.id: r.rule for r in stats.withColumn("rule", learned.rule()).collect()}
+    values = {r.id: r for r in stats.collect()}
+    meets = lambda r, rule: all((r[quality.FEATURES[c.feature]] > c.threshold) == c.above for c in rule)
+    assert all(n == next((k for k, rule in enumerate(learned.rules, 1) if meets(values[i], rule)), 0) for i, n in numbered.items())
+
+
+def test_quality_query(spark, data, docs):
+    for r in quality.op3_quality(spark, data).collect():
+        n, *rest = plain_statistics(docs[r.doc_id] or "")
+        failed = n < 10 or 100 * rest[-1] > 20 * n
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, *rest, failed)
+        assert r.kept == (not failed and r.rule == 0)
+
+
+def test_mixing_query(spark, data):
+    rows = {r.doc_id: r for r in mixing.mix_sources(table(spark, data, "documents")).collect()}
+    for r in mixing.op2_mixing(spark, data).collect():
+        m = rows[r.doc_id]
+        assert (r["size"], r.source_size, r.target, r.taken) == (m["size"], m.source_size, m.target, m["size"] * m.copies)
+        assert r.taken <= 2 * r["size"]
+
+
 # --- 4: near-duplicates --------------------------------------------------------------------------
 
 
@@ -485,6 +563,46 @@ def test_token_files(spark):
     assert back.select("range").distinct().count() > 1  # rows of one id are dealt out
 
 
+def test_token_queries(spark, data, docs):
+    """The queries of operators 5 and 10 against the libraries themselves."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    tok, start = hugging(), 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op5_token_files(spark, data).collect()}
+    for i in sorted(docs):
+        want = np.array([*tok.encode(docs[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    with open(byte_bpe.vocabulary_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in byte_bpe.op10_byte_bpe(spark, data).collect():
+        ids = enc.encode_ordinary(docs[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_segments_through_small_memories(docs):
+    """Ids stay right when the generations of remembered segments are dropped all the time, and over runs of texts."""
+    texts, tok = [*list(docs.values())[:60], None, "", *made_texts(300)], hugging()
+    codes = token_files.JoinedCodes(*token_files_parts(tok))
+    codes.limit = 50
+    out = []
+    for some in (texts[:40], texts[40:]):
+        for ids, sizes in codes.runs(pa.array(some, pa.string())):
+            ends = np.cumsum(sizes)
+            out += [ids[e - n : e].tolist() for n, e in zip(sizes, ends)]
+    assert out == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def token_files_parts(tok):
+    byte = {c: b for b, c in enumerate(byte_bpe.byte_characters())}
+    return tok, [bytes(byte.get(c, 0) for c in tok.id_to_token(i)) for i in range(tok.get_vocab_size())]
+
+
 # --- 7: search -----------------------------------------------------------------------------------
 
 
