@@ -619,7 +619,7 @@ def test_top_k(spark):
     rnd = np.random.default_rng(3)
     centers = rnd.normal(size=(6, 12))
     rows = [(i, [float(np.float32(x)) for x in centers[i % 6] + 0.1 * rnd.normal(size=12)]) for i in range(3000)]
-    rows += [(3000 + i, rows[7][1]) for i in range(40)] + [(4000, [0.0] * 12), (4100, [1.0, 2.0])]
+    rows += [(3000 + i, rows[7][1]) for i in range(40)] + [(4000, [0.0] * 12), (4100, [1.0, 2.0]), (6000, []), (6001, [])]
     odd = [(5000, None), (5100, [None] + [0.0] * 11), (5200, [float("nan")] * 12), (5300, [float("inf")] * 12), (None, [9.0] * 12)]
     df = spark.createDataFrame(rows + odd, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])).withColumn("score", F.lit("x"))
     got = sorted(map(tuple, cover_tree.top_k(df.filter("vec_id % 100 = 0"), df).collect()))

@@ -15,7 +15,7 @@ twice and each query once for each part that its bound leaves open, however the
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do
 null ids. Only vectors of the query's length are candidates; no rows other than those are dropped. A
 repeated row is a candidate as often as it occurs; queries that repeat an id and vector are one
-query. Scores are exact integers; beyond the range of a long they are held at its end. Equal vectors
+query; vectors without components score 0 with each other. Scores are exact integers; beyond the range of a long they are held at its end. Equal vectors
 in a part beyond the k + 1 of smallest id cannot be among the k best and are left out of its tree. An
 empty table, or no queries, gives no rows; other columns are not read.
 """
@@ -210,7 +210,7 @@ def sampled(x: DataFrame) -> Nodes:
     rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
     dims = np.array(rows.value_lengths()) if len(rows) else np.empty(0, np.int64)
     total, centers, first, at = x.count(), {}, {}, 0
-    for dim in sorted({*dims.tolist()} - {0}):
+    for dim in sorted({*dims.tolist()}):
         v = vectors(rows.filter(pa.array(dims == dim)))
         most = max(1, min(NODES, math.ceil(total / ROWS)) * len(v) // len(rows))
         centers[dim] = np.unique(np.stack([n.center for n in leaves(tree(v, 0), most)]), axis=0) if most > 1 else v[:1]
@@ -370,7 +370,7 @@ def searched(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & fine)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col(vector_col).isNotNull() & fine)
 
 
 def best_first(found: DataFrame, k: int) -> DataFrame:
@@ -391,7 +391,7 @@ def hits_of(queries: DataFrame, data: DataFrame, k: int = 10, id_col: str = "vec
     at = 0
     for r in of.orderBy("node").collect():  # a row a node
         nodes.radius[r["node"]], nodes.norm[r["node"]] = r["r"], r["m"]
-        nodes.parts[r["node"]] = (at, max(1, math.ceil(r["n"] * r["d"] * 8 / PART)))
+        nodes.parts[r["node"]] = (at, max(1, math.ceil(r["n"] * (r["d"] + 1) * 8 / PART)))
         at += nodes.parts[r["node"]][1]
     shared = spark.sparkContext.broadcast(nodes)
     names = spark.createDataFrame([(n, a, c) for n, (a, c) in nodes.parts.items()], "node long, first long, parts long")
