@@ -766,6 +766,51 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.formatted(df.limit(0))).count() == 0
 
 
+def test_chat_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (5, 1, "assistant", "x"), (5, 1, "assistant", "x"), (5, None, "user", "first"), (6, 1, "assistant", "w " * 30_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(df)).collect()}
+    assert (got[None].n_turns, got[None].loss_chars) == (2, 1)
+    assert (got[5].n_turns, got[5].loss_sha256) == (3, hashlib.sha256(b"xx").hexdigest())
+    assert got[6].loss_chars == 60_000
+
+
+# --- long texts and missing ids through all operators ---------------------------------------------
+
+
+def test_long_texts(spark):
+    """Texts beyond 20,000 words, with something to find at their very end."""
+    words = [f"word{k % 9000}x{k}" for k in range(25_000)]
+    near = list(words)
+    near[12_000] = "changed"
+    tail = " mail a@b.co token = abcdef123456"
+    df = frame(spark, [" ".join(words) + tail, " ".join(near) + tail, None])
+    pii_rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    found = {r.doc_id: r for r in secrets.scan_history(df, scratch_path(spark, "long")).collect()}
+    stats = {r.id: r for r in quality.statistics(df).collect()}
+    near_rows = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    for k, text in enumerate((" ".join(words) + tail, " ".join(near) + tail)):
+        assert pii_rows[k].n_email == 1 and f"email:{text.index('a@b')}:" in pii_rows[k].spans
+        assert found[k].n_assign == 1 and stats[k].n_words == 25_005 and near_rows[k].component_id == 0
+    out = scratch_path(spark, "long")
+    token_files.write_token_files(df, out, byte_bpe.vocabulary_path(token_files.VOCABULARY), parts=2)
+    tok = hugging()
+    want = {0: " ".join(words) + tail, 1: " ".join(near) + tail, 2: ""}
+    for r in token_files.read_digests(token_files.read_token_files(spark, out)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*tok.encode(want[r.doc_id], add_special_tokens=False).ids, 2], "<u4").tobytes())
+    for r in byte_bpe.encode_digests(df, byte_bpe.vocabulary_path()).collect():
+        assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+
+
+def test_missing_ids(spark):
+    texts = ["a b c d e f g h", "a b c d e f g h", "a b c d e f g", "other words here that differ much"]
+    for ids in ([None] * 4, [3, None, None, None]):
+        rows = neardup.near_duplicates(frame(spark, texts, ids=ids)).collect()
+        group = [r for r in rows if r.n_shingles in (3, 4) and r.component_id == (3 if ids[0] else None)]
+        assert len(rows) == 4 and len([r for r in group if r.n_shingles == 4]) == 2
+        assert any(r.kept for r in group)
+
+
 # --- the pipeline --------------------------------------------------------------------------------
 
 
