@@ -20,7 +20,7 @@ def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """(key, parts) of the keys whose count exceeds LEAST and the MOST-th part of ``total`` rows."""
     room = max(LEAST, -(-total // MOST))
     hot = counts.filter(F.col(count) > room).select(key, F.ceil(F.col(count) / room).cast("int").alias("__parts"))
-    return materialize(hot.coalesce(1), "hot_keys")
+    return materialize(hot, "hot_keys")
 
 
 def hot_keys_of(rows: DataFrame, key: str) -> DataFrame:
