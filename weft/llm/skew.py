@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weft.runtime import materialize
 
 #: Rows of a key that one task may hold at least, and the most keys that may have more.
-LEAST, MOST = 1000, 10_000
+LEAST, MOST = 250, 10_000
 
 
 def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
