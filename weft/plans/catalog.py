@@ -51,14 +51,18 @@ def session_list(spark, d):
     return sessions.list_sessions(S.chat_sessions(spark, d), S.chat_turns(spark, d), limit=50).select(*LISTED)
 
 
-@query("session_list_window", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_USERS, TOTALS.format("turns")) + f"""SELECT {COLUMNS}, user_name, user_email
-FROM sessions JOIN totals USING (project_id, provider, session_id) LEFT JOIN (SELECT user_id, display_name AS user_name, email AS user_email FROM users) u ON origin_user_id = user_id
+MORE = """more AS (SELECT project_id, provider, session_id, CASE WHEN count(*) = count(output_token_count) THEN sum(output_token_count)::BIGINT END AS output_token_count,
+  sum(coalesce(changed_file_count, 0))::BIGINT AS changed_file_count FROM turns GROUP BY 1, 2, 3)"""
+
+
+@query("session_list_window", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_USERS, TOTALS.format("turns"), MORE) + f"""SELECT {COLUMNS}, output_token_count, changed_file_count, user_name, user_email
+FROM sessions JOIN totals USING (project_id, provider, session_id) JOIN more USING (project_id, provider, session_id) LEFT JOIN (SELECT user_id, display_name AS user_name, email AS user_email FROM users) u ON origin_user_id = user_id
 WHERE latest_turn_at >= '1996-01-01T00:00:00Z' AND latest_turn_at < '1999-06-01T00:00:00Z' AND provider = 'codex' {NEWEST} LIMIT 500 OFFSET 20""")
 def session_list_window(spark, d):
     out = sessions.list_sessions(
         S.sessions(spark, d), S.turns(spark, d), S.users(spark, d), provider="codex", since="1996-01-01T00:00:00Z", until="1999-06-01T00:00:00Z", origin="all", limit=500, offset=20
     )
-    return out.select(*LISTED, "user_name", "user_email")
+    return out.select(*LISTED, "output_token_count", "changed_file_count", "user_name", "user_email")
 
 
 @query("session_author", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_USERS, TOTALS.format("turns")) + f"""SELECT {COLUMNS} FROM sessions

@@ -57,6 +57,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.max("l_linestatus") == "F", "completed").when(F.max("l_returnflag") == "R", "aborted").otherwise("incomplete").alias("status"),
         (F.sum("l_quantity") * 100).cast("long").alias("duration_ms"),
         F.when(part % 10 != 0, part).alias("total_token_count"),
+        F.when(part % 7 != 0, part % 100).alias("output_token_count"),
+        F.when(part % 3 != 0, part % 4).alias("changed_file_count"),
         F.concat(F.lit("m"), F.min("l_suppkey") % 5).alias("primary_model"),
     )
     return g.select(
@@ -67,6 +69,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
         "duration_ms",
         F.col("duration_ms").alias("effective_agent_runtime_ms"),
         "total_token_count",
+        "output_token_count",
+        "changed_file_count",
         "primary_model",
         F.concat(F.lit("order "), "l_orderkey", F.lit("  line\t"), "l_linenumber").alias("user_message"),
         F.when(F.col("status") == "completed", F.concat(F.lit("shipped "), "started_at")).alias("final_answer_text"),
@@ -109,6 +113,7 @@ SQL_TURNS = f"""turns AS (SELECT *, duration_ms AS effective_agent_runtime_ms, C
   SELECT {sql_identity('l_orderkey', 'ord-')}, l_linenumber::BIGINT AS turn_ordinal, {ISO.format('min(l_shipdate)')} AS started_at,
   CASE WHEN max(l_linestatus) = 'F' THEN 'completed' WHEN max(l_returnflag) = 'R' THEN 'aborted' ELSE 'incomplete' END AS status,
   (sum(l_quantity) * 100)::BIGINT AS duration_ms, CASE WHEN min(l_partkey) % 10 <> 0 THEN min(l_partkey) END AS total_token_count,
+  CASE WHEN min(l_partkey) % 7 <> 0 THEN min(l_partkey) % 100 END AS output_token_count, CASE WHEN min(l_partkey) % 3 <> 0 THEN min(l_partkey) % 4 END AS changed_file_count,
   'm' || (min(l_suppkey) % 5) AS primary_model, 'order ' || l_orderkey || '  line' || chr(9) || l_linenumber AS user_message
   FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
 SQL_ACCESSES = f"""accesses AS (SELECT *, CASE WHEN path NOT LIKE '/%' THEN path END AS repo_relative_path,
