@@ -214,6 +214,11 @@ def fold_part(done: Column, part: Column, absolute: Column) -> Column:
 
 def inside_project(c: Column) -> Column:
     """A normal path that is relative and doesn't leave the project; else null."""
+    # most paths are normal already and stay in generated code
+    return F.when(~c.rlike("^/|^$|" + NOT_NORMAL), c).otherwise(inside_of(c))
+
+
+def inside_of(c: Column) -> Column:
     return let(normal_path(c), lambda p: F.when((p != "") & ~p.rlike(r"^(/|\.\.(/|$))"), p))
 
 
@@ -227,7 +232,8 @@ def display_path(relative: Column, path: Column, root: str | None) -> Column:
         return found
     bare = re.sub(r"^/private(?=/)", "", root.replace("\\", "/").rstrip("/"))
     below = let(F.regexp_extract(normal_path(path), "^(?:/private)?" + re.escape(bare) + "/(.+)$", 1), lambda p: F.when(p != "", p))
-    return F.coalesce(found, below)
+    plain = path.startswith(f"{bare}/") & ~path.rlike(NOT_NORMAL)
+    return F.coalesce(found, F.when(plain, F.substring(path, len(bare) + 2, 1 << 20)).otherwise(below))
 
 
 def file_name(c: Column) -> Column:

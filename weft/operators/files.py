@@ -50,7 +50,7 @@ def top_files(rows: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
 
     Counted by (path, session) first: the second step sums few rows a path, and no distinct is spread out.
     """
-    by = rows.filter(F.col("shown").isNotNull()).groupBy("shown", "provider", "session_id").agg(*counted())
+    by = rows.groupBy("shown", "provider", "session_id").agg(*counted())
     out = by.groupBy(F.col("shown").alias("path")).agg(
         F.sum("touch_count").alias("touch_count"),
         F.count(F.lit(1)).alias("session_count"),
@@ -58,7 +58,10 @@ def top_files(rows: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
         F.sum("write_count").alias("write_count"),
         F.min("first_touched_at").alias("first_touched_at"),
         F.max("last_touched_at").alias("last_touched_at"),
+        F.bool_or(F.col("shown").isNotNull()).alias("__known"),
     )
+    # told by an aggregate, as a filter on the key would be pushed down and normalise every path twice
+    out = out.filter("__known").drop("__known")
     order = [F.desc("touch_count"), F.desc("session_count"), F.desc("last_touched_at"), F.asc("path")]
     return page(out, order, limit, offset)
 
