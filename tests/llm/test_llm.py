@@ -861,3 +861,23 @@ def test_pipeline_of_odd_tables(spark, data, texts):
     for name, stage in p.STAGES:
         df = p.materialize(stage(spark, df, data), name)
     assert df.count() <= 2 * len(texts)
+
+
+def test_top_k_where_ids_repeat_more_than_k_times(spark):
+    same, half = [2.0, 0.0], [0.25, 0.0]
+    rows = [(100, same)] * 12 + [(101, same), (102, half), (1, same), (200, half)] + [(300, half)] * 30 + [(301, half), (400, same)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 3, 10):
+        got = sorted(map(tuple, cover_tree.top_k(df.filter("vec_id % 100 = 0"), df, k).collect()))
+        assert got == plain_top(rows, sorted({(i, tuple(v)) for i, v in rows if i % 100 == 0}), k)
+    rnd = random.Random(8)
+    for _ in range(200):
+        ids = np.array([rnd.choice([1, 2, 2, 2, 3, 3, 4, 5]) for _ in range(rnd.randint(1, 30))])
+        v = np.array([[float(rnd.randint(0, 1))] for _ in ids])
+        part, k = cover_tree.Part(ids, v, 3), 3
+        for q in range(1, 7):
+            want = sorted((-x, i) for i, x in zip(ids.tolist(), v[:, 0].tolist()) if i != q)[:k]
+            some = cover_tree.Search(np.array([q]), np.ones((1, 1)), part.few_id, part.few, k)
+            some.compare(np.array([0]), np.arange(len(part.few)))
+            found = [(-s, i) for s, i in zip(some.score[0].tolist(), some.id[0].tolist()) if np.isfinite(s)]
+            assert found == want

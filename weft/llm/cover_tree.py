@@ -15,9 +15,9 @@ twice and each query once for each part that its bound leaves open, however the
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do
 null ids. Only vectors of the query's length are candidates; no rows other than those are dropped. A
 repeated row is a candidate as often as it occurs; queries that repeat an id and vector are one
-query; vectors without components score 0 with each other. Scores are exact integers; beyond the range of a long they are held at its end. Equal vectors
-in a part beyond the k + 1 of smallest id cannot be among the k best and are left out of its tree. An
-empty table, or no queries, gives no rows; other columns are not read.
+query; vectors without components score 0 with each other. Scores are exact integers; beyond the range of a long they are held at its end. Of equal vectors
+in a part only those are in its tree that can be among the k best of some query, whatever its own id and
+however often that is repeated. An empty table, or no queries, gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -315,7 +315,13 @@ class Part:
             _, group = np.unique(self.x, axis=0, return_inverse=True)
             by, sizes = np.argsort(group.reshape(-1), kind="stable"), np.bincount(group.reshape(-1))
             place = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.sort(by[place <= k])
+            # a row is needed if some query, whose own id may hold any one run of the rows before it, finds fewer than k better
+            key = np.stack([group.reshape(-1)[by], self.xid[by]])
+            head = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+            run, of = np.diff(np.r_[head, len(by)]), key[0, head]
+            widest = np.maximum.accumulate(run + of * (len(by) + 1)) - of * (len(by) + 1)
+            before = np.where(place[head] > 0, np.r_[0, widest[:-1]], 0)
+            keep = np.sort(by[place - np.repeat(before, run) < k])
             self.few, self.few_id = self.x[keep], self.xid[keep]
             self.tree = tree(self.few) if self.most < 2.0**50 else None
 

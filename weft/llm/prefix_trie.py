@@ -23,6 +23,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -144,8 +145,8 @@ class Run:
             self.bytes += len(key)
         self.size += 1
 
-    def full(self) -> bool:
-        return self.size >= KEYS or self.bytes >= BYTES
+    def full(self, most: int) -> bool:
+        return self.size >= most or self.bytes >= BYTES
 
     def rows(self, range_: int, number: int) -> list[list]:
         """Rows of ROWS, parents after their children but numbered before them."""
@@ -205,14 +206,14 @@ def batches_of(rows: list[list]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 
 
-def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tries(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes of each run of one range, whose rows (conv_id, key, words) come in order."""
     run, number = Run(), 0
     for b in batches:
         keys, words, ids = b.column("key"), b.column("words"), b.column("conv_id").to_pylist()
         for i, conv_id in enumerate(ids):
             run.add(keys[i].as_py(), words[i].values.to_numpy() if len(words[i]) else np.empty(0, np.int64), conv_id)
-            if run.full():
+            if run.full(most):
                 yield from batches_of(run.rows(TaskContext.get().partitionId(), number))
                 run, number = Run(), number + 1
     if run.size:
@@ -278,14 +279,14 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(0)
 
 
-def trie(convs: DataFrame) -> DataFrame:
-    """Nodes (see NODE) of conversations (conv_id, turns)."""
+def trie(convs: DataFrame, most: int = KEYS) -> DataFrame:
+    """Nodes (see NODE) of conversations (conv_id, turns), built in runs of at most ``most``."""
     spark = convs.sparkSession
     keys = materialize(keyed(convs), "keys")
     total = keys.agg(F.sum(F.length("key") + 64)).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     dealt = keys.repartitionByRange(ranges, "key", "conv_id").sortWithinPartitions("key", "conv_id")
-    nodes = materialize(dealt.mapInArrow(tries, ROWS), "nodes")
+    nodes = materialize(dealt.mapInArrow(functools.partial(tries, most), ROWS), "nodes")
     edge = nodes.filter("node is not null")
     ordered = edge.repartition(1).sortWithinPartitions("range", "run", "place")  # two paths a run
     closed = materialize(ordered.mapInArrow(joined, CLOSED), "edge")

@@ -215,10 +215,11 @@ def isotonic(score: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     keep the ends off 0 and 1.
     """
     pools: list[list[float]] = []
-    y, n = y.astype(float).copy(), n.astype(float).copy()
-    y[0], n[0], n[-1] = y[0] + 1, n[0] + 1, n[-1] + 1
-    score = score.astype(float).copy()
-    score[0], score[-1] = score[0] * n[0] / max(1, n[0] - 1), score[-1] * n[-1] / max(1, n[-1] - 1)
+    y, mean, n = y.astype(float), score / n, n.astype(float)
+    y[0] += 1
+    n[0] += 1
+    n[-1] += 1
+    score = mean * n
     for s, g, k in zip(score, y, n):
         pools.append([s, g, k])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
@@ -277,7 +278,9 @@ def fit(train: DataFrame) -> Model:
     sums = train.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"), *(F.avg(at(k)).alias(f"m{k}") for k in range(len(STATISTICS))), *(F.stddev_pop(at(k)).alias(f"d{k}") for k in range(len(STATISTICS)))).first()
     if not sums["n"] or not 0 < sums["share"] < 1:
         return none
-    features = drawn(np.array([sums[f"m{k}"] for k in range(len(STATISTICS))]), np.array([sums[f"d{k}"] for k in range(len(STATISTICS))]))
+    # sums of tasks meet in any order: half the digits are the same each time
+    mean, deviation = (np.array([sums[f"{c}{k}"] for k in range(len(STATISTICS))]).astype(np.float32).astype(float) for c in "md")
+    features = drawn(mean, deviation)
     eq = equations(train, features)
     if len(eq) == 1:  # one fold alone: it is fitted and calibrated on the same rows
         eq = {**eq, -1: next(iter(eq.values()))}
@@ -289,7 +292,7 @@ def fit(train: DataFrame) -> Model:
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("raw")))
     bins = raw.groupBy(place.alias("bin")).agg(F.sum("raw").alias("s"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # BINS rows at most
     points = isotonic(*(np.array([r[c] for r in bins], float) for c in ("s", "y", "n")))
-    return Model(features, solved([p for f, p in eq.items() if f >= 0], penalty), *points)
+    return Model(features, solved([p for f, p in eq.items() if f >= 0], penalty), *(p.astype(np.float32).astype(float) for p in points))
 
 
 def scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
