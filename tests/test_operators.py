@@ -245,10 +245,94 @@ def test_codex_turns(spark):
     assert [r.file for r in bad.collect()] == ["bad"]
     got = ingest.codex_turns(ingest.codex_events(good)).orderBy("turn_ordinal").collect()
     assert [(r.user_message, r.status, r.final_answer_text, r.completed_at, r.total_token_count, r.primary_model) for r in got] == [
-        ("one", "completed", "answer", "t5", 12, "m1"), ("two", "aborted", None, "t9", 2, None), ("three", "incomplete", None, None, None, None)]
+        ("one", "completed", "answer", "t5", 7, "m1"), ("two", "aborted", None, "t9", 2, None), ("three", "incomplete", None, None, None, None)]
     assert [s.type for s in got[0].steps] == ["commentary"]
 
 
+def codex(spark, *rows):
+    """Turns of one file of (kind, payload) lines, at t0, t1 and so on."""
+    text = "\n".join(line(kind, payload, f"t{k}") for k, (kind, payload) in enumerate(rows))
+    good, _ = ingest.quarantine(ingest.lines(spark.createDataFrame([("f", text)], "file string, text string")))
+    return ingest.codex_turns(ingest.codex_events(good)).orderBy("turn_ordinal").collect()
+
+
+def event(kind, **fields):
+    return ("event_msg", {"type": kind, **fields})
+
+
+def counted(total, last=None, name="total_tokens"):
+    return event("token_count", info={"total_token_usage": {name: total}} | ({"last_token_usage": {name: last}} if last else {}))
+
+
+SAY = ("response_item", {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "ok"}]})
+
+
+def test_codex_lifecycle_belongs_to_the_turn_to_come(spark):
+    model = lambda m: ("turn_context", {"model": m})
+    ask = lambda m: event("user_message", message=m)
+    call = ("response_item", {"type": "function_call", "call_id": "c", "name": "Read", "arguments": "{}"})
+    got = codex(
+        spark, event("task_started", turn_id="T1", started_at=1767225601), model("m-one"), ask("one"), SAY, event("task_complete", completed_at=1767225607), call,
+        event("task_started", turn_id="T2", started_at="when"), model("m-two"), ask("two"), model("m-three"), event("turn_aborted"), SAY, ask("three"),
+    )
+    assert [(r.turn_id, r.started_at, r.completed_at, r.status, r.primary_model, len(r.steps), r.final_answer_text) for r in got] == [
+        ("T1", "2026-01-01T00:00:01Z", "2026-01-01T00:00:07Z", "completed", "m-one", 0, "ok"), ("T2", "when", "t10", "aborted", "m-two", 0, None), (None, "t12", None, "incomplete", None, 0, None)]
+    # a start while a turn is open is that of the next turn, a model then the open turn's; the last of several before a prompt counts
+    got = codex(spark, model("<x>"), model("a"), model(" b "), ask("one"), event("turn_started", turn_id="T2"), model("c"), ask("two"), model("d"))
+    assert [(r.turn_id, r.started_at, r.primary_model) for r in got] == [(None, "t3", "b"), ("T2", "t4", "d")]
+    # a start takes back what came before it
+    got = codex(spark, event("task_started", turn_id="T0"), model("a"), counted(5), event("task_started"), ask("one"))
+    assert [(r.turn_id, r.started_at, r.primary_model, r.total_token_count) for r in got] == [(None, "t3", None, None)]
+    got = codex(spark, ask("one"), event("task_complete", last_agent_message="  fin "), event("task_complete", last_agent_message="late"), event("turn_aborted"))
+    assert [(r.final_answer_text, r.final_answer_at, r.completed_at, r.status) for r in got] == [("fin", "t1", "t1", "completed")]
+    assert codex(spark, SAY, event("task_started", turn_id="T")) == []
+
+
+def test_codex_counts_between_turns(spark):
+    ask, done = event("user_message", message="x"), event("task_complete")
+    tokens = lambda *rows: [r.total_token_count for r in codex(spark, *rows)]
+    assert tokens(ask, counted(10), done, counted(17), ask, counted(20)) == [10, 3]  # nothing names the turn to come
+    assert tokens(ask, counted(10), done, ("turn_context", {"model": "m"}), counted(17), ask, counted(20)) == [10, 10]
+    assert tokens(ask, counted(10), done, event("task_started", turn_id="T"), counted(17), ask, counted(20)) == [10, 10]
+    assert tokens(ask, counted(10), done, event("task_started"), counted(17), ask, counted(20)) == [10, 3]
+    assert tokens(counted(5), ask, counted(12)) == [7] and tokens(event("token_count", info={"total_token_usage": None}), ask) == [None]
+    big = (1 << 63) - 1
+    r = codex(spark, ask, event("token_count", info={"total_token_usage": {"input_tokens": big, "output_tokens": big}}))[0]
+    assert (r.input_uncached_token_count, r.output_token_count, r.total_token_count) == (big, big, big)
+
+
+def test_items_that_a_version_cannot_have_written(spark):
+    call = lambda out: ("response_item", {"type": "function_call_output", "call_id": "c", "output": out})
+    item = lambda kind, **more: ("response_item", {"type": kind, **more})
+    message = lambda **more: item("message", role="assistant", **{"content": [{"text": "x"}], **more})
+    cases = [
+        ("0.95.0", call([{"type": "input_image"}]), "structured tool output"),
+        ("0.97.0", call([{"type": "input_image"}]), None),
+        ("0.94.0", item("image_generation_call"), "item image_generation_call"),
+        ("0.108.0", item("image_generation_call"), None),
+        ("0.142.5", item("brand_new"), "item brand_new"),
+        ("0.142.6", item("brand_new"), None),
+        ("0.94.9", message(phase="commentary"), "message phases"),
+        ("0.95.0", message(phase="commentary"), None),
+        ("0.100.0", message(content="plain"), "content of another shape"),
+        ("0.143.0", message(content="plain"), None),
+        ("0.100.0", ("odd", {}), "line type odd"),
+        ("0.35.0-alpha.2", ("turn_context", {"model": "m"}), "line type turn_context"),
+        ("0.35.0-alpha.3", ("turn_context", {"model": "m"}), None),
+        ("0.79.0", event("task_started"), "event task_started"),
+        ("0.80.0", event("task_started"), None),
+        ("0.50.0", event("brand_new"), None),
+        ("0.100.0", call(7), "tool output of another shape"),
+        ("0.100.0", call(None), None),
+    ]
+    rows = [(str(k), "\n".join(line(kind, payload, "t") for kind, payload in (("session_meta", {}), bad)), v) for k, (v, bad, _) in enumerate(cases)]
+    raw = spark.createDataFrame(rows, "file string, text string, cli_version string")
+    good, _ = ingest.quarantine(ingest.lines(raw))
+    got = {r.file: r.reason for r in ingest.codex_unsupported(good, raw).collect()}
+    for k, (version, bad, what) in enumerate(cases):
+        assert got.get(str(k)) == (what and f"line 2: {what} is not part of its version"), (version, bad)
+
+
 def test_codex_counters(spark):
     """The first total gives way to the last request's own value; each counter rises on its own."""
     def count(at, total, last=None):
@@ -290,8 +374,8 @@ def test_claude_turns(spark):
     assert [(r.user_message, r.status, r.final_answer_text, r.input_uncached_token_count, r.output_token_count, r.total_token_count, r.primary_model) for r in got] == [
         ("go", "completed", "fin", 9, 2, 11, "c"), ("<image prompt>", "incomplete", "oops", None, None, None, None)]
     assert got[1].completed_at == "8" and [s.type for s in ingest.claude_turns(events, good).orderBy("turn_ordinal").first().steps] == ["tool_call", "commentary", "tool_call", "tool_call_output"]
-    check = ingest.identity_checks(events, spark.createDataFrame([("f", "other")], "file string, session string")).first()
-    assert check.mismatch and check.determinism == "exact" and not check.no_cwd
+    check = lambda session, agent=None: ingest.identity_checks(events, spark.createDataFrame([("f", session, agent)], "file string, session string, agent string")).first()
+    assert check("other").reason == "session id is not other" and (check("s").reason, check("s").determinism) == (None, "exact") and check("s", "agent-a").reason is None
 
 
 def test_archive_and_epoch(spark):
@@ -554,6 +638,46 @@ def test_manifest_and_carried_tables(spark, tmp_path):
     assert incremental.remove_project(old, "p")["turns"].count() == 0
 
 
+def test_subagents_are_sessions_of_their_own(spark):
+    from weft.operators import assemble
+
+    def rows(session, text, agent=None, cwd="/w/p"):
+        one = lambda kind, content, at, **more: json.dumps({"type": kind, "sessionId": session, "agentId": agent, "cwd": cwd, "version": "2.1.87", "timestamp": at, "message": {"role": kind, "content": content, **more}})
+        return "\n".join([one("user", text, "2026-04-01T00:00:01Z"), one("assistant", [{"type": "text", "text": "done"}], "2026-04-01T00:00:02Z", stop_reason="end_turn")])
+
+    files = [
+        ("/a/claude/S1/S1.jsonl", rows("S1", "main"), 5, 1), ("/a/claude/S1/subagents/agent-x1.jsonl", rows("S1", "sub", "x1"), 900, 1), ("/a/claude/S1/subagents/agent-x2.jsonl", rows("S1", "sub", "other"), 9, 1),
+        ("/a/claude/S2/S2.jsonl", rows("S9", "main"), 9, 1), ("/a/claude/S3/S3.jsonl", rows("S3", "main", cwd=None), 9, 1), ("/a/claude/S4/else.jsonl", rows("S4", "main"), 9, 1),
+    ]
+    raw = spark.createDataFrame(files, "file string, text string, size long, mtime_ms long")
+    tables = assemble.provider_tables(raw, "claude", spark.createDataFrame([("/w", "p1")], "root string, project_id string"))
+    got = sorted((r.session_id, r.session_kind, r.parent_session_id, r.schema_id) for r in tables["sessions"].collect())
+    schema = "claude.{}_transcript.2_1_84_to_2_1_89".format
+    assert got == [("S1", "primary", None, schema("primary")), ("S1/subagents/agent-x1", "subagent", "S1", schema("subagent"))]
+    assert sorted((r.session_id, r.user_message, r.status) for r in tables["turns"].collect()) == [("S1", "main", "completed"), ("S1/subagents/agent-x1", "sub", "completed")]
+    assert sorted((r.file[10:], r.reason) for r in tables["skipped"].collect()) == [
+        ("S1/subagents/agent-x2.jsonl", "agent id is not x2"), ("S2/S2.jsonl", "session id is not S2"), ("S3/S3.jsonl", "no folder"), ("S4/else.jsonl", "not a session file")]
+
+
+def test_codex_files_by_name_and_repository(spark):
+    from weft.operators import assemble
+
+    ids = [f"01234567-89ab-cdef-0123-{k:012d}" for k in range(4)]
+    meta = lambda sid, cwd, url: line("session_meta", {"id": sid, "cwd": cwd, "cli_version": "0.104.0", "git": {"repository_url": url}}, "t")
+    ask = line("event_msg", {"type": "user_message", "message": "x"}, "t")
+    name = lambda k: f"/a/codex/rollout-2026-01-01T00-00-00-{ids[k]}.jsonl"
+    files = [
+        (name(0), meta(ids[0], "/w/a", "git@h:a"), ask), (name(1), meta(ids[0], "/w/a", None), ask), (name(2), meta(ids[2], "/elsewhere", "git@h:a"), ask),
+        (name(3), meta(ids[3], "/w/a", None), line("response_item", {"type": "brand_new"}, "t")),
+    ]
+    raw = spark.createDataFrame([(f, f"{a}\n{b}", 1, 1) for f, a, b in files], "file string, text string, size long, mtime_ms long")
+    roots = spark.createDataFrame([("/w/a", "pa"), ("/w", "pw")], "root string, project_id string")
+    upstreams = spark.createDataFrame([("pa", None, "git@h:a")], "project_id string, root string, url string")
+    tables = assemble.provider_tables(raw, "codex", roots, upstreams)
+    assert sorted((r.project_id, r.session_id) for r in tables["sessions"].collect()) == [("pa", ids[0]), ("pa", ids[2])]  # one by its folder, one by its repository
+    assert sorted((r.file, r.reason) for r in tables["skipped"].collect()) == [(name(1), f"session id is not {ids[1]}"), (name(3), "line 2: item brand_new is not part of its version")]
+
+
 def test_assembled_tables_and_what_is_skipped(spark, tmp_path):
     from weft.operators import assemble
 

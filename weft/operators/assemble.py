@@ -20,51 +20,97 @@ BUCKETS = 256
 TURN_COLUMNS = ["turn_id", "started_at", "completed_at", "status", "user_message", "final_answer_at", "final_answer_text", "primary_model", *TOKENS, *METRICS, "has_final_answer", "steps"]
 
 
-def provider_turns(raw: DataFrame, provider: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(turns by file, what each file says of its session, files that are skipped with a reason).
+def identified(files: DataFrame, about: DataFrame, provider: str) -> DataFrame:
+    """Files with the session that their path makes them: session_id, session_kind, parent_session_id, agent, and ``reason`` not to take them.
 
-    ``raw`` has whole files (file, text). A file with a line that isn't JSON is skipped, not fatal.
+    A Codex file is the session of its name, or of its header where the name has none. A Claude file is what its
+    place in the archive says; a subagent is a session of its own, whose lines carry its parent's id.
     """
-    parsed, bad = ingest.quarantine(ingest.lines(raw))
+    session, kind, parent = ingest.archive_kind(F.col("file"))
+    named = files.withColumns({"session_kind": kind, "parent_session_id": parent, "own": session})
+    both = named.join(about, "file", "left")
+    if provider == "codex":
+        wrong = F.when(F.col("own").isNotNull() & (F.col("own") != F.col("told")), F.concat(F.lit("session id is not "), "own"))
+        unnamed = F.when(F.col("own").isNull() & F.col("told").isNull(), F.lit("no session id"))
+        out = both.withColumns({"session_id": F.coalesce("own", "told"), "session_kind": F.lit("primary"), "parent_session_id": F.lit(None).cast("string"), "__why": F.coalesce(wrong, unnamed)})
+    else:
+        out = both.withColumns({"session_id": F.col("own"), "__why": F.when(F.col("own").isNull(), F.lit("not a session file"))})
+    return out.withColumn("reason", F.coalesce("reason", "__why")).drop("own", "told", "__why")
+
+
+def provider_turns(files: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(turns by file, files with what they say of their session and the reason why they are left out).
+
+    ``files`` are whole files (file, text, size, mtime_ms). What is wrong with one file ends no job: a line that isn't
+    JSON, ids that don't agree with the path, an item that its version can't have written.
+    """
+    parsed, bad = ingest.quarantine(ingest.lines(files))
     v = F.col("v")
     if provider == "codex":
         turns = ingest.codex_turns(ingest.codex_events(parsed))
         at = F.when(ingest.text_of(v, "$.type") == "session_meta", F.col("line"))
-        values = {n: ingest.text_of(v, f"$.payload.{p}") for n, p in (("session_id", "id"), ("cwd", "cwd"), ("cli_version", "cli_version"), ("repository_url", "git.repository_url"))}
+        values = {n: ingest.text_of(v, f"$.payload.{p}") for n, p in (("told", "id"), ("cwd", "cwd"), ("cli_version", "cli_version"), ("repository_url", "git.repository_url"))}
     else:
-        turns = ingest.claude_turns(ingest.claude_events(parsed), parsed)
+        events = ingest.claude_events(parsed)
+        turns = ingest.claude_turns(events, parsed)
         at = F.col("line")
-        values = {n: ingest.text_of(v, f"$.{p}") for n, p in (("session_id", "sessionId"), ("cwd", "cwd"), ("cli_version", "version"))} | {"repository_url": F.lit(None).cast("string")}
+        values = {n: ingest.text_of(v, f"$.{p}") for n, p in (("told", "sessionId"), ("cwd", "cwd"), ("cli_version", "version"))} | {"repository_url": F.lit(None).cast("string")}
     first = [F.min(F.when(at.isNotNull() & c.isNotNull(), F.struct(F.col("line"), c.alias("x"))))["x"].alias(n) for n, c in values.items()]
-    return turns, parsed.groupBy("file").agg(*first), bad
+    about = parsed.groupBy("file").agg(*first)
+    names = files.select("file", "size", "mtime_ms").join(bad.select("file", "reason"), "file", "left")
+    found = identified(names, about, provider)
+    if provider == "codex":
+        early = ingest.version_key(F.col("cli_version")) < ingest.version_literal(ingest.CODEX_EPOCHS[0][0])
+        checks = ingest.codex_unsupported(parsed, about).select("file", F.col("reason").alias("__why"), F.lit(None).cast("string").alias("__sure"))
+        found = found.withColumn("reason", F.coalesce("reason", F.when(early, F.lit("unsupported version"))))
+    else:
+        parent = F.coalesce("parent_session_id", "session_id").alias("session")
+        agent = F.when(F.col("session_kind") == "subagent", F.regexp_extract("session_id", "[^/]+$", 0)).alias("agent")
+        checks = ingest.identity_checks(events, found.filter("session_id is not null").select("file", parent, agent)).select("file", F.col("reason").alias("__why"), F.col("determinism").alias("__sure"))
+    found = found.join(checks, "file", "left").withColumn("reason", F.coalesce("reason", "__why"))
+    return turns, materialize(found.drop("__why").withColumnRenamed("__sure", "drift"), "files")
 
 
 def determinism(provider: str):
-    """(epoch, how sure it is) of a session's version."""
-    starts = ingest.CODEX_EPOCHS if provider == "codex" else [(v, f"from_{v}") for v in ingest.CLAUDE_EPOCHS]
-    return ingest.epoch(F.col("cli_version"), list(starts), starts[-1][0])
+    """(schema id, how sure it is) of a session's version."""
+    if provider == "codex":
+        return ingest.epoch(F.col("cli_version"), list(ingest.CODEX_EPOCHS), ingest.CODEX_EXACT)
+    key = ingest.version_key(F.col("cli_version"))
+    within = (key >= ingest.version_literal(ingest.CLAUDE_EPOCHS[0][0])) & (key <= ingest.version_literal(ingest.CLAUDE_EPOCHS[-1][0]))
+    sure = F.when(within & (F.col("drift") == "exact"), "exact").otherwise("best_effort_forward")
+    return ingest.claude_schema(F.col("cli_version"), F.col("session_kind")), sure
 
 
-def provider_tables(raw: DataFrame, provider: str, owners: DataFrame) -> dict[str, DataFrame]:
-    """All tables of one provider's files (file, text, size, mtime_ms); ``owners`` maps roots to projects.
+def owned(sessions: DataFrame, owners: DataFrame, upstreams: DataFrame | None) -> DataFrame:
+    """``sessions`` once for each project that owns their folder and repository; those of no project are left out.
 
-    Of several files of one session the largest and newest one that parses is taken. A session whose
-    folder lies in no project is left out.
+    Owners are found once for each distinct pair of folder and repository.
     """
-    turns, about, skipped = provider_turns(raw, provider)
-    files = raw.select("file", "size", "mtime_ms").join(skipped.select("file", "reason"), "file", "left")
-    found = files.join(about, "file").filter("session_id is not null")
-    early = F.lit(False)
-    if provider == "codex":
-        early = F.coalesce(ingest.version_key(F.col("cli_version")) < ingest.version_literal(ingest.CODEX_EPOCHS[0][0]), F.lit(False))
-    found = found.withColumn("__readable", F.col("reason").isNull() & ~early)
+    spark = sessions.sparkSession
+    roots = owners if "linked" in owners.columns else owners.withColumn("linked", F.lit(False))
+    known = upstreams if upstreams is not None else spark.createDataFrame([], "project_id string, root string, url string")
+    home = F.to_json(F.struct("cwd", "repository_url"))
+    homes = sessions.select(home.alias("home"), "cwd", "repository_url").distinct()
+    found = ingest.owners_of(homes, roots, known, ["home"]).distinct()
+    return sessions.withColumn("home", home).join(found, "home").drop("home")
+
+
+def provider_tables(raw: DataFrame, provider: str, owners: DataFrame, upstreams: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of one provider's files (file, text, size, mtime_ms).
+
+    ``owners`` maps folders to projects (root, project_id, linked or not), ``upstreams`` repositories (project_id, root,
+    url). Of several files of one session the largest and newest one that can be read is taken. A session whose
+    folder and repository belong to no project is left out.
+    """
+    turns, files = provider_turns(raw, provider)
+    skipped = files.filter("reason is not null").select("file", "reason")
+    found = files.filter("session_id is not null").withColumn("__readable", F.col("reason").isNull())
     one = ingest.dedupe_priority(found, ["session_id"], "size", "mtime_ms", "file", "__readable").drop("reason", "__readable")
-    homes = ingest.owner_by_prefix(one.select(F.col("cwd").alias("path")).filter("path is not null").distinct(), owners).filter("project_id is not null")
     name, sure = determinism(provider)
-    sessions = one.join(homes.withColumnRenamed("path", "cwd"), "cwd").withColumn("provider", F.lit(provider))
+    sessions = owned(one, owners, upstreams).withColumn("provider", F.lit(provider))
     sessions = materialize(
         sessions.select(
-            *SESSION_KEY, F.lit(None).cast("string").alias("parent_session_id"), F.lit("primary").alias("session_kind"), F.col("file").alias("archive_path"), "cwd", "cli_version",
+            *SESSION_KEY, "parent_session_id", "session_kind", F.col("file").alias("archive_path"), "cwd", "cli_version",
             name.alias("schema_id"), F.coalesce(sure, F.lit("best_effort_forward")).alias("determinism"), F.col("size").alias("source_size"), F.col("mtime_ms").alias("source_mtime_ms"),
             F.lit("local").alias("origin_kind"), F.lit(None).cast("string").alias("origin_user_id"), F.lit("unset").alias("share_state"),
         ),
@@ -82,7 +128,7 @@ def provider_tables(raw: DataFrame, provider: str, owners: DataFrame) -> dict[st
         "file_accesses": derive.file_accesses(calls, sessions),
         "turn_evidence": derive.evidence(turns),
         "turn_search": derive.search_text(turns),
-        "skipped": skipped.select("file", "reason").unionByName(unusable(found, about, provider)),
+        "skipped": skipped,
     }
 
 
@@ -92,20 +138,11 @@ def derived(turns: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
     return {"tool_calls": calls, "file_accesses": derive.file_accesses(calls, sessions), "turn_evidence": derive.evidence(turns), "turn_search": derive.search_text(turns)}
 
 
-def unusable(found: DataFrame, about: DataFrame, provider: str) -> DataFrame:
-    """Files that parse but name no session, or one of a version before the first epoch."""
-    unnamed = about.filter("session_id is null").select("file", F.lit("no session id").alias("reason"))
-    if provider != "codex":
-        return unnamed
-    early = ingest.version_key(F.col("cli_version")) < ingest.version_literal(ingest.CODEX_EPOCHS[0][0])
-    return unnamed.unionByName(found.filter(early).select("file", F.lit("unsupported version").alias("reason")))
-
-
-def all_tables(raw: dict[str, DataFrame], owners: DataFrame) -> dict[str, DataFrame]:
+def all_tables(raw: dict[str, DataFrame], owners: DataFrame, upstreams: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of every provider's files together."""
     out: dict[str, DataFrame] = {}
     for provider, files in raw.items():
-        for name, rows in provider_tables(files, provider, owners).items():
+        for name, rows in provider_tables(files, provider, owners, upstreams).items():
             out[name] = out[name].unionByName(rows) if name in out else rows
     return out
 

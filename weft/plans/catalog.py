@@ -110,17 +110,30 @@ def assembled(spark, d):
 REDACTED = """regexp_replace({}, '\\btoken = "[^\\s"][^"\\r\\n]{{3,}}"', 'token = "[REDACTED_SECRET]"', 'g')"""
 
 
-@query("turn_sessionise", with_(S.SQL_FILES) + f"""SELECT project_id, provider, session_id, turn_ordinal, started_at, completed_at, status, {REDACTED.format('user_message')} AS user_message,
+@query("turn_sessionise", with_(S.SQL_FILES) + f"""SELECT project_id, provider, session_id, turn_ordinal, turn_id, started_at, completed_at, status, {REDACTED.format('user_message')} AS user_message,
   {REDACTED.format('final_answer_text')} AS final_answer_text, duration_ms, step_count, primary_model, input_uncached_token_count, output_token_count, input_uncached_token_count + output_token_count AS total_token_count
-FROM file_turns LEFT JOIN (SELECT conv_id, ordinal AS turn_ordinal, sum(asked)::BIGINT AS input_uncached_token_count, sum(said)::BIGINT AS output_token_count FROM spent GROUP BY 1, 2) USING (conv_id, turn_ordinal)""")
+FROM file_turns LEFT JOIN file_spent USING (session_id, turn_ordinal)""")
 def turn_sessionise(spark, d):
-    keep = ["started_at", "completed_at", "status", "user_message", "final_answer_text", "duration_ms", "step_count", "primary_model", "input_uncached_token_count", "output_token_count", "total_token_count"]
+    keep = ["turn_id", "started_at", "completed_at", "status", "user_message", "final_answer_text", "duration_ms", "step_count", "primary_model", "input_uncached_token_count", "output_token_count", "total_token_count"]
     return assembled(spark, d)["turns"].select("project_id", "provider", "session_id", "turn_ordinal", *keep)
 
 
+@query("assembled_sessions", with_(S.SQL_FILES) + """SELECT project_id, provider, session_id, CASE WHEN tail <> '' THEN 'conv-' || conv_id END AS parent_session_id, CASE WHEN tail <> '' THEN 'subagent' ELSE 'primary' END AS session_kind,
+  CASE WHEN conv_id % 2 = 0 THEN 'turn_lifecycle' WHEN tail <> '' THEN 'claude.subagent_transcript.2_1_90_to_2_1_160' ELSE 'claude.primary_transcript.2_1_90_to_2_1_160' END AS schema_id, NULL AS reason FROM named
+UNION ALL SELECT NULL, 'claude', 'conv-' || conv_id || '/subagents/agent-b2', NULL, NULL, NULL, 'agent id is not b2' FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 11 = 5 AND conv_id % 2 = 1""")
+def assembled_sessions(spark, d):
+    """Every session file: the session that it became, with kind, parent and owner, or why it was left out."""
+    from weft.operators.ingest import archive_kind
+
+    tables = assembled(spark, d)
+    none = F.lit(None).cast("string")
+    kept = tables["sessions"].select("project_id", "provider", "session_id", "parent_session_id", "session_kind", "schema_id", none.alias("reason"))
+    left = tables["skipped"].select(none.alias("project_id"), F.regexp_extract("file", "^/a/([a-z]+)/", 1).alias("provider"), archive_kind(F.col("file"))[0].alias("session_id"), none.alias("parent_session_id"), none.alias("session_kind"), none.alias("schema_id"), "reason")
+    return kept.unionByName(left)
+
+
 @query("refresh_tables", with_(S.SQL_FILES) + f"""SELECT session_id, coalesce(turns, 0) AS turns, coalesce(calls, 0) AS calls, coalesce(calls, 0) AS accesses, coalesce(turns + answered + 3 * calls, 0) AS fragments
-FROM (SELECT DISTINCT 'conv-' || conv_id AS session_id FROM conversations)
-LEFT JOIN (SELECT session_id, count(*) AS turns, sum(calls)::BIGINT AS calls, count(*) FILTER (status = 'completed') AS answered FROM file_turns GROUP BY 1) USING (session_id)""")
+FROM named LEFT JOIN (SELECT session_id, count(*) AS turns, sum(calls)::BIGINT AS calls, count(*) FILTER (status = 'completed') AS answered FROM file_turns GROUP BY 1) USING (session_id)""")
 def refresh_tables(spark, d):
     """Rows of each stored table by session, after a write and a read of all of them."""
     from weft.operators.assemble import read_table, write_tables
@@ -133,7 +146,7 @@ def refresh_tables(spark, d):
     return out
 
 
-@query("refresh_tool_calls", with_(S.SQL_FILES) + """SELECT project_id, provider, session_id, turn_ordinal, row_number() OVER (PARTITION BY conv_id, turn_ordinal ORDER BY turn) - 1 AS call_ordinal, call_id,
+@query("refresh_tool_calls", with_(S.SQL_FILES) + """SELECT project_id, provider, session_id, turn_ordinal, row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY turn) - 1 AS call_ordinal, call_id,
   'Read' AS tool_name, json_object('path', path)::VARCHAR AS arguments_text, 'ok' AS output_text, false AS is_error FROM file_calls""")
 def refresh_tool_calls(spark, d):
     return assembled(spark, d)["tool_calls"].drop("timestamp", "status")
@@ -465,14 +478,13 @@ def project_owner(spark, d):
     return owner_by_prefix(S.accesses(spark, d).select("path").distinct(), roots)
 
 
-@query("evidence_explode", with_(S.SQL_FILES, f"""e AS (SELECT conv_id, turn_ordinal, -2 AS turn, 0 AS k, 'user_message' AS field, {REDACTED.format('user_message')} AS text FROM file_turns
-  UNION ALL SELECT conv_id, turn_ordinal, -1, 0, 'final_answer', {REDACTED.format('final_answer_text')} FROM file_turns
-  UNION ALL SELECT conv_id, turn_ordinal, turn, 0, 'tool_name', 'Read' FROM file_calls
-  UNION ALL SELECT conv_id, turn_ordinal, turn, 1, 'tool_arguments', json_object('path', path)::VARCHAR FROM file_calls
-  UNION ALL SELECT conv_id, turn_ordinal, turn, 2, 'tool_output', 'ok' FROM file_calls)""") + """SELECT conv_id, turn_ordinal, row_number() OVER (PARTITION BY conv_id, turn_ordinal ORDER BY turn, k) - 1 AS evidence_ordinal, field, text FROM e WHERE trim(text) <> ''""")
+@query("evidence_explode", with_(S.SQL_FILES, f"""e AS (SELECT session_id, turn_ordinal, -2 AS turn, 0 AS k, 'user_message' AS field, {REDACTED.format('user_message')} AS text FROM file_turns
+  UNION ALL SELECT session_id, turn_ordinal, -1, 0, 'final_answer', {REDACTED.format('final_answer_text')} FROM file_turns
+  UNION ALL SELECT session_id, turn_ordinal, turn, 0, 'tool_name', 'Read' FROM file_calls
+  UNION ALL SELECT session_id, turn_ordinal, turn, 1, 'tool_arguments', json_object('path', path)::VARCHAR FROM file_calls
+  UNION ALL SELECT session_id, turn_ordinal, turn, 2, 'tool_output', 'ok' FROM file_calls)""") + """SELECT session_id, turn_ordinal, row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY turn, k) - 1 AS evidence_ordinal, field, text FROM e WHERE trim(text) <> ''""")
 def evidence_explode(spark, d):
-    out = assembled(spark, d)["turn_evidence"]
-    return out.select(F.regexp_extract("session_id", r"\d+", 0).cast("long").alias("conv_id"), "turn_ordinal", "evidence_ordinal", "field", "text")
+    return assembled(spark, d)["turn_evidence"].select("session_id", "turn_ordinal", "evidence_ordinal", "field", "text")
 
 
 @query("redact_assignments", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\btoken = "[^\s"][^"\r\n]{3,}"', 'token = "[REDACTED_SECRET]"', 'g'), '[A-Za-z0-9+/=_-]{512,}', '[REDACTED_BLOB]', 'g') AS text FROM documents""")

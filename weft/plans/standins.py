@@ -129,12 +129,21 @@ SQL_TOUCHES = """touches AS (SELECT a.*, t.started_at FROM accesses a JOIN turns
   JOIN (SELECT DISTINCT session_id FROM sessions WHERE origin_kind = 'local') s USING (session_id) WHERE access_type IN ('read', 'write', 'edit'))"""
 
 
+#: Seconds that a lifecycle event comes before its prompt, and tokens that are counted after a turn is complete.
+AHEAD, LATE = 5, 7
+
+
+def file_session(key, tail: str = ""):
+    """Session id of a conversation's file: the shape that its provider's archive names have."""
+    codex = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(key.cast("string"), 12, "0"))
+    return F.when(key % 2 == 0, codex).otherwise(F.concat(F.lit("conv-"), key, F.lit(tail)))
+
+
 def lines_of(events: DataFrame) -> DataFrame:
-    """(file, text, size, mtime_ms) from (conv_id, turn, k, json): the lines of each conversation in order."""
-    name = F.concat(F.lit("/a/"), F.when(F.col("conv_id") % 2 == 0, "codex").otherwise("claude"), F.lit("/conv-"), "conv_id", F.lit(".jsonl"))
-    g = events.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "k", "json"))).alias("rows"))
+    """(file, text, size, mtime_ms) from (file, conv_id, turn, k, json): the lines of each file in order."""
+    g = events.groupBy("file", "conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "k", "json"))).alias("rows"))
     text = F.array_join(F.col("rows")["json"], "\n")
-    return g.select(name.alias("file"), text.alias("text"), F.octet_length(text).cast("long").alias("size"), F.col("conv_id").alias("mtime_ms"))
+    return g.select("file", text.alias("text"), F.octet_length(text).cast("long").alias("size"), F.col("conv_id").alias("mtime_ms"))
 
 
 def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -142,6 +151,11 @@ def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
     Each assistant row reads a file by a tool, answers, and reports tokens: as input the letters of the
     user rows since the answer before, as output its own. Codex totals also hold the system row's.
+    A Codex user row whose turn isn't a multiple of 3 is announced by ``task_started`` and ``turn_context``
+    lines. The last assistant row before the next user row completes the turn; LATE tokens are counted
+    after that, behind a ``turn_context`` of the next turn where the row's turn is even.
+    Every Claude conversation whose id is a multiple of 3 has a subagent's file of the same lines, and
+    one whose id leaves 5 by 11 has a file of another agent's lines, which no session may take in.
     """
     c = table(spark, d, "conversations").withColumn("n", F.length("text").cast("long"))
     by = Window.partitionBy("conv_id").orderBy("turn")
@@ -151,7 +165,11 @@ def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     c = c.withColumns({"users": so_far("user"), "said": so_far("assistant"), "system": so_far("system")})
     c = c.withColumn("first", F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id")))
     c = c.withColumn("asked", F.col("users") - F.coalesce(F.lag("users").over(answers), F.lit(0)))
-    at = iso(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60))
+    c = c.withColumn("ordinal", F.sum(F.when(role("user"), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    c = c.withColumn("closes", F.max(F.when(role("assistant"), F.col("turn"))).over(Window.partitionBy("conv_id", "ordinal")) == F.col("turn"))
+    c = c.withColumn("closed", F.coalesce(F.sum(F.when(F.col("closes"), 1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    moment = F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60
+    at = iso(F.timestamp_seconds(moment))
     obj = lambda **f: F.struct(*(v.alias(k) if not isinstance(v, str) else F.lit(v).alias(k) for k, v in f.items()))
     model, cwd = F.concat(F.lit("model-"), F.col("conv_id") % 4), F.concat(F.lit("/w/p"), F.col("conv_id") % 7)
     call = F.concat(F.lit("call-"), "turn")
@@ -161,23 +179,29 @@ def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         return [F.to_json(obj(timestamp=at, type=kind, payload=payload))]
 
     usage = lambda i, o: obj(input_tokens=i, output_tokens=o, total_tokens=i + o)
-    meta = codex("session_meta", obj(id=F.concat(F.lit("conv-"), "conv_id"), cwd=cwd, cli_version="0.100.0"))
+    none = F.array().cast("array<string>")
+    meta = codex("session_meta", obj(id=file_session(F.col("conv_id")), cwd=cwd, cli_version="0.104.0"))
     message = codex("response_item", obj(type="message", role=F.col("role"), content=F.array(obj(type="output_text", text=F.col("text")))))
-    tokens = codex("event_msg", obj(type="token_count", info=obj(total_token_usage=usage(F.col("users") + F.col("system"), F.col("said")), last_token_usage=usage(F.col("asked"), F.col("n")))))
+    inputs = F.col("users") + F.col("system") + F.col("closed") * LATE
+    count = lambda more: codex("event_msg", obj(type="token_count", info=obj(total_token_usage=usage(inputs + more, F.col("said")), last_token_usage=usage(F.col("asked"), F.col("n")))))
     spoken = (
-        codex("turn_context", obj(model=model))
-        + codex("response_item", obj(type="function_call", call_id=call, name="Read", arguments=F.to_json(obj(path=path))))
+        codex("response_item", obj(type="function_call", call_id=call, name="Read", arguments=F.to_json(obj(path=path))))
         + codex("response_item", obj(type="function_call_output", call_id=call, output="ok"))
         + message
-        + tokens
+        + count(0)
     )
-    none = F.array().cast("array<string>")
+    next_model = F.when(F.col("turn") % 2 == 0, F.array(*codex("turn_context", obj(model=F.concat(F.lit("late-"), "turn"))))).otherwise(none)
+    complete = F.when(F.col("closes"), F.concat(F.array(*codex("event_msg", obj(type="task_complete"))), next_model, F.array(*count(LATE)))).otherwise(none)
+    started = codex("event_msg", obj(type="task_started", turn_id=F.concat(F.lit("t-"), "turn"), started_at=moment - AHEAD)) + codex("turn_context", obj(model=model))
+    announced = F.when(F.col("turn") % 3 != 0, F.array(*started)).otherwise(none)
     opening = F.when(F.col("first"), F.array(*meta)).otherwise(none)
-    even = F.when(role("user"), F.array(*codex("event_msg", obj(type="user_message", message=F.col("text"))))).when(role("assistant"), F.array(*spoken)).otherwise(F.array(*message))
+    prompt = F.array(*codex("event_msg", obj(type="user_message", message=F.col("text"))))
+    even = F.when(role("user"), F.concat(announced, prompt)).when(role("assistant"), F.concat(F.array(*spoken), complete)).otherwise(F.array(*message))
 
     def claude(kind: str, content, **more) -> list:
         extra = {k: v for k, v in more.items() if k != "message"}
-        return [F.to_json(obj(type=kind, sessionId=F.concat(F.lit("conv-"), "conv_id"), cwd=cwd, version="2.1.90", timestamp=at, message=obj(role=kind, content=content, **more.get("message", {})), **extra))]
+        head = obj(type=kind, sessionId=F.concat(F.lit("conv-"), "conv_id"), agentId=F.col("agent"), cwd=cwd, version="2.1.90", timestamp=at, message=obj(role=kind, content=content, **more.get("message", {})), **extra)
+        return [F.to_json(head)]
 
     spent = obj(input_tokens=F.col("asked"), output_tokens=F.col("n"))
     turns = (
@@ -186,8 +210,13 @@ def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         + claude("assistant", F.array(obj(type="text", text=F.col("text"))), requestId=call, message={"model": model, "stop_reason": F.lit("end_turn"), "usage": spent})
     )
     odd = F.when(role("user"), F.array(*claude("user", F.col("text")))).when(role("assistant"), F.array(*turns)).otherwise(F.array(*claude("system", F.col("text"))))
-    lines = c.select("conv_id", "turn", F.posexplode(F.when(F.col("conv_id") % 2 == 0, F.concat(opening, even)).otherwise(odd)).alias("k", "json"))
-    return {"codex": lines_of(lines.filter("conv_id % 2 = 0")), "claude": lines_of(lines.filter("conv_id % 2 = 1"))}
+    k = F.col("conv_id")
+    copy = lambda of, agent: F.when(of, F.array(F.struct(F.lit(f"subagents/agent-{agent}").alias("name"), F.lit("a1").alias("agent")))).otherwise(F.array().cast("array<struct<name:string,agent:string>>"))
+    files = F.concat(F.array(F.struct(F.concat(F.lit("conv-"), k).alias("name"), F.lit(None).cast("string").alias("agent"))), copy(k % 3 == 0, "a1"), copy(k % 11 == 5, "b2"))
+    mine = c.filter("conv_id % 2 = 1").withColumn("f", F.explode(files)).withColumns({"agent": F.col("f.agent"), "file": F.concat(F.lit("/a/claude/conv-"), "conv_id", F.lit("/"), "f.name", F.lit(".jsonl"))})
+    other = c.filter("conv_id % 2 = 0").withColumn("file", F.concat(F.lit("/a/codex/rollout-2024-01-01T00-00-00-"), file_session(F.col("conv_id")), F.lit(".jsonl")))
+    lines = lambda rows, each: lines_of(rows.select("file", "conv_id", "turn", F.posexplode(each).alias("k", "json")))
+    return {"codex": lines(other, F.concat(opening, even)), "claude": lines(mine, odd)}
 
 
 def owners(spark: SparkSession) -> DataFrame:
@@ -195,18 +224,30 @@ def owners(spark: SparkSession) -> DataFrame:
 
 
 #: Turns and calls of the session files, from the conversations by the providers' rules.
-SQL_FILES = f"""numbered AS (SELECT *, sum((role = 'user')::INT) OVER w AS ordinal, sum((role = 'assistant')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answers
+SQL_FILES = f"""marked AS (SELECT *, sum((role = 'user')::INT) OVER w AS ordinal, sum((role = 'assistant')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answers
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-asked AS (SELECT conv_id, coalesce(answers, 0) AS answers, sum(length(text)) FILTER (role = 'user') AS asked FROM numbered GROUP BY 1, 2),
-spent AS (SELECT n.conv_id, n.turn, n.ordinal, coalesce(a.asked, 0) AS asked, length(n.text) AS said FROM numbered n JOIN asked a ON n.conv_id = a.conv_id AND coalesce(n.answers, 0) = a.answers WHERE role = 'assistant'),
-file_turns AS (SELECT {sql_identity('conv_id', 'conv-')}, conv_id, ordinal::BIGINT AS turn_ordinal,
-  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + opened * 60), '%Y-%m-%dT%H:%M:%SZ') AS started_at,
+asked AS (SELECT conv_id, coalesce(answers, 0) AS answers, sum(length(text)) FILTER (role = 'user') AS asked FROM marked GROUP BY 1, 2),
+rows_spent AS (SELECT n.conv_id, n.turn, n.ordinal, coalesce(a.asked, 0) AS asked, length(n.text) AS said FROM marked n JOIN asked a ON n.conv_id = a.conv_id AND coalesce(n.answers, 0) = a.answers WHERE role = 'assistant'),
+kinds AS (SELECT DISTINCT conv_id, unnest(CASE WHEN conv_id % 2 = 1 AND conv_id % 3 = 0 THEN ['', '/subagents/agent-a1'] ELSE [''] END) AS tail FROM conversations),
+named AS (SELECT conv_id, tail, 'p' || (conv_id % 7) AS project_id, CASE WHEN conv_id % 2 = 0 THEN 'codex' ELSE 'claude' END AS provider,
+  CASE WHEN conv_id % 2 = 0 THEN '00000000-0000-4000-8000-' || lpad(conv_id::VARCHAR, 12, '0') ELSE 'conv-' || conv_id || tail END AS session_id FROM kinds),
+groups AS (SELECT conv_id, ordinal, min(turn) FILTER (role = 'user') AS opened, max(turn) FILTER (role = 'assistant') AS answered, arg_max(text, turn) FILTER (role = 'assistant') AS final_answer_text,
+  max(text) FILTER (role = 'user') AS user_message, count(*) FILTER (role = 'assistant') AS calls FROM marked GROUP BY 1, 2),
+around AS (SELECT *, conv_id % 2 = 0 AND opened % 3 <> 0 AS announced, ordinal = 1 OR lag(answered) OVER w IS NOT NULL AS was_closed,
+  lag(answered) OVER w AS late, lead(conv_id % 2 = 0 AND opened % 3 <> 0) OVER w AS next_announced FROM groups WINDOW w AS (PARTITION BY conv_id ORDER BY ordinal)),
+ruled AS (SELECT *, CASE WHEN conv_id % 2 = 1 THEN CASE WHEN answered IS NOT NULL THEN 'model-' || (conv_id % 4) END
+    ELSE coalesce(CASE WHEN announced AND was_closed THEN 'model-' || (conv_id % 4) WHEN NOT announced AND late % 2 = 0 THEN 'late-' || late END,
+      CASE WHEN answered IS NULL AND next_announced THEN 'model-' || (conv_id % 4) END) END AS primary_model,
+  CASE WHEN announced THEN 't-' || opened END AS turn_id, CASE WHEN conv_id % 2 = 0 AND NOT announced AND late % 2 = 0 THEN {LATE} END AS carried FROM around WHERE ordinal > 0),
+file_turns AS (SELECT project_id, provider, session_id, conv_id, ordinal::BIGINT AS turn_ordinal, turn_id,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + opened * 60 - CASE WHEN announced THEN {AHEAD} ELSE 0 END), '%Y-%m-%dT%H:%M:%SZ') AS started_at,
   strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + answered * 60), '%Y-%m-%dT%H:%M:%SZ') AS completed_at,
-  CASE WHEN answered IS NULL THEN 'incomplete' ELSE 'completed' END AS status, user_message, final_answer_text, (answered - opened) * 60000 AS duration_ms,
-  calls, 2 * calls AS step_count, CASE WHEN answered IS NOT NULL THEN 'model-' || (conv_id % 4) END AS primary_model FROM (
-  SELECT conv_id, ordinal, min(turn) AS opened, max(turn) FILTER (role = 'assistant') AS answered, arg_max(text, turn) FILTER (role = 'assistant') AS final_answer_text,
-    max(text) FILTER (role = 'user') AS user_message, count(*) FILTER (role = 'assistant') AS calls FROM numbered WHERE ordinal > 0 GROUP BY 1, 2)),
-file_calls AS (SELECT {sql_identity('conv_id', 'conv-')}, conv_id, turn, ordinal::BIGINT AS turn_ordinal, 'call-' || turn AS call_id, 'src/m' || (conv_id % 5) || '/f' || turn || '.rs' AS path FROM spent WHERE ordinal > 0)"""
+  CASE WHEN answered IS NULL THEN 'incomplete' ELSE 'completed' END AS status, user_message, final_answer_text, (answered - opened) * 60000 + CASE WHEN announced THEN {AHEAD}000 ELSE 0 END AS duration_ms,
+  calls, 2 * calls AS step_count, primary_model, carried FROM ruled JOIN named USING (conv_id)),
+file_spent AS (SELECT session_id, turn_ordinal, (sum(coalesce(s.asked, 0)) + any_value(coalesce(carried, 0)))::BIGINT AS input_uncached_token_count, sum(coalesce(s.said, 0))::BIGINT AS output_token_count
+  FROM file_turns t LEFT JOIN rows_spent s ON s.conv_id = t.conv_id AND s.ordinal = t.turn_ordinal WHERE s.turn IS NOT NULL OR carried IS NOT NULL GROUP BY 1, 2),
+file_calls AS (SELECT project_id, provider, session_id, conv_id, turn, ordinal::BIGINT AS turn_ordinal, 'call-' || turn AS call_id, 'src/m' || (conv_id % 5) || '/f' || turn || '.rs' AS path
+  FROM rows_spent JOIN named USING (conv_id) WHERE ordinal > 0)"""
 
 
 def chat_turns(spark: SparkSession, d: str) -> DataFrame:
