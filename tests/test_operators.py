@@ -458,19 +458,6 @@ def test_paging(spark):
     assert paging.has_more(df, [F.asc("id")], 0) and not paging.has_more(df, [F.asc("id")], 5)
 
 
-def test_refresh_stream(spark, tmp_path):
-    from weft.streaming.refresh import Versions, watch
-
-    src, build = tmp_path / "src", lambda raw: ingest.lines(raw).groupBy("file").agg(F.count("*").alias("n"))
-    src.mkdir()
-    (src / "a.jsonl").write_text("1\n2\n")
-    v = Versions(spark, str(tmp_path / "t"), ["file"])
-    watch(spark, str(src), "*.jsonl", build, v, ["file"], str(tmp_path / "ck")).awaitTermination()
-    (src / "b.jsonl").write_text("1\n")
-    watch(spark, str(src), "*.jsonl", build, v, ["file"], str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.n for r in v.read().collect()) == [1, 2]
-
-
 def test_envelope(spark, tmp_path):
     from weft.plans import envelope as e
 

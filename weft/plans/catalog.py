@@ -146,6 +146,18 @@ def refresh_tables(spark, d):
     return out
 
 
+@query("refresh_grown", with_(S.SQL_FILES) + """SELECT session_id, turn_ordinal, turn_id, started_at, completed_at, status, primary_model, step_count FROM file_turns""")
+def refresh_grown(spark, d):
+    """Turns after two refreshes: between them files grow, come, and go; only their sessions are built again."""
+    from weft.streaming.refresh import refresh
+    from weft.streaming.store import Store
+
+    store = Store(spark, scratch_path(spark, "store"))
+    for source in S.session_sources(spark, d):
+        snapshot = refresh(store, source, S.owners(spark))
+    return snapshot.table("turns").select("session_id", "turn_ordinal", "turn_id", "started_at", "completed_at", "status", "primary_model", "step_count")
+
+
 @query("refresh_tool_calls", with_(S.SQL_FILES) + """SELECT project_id, provider, session_id, turn_ordinal, row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY turn) - 1 AS call_ordinal, call_id,
   'Read' AS tool_name, json_object('path', path)::VARCHAR AS arguments_text, 'ok' AS output_text, false AS is_error FROM file_calls""")
 def refresh_tool_calls(spark, d):

@@ -6,12 +6,14 @@ touch files; events are tool calls; documents and pages are texts and paths to s
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import file_name
 from weft.functions.times import iso
-from weft.runtime import table
+from weft.runtime import materialize, table
 
 ROOT = "/w/repo"
 
@@ -219,6 +221,38 @@ def session_files(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"codex": lines(other, F.concat(opening, even)), "claude": lines(mine, odd)}
 
 
+@dataclass(frozen=True)
+class FileRows:
+    """Session files that are rows (provider, file, text, size, mtime_ms), as a source of refreshes."""
+
+    rows: DataFrame
+
+    def snapshot(self) -> DataFrame:
+        return self.rows.select("file", "provider", "size", "mtime_ms")
+
+    def texts(self, files: DataFrame) -> DataFrame:
+        return self.rows.join(files.select("file"), "file", "left_semi").select("file", "text")
+
+
+def session_sources(spark: SparkSession, d: str) -> list[FileRows]:
+    """The session files at two times. First those of every third conversation end half way, those of every fifth
+    aren't there, and each fourth has a file of a session that is gone the second time."""
+    whole = materialize(unioned({p: f.withColumn("provider", F.lit(p)) for p, f in session_files(spark, d).items()}), "session_files")
+    k, parts = F.col("mtime_ms"), F.split("text", "\n")
+    half = F.array_join(F.slice(parts, 1, F.ceil(F.size(parts) / 2).cast("int")), "\n")
+    first = whole.filter(k % 5 != 0).withColumn("text", F.when(k % 3 == 0, half).otherwise(F.col("text")))
+    gone = whole.filter((k % 4 == 1) & ~F.col("file").contains("subagents")).withColumns({c: F.replace(c, F.lit("conv-"), F.lit("gone-")) for c in ("file", "text")})
+    before = first.unionByName(gone).withColumn("size", F.octet_length("text").cast("long"))
+    return [FileRows(before), FileRows(whole)]
+
+
+def unioned(frames: dict[str, DataFrame]) -> DataFrame:
+    out, *more = frames.values()
+    for f in more:
+        out = out.unionByName(f)
+    return out
+
+
 def owners(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"/w/p{k}", f"p{k}") for k in range(7)], "root string, project_id string")
 

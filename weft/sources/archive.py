@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.ingest import archive_kind
@@ -43,10 +43,15 @@ def archive(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("session_kind is not null"), rows.filter("session_kind is null").select("path", F.lit("not a session file").alias("reason"))
 
 
-def texts(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, text) of whole files: a session is read by one task, as its lines depend on each other."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
-    return df.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+def texts(spark: SparkSession, root: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(file, text) of whole files below a folder, or of those named: a session's lines depend on each other."""
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return df.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
+
+
+def plain_path(path: Column) -> Column:
+    """A file's path as it is listed, from the escaped form that rows carry."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def headers(raw: DataFrame) -> DataFrame:

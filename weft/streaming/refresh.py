@@ -1,90 +1,130 @@
-"""Continuous refresh: a file stream of sessions, folded into the tables batch by batch.
+"""Refresh: bring the stored tables up to the session files as they are now.
 
-A changed file is read again as a whole and its session replaced, so late lines need no watermark. A
-table lies in buckets by a hash of its key. A batch writes only the buckets it touches, as a new version
-of these, and then a new pointer that names the version of every bucket. Pointers are numbered and only
-complete ones are read, so a crash at any moment leaves the version before; a batch that is run again
-after a failure finds its pointer and writes nothing twice.
+Every refresh takes a snapshot of the source, file names, sizes and times, and compares it with the manifest
+that the store keeps beside its tables. Sessions with a file that is new, changed or gone are built again
+from all of their files, and the commit replaces their rows in all tables at once and the manifest with
+them. What was read is thus part of the state it led to: a restart, a new checkpoint or a batch that is run
+twice finds it there, and no file is lost or read for nothing.
+
+A session whose files went loses its rows; one whose files can't be read any more keeps its old ones, and
+the manifest says why. ``watch`` runs refreshes by a clock; two at a time are kept apart by the log.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a table; a pointer has a row for each.
-BUCKETS = 256
-
-
-class Versions:
-    """A table as buckets in numbered Parquet versions, on any store that Spark writes."""
-
-    def __init__(self, spark: SparkSession, root: str, key: list[str], buckets: int = BUCKETS):
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def current(self) -> int | None:
-        """The number of the highest pointer that was written to its end."""
-        at = self.path("pointers")
-        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
-        done = [int(n) for n in names if n.isdigit() and self.fs.exists(self.path(f"pointers/{n}/_SUCCESS"))]
-        return max(done, default=None)
-
-    def pointer(self) -> dict[int, int]:
-        """The version that holds each bucket."""
-        at = self.current()
-        if at is None:
-            return {}
-        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").csv(f"{self.root}/pointers/{at:020d}").collect()}
-
-    def bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
-
-    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
-        """The table, or some of its buckets; None where nothing was written."""
-        held = {b: v for b, v in self.pointer().items() if buckets is None or b in buckets}
-        if not held:
-            return None
-        paths = [f"{self.root}/v{v}/bucket={b}" for b, v in sorted(held.items())]
-        return self.spark.read.parquet(*paths)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        """Write the buckets of ``df`` in place of those before; readers see the old ones until the pointer is complete."""
-        self.put(self.bucketed(df), sorted(r[0] for r in self.bucketed(df).select("bucket").distinct().collect()), version)
-
-    def put(self, rows: DataFrame, touched: list[int], version: int) -> None:
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v{version}")
-        there = [b for b in touched if self.fs.exists(self.path(f"v{version}/bucket={b}"))]
-        held = {b: v for b, v in self.pointer().items() if b not in touched} | {b: version for b in there}
-        self.spark.createDataFrame(sorted(held.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").csv(f"{self.root}/pointers/{version:020d}")
-
-
-def fold_batch(versions: Versions, key: list[str], build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: rows built from the batch replace those of their keys in the buckets they fall into."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        done = versions.current()
-        if done is not None and done >= epoch:
-            return
-        fresh = versions.bucketed(build(batch))
-        touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most a row a bucket
-        old = versions.read(touched) if touched else None
-        if old is not None:
-            kept = old.join(fresh.select(*key).distinct(), key, "left_anti")
-            fresh = versions.bucketed(kept).unionByName(fresh)
-        versions.put(fresh, touched, epoch)
-
-    return run
-
-
-def watch(spark: SparkSession, source: str, pattern: str, build: Callable[[DataFrame], DataFrame], versions: Versions, key: list[str], checkpoint: str, once: bool = True, every: str = "60 seconds"):
-    """Start the refresh query over whole files; ``once`` takes what is there and ends."""
-    raw = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(source)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    writer = raw.writeStream.foreachBatch(fold_batch(versions, key, build)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+from weft.operators import assemble, incremental
+from weft.operators.ingest import archive_kind
+from weft.runtime import materialize
+from weft.sources import archive
+from weft.streaming.store import MANIFEST, Conflict, Snapshot, Store
+
+#: Files that are read by name; of more, the folder is read and joined.
+NAMED = 10_000
+MANIFEST_COLUMNS = "file string, provider string, session_id string, size long, mtime_ms long, reason string"
+
+
+class Source(Protocol):
+    """Session files somewhere."""
+
+    def snapshot(self) -> DataFrame:
+        """(file, provider, size, mtime_ms) of every file; no content is read."""
+
+    def texts(self, files: DataFrame) -> DataFrame:
+        """(file, text) of these files."""
+
+
+@dataclass
+class Folder:
+    """Files below a folder on any store that Spark reads."""
+
+    spark: SparkSession
+    root: str
+    pattern: str = "*.jsonl"
+
+    def snapshot(self) -> DataFrame:
+        found = archive.files(self.spark, self.root, self.pattern)
+        return found.select(F.col("path").alias("file"), F.when(F.col("path").contains("/codex/"), "codex").otherwise("claude").alias("provider"), "size", "mtime_ms")
+
+    def texts(self, files: DataFrame) -> DataFrame:
+        names = [r[0] for r in files.select("file").limit(NAMED + 1).collect()]
+        if not names:
+            return self.spark.createDataFrame([], "file string, text string")
+        if len(names) <= NAMED:
+            return archive.texts(self.spark, names)
+        return archive.texts(self.spark, self.root, self.pattern).join(files.select("file"), "file", "left_semi")
+
+
+def identified(files: DataFrame, known: DataFrame, source: Source) -> DataFrame:
+    """``files`` with the session that each belongs to: by its path, by the manifest, or by its header.
+
+    A file that names no session stands for itself.
+    """
+    named = files.withColumn("session_id", archive_kind(F.col("file"))[0]).join(known.select("file", F.col("session_id").alias("__known")), "file", "left")
+    named = named.withColumn("session_id", F.coalesce("session_id", "__known")).drop("__known")
+    loose = named.filter(F.col("session_id").isNull() & (F.col("provider") == "codex"))
+    told = archive.headers(source.texts(loose)).select("file", F.col("session_id").alias("__told"))
+    return named.join(told, "file", "left").withColumn("session_id", F.coalesce("session_id", "__told", "file")).drop("__told")
+
+
+def touched(now: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(provider, session_id) with a file that is new, changed or gone."""
+    action = incremental.manifest_diff(now.withColumn("meta", F.col("session_id")), manifest.withColumn("meta", F.col("session_id")), ["file"])
+    changed = action.filter("action <> 'keep'").select("file")
+    both = now.select("file", "provider", "session_id").unionByName(manifest.select("file", "provider", "session_id"))
+    return both.join(changed, "file", "left_semi").select("provider", "session_id").distinct()
+
+
+def refresh(store: Store, source: Source, owners: DataFrame, upstreams: DataFrame | None = None, note: dict | None = None, keep_texts: bool = False) -> Snapshot:
+    """Commit the tables of the source as it is now; the same version if nothing changed.
+
+    ``keep_texts`` adds the table ``archive``, a copy of every readable session's files, in step with the others.
+    """
+    base = store.snapshot()
+    spark = store.spark
+    manifest = base.table(MANIFEST)
+    if manifest is None:
+        manifest = spark.createDataFrame([], MANIFEST_COLUMNS)
+    found = materialize(source.snapshot(), "found")
+    now = materialize(identified(found, manifest, source), "now")
+    sessions = materialize(touched(now, manifest), "touched")
+    if sessions.isEmpty():
+        return base
+    key = ["provider", "session_id"]
+    batch = materialize(now.join(sessions, key, "left_semi"), "batch")
+    # files go on growing: one copy of each is what all tables are made of
+    whole = materialize(batch.join(source.texts(batch), "file").select("provider", "session_id", "file", "text", "size", "mtime_ms"), "texts")
+    there = [r[0] for r in batch.select("provider").distinct().collect()]
+    tables = assemble.all_tables({p: whole.filter(F.col("provider") == p).drop("provider", "session_id") for p in there}, owners, upstreams) if there else {}
+    skipped = materialize(tables.pop("skipped"), "skipped") if there else spark.createDataFrame([], "file string, reason string")
+    listed = batch.join(skipped, "file", "left").select(*(c.split()[0] for c in MANIFEST_COLUMNS.split(", ")))
+    # a session keeps its rows if it has files and none of them can be read
+    failed = listed.groupBy(*key).agg(F.bool_and(F.col("reason").isNotNull()).alias("all")).filter("all").select(*key)
+    replaced = sessions.join(failed, key, "left_anti")
+    dead = sessions.select(F.lit(MANIFEST).alias("what"), *key).unionByName(replaced.select(F.lit("rows").alias("what"), *key)) if base.runs else None
+    old = base.table("sessions")
+    if old is not None and there:
+        tables["sessions"] = incremental.keep_share_state(tables["sessions"], old)
+    if keep_texts:
+        tables["archive"] = whole.join(replaced, key, "left_semi").select("provider", "session_id", "file", "text")
+    size = batch.agg(F.sum("size")).first()[0] or 0
+    done = store.append({**tables, MANIFEST: listed}, dead, size, {**(note or {}), "sessions": sessions.count()}, base)
+    return store.compact(done)
+
+
+def watch(store: Store, source: Source, owners: DataFrame, checkpoint: str, upstreams: DataFrame | None = None, every: str = "60 seconds"):
+    """Start a query that refreshes by a clock; its checkpoint counts the ticks and nothing else."""
+
+    def tick(_: DataFrame, epoch: int) -> None:
+        try:
+            refresh(store, source, owners, upstreams, {"epoch": epoch})
+        except Conflict:
+            pass  # another refresh has come first; the next tick sees what it left
+
+    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
