@@ -237,7 +237,7 @@ def display_path(relative: Column, path: Column, root: str | None) -> Column:
 
 
 def file_name(c: Column) -> Column:
-    name = F.element_at(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), -1)
+    name = F.substring_index(F.replace(c, F.lit("\\"), F.lit("/")), "/", -1)
     return F.when(name != "", name)
 
 

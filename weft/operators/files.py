@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import display_path, fold, fold_text
+from weft.functions.text import fold, fold_text
 from weft.operators import scope
-from weft.operators.paging import capped, page
-from weft.operators.sessions import matches_glob
+from weft.operators.paging import page
+from weft.operators.paths import RAW, dictionary, keyed, matching
 from weft.schema import SESSION_KEY, TURN_KEY
 
 READS, WRITES = ("read",), ("write", "edit")
 PATH_CAP = 20
 
 
-def touches(accesses: DataFrame, turns: DataFrame, sessions: DataFrame, project_id: str | None = None, since: str | None = None, until: str | None = None, origin: str = "local", root: str | None = None) -> DataFrame:
-    """Reads, writes and edits of project files with their turn's time: one row an access.
+@dataclass(frozen=True)
+class Touches:
+    """Reads, writes and edits, one row an access with its turn's time and ``path_id``, and the dictionary of their paths."""
+
+    rows: DataFrame
+    paths: DataFrame
+
+    def shown(self, rows: DataFrame) -> DataFrame:
+        """``rows`` by the canonical path instead of its spelling; null where a path lies outside the project."""
+        return rows.join(self.paths.select("path_id", "shown"), "path_id").drop("path_id")
+
+
+def touches(
+    accesses: DataFrame, turns: DataFrame, sessions: DataFrame, project_id: str | None = None, since: str | None = None, until: str | None = None, origin: str = "local", root: str | None = None, paths: DataFrame | None = None
+) -> Touches:
+    """Reads, writes and edits of project files. Bounds compare times as text here.
 
-    Bounds compare times as text here. ``shown`` is the canonical path, so spellings of one file meet.
+    ``paths`` is the stored dictionary; without one it is made of the accesses.
     """
     kinds = F.col("access_type").isin(*READS, *WRITES) & (F.trim("path") != "")
-    a = scope.equal(accesses, project_id=project_id).filter(kinds)
+    a = keyed(scope.equal(accesses, project_id=project_id).filter(kinds))
     t = scope.in_window(scope.equal(turns, project_id=project_id), since, until, as_text=True).select(*TURN_KEY, "started_at")
     s = scope.origin(scope.equal(sessions, project_id=project_id), origin).select(*SESSION_KEY)
-    rows = a.join(t, TURN_KEY).join(s, SESSION_KEY, "left_semi")
-    return rows.withColumn("shown", display_path(F.col("repo_relative_path"), F.col("path"), root))
+    rows = a.select(*TURN_KEY, "access_type", "path_id").join(t, TURN_KEY).join(s, SESSION_KEY, "left_semi")
+    return Touches(rows, paths if paths is not None else dictionary(a, root))
 
 
 def counted() -> list[Column]:
@@ -39,42 +55,53 @@ def counted() -> list[Column]:
     ]
 
 
-def raw_rows(rows: DataFrame) -> DataFrame:
+#: How totals of parts become totals of their whole.
+ADDED = {"touch_count": F.sum, "read_count": F.sum, "write_count": F.sum, "first_touched_at": F.min, "last_touched_at": F.max}
+ORDINALS = {"first_turn_ordinal": F.min, "last_turn_ordinal": F.max}
+
+
+def ordinals() -> list[Column]:
+    return [F.min("turn_ordinal").alias("first_turn_ordinal"), F.max("turn_ordinal").alias("last_turn_ordinal")]
+
+
+def added(rules: dict) -> list[Column]:
+    return [f(c).alias(c) for c, f in rules.items()]
+
+
+def raw_rows(touched: Touches) -> DataFrame:
     """Totals for each session and stored spelling of a path."""
-    extra = [F.min("turn_ordinal").alias("first_turn_ordinal"), F.max("turn_ordinal").alias("last_turn_ordinal")]
-    return rows.groupBy("provider", "session_id", "repo_relative_path", "path").agg(*counted(), *extra)
+    by = touched.rows.groupBy("provider", "session_id", "path_id").agg(*counted(), *ordinals())
+    return by.join(touched.paths.select("path_id", *RAW), "path_id").select("provider", "session_id", *RAW, *ADDED, *ORDINALS)
 
 
-def top_files(rows: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
+def top_files(touched: Touches, limit: int = 10, offset: int = 0) -> DataFrame:
     """Most touched files; ties by sessions, then latest touch, then path.
 
-    Counted by (path, session) first: the second step sums few rows a path, and no distinct is spread out.
+    Counted by (spelling, session), then by (path, session), then by path: each step has few rows for the next,
+    and no distinct is spread out.
     """
-    by = rows.groupBy("shown", "provider", "session_id").agg(*counted())
-    out = by.groupBy(F.col("shown").alias("path")).agg(
-        F.sum("touch_count").alias("touch_count"),
-        F.count(F.lit(1)).alias("session_count"),
-        F.sum("read_count").alias("read_count"),
-        F.sum("write_count").alias("write_count"),
-        F.min("first_touched_at").alias("first_touched_at"),
-        F.max("last_touched_at").alias("last_touched_at"),
-        F.bool_or(F.col("shown").isNotNull()).alias("__known"),
-    )
-    # told by an aggregate, as a filter on the key would be pushed down and normalise every path twice
-    out = out.filter("__known").drop("__known")
+    by = touched.shown(touched.rows.groupBy("path_id", "provider", "session_id").agg(*counted())).filter(F.col("shown").isNotNull())
+    each = by.groupBy("shown", "provider", "session_id").agg(*added(ADDED))
+    out = each.groupBy(F.col("shown").alias("path")).agg(*added(ADDED), F.count(F.lit(1)).alias("session_count"))
     order = [F.desc("touch_count"), F.desc("session_count"), F.desc("last_touched_at"), F.asc("path")]
     return page(out, order, limit, offset)
 
 
-def path_sessions(rows: DataFrame, glob: str, root: str | None = None, limit: int = 10, offset: int = 0, cap: int = PATH_CAP) -> DataFrame:
-    """Sessions that touched files matching the glob, with the matched paths."""
+def path_sessions(touched: Touches, glob: str, root: str | None = None, limit: int = 10, offset: int = 0, cap: int = PATH_CAP) -> DataFrame:
+    """Sessions that touched files matching the glob, with the first of the matched paths and how many there are.
+
+    The dictionary tells which paths match; only their accesses are counted. Paths are ranked within a session
+    before any are gathered.
+    """
     if not glob.strip():
         raise ValueError("the path selector is blank")
-    hit = rows.filter(matches_glob(glob, root, F.col("shown"))).withColumn("shown", F.coalesce("shown", "path"))
-    extra = [F.min("turn_ordinal").alias("first_turn_ordinal"), F.max("turn_ordinal").alias("last_turn_ordinal"), F.collect_set("shown").alias("paths")]
-    out = hit.groupBy("provider", "session_id").agg(*counted(), *extra)
-    shown, count, cut = capped(F.col("paths"), cap)
-    out = out.withColumns({"matched_paths": shown, "matched_paths_count": count, "matched_paths_truncated": cut}).drop("paths")
+    hits = matching(touched.paths, glob, root).select("path_id", F.coalesce("shown", "path").alias("shown"))
+    by = touched.rows.join(hits, "path_id").groupBy("provider", "session_id", "shown").agg(*counted(), *ordinals())
+    ranked = by.withColumn("rn", F.row_number().over(Window.partitionBy("provider", "session_id").orderBy("shown")))
+    out = ranked.groupBy("provider", "session_id").agg(
+        *added(ADDED | ORDINALS), F.sort_array(F.collect_list(F.when(F.col("rn") <= cap, F.col("shown")))).alias("matched_paths"), F.count(F.lit(1)).alias("matched_paths_count")
+    )
+    out = out.withColumn("matched_paths_truncated", F.col("matched_paths_count") > cap)
     return page(out, [F.desc("touch_count"), F.desc("last_touched_at"), F.asc("provider"), F.asc("session_id")], limit, offset)
 
 
@@ -85,26 +112,29 @@ def simple_path(root: str | None) -> Column:
     return F.coalesce("repo_relative_path", below, path)
 
 
-def co_touched(rows: DataFrame, seed: str, root: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
-    """Other files of the sessions that touched ``seed``, by how many of these sessions touched them."""
+def co_touched(touched: Touches, seed: str, root: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
+    """Other files of the sessions that touched ``seed``, by how many of these sessions touched them.
+
+    The seed's spellings come from the dictionary, their sessions from it, and only these sessions' accesses are
+    told apart by path.
+    """
     if not seed.strip():
         raise ValueError("the path selector is blank")
-    pairs = rows.select("provider", "session_id", simple_path(root).alias("path")).distinct()
-    seeds = pairs.filter(fold(F.col("path")) == fold_text(seed)).select("provider", "session_id").distinct()
-    others = pairs.filter(fold(F.col("path")) != fold_text(seed)).join(seeds, ["provider", "session_id"], "left_semi")
-    out = others.groupBy("path").agg(F.count(F.lit(1)).alias("co_touch_count"))
+    names = touched.paths.select("path_id", simple_path(root).alias("name"))
+    same = fold(F.col("name")) == fold_text(seed)
+    key = ["provider", "session_id"]
+    seeds = touched.rows.join(names.filter(same).select("path_id"), "path_id", "left_semi").select(*key).distinct()
+    mine = touched.rows.select(*key, "path_id").join(seeds, key, "left_semi").distinct()
+    pairs = mine.join(names.filter(~same), "path_id").select(*key, F.col("name").alias("path")).distinct()
+    out = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("co_touch_count"))
     return page(out, [F.desc("co_touch_count"), fold(F.col("path")).asc(), F.asc("path")], limit, offset)
 
 
-def session_files(rows: DataFrame, session: dict, limit: int = 100, offset: int = 0) -> DataFrame:
+def session_files(touched: Touches, session: dict, limit: int = 100, offset: int = 0) -> DataFrame:
     """Files of one session, with how many there are before paging."""
-    mine = scope.equal(rows, **session).withColumn("path", F.coalesce("shown", "path"))
-    out = mine.groupBy("path").agg(
-        F.count_if(F.col("access_type").isin(*READS)).alias("read_count"),
-        F.count_if(F.col("access_type").isin(*WRITES)).alias("write_count"),
-        F.min("turn_ordinal").alias("first_turn_ordinal"),
-        F.max("turn_ordinal").alias("last_turn_ordinal"),
-    )
+    by = scope.equal(touched.rows, **session).groupBy("path_id").agg(*counted(), *ordinals())
+    mine = by.join(touched.paths.select("path_id", F.coalesce("shown", "path").alias("path")), "path_id")
+    out = mine.groupBy("path").agg(*added({"read_count": F.sum, "write_count": F.sum} | ORDINALS))
     total = out.agg(F.count(F.lit(1)).alias("file_count"))
     order = [F.desc(F.col("read_count") + F.col("write_count")), F.desc("write_count"), F.desc("read_count"), F.asc("path")]
     return page(out, order, limit, offset).crossJoin(F.broadcast(total))  # one row

@@ -219,15 +219,19 @@ def turn_hits(matches: DataFrame, key: list[str], limit: int = 20) -> DataFrame:
 
 def staged(c: Column, query: str) -> Column:
     """0 for the whole name, 1 for a prefix, 2 for a part; null for none. Case of A-Z doesn't count."""
-    return F.when(fold(c) == fold_text(query), 0).when(like_prefix(c, query), 1).when(like_contains(c, query), 2)
+    return F.when(like_contains(c, query), F.when(fold(c) == fold_text(query), 0).when(like_prefix(c, query), 1).otherwise(2))
 
 
 def file_hits(accesses: DataFrame, stage: Column, key: list[str], shown: Column, cap: int = 20) -> DataFrame:
-    """Each turn once, at its best stage, with the paths that matched."""
-    rows = accesses.withColumn("stage", stage).filter(F.col("stage").isNotNull())
-    out = rows.groupBy(*key).agg(F.min("stage").alias("stage"), F.collect_set(shown).alias("paths"))
-    some, count, cut = capped(F.col("paths"), cap)
-    return out.withColumns({"matched_paths": some, "matched_paths_count": count, "matched_paths_truncated": cut}).drop("paths")
+    """Each turn once, at its best stage, with the first of the paths that matched and how many there are.
+
+    Paths are ranked within the turn before any are gathered, so a turn of very many paths is a sorted run.
+    """
+    rows = accesses.select(*key, shown.alias("shown"), stage.alias("stage")).filter(F.col("stage").isNotNull())
+    each = rows.groupBy(*key, "shown").agg(F.min("stage").alias("stage"))
+    ranked = each.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("shown"))))
+    out = ranked.groupBy(*key).agg(F.min("stage").alias("stage"), F.sort_array(F.collect_list(F.when(F.col("rn") <= cap, F.col("shown")))).alias("matched_paths"), F.count("shown").alias("matched_paths_count"))
+    return out.withColumn("matched_paths_truncated", F.col("matched_paths_count") > cap)
 
 
 def name_search(accesses: DataFrame, query: str, key: list[str] = TURN_KEY) -> DataFrame:
@@ -239,8 +243,12 @@ def fragment_search(accesses: DataFrame, query: str, key: list[str] = TURN_KEY)
     return file_hits(accesses, best, key, F.col("path"))
 
 
-def glob_search(accesses: DataFrame, glob: str, root: str | None, key: list[str] = TURN_KEY) -> DataFrame:
-    return file_hits(accesses, F.when(matches_glob(glob, root), 0), key, F.col("path"))
+def glob_search(accesses: DataFrame, glob: str, root: str | None, key: list[str] = TURN_KEY, paths: DataFrame | None = None) -> DataFrame:
+    """Turns with an access that matches a glob; with a dictionary, paths are matched there and only hits' accesses kept."""
+    if paths is None:
+        return file_hits(accesses, F.when(matches_glob(glob, root), 0), key, F.col("path"))
+    hits = paths.filter(matches_glob(glob, root, F.col("shown"), F.col("normal"))).select("path_id", F.col("path").alias("__path"))
+    return file_hits(accesses.join(hits, "path_id"), F.lit(0), key, F.col("__path"))
 
 
 def staged_page(hits: DataFrame, turns: DataFrame, limit: int, offset: int = 0) -> DataFrame:

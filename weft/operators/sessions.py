@@ -98,10 +98,10 @@ def touching_exact(accesses: DataFrame, path: str, root: str | None = None) -> D
     return accesses.filter(F.col("access_type").isin("read", "write", "edit") & F.coalesce(hit, F.lit(False))).select(*SESSION_KEY).distinct()
 
 
-def matches_glob(glob: str, root: str | None, shown: Column | None = None) -> Column:
+def matches_glob(glob: str, root: str | None, shown: Column | None = None, normal: Column | None = None) -> Column:
     """Whether an access matches in its project-scoped or its plain normal form.
 
-    ``shown`` is the project-scoped form where it is known. A literal of the glob, which raw paths must
+    ``shown`` and ``normal`` are these forms where they are known. A literal of the glob, which raw paths must
     hold as well, goes first, so that most other paths are never normalised.
     """
     plan, literal = selector_plan(glob)
@@ -110,7 +110,7 @@ def matches_glob(glob: str, root: str | None, shown: Column | None = None) -> Co
     pattern = glob_to_regex(glob)
     scoped = fold(shown if shown is not None else display_path(F.col("repo_relative_path"), F.col("path"), root))
     same = (lambda c: c == fold_text(glob)) if plan == "exact" else (lambda c: c.rlike(pattern))
-    hit = F.coalesce(same(scoped), F.lit(False)) | F.coalesce(same(fold(normal_path(F.col("path")))), F.lit(False))
+    hit = F.coalesce(same(scoped), F.lit(False)) | F.coalesce(same(fold(normal if normal is not None else normal_path(F.col("path")))), F.lit(False))
     if not literal:
         return hit
     raw = F.coalesce(fold(F.col("repo_relative_path")).contains(literal), F.lit(False)) | fold(F.col("path")).contains(literal)
@@ -125,9 +125,12 @@ def selector_plan(glob: str) -> tuple[str, str]:
     return "pattern" if re.search(r"[*?\[]", glob) else "exact", max(parts, key=len)
 
 
-def touching_glob(accesses: DataFrame, glob: str, root: str | None = None) -> DataFrame:
-    """Keys of sessions with any access, listings included, that matches the glob."""
-    return accesses.filter(matches_glob(glob, root)).select(*SESSION_KEY).distinct()
+def touching_glob(accesses: DataFrame, glob: str, root: str | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """Keys of sessions with any access, listings included, that matches the glob; with a dictionary, the paths are matched there."""
+    if paths is None:
+        return accesses.filter(matches_glob(glob, root)).select(*SESSION_KEY).distinct()
+    hits = paths.filter(matches_glob(glob, root, F.col("shown"), F.col("normal"))).select("path_id")
+    return accesses.join(hits, "path_id", "left_semi").select(*SESSION_KEY).distinct()
 
 
 def sessions_touching(sessions: DataFrame, turns: DataFrame, keys: DataFrame, **options) -> DataFrame:

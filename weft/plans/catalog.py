@@ -84,7 +84,7 @@ def session_touching_exact(spark, d):
 
 @query("session_touching_glob", with_(S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_ACCESSES, TOTALS.format("turns")) + TOUCHING.format("regexp_full_match(lower(shown), 'docs/t3/g1[^/]*\\.md')"))
 def session_touching_glob(spark, d):
-    keys = sessions.touching_glob(S.accesses(spark, d), "docs/T3/G1*.md", S.ROOT)
+    keys = sessions.touching_glob(S.accesses(spark, d), "docs/T3/G1*.md", S.ROOT, S.path_dictionary(spark, d))
     return sessions.sessions_touching(S.sessions(spark, d), S.turns(spark, d), keys, limit=200).select(*LISTED)
 
 
@@ -263,7 +263,7 @@ FILE_CTES = (S.SQL_SESSIONS, S.SQL_TURNS, S.SQL_ACCESSES, S.SQL_TOUCHES)
 
 
 def touched(spark, d, **more):
-    return files.touches(S.accesses(spark, d), S.turns(spark, d), S.sessions(spark, d), root=S.ROOT, **more)
+    return files.touches(S.accesses(spark, d), S.turns(spark, d), S.sessions(spark, d), root=S.ROOT, paths=S.path_dictionary(spark, d), **more)
 
 
 @query("files_raw", with_(*FILE_CTES) + """SELECT provider, session_id, repo_relative_path, path, count(*) AS touch_count, count(*) FILTER (access_type = 'read') AS read_count,
@@ -363,7 +363,7 @@ def search_path_fragment(spark, d):
 
 @query("search_path_glob", with_(S.SQL_ACCESSES, STAGED.format("CASE WHEN regexp_full_match(lower(shown), 'src/m1[^/]/f[^/]*\\.rs') THEN 0 END")))
 def search_path_glob(spark, d):
-    return flat_paths(search.glob_search(S.accesses(spark, d), "src/m1?/*.rs", S.ROOT))
+    return flat_paths(search.glob_search(S.accesses(spark, d), "src/m1?/*.rs", S.ROOT, paths=S.path_dictionary(spark, d)))
 
 
 @query("search_page_glob", """SELECT page_id, url FROM pages WHERE regexp_full_match(lower(url), 'https?://[^/]*\\.com/(.*/)?[0-9][^/]*')""")
