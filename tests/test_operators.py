@@ -104,8 +104,17 @@ SECRETS = [
     ("A" * 512, "[REDACTED_BLOB]"),
     ("cd /home/ann/x", "cd /home/[REDACTED_HOME]/x"),
     ("C:\\Users\\ann\\x", "C:\\Users\\[REDACTED_HOME]\\x"),
+    ("Authorization:" + " " * 70 + "Basic dXNlcjpwYXNzd29yZA==", "Authorization:" + " " * 70 + "Basic [REDACTED_SECRET]"),
+    ("headers['Proxy-Authorization'] = \"Basic dXNlcjpwYXNz\"", "headers['Proxy-Authorization'] = \"Basic [REDACTED_SECRET]\""),
+    ("/x?Key=ab&y=1&X-Amz-Signature=ef&signature=g", "/x?Key=[REDACTED_SECRET]&y=1&X-Amz-Signature=[REDACTED_SECRET]&signature=[REDACTED_SECRET]"),
+    ("see /Users/ann(old)/x", "see /Users/[REDACTED_HOME])/x"),
+    ("D:\\Users\\ann[1]\\x", "D:\\Users\\[REDACTED_HOME]]\\x"),
+    ("`/Users/al/p` </home/bob/.ssh> file:///Users/c/s", "`/Users/[REDACTED_HOME]/p` </home/[REDACTED_HOME]/.ssh> file:///Users/[REDACTED_HOME]/s"),
+    ("xoxb-" + "1a" * 12, "[REDACTED_SECRET]"),
+    ("eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "[REDACTED_SECRET]"),
 ]
-CLEAN = ["token == other", "password != value", "Authorization: Bearer", "secret: true", "--token=%", "a/home/ann", "note: hello there", "Authorization: Basic xxxx", "tokens left", "ann@example.com", "x=1234", ""]
+CLEAN = ["token == other", "password != value", "Authorization: Bearer", "secret: true", "--token=%", "a/home/ann", "note: hello there", "Authorization: Basic xxxx", "tokens left", "ann@example.com", "x=1234", "", "/x?x_amz_signature=ab", "/x?SIG=abc&tok=1", "/x?Sig=ab", "$runtime/home/al/s /tmp/home/bob/c",
+         "Basic dXNlcjpwYXNz", "xoxq-" + "1a" * 12, "sk-" + "a" * 15, "data:image/png,AAAA", "A" * 511, "https://u@h/x", "--token=*?", "AKIA" + "A" * 15, "Bearer short"]
 
 
 @pytest.mark.parametrize("given,wanted", SECRETS + [(c, c) for c in CLEAN])
@@ -114,6 +123,12 @@ def test_redaction(spark, given, wanted):
     assert redact.redact_string(given) == wanted
 
 
+def test_every_stage_has_a_hint():
+    for given, wanted in SECRETS:
+        assert any(h in given.lower() for h in redact.HINTS) or redact.RUN.search(given), given
+    assert len(redact.HINTS) < 40 and {"key", "token", "secret"} <= set(redact.HINTS)
+
+
 def test_redact_json(spark):
     given = json.dumps({"apiKey": "abc", "n": None, "token_type": "x", "password": True, "a": ["sk-" + "b" * 20], "deep": {"secret": {"k": 1}}})
     got = json.loads(value(spark, redact.redact_json(F.col("p")), p=given))
@@ -458,6 +473,26 @@ def test_paging(spark):
     assert paging.has_more(df, [F.asc("id")], 0) and not paging.has_more(df, [F.asc("id")], 5)
 
 
+def test_pivots_with_and_without_a_stored_dictionary(spark):
+    from weft.operators import files, paths
+
+    key = "project_id string, provider string, session_id string, turn_ordinal long"
+    raw = [("s1", 1, "read", "a/b.rs", "/w/a/b.rs"), ("s1", 1, "edit", None, "/w/a/./b.rs"), ("s2", 1, "write", "a/b.rs", "a/b.rs"), ("s2", 2, "read", None, "/else/c.rs"), ("s2", 2, "list", "a/d.rs", "a/d.rs"), ("s2", 2, "read", "x\\y.rs", "x\\y.rs")]
+    a = spark.createDataFrame([("p", "c", s, t, k, r, x) for s, t, k, r, x in raw], f"{key}, access_type string, repo_relative_path string, path string")
+    t = spark.createDataFrame([("p", "c", s, k, f"2024-01-0{k}") for s in ("s1", "s2") for k in (1, 2)], f"{key}, started_at string")
+    s = spark.createDataFrame([("p", "c", k, "local") for k in ("s1", "s2")], "project_id string, provider string, session_id string, origin_kind string")
+    every = paths.dictionary(a, "/w")
+    assert every.count() == 6 and {r.shown for r in every.collect()} == {"a/b.rs", None, "a/d.rs", "x/y.rs"}
+    for touched in (files.touches(a, t, s, root="/w"), files.touches(paths.keyed(a).drop("repo_relative_path"), t, s, paths=every)):
+        assert [(r.path, r.touch_count, r.session_count, r.read_count) for r in files.top_files(touched).collect()] == [("a/b.rs", 3, 2, 1), ("x/y.rs", 1, 1, 1)]
+        got = [(r.session_id, r.touch_count, r.matched_paths, r.matched_paths_count, r.matched_paths_truncated) for r in files.path_sessions(touched, "**/*.rs", "/w", cap=1).collect()]
+        assert got == [("s2", 3, ["/else/c.rs"], 3, True), ("s1", 2, ["a/b.rs"], 1, False)]
+        assert [(r.path, r.co_touch_count) for r in files.co_touched(touched, "A/b.rs", "/w").collect()] == [("/else/c.rs", 1), ("a/./b.rs", 1), ("x\\y.rs", 1)]
+        assert [(r.path, r.read_count, r.write_count, r.file_count) for r in files.session_files(touched, {"session_id": "s1"}).collect()] == [("a/b.rs", 1, 1, 1)]
+    plain, known = (sorted((r.session_id, r.turn_ordinal, tuple(r.matched_paths)) for r in search.glob_search(paths.keyed(a), "a/*.rs", "/w", paths=d).collect()) for d in (None, every))
+    assert plain == known == [("s1", 1, ("/w/a/./b.rs", "/w/a/b.rs")), ("s2", 1, ("a/b.rs",)), ("s2", 2, ("a/d.rs",))]
+
+
 def test_envelope(spark, tmp_path):
     from weft.plans import envelope as e
 

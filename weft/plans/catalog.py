@@ -506,6 +506,23 @@ def redact_assignments(spark, d):
     return table(spark, d, "documents").select("doc_id", redact_text(F.col("text")).alias("text"))
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+PLANTED = ", ".join(f"({k}, {quoted(wanted or given)})" for k, (given, wanted) in enumerate(S.REDACTIONS))
+
+
+@query("redaction_cases", f"""SELECT doc_id, 'doc ' || doc_id || ' ' || wanted || chr(10) || 'end' AS text FROM documents JOIN (VALUES {PLANTED}) c (k, wanted) ON doc_id % {len(S.REDACTIONS)} = k""")
+def redaction_cases(spark, d):
+    """Every document names one planted case, a secret of each kind or a near-miss, which redaction must find or leave."""
+    from weft.operators.redact import redact_text
+
+    given = F.get(F.array(*(F.lit(given) for given, _ in S.REDACTIONS)), (F.col("doc_id") % len(S.REDACTIONS)).cast("int"))
+    text = F.concat(F.lit("doc "), "doc_id", F.lit(" "), given, F.lit("\nend"))
+    return table(spark, d, "documents").select("doc_id", redact_text(text).alias("text"))
+
+
 @query("tool_access_kind", """SELECT event_id, CASE WHEN k IN ('glob_view', 'list_signup') THEN 'list' WHEN k = 'edit_click' THEN 'edit' WHEN k = 'write_error' THEN 'write' ELSE 'read' END AS access_type
 FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'glob_view' WHEN 'signup' THEN 'list_signup' WHEN 'click' THEN 'edit_click' WHEN 'error' THEN 'write_error' ELSE 'grep_x' END AS k FROM events)""")
 def tool_access_kind(spark, d):
