@@ -13,53 +13,71 @@ from weft.llm import byte_bpe, mixing, neardup, quality, secrets
 from weft.runtime import materialize, scratch_path, table
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__key``: a row's doc_id and a hash of its text, as rows may share an id or have none."""
-    return docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, id, hash): each row whole, beside its doc_id and a hash of its text, as rows may share an id or have none.
+
+    Columns of ``docs`` lie within ``row``, so none meets a name that a stage uses.
+    """
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
 
 
 def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text hash are among ``keys`` (id, hash), nulls among them like any other."""
-    keys = keys.select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(keys.hint("shuffle_hash"), same, "left_semi")
+    """The packed rows of ``docs`` whose id and text hash are among ``keys`` (id, hash), nulls among them like any other."""
+    keys = keys.select(F.col("id").alias("key_id"), F.col("hash").alias("key_hash")).distinct()
+    same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("hash") == F.col("key_hash"))
+    return packed(docs).join(keys.hint("shuffle_hash"), same, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list let pass.
 
-    Null or empty texts go. Each row is judged by its own text, also among rows of one id.
+    Null or empty texts go; long ones are judged whole. Each row is judged by its own text, also among rows of one
+    id. An empty table stays empty; other columns, whatever their names, go along unread.
     """
-    judged = quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept")
-    return rows_of(docs, judged.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
+    judged = quality.judge(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")).filter("kept")
+    return rows_of(docs, judged.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of smallest id, then of smallest text hash.
 
-    Of rows equal in id and text one stays. Documents without words are in no group and stay.
+    Of rows equal in id and text one stays. Documents without words are in no group and stay, as does an empty
+    table; long texts are compared whole; other columns, whatever their names, go along unread.
     """
-    found = neardup.near_duplicates(keyed(docs), id_col="__key").filter("kept")
-    return rows_of(docs, found.select("__key.id", "__key.hash")).withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = neardup.near_duplicates(docs.select(key.alias("doc"), "text"), id_col="doc").filter("kept")
+    return rows_of(docs, found.select("doc.id", "doc.hash")).dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark; a null text stays null, n_chars follows the text."""
-    found = secrets.scan_history(docs, scratch_path(spark, "ledger"))
+    """All documents, each secret replaced by a mark; a null text stays null, n_chars follows the text.
+
+    Rows of one id are scanned each by its own text, long texts whole; an empty table stays empty; other columns,
+    whatever their names, go along unread.
+    """
+    found = secrets.scan_history(docs.select("doc_id", "text"), scratch_path(spark, "ledger"))
     return secrets.redact(docs, found).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; texts without words never. Equal rows share a fate."""
+    """Each document as often as the mix takes it; texts without words never. Equal rows share a fate.
+
+    A null source is one of its own. An empty table stays empty; a long text is taken whole or not; other columns,
+    whatever their names, go along unread.
+    """
     mix = mixing.Mix()
-    taken = mixing.mix_sources(docs, mix).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("u").alias("__u"), "copies").distinct()
-    keyed = docs.withColumn("__u", mixing.uniform(mix.seed, "doc_id", "text")).alias("d")
-    both = keyed.join(taken.alias("t").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("d.__u") == F.col("t.__u")))
-    return both.select(*(F.col(f"d.{c}") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    few = docs.select("doc_id", "text", "source")
+    taken = mixing.mix_sources(few, mix).filter("copies > 0").select(F.col("doc_id").alias("key_id"), F.col("u").alias("key_u"), "copies").distinct()
+    both = packed(docs).withColumn("u", mixing.uniform(mix.seed, "row.doc_id", "row.text"))
+    both = both.join(taken.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("key_id")) & (F.col("u") == F.col("key_u")))
+    return both.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the byte-level BPE ids of every row of the mix, and of what they decode to; null text has no ids."""
+    """Digests of the byte-level BPE ids of every row of the mix, and of what they decode to; null text has no ids.
+
+    Texts are encoded whole; an empty table gives no rows; other columns are not read.
+    """
     return byte_bpe.encode_digests(docs, byte_bpe.vocabulary_path())
 
 
