@@ -853,6 +853,9 @@ def test_pipeline_rows_that_share_an_id(spark, data):
     assert len(left) == 2 and {r.doc_id for r in left} == {7, None}
 
 
+CLASHING = ["__hash", "__blob", "__u", "__key", "__salt", "__parts", "__n", "row", "id", "hash", "blob", "spans", "u", "copies", "key_id", "size", "kept", "copy"]
+
+
 @pytest.mark.parametrize("texts", [[], ODD])
 def test_pipeline_of_odd_tables(spark, data, texts):
     import corpus_pipeline as p
@@ -863,6 +866,37 @@ def test_pipeline_of_odd_tables(spark, data, texts):
     assert df.count() <= 2 * len(texts)
 
 
+def test_pipeline_hands_on_columns_of_any_name(spark, data):
+    import corpus_pipeline as p
+
+    prose = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(12)]
+    texts = [*prose, prose[0], 'a token = "abcdef123456" ' + prose[1][40:] + " more", None]
+    df = frame(spark, texts, sources=["a", "b", None] * 5).select("doc_id", "text", "lang", "source", "n_chars")
+    for c in CLASHING:
+        df = df.withColumn(c, F.concat(F.lit(f"{c} "), "doc_id"))
+    for name, stage in p.STAGES[:-1]:
+        before = df
+        df = p.materialize(stage(spark, df, data), name)
+        assert df.columns == before.columns, name
+        for r in df.collect():
+            assert all(r[c] == f"{c} {r.doc_id}" for c in CLASHING), name
+    assert df.count() and p.STAGES[-1][1](spark, df, data).count() == df.count()
+
+
+def test_pipeline_stages_of_rows_that_share_an_id(spark, data):
+    """Secrets and shares go by each row's own text."""
+    import corpus_pipeline as p
+
+    rows = frame(spark, ['x token = "abcdef123456" y', "plain words", 'x token = "abcdef123456" y', None], ids=[7, 7, None, 7]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = sorted((r.doc_id or 0, r.text or "") for r in p.secret_scan(spark, rows, data).collect())
+    hidden = secrets.without('x token = "abcdef123456" y', secrets.secret_row('x token = "abcdef123456" y')[4], "[SECRET]")
+    assert got == sorted([(7, hidden), (7, "plain words"), (0, hidden), (7, "")]) and "abcdef" not in hidden
+    many = frame(spark, [f"{'w ' * (k + 1)}" for k in range(20)], ids=[7] * 20).select("doc_id", "text", "lang", "source", "n_chars")
+    taken = collections.Counter(r.text for r in p.mix_sources(spark, many, data).collect())
+    words = {t: len(t.split()) * n for t, n in taken.items()}
+    assert set(taken) <= {f"{'w ' * (k + 1)}" for k in range(20)} and max(taken.values()) <= 2 and sum(words.values()) > 250
+
+
 def test_top_k_where_ids_repeat_more_than_k_times(spark):
     same, half = [2.0, 0.0], [0.25, 0.0]
     rows = [(100, same)] * 12 + [(101, same), (102, half), (1, same), (200, half)] + [(300, half)] * 30 + [(301, half), (400, same)]

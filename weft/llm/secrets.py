@@ -141,18 +141,20 @@ def without(text: str | None, spans: str | None, mark: str) -> str | None:
 def redact(df: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace the spans of ``found`` (blob, spans) in the texts of ``df``; other rows stay as they are.
 
-    Only blobs with a span take part in the join, each once.
+    Only blobs with a span take part in the join, each once. Rows travel whole in one column, so that no column
+    of ``df`` meets a name used here.
     """
-    hits = found.filter(F.col("spans") != "").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    keyed = df.withColumn("__blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    hits = found.filter(F.col("spans") != "").select("blob", "spans").dropDuplicates(["blob"])
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    keyed = df.select(row, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, s, mark) for t, s in zip(text, spans)], dtype=object)
 
-    others = [c for c in df.columns if c != text_col]
-    both = salted_join(keyed, hits, "__blob", hot_keys_of(keyed.select("__blob"), "__blob"), others or [text_col], "left")
-    return both.withColumn(text_col, cut(text_col, "__spans")).select(*df.columns)
+    both = salted_join(keyed, hits, "blob", hot_keys_of(keyed.select("blob"), "blob"), ["row"], "left")
+    text = F.when(F.col("spans").isNotNull(), cut(F.col(f"row.`{text_col}`"), "spans")).otherwise(F.col(f"row.`{text_col}`"))
+    return both.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
