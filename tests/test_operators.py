@@ -166,7 +166,7 @@ SHELL = [
     ("ln -s a.txt b.txt", [("read", "a.txt"), ("write", "b.txt")]),
     ("unknown a.txt > b.txt", []),
     ("cat $HOME/a.txt *.rs /dev/null", []),
-    ("cat 'unclosed", []),
+    ("cat 'unclosed", [("read", "unclosed")]),
 ]
 
 
@@ -175,6 +175,24 @@ def test_shell(command, wanted):
     assert shell.accesses(command) == wanted
 
 
+def test_shell_lexer():
+    paths = lambda c: [p for _, p in shell.accesses(c)]
+    docs = "cat <<'EOF' > README.md\ncargo fmt -- --check\nEOF\ncat <<EOF>docs/out.md\ncat docs/body.md\nEOF\ncat docs/after.md\ncat <<EOF; cat docs/same.md\ncat docs/body-two.md\nEOF\ncat docs/last.md"
+    assert shell.accesses(docs) == [("write", "README.md"), ("write", "docs/out.md"), ("read", "docs/after.md"), ("read", "docs/same.md"), ("read", "docs/last.md")]
+    assert paths("cat <<A <<-'B C' x.txt\nin a\nA\n\tin b\n\tB C\ncat y.txt") == ["x.txt", "y.txt"]  # two bodies behind one line
+    assert paths("cat <<EOF\nno end\ncat z.txt") == [] and paths("rg '<<EOF' a.md\ncat b.md") == ["a.md", "b.md"]
+    assert paths("cat <(list files) in.txt\ncmp -s <(show 'a)b') <(x)\nshow --s $(list | jq -r '.d[0]') 2>&1 | sed -n '1,80p' c.rs") == ["in.txt", "c.rs"]
+    assert paths("cat \"$(ls \"a b\")/x\" d.txt `which e` f.txt") == ["d.txt", "f.txt"]
+    assert shell.accesses("rg '<div>' a.rs > rg.log && grep '>' b.rs && echo hi >| out.log") == [("read", "a.rs"), ("write", "rg.log"), ("read", "b.rs"), ("write", "out.log")]
+    assert paths("cat a\\ b.txt 'c d.txt' \"e\\\"f.txt\" g\\\n.txt") == ["a b.txt", "c d.txt", 'e"f.txt', "g.txt"]
+    assert paths("cat a.txt; cat 'b.txt; cat c.txt") == ["a.txt"] and paths('cat a.txt "b c.txt') == ["a.txt", "b c.txt"]  # a quote that isn't closed
+    assert shell.accesses("(cd x && cat y.rs) > z.log 2>e.log 3<in.txt") == [("read", "y.rs")] and paths("cat <<< word t.txt") == ["t.txt"]
+    patch = "cd r && apply_patch <<'P'\n*** Begin Patch\n*** Update File: a.rs\n*** Add File: b.rs\n*** End Patch\nP\ncat c.rs"
+    assert shell.accesses(patch) == [("edit", "a.rs"), ("write", "b.rs"), ("read", "c.rs")]
+    assert paths("") == paths("'") == paths("<<") == paths("$(") == paths(">") == []
+    assert len(paths("cat " + " ".join(f"f{k}.txt" for k in range(5000)))) == 5000
+
+
 def turn(spark, steps, **more):
     fields = [f.split(":")[0] for f in STEP[7:-1].replace("array<string>", "array").split(",")]
     rows = [{**{f: None for f in fields}, **s} for s in steps]

@@ -59,14 +59,15 @@ def test_files_that_are_new_grow_break_and_go(spark, tmp_path, files, owners):
     files.put("s1", ("a", "b"))
     files.put("s2", ("c", "d"))
     store, source = Store(spark, str(tmp_path / "store")), Folder(spark, str(files.root))
-    one = refresh(store, source, owners, keep_texts=True)
+    one = refresh(store, source, owners, keep_lines=True)
     assert (one.version, told(one)) == (1, [("s1", 1, "a"), ("s2", 1, "c")])
     assert refresh(store, source, owners).version == 1  # nothing changed, nothing is written
     files.put("s1", ("a", "b"), ("e", "f"))
     files.put("s3", ("g", "h"))
-    two = refresh(Store(spark, str(tmp_path / "store")), source, owners, keep_texts=True)  # another process, nothing but the store
+    two = refresh(Store(spark, str(tmp_path / "store")), source, owners, keep_lines=True)  # another process, nothing but the store
     assert told(two) == [("s1", 1, "a"), ("s1", 2, "e"), ("s2", 1, "c"), ("s3", 1, "g")] and two.note["sessions"] == 2
-    assert sorted((r.session_id, r.text.count("\n")) for r in two.table("archive").collect()) == [("s1", 3), ("s2", 1), ("s3", 1)]
+    kept = two.table("archive").groupBy("session_id").agg(F.max("line").alias("n"), F.count(F.lit(1)).alias("k"))
+    assert sorted(map(tuple, kept.collect())) == [("s1", 4, 4), ("s2", 2, 2), ("s3", 2, 2)]
     files.put("s2", text="{")
     files.drop("s3")
     three = refresh(store, source, owners)
@@ -172,3 +173,20 @@ def test_watch_follows_a_clock(spark, tmp_path, files, owners):
             time.sleep(0.5)
         query.stop()
         assert told(store.snapshot()) == [("s1", 1, text)]
+
+
+def test_lines_of_files_that_are_read_in_splits(spark, tmp_path):
+    from weft.operators import ingest
+    from weft.sources import archive
+
+    for name, n in (("a 1", 400), ("b", 1), ("c", 0)):
+        (tmp_path / f"{name}.jsonl").write_bytes(b"".join(b"%d %s\r\n%s" % (k, b"x" * (k % 37), b"\n" if k % 50 == 7 else b"") for k in range(n)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = archive.lines(spark, str(tmp_path))
+        got = {(r.file, r.line): r.json for r in rows.collect()}
+        parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert parts > 5 and got == {(r.file, r.line): r.json for r in ingest.lines(archive.texts(spark, str(tmp_path))).collect()} and len(got) == 401

@@ -38,13 +38,13 @@ def identified(files: DataFrame, about: DataFrame, provider: str) -> DataFrame:
     return out.withColumn("reason", F.coalesce("reason", "__why")).drop("own", "told", "__why")
 
 
-def provider_turns(files: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+def provider_turns(files: DataFrame, provider: str, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(turns by file, files with what they say of their session and the reason why they are left out).
 
-    ``files`` are whole files (file, text, size, mtime_ms). What is wrong with one file ends no job: a line that isn't
+    ``files`` are whole files (file, text, size, mtime_ms), or have no text but their ``lines`` (file, line, json). What is wrong with one file ends no job: a line that isn't
     JSON, ids that don't agree with the path, an item that its version can't have written.
     """
-    parsed, bad = ingest.quarantine(ingest.lines(files))
+    parsed, bad = ingest.quarantine(ingest.lines(files) if lines is None else lines)
     v = F.col("v")
     if provider == "codex":
         turns = ingest.codex_turns(ingest.codex_events(parsed))
@@ -95,14 +95,14 @@ def owned(sessions: DataFrame, owners: DataFrame, upstreams: DataFrame | None) -
     return sessions.withColumn("home", home).join(found, "home").drop("home")
 
 
-def provider_tables(raw: DataFrame, provider: str, owners: DataFrame, upstreams: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of one provider's files (file, text, size, mtime_ms).
+def provider_tables(raw: DataFrame, provider: str, owners: DataFrame, upstreams: DataFrame | None = None, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of one provider's files (file, text, size, mtime_ms), or of files and their ``lines``.
 
     ``owners`` maps folders to projects (root, project_id, linked or not), ``upstreams`` repositories (project_id, root,
     url). Of several files of one session the largest and newest one that can be read is taken. A session whose
     folder and repository belong to no project is left out.
     """
-    turns, files = provider_turns(raw, provider)
+    turns, files = provider_turns(raw, provider, lines)
     skipped = files.filter("reason is not null").select("file", "reason")
     found = files.filter("session_id is not null").withColumn("__readable", F.col("reason").isNull())
     one = ingest.dedupe_priority(found, ["session_id"], "size", "mtime_ms", "file", "__readable").drop("reason", "__readable")
@@ -138,11 +138,11 @@ def derived(turns: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
     return {"tool_calls": calls, "file_accesses": derive.file_accesses(calls, sessions), "turn_evidence": derive.evidence(turns), "turn_search": derive.search_text(turns)}
 
 
-def all_tables(raw: dict[str, DataFrame], owners: DataFrame, upstreams: DataFrame | None = None) -> dict[str, DataFrame]:
+def all_tables(raw: dict[str, DataFrame], owners: DataFrame, upstreams: DataFrame | None = None, lines: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Tables of every provider's files together."""
     out: dict[str, DataFrame] = {}
     for provider, files in raw.items():
-        for name, rows in provider_tables(files, provider, owners, upstreams).items():
+        for name, rows in provider_tables(files, provider, owners, upstreams, (lines or {}).get(provider)).items():
             out[name] = out[name].unionByName(rows) if name in out else rows
     return out
 

@@ -1,13 +1,14 @@
 """Files that shell commands touch: a table of what each command does to its operands.
 
-The words of a command line come from the standard lexer; what this module adds is the table and the
-few shapes operands take. Commands outside the table touch nothing that is known.
+One pass over a command line gives its simple commands: their words without quotes, the files that they
+redirect to or from, and the here-documents that they are given. Commands outside the table touch nothing
+that is known.
 """
 
 from __future__ import annotations
 
 import re
-import shlex
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +38,11 @@ FILE_OPTIONS = {
     "chmod": {"--reference": "read"}, "chown": {"--reference": "read"}, "chgrp": {"--reference": "read"}, "curl": {"-o": "write", "--output": "write"}, "cargo": {"--manifest-path": "read"},
 }
 REDIRECT = {">": "write", ">>": "write", ">|": "write", "&>": "write", "&>>": "write", "<": "read", "<>": "edit"}
-HEREDOC = re.compile(r"<<-?\s*(['\"]?)(\w+)\1([^\n]*)\n.*?^\s*\2\s*$", re.S | re.M)
+#: Operators, longest first; those that take no file, and those that end a command.
+OPERATORS = ("&>>", "<<<", "<<-", "&>", "<<", ">>", ">|", "<>", ">&", "<&", "&&", "||", "|&", ";;", "<", ">", "|", ";", "(", ")", "\n")
+ENDS = {"&&", "||", "|&", ";;", "|", ";", "(", ")", "\n"}
+#: What stands for a substitution's output in a word: no usable path holds it.
+OUTPUT = "$()"
 PATCH = re.compile(r"^\*\*\* (Add File|Update File|Delete File|Move to): (.+)$", re.M)
 
 
@@ -53,48 +58,133 @@ def usable(path: str) -> bool:
     return not (p in ("", ".", "..", "-", "/dev/null", "EOF", "PATCH") or re.match(r"^[-(][^/]*$", p) or re.search(r"[$*?<>|;&`]", p))
 
 
-def fragments(command: str) -> list[list[str]]:
-    """Words of each simple command; what substitutions run is left out."""
-    lexer = shlex.shlex(command, posix=True, punctuation_chars="();<>|&\n")
-    lexer.whitespace, lexer.commenters, lexer.whitespace_split = " \t\r", "", True
-    out: list[list[str]] = [[]]
-    depth = 0
-    try:
-        for word in lexer:
-            if "(" in word or ")" in word:
-                if set(word) <= set("()<>|&;\n"):
-                    opened = word.count("(") - word.count(")")
-                    if opened > 0 and out[-1] and out[-1][-1].endswith("$"):
-                        out[-1].pop()
-                    depth = max(0, depth + opened)
-                    continue
-            if depth:
-                continue
-            if word and set(word) <= set(";|&\n") and word not in REDIRECT:
-                out.append([])
+@dataclass
+class Command:
+    """A simple command: words, (kind, path) of its redirections, and the bodies of its here-documents."""
+
+    words: list[str] = field(default_factory=list)
+    files: list[tuple[str, str]] = field(default_factory=list)
+    bodies: list[str] = field(default_factory=list)
+
+
+class Lexer:
+    """One pass over a command line. A quote or substitution that isn't closed goes on to the end."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self.commands = [Command()]
+        self.waiting: list[tuple[str, Command]] = []  # here-documents whose bodies come behind the line
+
+    def quoted(self, at: int) -> tuple[str, int]:
+        """What stands between the quote at ``at`` and its end, and the place behind it."""
+        text, quote, out, k = self.text, self.text[at], [], at + 1
+        while k < len(text) and text[k] != quote:
+            if quote == '"' and text[k] == "\\" and text[k + 1 : k + 2] in ('"', "\\", "$", "`", "\n"):
+                out.append(text[k + 1].replace("\n", ""))
+                k += 2
+            elif quote == '"' and text.startswith("$(", k):
+                out.append(OUTPUT)
+                k = self.behind(k + 1)
             else:
-                out[-1].append(word)
-    except ValueError:  # a quote that isn't closed: keep what came before
-        pass
-    return [f for f in out if f]
+                out.append(text[k])
+                k += 1
+        return "".join(out), k + 1
 
+    def behind(self, at: int) -> int:
+        """The place behind the bracket that closes the one at ``at``; quotes within hide brackets."""
+        depth, k = 0, at
+        while k < len(self.text):
+            c = self.text[k]
+            if c == "\\":
+                k += 1
+            elif c in "'\"":
+                k = self.quoted(k)[1] - 1
+            elif c in "()":
+                depth += 1 if c == "(" else -1
+                if not depth:
+                    return k + 1
+            k += 1
+        return len(self.text)
 
-def redirections(words: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
-    """Words without redirections, and the files these name. Copies of descriptors name none."""
-    rest, found, k = [], [], 0
-    while k < len(words):
-        w = words[k]
-        if w in REDIRECT or re.fullmatch(r"[<>&|]+", w):
-            target = words[k + 1] if k + 1 < len(words) else ""
-            if rest and re.fullmatch(r"\d", rest[-1]):
-                rest.pop()
-            if w in REDIRECT and target and not (target[0] == "&" or target.isdigit()):
-                found.append((REDIRECT[w], target))
-            k += 2
-            continue
-        rest.append(w)
-        k += 1
-    return rest, found
+    def word(self) -> str:
+        """The word that starts here, without its quotes."""
+        text, out = self.text, []
+        while self.at < len(text):
+            c = text[self.at]
+            if c == "\\":
+                out.append(text[self.at + 1 : self.at + 2].replace("\n", ""))
+                self.at += 2
+            elif c in "'\"":
+                inside, self.at = self.quoted(self.at)
+                out.append(inside)
+            elif c == "`":
+                end = text.find("`", self.at + 1)
+                out.append(OUTPUT)
+                self.at = len(text) if end < 0 else end + 1
+            elif text.startswith("$(", self.at):
+                out.append(OUTPUT)
+                self.at = self.behind(self.at + 1)
+            elif c.isspace() or c in ";|<>()" or text.startswith(("&&", "&>"), self.at):
+                break
+            else:
+                out.append(c)
+                self.at += 1
+        return "".join(out)
+
+    def space(self) -> None:
+        while self.at < len(self.text) and self.text[self.at] != "\n" and self.text[self.at].isspace():
+            self.at += 1
+
+    def take_bodies(self) -> None:
+        """Read the here-documents that the line before asked for, each up to its delimiter on a line of its own."""
+        for delimiter, command in self.waiting:
+            body = []
+            while self.at < len(self.text):
+                end = self.text.find("\n", self.at)
+                end = len(self.text) if end < 0 else end
+                line, self.at = self.text[self.at : end], end + 1
+                if line.strip() == delimiter:
+                    break
+                body.append(line)
+            command.bodies.append("\n".join(body))
+        self.waiting = []
+
+    def redirect(self, operator: str, bare: bool) -> None:
+        """Take the operator's word; digits right before it name a descriptor and are no word."""
+        command = self.commands[-1]
+        if bare and command.words and command.words[-1].isdigit():
+            command.words.pop()
+        self.space()
+        target = self.word()
+        if operator in ("<<", "<<-"):
+            if target:
+                self.waiting.append((target, command))
+        elif operator in REDIRECT and target and not target.isdigit():
+            command.files.append((REDIRECT[operator], target))
+
+    def read(self) -> list[Command]:
+        text, ended = self.text, -1  # where the last word ended
+        while self.at < len(text):
+            if text.startswith(("<(", ">("), self.at):
+                self.at = self.behind(self.at + 1)
+                continue
+            operator = next((o for o in OPERATORS if text.startswith(o, self.at)), None)
+            if operator is None:
+                if text[self.at].isspace():
+                    self.at += 1
+                    continue
+                self.commands[-1].words.append(self.word())
+                ended = self.at
+                continue
+            bare = ended == self.at
+            self.at += len(operator)
+            if operator in ENDS:
+                if operator == "\n":
+                    self.take_bodies()
+                self.commands.append(Command())
+            else:
+                self.redirect(operator, bare)
+        return [c for c in self.commands if c.words or c.files]
 
 
 def operands(name: str, words: list[str]) -> tuple[list[str], list[str], list[tuple[str, str]]]:
@@ -121,15 +211,13 @@ def operands(name: str, words: list[str]) -> tuple[list[str], list[str], list[tu
     return ops, options, found
 
 
-def touched(words: list[str]) -> list[tuple[str, str]]:
+def touched(command: Command) -> list[tuple[str, str]]:
     """(kind, path) of one simple command."""
-    while words and (words[0] in PREFIXES or re.fullmatch(r"[A-Za-z_]\w*=.*", words[0])):
+    words, out = command.words, command.files
+    while words and (words[0] in PREFIXES or re.fullmatch(r"[A-Za-z_]\w*=.*", words[0], re.S)):
         words = words[1:]
     if not words:
         return []
-    words, out = redirections(words)
-    if not words:
-        return out
     name = words[0].rsplit("/", 1)[-1]
     ops, options, named = operands(name, words[1:])
     out = named + out
@@ -194,11 +282,10 @@ def touched(words: list[str]) -> list[tuple[str, str]]:
 def accesses(command: str) -> list[tuple[str, str]]:
     """Distinct (kind, path) of a command line, in order; here-documents are data, but patches count."""
     found = []
-    for m in HEREDOC.finditer(command):
-        if "apply_patch" in command[: m.start()].rsplit("\n", 1)[-1]:
-            found += [("write" if k in ("Add File", "Move to") else "edit", p.strip()) for k, p in PATCH.findall(m[0])]
-    for words in fragments(HEREDOC.sub(r"\3", command)):
-        found += touched(words)
+    for c in Lexer(command).read():
+        if "apply_patch" in c.words:
+            found += [("write" if k in ("Add File", "Move to") else "edit", p.strip()) for body in c.bodies for k, p in PATCH.findall(body)]
+        found += touched(c)
     return list(dict.fromkeys((k, p.strip()) for k, p in found if usable(p)))
 
 

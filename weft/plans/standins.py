@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import file_name
 from weft.functions.times import iso
-from weft.operators import paths
+from weft.operators import ingest, paths
 from weft.runtime import materialize, table
 
 ROOT = "/w/repo"
@@ -260,8 +260,8 @@ class FileRows:
     def snapshot(self) -> DataFrame:
         return self.rows.select("file", "provider", "size", "mtime_ms")
 
-    def texts(self, files: DataFrame) -> DataFrame:
-        return self.rows.join(files.select("file"), "file", "left_semi").select("file", "text")
+    def lines(self, files: DataFrame) -> DataFrame:
+        return ingest.lines(self.rows.join(files.select("file"), "file", "left_semi"))
 
 
 def session_sources(spark: SparkSession, d: str) -> list[FileRows]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.operators.ingest import archive_kind
@@ -49,13 +49,26 @@ def texts(spark: SparkSession, root: str | list[str], pattern: str = "*.jsonl")
     return df.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
 
 
+def lines(spark: SparkSession, root: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """(file, line, json) of the files below a folder, or of those named: 1-based numbers, blank lines left out.
+
+    A large file is read in splits by several tasks and is nowhere held whole. A split's rows come in order and
+    know where their split starts, which is the order of the file's lines.
+    """
+    rows = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=pattern, lineSep="\n")
+    rows = rows.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), F.rtrim("value", F.lit("\r")).alias("json"))
+    return rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at", "k"))).filter(F.trim("json") != "").select("file", "line", "json")
+
+
 def plain_path(path: Column) -> Column:
     """A file's path as it is listed, from the escaped form that rows carry."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def headers(raw: DataFrame) -> DataFrame:
-    """First line of each file: id, folder, version, repository, and whether the id agrees with the name."""
+    """First line of each file, of (file, text) or (file, line, json): id, folder, version, repository, and whether the id agrees with the name."""
+    if "json" in raw.columns:
+        raw = raw.filter("line = 1").withColumn("text", F.col("json"))
     v = F.try_parse_json(F.substring_index("text", "\n", 1))
     get = lambda p: F.try_variant_get(v, f"$.payload.{p}", "string")
     name_id = F.regexp_extract("file", r"([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1)

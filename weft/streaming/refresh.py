@@ -35,8 +35,8 @@ class Source(Protocol):
     def snapshot(self) -> DataFrame:
         """(file, provider, size, mtime_ms) of every file; no content is read."""
 
-    def texts(self, files: DataFrame) -> DataFrame:
-        """(file, text) of these files."""
+    def lines(self, files: DataFrame) -> DataFrame:
+        """(file, line, json) of these files, numbered from 1."""
 
 
 @dataclass
@@ -51,13 +51,13 @@ class Folder:
         found = archive.files(self.spark, self.root, self.pattern)
         return found.select(F.col("path").alias("file"), F.when(F.col("path").contains("/codex/"), "codex").otherwise("claude").alias("provider"), "size", "mtime_ms")
 
-    def texts(self, files: DataFrame) -> DataFrame:
+    def lines(self, files: DataFrame) -> DataFrame:
         names = [r[0] for r in files.select("file").limit(NAMED + 1).collect()]
         if not names:
-            return self.spark.createDataFrame([], "file string, text string")
+            return self.spark.createDataFrame([], "file string, line int, json string")
         if len(names) <= NAMED:
-            return archive.texts(self.spark, names)
-        return archive.texts(self.spark, self.root, self.pattern).join(files.select("file"), "file", "left_semi")
+            return archive.lines(self.spark, names)
+        return archive.lines(self.spark, self.root, self.pattern).join(files.select("file"), "file", "left_semi")
 
 
 def identified(files: DataFrame, known: DataFrame, source: Source) -> DataFrame:
@@ -68,7 +68,7 @@ def identified(files: DataFrame, known: DataFrame, source: Source) -> DataFrame:
     named = files.withColumn("session_id", archive_kind(F.col("file"))[0]).join(known.select("file", F.col("session_id").alias("__known")), "file", "left")
     named = named.withColumn("session_id", F.coalesce("session_id", "__known")).drop("__known")
     loose = named.filter(F.col("session_id").isNull() & (F.col("provider") == "codex"))
-    told = archive.headers(source.texts(loose)).select("file", F.col("session_id").alias("__told"))
+    told = archive.headers(source.lines(loose)).select("file", F.col("session_id").alias("__told"))
     return named.join(told, "file", "left").withColumn("session_id", F.coalesce("session_id", "__told", "file")).drop("__told")
 
 
@@ -80,10 +80,10 @@ def touched(now: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.join(changed, "file", "left_semi").select("provider", "session_id").distinct()
 
 
-def refresh(store: Store, source: Source, owners: DataFrame, upstreams: DataFrame | None = None, note: dict | None = None, keep_texts: bool = False) -> Snapshot:
+def refresh(store: Store, source: Source, owners: DataFrame, upstreams: DataFrame | None = None, note: dict | None = None, keep_lines: bool = False) -> Snapshot:
     """Commit the tables of the source as it is now; the same version if nothing changed.
 
-    ``keep_texts`` adds the table ``archive``, a copy of every readable session's files, in step with the others.
+    ``keep_lines`` adds the table ``archive``, a copy of every readable session's files by line, in step with the others.
     """
     base = store.snapshot()
     spark = store.spark
@@ -98,9 +98,10 @@ def refresh(store: Store, source: Source, owners: DataFrame, upstreams: DataFram
     key = ["provider", "session_id"]
     batch = materialize(now.join(sessions, key, "left_semi"), "batch")
     # files go on growing: one copy of each is what all tables are made of
-    whole = materialize(batch.join(source.texts(batch), "file").select("provider", "session_id", "file", "text", "size", "mtime_ms"), "texts")
+    whole = materialize(batch.select("provider", "session_id", "file").join(source.lines(batch), "file"), "lines")
     there = [r[0] for r in batch.select("provider").distinct().collect()]
-    tables = assemble.all_tables({p: whole.filter(F.col("provider") == p).drop("provider", "session_id") for p in there}, owners, upstreams) if there else {}
+    of = lambda rows, *columns: {p: rows.filter(F.col("provider") == p).select(*columns) for p in there}
+    tables = assemble.all_tables(of(batch, "file", "size", "mtime_ms"), owners, upstreams, of(whole, "file", "line", "json")) if there else {}
     skipped = materialize(tables.pop("skipped"), "skipped") if there else spark.createDataFrame([], "file string, reason string")
     listed = batch.join(skipped, "file", "left").select(*(c.split()[0] for c in MANIFEST_COLUMNS.split(", ")))
     # a session keeps its rows if it has files and none of them can be read
@@ -110,8 +111,8 @@ def refresh(store: Store, source: Source, owners: DataFrame, upstreams: DataFram
     old = base.table("sessions")
     if old is not None and there:
         tables["sessions"] = incremental.keep_share_state(tables["sessions"], old)
-    if keep_texts:
-        tables["archive"] = whole.join(replaced, key, "left_semi").select("provider", "session_id", "file", "text")
+    if keep_lines:
+        tables["archive"] = whole.join(replaced, key, "left_semi").select("provider", "session_id", "file", "line", "json")
     size = batch.agg(F.sum("size")).first()[0] or 0
     done = store.append({**tables, MANIFEST: listed}, dead, size, {**(note or {}), "sessions": sessions.count()}, base)
     return store.compact(done)
