@@ -190,3 +190,29 @@ def test_lines_of_files_that_are_read_in_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert parts > 5 and got == {(r.file, r.line): r.json for r in ingest.lines(archive.texts(spark, str(tmp_path))).collect()} and len(got) == 401
+
+
+def test_sessions_are_found_by_time_and_tool(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "INDEX_ROWS", 50)
+    store = Store(spark, str(tmp_path), bucket=10, fan=100)
+    time_of = "2026-01-{:02d}T00:00:00Z".format
+    turns = lambda ids, day: spark.createDataFrame([("c", f"s{i}", k, time_of(day(i))) for i in ids for k in range(2)], "provider string, session_id string, turn_ordinal long, started_at string")
+    calls = spark.createDataFrame([("c", f"s{i}", 1, "Read" if i % 50 else "Rare") for i in range(400)], "provider string, session_id string, turn_ordinal long, tool_name string")
+    one = store.append({"turns": turns(range(400), lambda i: 1 + i // 20), "tool_calls": calls}, None, 160, {})
+    dead = spark.createDataFrame([("rows", "c", "s45"), ("rows", "c", "s399")], store_module.DEAD)
+    two = store.append({"turns": turns([45], lambda i: 25)}, dead, 10, {})
+    every = len(two.index_parts("turns", "started_at"))
+    some = two.index_parts("turns", "started_at", time_of(3), time_of(3))
+    assert every >= 9 and len(some) <= 2  # a fraction of the parts can hold the day
+    day = two.rows_where("turns", "started_at", time_of(3), time_of(3))
+    assert sorted({r.session_id for r in day.collect()}) == sorted(f"s{i}" for i in range(40, 60) if i != 45)
+    assert sorted({r.session_id for r in one.rows_where("turns", "started_at", time_of(3), time_of(3)).collect()}) == sorted(f"s{i}" for i in range(40, 60))
+    assert sorted({r.session_id for r in two.rows_where("turns", "started_at", time_of(20)).collect()}) == sorted([*(f"s{i}" for i in range(380, 399)), "s45"])
+    rare = two.sessions_where("tool_calls", "tool_name", "Rare", "Rare")
+    assert sorted(r.session_id for r in rare.collect()) == sorted(f"s{i}" for i in range(0, 400, 50))
+    read = two.table("turns", keys=rare)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and one.runs[0]["tables"]["turns"]["buckets"] == 16 and read.count() == 16
+    assert two.rows_where("turns", "started_at", "2027").count() == 0 and two.rows_where("nothing", "x") is None
+    merged = store.merge(two, 0)
+    assert sorted({r.session_id for r in merged.rows_where("turns", "started_at", time_of(25)).collect()}) == ["s45"]

@@ -158,6 +158,19 @@ def refresh_grown(spark, d):
     return snapshot.table("turns").select("session_id", "turn_ordinal", "turn_id", "started_at", "completed_at", "status", "primary_model", "step_count")
 
 
+@query("stored_by_time", with_(S.SQL_FILES) + """SELECT session_id, turn_ordinal, started_at, status FROM file_turns WHERE started_at >= '2024-01-02T00:00:00Z' AND started_at <= '2024-01-09T12:00:00Z'""")
+def stored_by_time(spark, d):
+    """Turns of a stored snapshot in a window of time: the index names the sessions, their buckets alone are read."""
+    from weft.streaming.store import Store
+
+    tables = assembled(spark, d)
+    store = Store(spark, scratch_path(spark, "store"), bucket=1 << 18)
+    turns = tables["turns"]
+    size = turns.agg(F.sum(F.length("user_message") + F.length(F.coalesce("final_answer_text", F.lit(""))))).first()[0] or 0
+    snapshot = store.append({"turns": turns}, None, size, {})
+    return snapshot.rows_where("turns", "started_at", "2024-01-02T00:00:00Z", "2024-01-09T12:00:00Z").select("session_id", "turn_ordinal", "started_at", "status")
+
+
 @query("refresh_tool_calls", with_(S.SQL_FILES) + """SELECT project_id, provider, session_id, turn_ordinal, row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY turn) - 1 AS call_ordinal, call_id,
   'Read' AS tool_name, json_object('path', path)::VARCHAR AS arguments_text, 'ok' AS output_text, false AS is_error FROM file_calls""")
 def refresh_tool_calls(spark, d):

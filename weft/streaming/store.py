@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 #: Bytes of source a bucket; runs of one level that are merged; turns of a session that one task writes.
 BUCKET, FAN, BLOCK = 512 << 20, 8, 4096
 DEAD = "what string, provider string, session_id string"
+#: Columns by whose value or range sessions are found without their tables, and keys of an index part.
+INDEXES = {"turns": ("started_at",), "tool_calls": ("tool_name",), "file_accesses": ("file_name",)}
+INDEX_ROWS = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -56,8 +59,43 @@ class Snapshot:
             both = both.unionByName(e)
         return both.filter(F.col("what") == what).groupBy("provider", "session_id").agg(F.max("__buried").alias("__buried"))
 
-    def table(self, name: str, provider: str | None = None, session_id: str | None = None) -> DataFrame | None:
-        """A table's live rows; given a session, only the buckets that can hold it are read. None if no run has the table."""
+    def index_parts(self, name: str, column: str, low=None, high=None) -> list[str]:
+        """Paths of the index parts whose range meets ``low <= value <= high``; an open end is None."""
+        out = []
+        for r in self.runs:
+            by = r["tables"].get(name, {}).get("by", {}).get(column)
+            for file, least, most in by["parts"] if by else []:
+                if (low is None or most >= low) and (high is None or least <= high):
+                    out.append(f"{self.store.root}/{by['path']}/{file}")
+        return out
+
+    def sessions_where(self, name: str, column: str, low=None, high=None) -> DataFrame | None:
+        """(provider, session_id) of the sessions that have, or had, a row with ``low <= column <= high``; None if there is no such part."""
+        parts = self.index_parts(name, column, low, high)
+        if not parts:
+            return None
+        rows = self.store.spark.read.parquet(*parts)
+        for bound, hit in ((low, F.col(column) >= low), (high, F.col(column) <= high)):
+            rows = rows.filter(hit) if bound is not None else rows
+        return rows.select("provider", "session_id").distinct()
+
+    def rows_where(self, name: str, column: str, low=None, high=None) -> DataFrame | None:
+        """Live rows with ``low <= column <= high``, from the buckets of their sessions alone; None if no run has the table."""
+        keys = self.sessions_where(name, column, low, high)
+        rows = self.table(name, keys=keys) if keys is not None else self.table(name)
+        if rows is None:
+            return None
+        if keys is None:
+            return rows.limit(0)
+        for bound, hit in ((low, F.col(column) >= low), (high, F.col(column) <= high)):
+            rows = rows.filter(hit) if bound is not None else rows
+        return rows
+
+    def table(self, name: str, provider: str | None = None, session_id: str | None = None, keys: DataFrame | None = None) -> DataFrame | None:
+        """A table's live rows; given a session or ``keys`` of several, only the buckets that can hold them are read.
+
+        None if no run has the table.
+        """
         parts = []
         for r in self.runs:
             if name not in r["tables"]:
@@ -68,6 +106,10 @@ class Snapshot:
             if provider is not None and session_id is not None:
                 at = bucket_of(F.lit(provider), F.lit(session_id), held["buckets"])
                 rows = rows.filter((F.col("bucket") == at) & (F.col("provider") == provider) & (F.col("session_id") == session_id))
+            if keys is not None:
+                at = keys.select(bucket_of(F.col("provider"), F.col("session_id"), held["buckets"]).alias("b")).distinct()
+                some = [b[0] for b in at.collect()] if held["buckets"] > 1 else [0]  # a row a bucket
+                rows = rows.filter(F.col("bucket").isin(some)).join(keys, ["provider", "session_id"], "left_semi").select(*schema.fieldNames())
             parts.append((r["version"], rows.drop("bucket")))
         if not parts:
             return None
@@ -154,11 +196,21 @@ class Store:
             dealt = rows.withColumns({"bucket": bucket_of(F.col("provider"), F.col("session_id"), buckets), "__block": block})
             dealt = dealt.repartition(buckets, "bucket", "__block").drop("__block").sortWithinPartitions("bucket", *order)
             dealt.write.partitionBy("bucket").parquet(f"{self.root}/{name}/{table}")
-            held[table] = {"path": f"{name}/{table}", "buckets": buckets, "schema": rows.schema.json()}
+            by = {c: self.indexed(rows.schema, f"{name}/{table}", c) for c in INDEXES.get(table, ()) if c in rows.columns}
+            held[table] = {"path": f"{name}/{table}", "buckets": buckets, "schema": rows.schema.json(), "by": by}
         if dead is not None:
             dead.coalesce(max(1, buckets // 16)).write.parquet(f"{self.root}/{name}/dead")
         return {"version": version, "level": level, "size": size, "tables": held, "dead": f"{name}/dead" if dead is not None else None}
 
+    def indexed(self, schema: T.StructType, at: str, column: str) -> dict:
+        """Write (value, session) pairs of a written table in ranges of the value; their parts and what each spans."""
+        pairs = self.spark.read.schema(schema).parquet(f"{self.root}/{at}").select(column, "provider", "session_id").filter(F.col(column).isNotNull()).distinct()
+        parts, path = max(1, -(-pairs.count() // INDEX_ROWS)), f"{at}.by_{column}"
+        order = [column, "provider", "session_id"]
+        pairs.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{self.root}/{path}")
+        spans = self.spark.read.schema(pairs.schema).parquet(f"{self.root}/{path}").groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min(column).alias("a"), F.max(column).alias("b"))
+        return {"path": path, "parts": [[r["f"], r["a"], r["b"]] for r in spans.orderBy("f").collect()]}  # a row a part
+
     def append(self, tables: dict[str, DataFrame], dead: DataFrame | None, size: int, note: dict, base: Snapshot | None = None) -> Snapshot:
         """Commit ``tables`` over the rows of the sessions that ``dead`` (see DEAD) names."""
         base = base or self.snapshot()
