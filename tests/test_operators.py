@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import text, times
-from weft.operators import derive, incremental, ingest, paging, redact, search, share, shell
+from weft.operators import derive, incremental, ingest, paging, postings, redact, search, share, shell
 from weft.schema import STEP, TURN_KEY
 
 
@@ -435,9 +435,9 @@ def test_keyword_phrases(spark):
 def test_keyword_folding_is_one_rule(spark, tmp_path):
     words = ["한국", "Việt", "йод", "が", "Straße", "Ǆ", "cafe\u0301", "日本語", "Ωmega", "एक"]
     docs = spark.createDataFrame([(k, f"x {w} y") for k, w in enumerate(words)], "id long, t string")
-    search.write_index(docs, ("t",), ["id"], str(tmp_path))
+    postings.write_index(docs, ("t",), ["id"], str(tmp_path))
     for k, w in enumerate(words):
-        hits = search.keyword_search(*search.read_index(spark, str(tmp_path), w), w, ["id"]).collect()
+        hits = postings.top_hits(spark, str(tmp_path), w, ["id"], 5).collect()
         assert [r.id for r in hits] == [k], w
     got = [r.ts for r in docs.select(search.terms(F.col("t")).alias("ts")).collect()]
     assert got == [search.terms_of(f"x {w} y") for w in words]
@@ -567,8 +567,58 @@ def test_schema_differences():
 
 def test_keyword_snippet(spark):
     long = " ".join(f"w{k}" for k in range(40))
-    assert value(spark, search.keyword_snippet(F.col("p"), "W20"), p=long) == "…" + " ".join(f"w{k}" for k in range(18, 34)) + "…"
-    assert value(spark, search.keyword_snippet(F.col("p"), "w1"), p="w0 w1") == "w0 w1"
+    assert value(spark, search.keyword_snippet("W20", F.col("p")), p=long) == "…" + " ".join(f"w{k}" for k in range(13, 29)) + "…"
+    assert value(spark, search.keyword_snippet("w1", F.col("p")), p="(w0)\n w1!") == "(w0)\n w1!"
+    assert value(spark, search.keyword_snippet("w39", F.col("p")), p=long + ".") == "…" + " ".join(f"w{k}" for k in range(24, 40)) + "."
+    # the window of both words wins over the earlier one of a word alone, and the text that has it over the first
+    two = "apple " + "x " * 30 + "Pie of Äpple, apple pie" + " y" * 30
+    got = value(spark, search.keyword_snippet("apple pie", F.col("p"), F.col("q")), p="apple " * 9, q=two)
+    assert "Pie of Äpple, apple pie" in got and got.startswith("…x") and got.endswith("y…") and len(got.split()) == 16
+    # a keyword of two terms counts where they stand together
+    assert value(spark, search.keyword_snippet("a-b", F.col("p")), p="a " + "z " * 20 + "b a b").endswith("z b a b")
+    assert value(spark, search.keyword_snippet("none", F.col("p")), p=long) == " ".join(f"w{k}" for k in range(16)) + "…"
+    assert value(spark, search.keyword_snippet("x", F.col("p"), F.col("q")), p=None, q="") == ""
+
+
+@pytest.fixture(scope="module")
+def stored_words(spark, tmp_path_factory):
+    r = random.Random(5)
+    rows = [(k, " ".join(r.choices("abcde", (40, 20, 8, 2, 1), k=r.choice((1, 2, 3, 5, 8, 12, 20, 33, 60, 100, 200)))), r.choice(("c d", "", None))) for k in range(3000)]
+    docs = spark.createDataFrame([*rows, (None, "d d d e", None), (None, None, "")], "id long, t string, u string")
+    root = str(tmp_path_factory.mktemp("index"))
+    postings.write_index(docs, ("t", "u"), ["id"], root)
+    return docs, root
+
+
+@pytest.mark.parametrize("query", ["a", "d", "b e", "a-b", "c-d e", "d d", "e.e-e", "a zz"])
+def test_top_hits_are_those_of_the_whole_index(spark, stored_words, query):
+    docs, root = stored_words
+    known = docs.filter("id IS NOT NULL")  # the plain way joins by id
+    lengths = search.document_lengths(docs, ("t", "u"), ["id"])
+    every = {r.id: round(r.score, 6) for r in search.keyword_search(search.index_terms(docs, ("t", "u"), ["id"]), lengths, query, ["id"]).collect()}
+    for limit, allowed in ((10, known), (400, known), (5000, known), (7, known.filter("id % 3 = 1"))):
+        got = {r.id: r.score for r in postings.top_hits(spark, root, query, ["id"], limit, allowed).collect()}
+        scores = {k: s for k, s in every.items() if limit != 7 or k % 3 == 1}
+        least = sorted(scores.values(), reverse=True)[: limit][-1] if scores else 0
+        wanted = {k: s for k, s in scores.items() if s >= least}
+        assert got.keys() == wanted.keys() and all(abs(got[k] - s) < 2e-6 for k, s in wanted.items())
+
+
+def test_top_hits_read_few_blocks(spark, stored_words):
+    _, root = stored_words
+    q = postings.Query(spark, root, "e", ["id"])
+    blocks, least = postings.best_blocks(q, 5, None, 6)
+    assert least is not None and blocks.count() * 2 < q.bounds().count()
+    held = {(r.id, r.length) for r in q.occurrences(q.bounds()).collect()}
+    assert (None, 4) in held  # a row without a key is a row
+    assert q.heads.agg(F.max("n")).first()[0] <= 3 * postings.BLOCK_ROWS
+
+
+def test_index_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None), (2, "--")], "id long, t string")
+    postings.write_index(docs, ("t",), ["id"], str(tmp_path))
+    assert postings.top_hits(spark, str(tmp_path), "a", ["id"], 3).count() == 0
+    assert postings.top_hits(spark, str(tmp_path), "_-", ["id"], 3).count() == 0
 
 
 def test_status_and_commands(spark):

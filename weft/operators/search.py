@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import checked_regex, fold, fold_text, like_contains, like_prefix, preview
+from weft.functions.text import checked_regex, fold, fold_text, let, like_contains, like_prefix, preview
 from weft.operators.paging import TURN_ORDER, capped, page
 from weft.operators.sessions import matches_glob
 from weft.runtime import materialize
@@ -86,29 +86,6 @@ def term_statistics(index: DataFrame, key: list[str]) -> DataFrame:
     return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
 
 
-#: Parts of a stored index, by a hash of the term.
-INDEX_PARTS = 64
-
-
-def term_part(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(INDEX_PARTS)).cast("int")
-
-
-def write_index(search: DataFrame, columns: tuple[str, ...], key: list[str], root: str) -> None:
-    """Store the index by term, so that a query reads its terms' parts alone, with the rows' lengths beside it."""
-    index = index_terms(search, columns, key).withColumn("part", term_part(F.col("term")))
-    index.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{root}/index")
-    document_lengths(search, columns, key).write.mode("overwrite").parquet(f"{root}/lengths")
-
-
-def read_index(spark: SparkSession, root: str, query: str) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of the query's terms, lengths) of a stored index."""
-    wanted = sorted({t for p in query_phrases(query) for t in p})
-    index = spark.read.parquet(f"{root}/index")
-    parts = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(term_part(F.col("t"))).distinct().collect()]
-    return index.filter(F.col("part").isin(parts) & F.col("term").isin(wanted)).drop("part"), spark.read.parquet(f"{root}/lengths")
-
-
 def query_phrases(query: str) -> list[list[str]]:
     """Each keyword as the terms it is indexed under; a keyword without any term is an empty phrase."""
     words = [w for w in re.split(r"[^\w.\-\u0300-\u036f]+", query) if w]
@@ -117,15 +94,12 @@ def query_phrases(query: str) -> list[list[str]]:
     return [terms_of(w) for w in words]
 
 
-def keyword_search(index: DataFrame, lengths: DataFrame, query: str, key: list[str]) -> DataFrame:
-    """``key`` and ``score`` of the rows that hold every phrase, by BM25 over the whole corpus.
+def phrase_counts(index: DataFrame, phrases: list[list[str]], key: list[str]) -> DataFrame:
+    """``key``, tf0, tf1, ...: how often each phrase occurs in a row that holds one of them.
 
     One pass over the index: each occurrence of a term proposes the starts of the phrases it belongs to,
     and a start that all terms of a phrase propose is an occurrence of the phrase.
     """
-    phrases = query_phrases(query)
-    if not all(phrases):
-        return lengths.select(*key, F.lit(0.0).alias("score")).limit(0)
     places: dict[str, list[tuple[int, int]]] = {}
     for k, phrase in enumerate(phrases):
         for j, term in enumerate(phrase):
@@ -135,7 +109,15 @@ def keyword_search(index: DataFrame, lengths: DataFrame, query: str, key: list[s
         chain = chain.when(F.col("term") == term, F.array(*(F.struct(F.lit(k).alias("k"), (F.col("pos") - j).alias("start")) for k, j in at)))
     starts = index.filter(F.col("term").isin(*places)).select(*key, "col", F.inline(chain)).groupBy(*key, "col", "k", "start").agg(F.count(F.lit(1)).alias("n"))
     whole = F.get(F.array(*(F.lit(len(p)) for p in phrases)), F.col("k")) == F.col("n")
-    tf = starts.filter(whole).groupBy(*key).agg(*(F.count_if(F.col("k") == k).alias(f"tf{k}") for k in range(len(phrases))))
+    return starts.filter(whole).groupBy(*key).agg(*(F.count_if(F.col("k") == k).alias(f"tf{k}") for k in range(len(phrases))))
+
+
+def keyword_search(index: DataFrame, lengths: DataFrame, query: str, key: list[str]) -> DataFrame:
+    """``key`` and ``score`` of the rows that hold every phrase, by BM25 over the whole corpus."""
+    phrases = query_phrases(query)
+    if not all(phrases):
+        return lengths.select(*key, F.lit(0.0).alias("score")).limit(0)
+    tf = phrase_counts(index, phrases, key)
     tf = materialize(tf, "term_counts")
     n = tf.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
     stats = lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"))
@@ -158,8 +140,8 @@ def ranked_turns(hits: DataFrame, turns: DataFrame, limit: int, offset: int = 0,
         return keys.join(turns.drop("started_at"), TURN_KEY).orderBy(F.desc("score"), *TURN_ORDER())
     # texts are read for the page alone
     rows = keys.join(turns.drop("started_at"), TURN_KEY)
-    text = F.concat_ws("\n", "user_message", "final_answer_text")
-    shown = F.coalesce(F.nullif(keyword_snippet(text, query), F.lit("")), preview(F.col("user_message"), 300)[0])
+    found = keyword_snippet(query, F.col("user_message"), F.col("final_answer_text"))
+    shown = F.coalesce(F.when(F.trim(found) != "", found), preview(F.col("user_message"), 300)[0])
     return rows.withColumn("snippet", shown).orderBy(F.desc("score"), *TURN_ORDER())
 
 
@@ -268,12 +250,53 @@ def match_range(text: str, query: str, mode: str) -> tuple[int, int] | None:
     return (at, at + len(query)) if at >= 0 else None
 
 
-def keyword_snippet(text: Column, query: str, width: int = 16) -> Column:
-    """``width`` words of the text around the first keyword, with ellipses where words are left out."""
-    wanted = {t for p in query_phrases(query) for t in p}
-    words = F.array_remove(F.split(text, r"\s+"), "")
-    hit = F.transform(words, lambda w: F.exists(terms(w), lambda t: t.isin(*wanted)) if wanted else F.lit(False))
-    first = F.coalesce(F.nullif(F.array_position(hit, True), F.lit(0)), F.lit(1)).cast("int")
-    start = F.greatest(F.lit(1), F.least(first - 2, F.size(words) - width + 1))
-    cut = F.array_join(F.slice(words, start, width), " ")
-    return F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(start + width - 1 < F.size(words), "…").otherwise(""))
+#: A term with what stands before it.
+PIECE = r"[^\p{L}\p{N}]*[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+
+
+def keyword_snippet(query: str, *texts: Column, width: int = 16) -> Column:
+    """The ``width`` terms of one of the texts that hold most of the query's phrases, as the text has them.
+
+    A window starts at each occurrence of a phrase. The best one has most different phrases, then most occurrences,
+    then comes first; it is then moved so that its occurrences lie in its middle. Ellipses stand where text is left
+    out. Without an occurrence it is the first text's start. Work is linear in the occurrences.
+    """
+    phrases = query_phrases(query)
+    near = width * len(phrases)  # occurrences that one window can hold
+
+    def holds(ts: Column, i: Column, p: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, (F.get(ts, i + j) == t for j, t in enumerate(p)))
+
+    def window(found: Column, at: Column, k: Column) -> Column:
+        inside = F.filter(F.slice(found, k + 1, near), lambda o: o["at"] < at + width)
+        return F.struct(
+            F.size(F.array_distinct(F.transform(inside, lambda o: o["phrase"]))).alias("different"),
+            F.size(inside).alias("n"),
+            (-at).alias("before"),
+            F.array_max(F.transform(inside, lambda o: o["end"])).alias("end"),
+        )
+
+    def best(c: int, text: Column) -> Column:
+        pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
+        ts = F.transform(pieces, lambda p: F.get(terms(p), F.lit(0)))
+        of = lambda ts, i: F.array_compact(
+            F.array(*(F.when(holds(ts, i, p), F.struct(i.alias("at"), F.lit(k).alias("phrase"), (i + len(p)).alias("end"))) for k, p in enumerate(phrases) if p))
+        )
+        found = let(ts, lambda ts: F.flatten(F.transform(ts, lambda _, i: of(ts, i)))) if any(phrases) else F.array().cast("array<struct<at:int,phrase:int,end:int>>")
+        windows = let(found, lambda f: F.transform(f, lambda o, k: window(f, o["at"], k)))
+        none = F.struct(F.lit(0).alias("different"), F.lit(0).alias("n"), F.lit(0).alias("before"), F.lit(width).alias("end"))
+        top = F.coalesce(F.array_max(windows), none)
+        return F.struct(top["different"].alias("different"), top["n"].alias("n"), F.lit(-c).alias("column"), top["before"].alias("before"), top["end"].alias("end"), pieces.alias("pieces"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def cut(w: Column) -> Column:
+        size = F.size(w["pieces"])
+        middle = -w["before"] - F.floor((F.lit(width) - (w["end"] + w["before"])) / 2).cast("int")
+        return let(F.greatest(F.lit(0), F.least(middle, size - width)), lambda start: shown(w, start, size))
+
+    def shown(w: Column, start: Column, size: Column) -> Column:
+        piece = F.array_join(F.slice(w["pieces"], start + 1, width), "")
+        body = F.when(start > 0, F.concat(F.lit("…"), F.regexp_replace(piece, r"^[^\p{L}\p{N}]+", ""))).otherwise(piece)
+        rest = F.substring(w["text"], F.length(F.array_join(w["pieces"], "")) + 1, F.length(w["text"]))
+        return F.concat(body, F.when(start + width < size, F.lit("…")).otherwise(rest))
+
+    return let(F.array_max(F.array(*(best(c, t) for c, t in enumerate(texts)))), cut)

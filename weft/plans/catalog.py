@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import display_path, preview
-from weft.operators import files, insights, search, sessions
+from weft.operators import files, insights, postings, search, sessions
 from weft.operators import turns as turn_reads
 from weft.operators.paging import keyset
 from weft.plans import standins as S
@@ -410,21 +410,30 @@ def search_keyword_bm25(spark, d):
 PAGED = rf"""t AS (SELECT *, {SQL_TERMS.replace("text", "coalesce(user_message, '') || ' | ' || coalesce(final_answer_text, '')")} AS ts FROM chat_turns),
 len AS (SELECT session_id, turn_ordinal, len(ts) AS length FROM t WHERE len(ts) > 0), stats AS (SELECT count(*) AS rows, avg(length) AS mean FROM len),
 occ AS (SELECT session_id, turn_ordinal, unnest(ts) AS term FROM t), a AS (SELECT session_id, turn_ordinal, count(*) AS tf FROM occ WHERE term = 'que' GROUP BY ALL),
-b AS (SELECT session_id, turn_ordinal, count(*) AS tf FROM occ WHERE term = 'en' GROUP BY ALL)
-SELECT t.session_id, t.turn_ordinal, round(greatest(ln((rows - na + 0.5) / (na + 0.5)), 1e-6) * a.tf * 2.2 / (a.tf + 1.2 * (0.25 + 0.75 * length / mean))
+b AS (SELECT session_id, turn_ordinal, count(*) AS tf FROM occ WHERE term = 'en' GROUP BY ALL),
+p AS (SELECT t.session_id, t.turn_ordinal, user_message, final_answer_text, round(greatest(ln((rows - na + 0.5) / (na + 0.5)), 1e-6) * a.tf * 2.2 / (a.tf + 1.2 * (0.25 + 0.75 * length / mean))
   + greatest(ln((rows - nb + 0.5) / (nb + 0.5)), 1e-6) * b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score, started_at
 FROM a JOIN b USING (session_id, turn_ordinal) JOIN len USING (session_id, turn_ordinal) JOIN t USING (session_id, turn_ordinal), stats, (SELECT count(*) AS na FROM a), (SELECT count(*) AS nb FROM b)
-ORDER BY score DESC, started_at DESC, provider, t.session_id, t.turn_ordinal LIMIT 50"""
+ORDER BY score DESC, started_at DESC, provider, t.session_id, t.turn_ordinal LIMIT 50),
+x AS (SELECT session_id, turn_ordinal, 0 AS c, coalesce(user_message, '') AS txt FROM p UNION ALL SELECT session_id, turn_ordinal, 1, coalesce(final_answer_text, '') FROM p),
+y AS (SELECT *, regexp_extract_all(txt, '[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*') AS ps FROM x),
+o AS (SELECT session_id, turn_ordinal, c, at, word FROM (SELECT *, unnest(list_transform(ps, lambda q: strip_accents(lower(regexp_replace(q, '^[^\p{{L}}\p{{N}}]+', ''))))) AS word, generate_subscripts(ps, 1) - 1 AS at FROM y) WHERE word IN ('que', 'en')),
+w AS (SELECT session_id, turn_ordinal, c, o.at, count(DISTINCT n.word) AS different, count(*) AS found, max(n.at) + 1 AS past FROM o JOIN o n USING (session_id, turn_ordinal, c) WHERE n.at BETWEEN o.at AND o.at + 15 GROUP BY ALL),
+f AS (SELECT *, greatest(0, least(at - ((16 - (past - at)) // 2), len(ps) - 16)) AS low FROM w JOIN y USING (session_id, turn_ordinal, c)
+  QUALIFY row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY different DESC, found DESC, c, at) = 1)
+SELECT session_id, turn_ordinal, score, started_at,
+  CASE WHEN low > 0 THEN '…' || regexp_replace(array_to_string(ps[low + 1:low + 16], ''), '^[^\p{{L}}\p{{N}}]+', '') ELSE array_to_string(ps[1:16], '') END
+  || CASE WHEN low + 16 < len(ps) THEN '…' ELSE substr(txt, length(array_to_string(ps, '')) + 1) END AS snippet
+FROM p JOIN f USING (session_id, turn_ordinal)"""
 
 
 @query("search_keyword_page", with_(S.SQL_CHAT, PAGED))
 def search_keyword_page(spark, d):
-    """The best page of turns from a stored index of which only the query's terms are read."""
-    turns, root = S.chat_turns(spark, d), scratch_path(spark, "search")
-    search.write_index(turns, ("user_message", "final_answer_text"), search.TURN_KEY, root)
-    hits = search.keyword_search(*search.read_index(spark, root, "Qué EN"), "Qué EN", search.TURN_KEY)
-    hits = hits.withColumn("score", F.round("score", 6))
-    return search.ranked_turns(hits, turns, 50, query="Qué EN").select("session_id", "turn_ordinal", "score", "started_at")
+    """The best page of turns, each with its best snippet, from a stored index of which only blocks that can enter it are read."""
+    turns, root = materialize(S.chat_turns(spark, d), "turns"), scratch_path(spark, "search")
+    postings.write_index(turns, ("user_message", "final_answer_text"), search.TURN_KEY, root)
+    hits = postings.top_hits(spark, root, "Qué EN", search.TURN_KEY, 50)
+    return search.ranked_turns(hits, turns, 50, query="Qué EN").select("session_id", "turn_ordinal", "score", "started_at", "snippet")
 
 
 LINES = r"[a-z]{3}\.$"
