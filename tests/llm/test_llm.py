@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -86,23 +87,31 @@ def test_pii_context_and_checksums():
 
 
     assert kinds("bank account ES91 2100 0418 4502 0005 1332 EUR 12") == ["iban"] and kinds("IBAN ES9121000418450200051332 BIC ABCD") == ["iban"]
+    assert kinds("bank REF AB12 CDEF GHIJ GB82 WEST 1234 5698 7654 32 IBAN") == ["iban"]
     assert kinds("Konto DE89 3704 0044 0532 0130 00") == ["iban"] and kinds("téléphone 555-123-4567") == ["phone_local"]
 
 
 def plain_added(text, base):
-    """The method's own spans, each proposal held against every base span."""
+    """The method's own spans: each start tried in turn, each group end of an account number, against every base span."""
     out = []
     for d in pii.DETECTORS:
-        for m in d.pattern.finditer(text):
-            end, x = pii.score(d, text, *m.span())
-            if x >= pii.THRESHOLD and all(e <= m.start() or s >= end for s, e, _ in base):
-                out.append((m.start(), end, d.kind))
+        at = 0
+        while at < len(text):
+            m, end = d.pattern.match(text, at), None
+            if m and d.confirm:
+                ends = [m.end(), *(k for k in range(m.end() - 1, at, -1) if text[k] == " ")]
+                end = next((e for e in ends if 15 <= e - at and len(text[at:e].replace(" ", "")) <= 34 and pii.mod97(text[at:e])), None)
+            elif m:
+                end = m.end()
+            if end and pii.score(d, text, at, end) >= pii.THRESHOLD and all(e <= at or s >= end for s, e, _ in base):
+                out.append((at, end, d.kind))
+            at = end or at + 1
     return sorted(out)
 
 
 def test_pii_added_spans_match_brute_force(docs):
     rnd = random.Random(15)
-    parts = ["a@b.co", "ssn", "123-45-6789", "bank", "GB82 WEST 1234 5698 7654 32", "call", "555-123-4567", "+1 555 123 4567", "1.2.3.4", "part", "x" * 30, "4111 1111 1111 1111"]
+    parts = ["a@b.co", "ssn", "123-45-6789", "bank", "REF AB12 CDEF GHIJ", "GB82 WEST 1234 5698 7654 32", "call", "555-123-4567", "+1 555 123 4567", "1.2.3.4", "part", "x" * 30, "4111 1111 1111 1111"]
     made = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
     seen = collections.Counter()
     for text in [*made, *docs.values()]:
@@ -122,6 +131,15 @@ def test_pii_of_many_spans_takes_linear_time():
     assert seconds(16_000) < 24 * max(seconds(1000), 0.005)
 
 
+def test_pii_of_failing_proposals_takes_linear_time():
+    def seconds(n):
+        text, start = "AB12 CDEF GHIJ " * n, time.process_time()
+        pii.pii_row(text)
+        return time.process_time() - start
+
+    assert seconds(16_000) < 24 * max(seconds(1000), 0.005)
+
+
 def test_pii_query(spark, data, docs):
     for r in pii.op1_pii(spark, data).collect():
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans, r.scored) == pii.pii_row(docs[r.doc_id] or "")
@@ -177,6 +195,15 @@ def test_odd_texts_through_the_span_operators(spark):
         assert secrets.redact(rows, found).columns == rows.columns
 
 
+def test_incremental_ledger(spark, data, duck):
+    """Blobs are scanned once for each rule version, and a filled ledger gives what an empty one gives."""
+    runs = {r.run: r for r in secrets.secrets_incremental(spark, data).collect()}
+    whole = secrets.op6_secrets(spark, data)
+    blobs, sums = whole.select("blob").distinct().count(), whole.agg(*(F.sum(f"n_{k}") for k in secrets.BASE)).first()
+    assert runs[1].scanned + runs[2].scanned == runs[3].scanned == runs[2].in_ledger == blobs and 0 < runs[1].scanned < blobs
+    assert tuple(runs[2])[4:] == tuple(runs[3])[4:] == tuple(sums) and runs[2].n_paths == runs[3].n_paths == whole.count()
+
+
 def test_ledger_scans_only_what_is_new(spark):
     path = scratch_path(spark, "ledger")
     first = frame(spark, ["token = abcdef1", "clean", "token = abcdef1"])
@@ -554,6 +581,9 @@ def test_token_files(spark):
         start += len(want)
     want = [*tok.encode(texts[5], add_special_tokens=False).ids, 2]
     assert token_files.read_document(shards, ids[5]).tolist() == want and token_files.read_document(shards, 9999) is None
+    for k in range(0, len(ids), 17):
+        assert len(token_files.read_document(shards, ids[k])) == got[ids[k]][1]
+    assert token_files.read_document(shards, min(i for i in ids if i is not None) - 1) is None
     for rows in (frame(spark, []), frame(spark, ["a", "b", "a"], ids=[None, 3, None]), frame(spark, [f"{k} x" for k in range(200)], ids=[7] * 200)):
         out = scratch_path(spark, "t")
         token_files.write_token_files(rows, out, path, parts=3)
@@ -585,6 +615,15 @@ def test_token_queries(spark, data, docs):
         assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_segments_whose_ids_cannot_be_told_apart():
+    """Where a vocabulary doesn't tell where segments start, each is encoded alone."""
+    tok = hugging()
+    codes = token_files.JoinedCodes(*token_files_parts(tok))
+    codes.spaced = np.zeros_like(codes.spaced)
+    found = codes.joined(["12", "a1", "=="], " ")
+    assert [np.frombuffer(x, codes.dtype).tolist() for x in found] == [tok.encode(" " + s, add_special_tokens=False).ids for s in ("12", "a1", "==")]
+
+
 def test_segments_through_small_memories(docs):
     """Ids stay right when the generations of remembered segments are dropped all the time, and over runs of texts."""
     texts, tok = [*list(docs.values())[:60], None, "", *made_texts(300)], hugging()
@@ -766,6 +805,25 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.formatted(df.limit(0))).count() == 0
 
 
+def test_running_sums(spark):
+    rnd = random.Random(9)
+    rows = [[rnd.randint(0, 9) for _ in range(n)] for n in (0, 1, 31, 32, 33, 1023, 1024, 1025, 40_000)]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<long>")
+    got = [r[0] for r in df.select(chat.running(F.col("x"))).collect()]
+    assert got == [[0, *itertools.accumulate(x)][: len(x)] for x in rows]
+
+
+def test_chat_of_a_long_conversation(spark):
+    """A conversation of 100,000 turns, whose time is that of its turns and not of their square."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    start = time.time()
+    f = chat.formatted(rows).first()
+    assert time.time() - start < 120
+    assert len(f.loss_spans) == n // 2 and [(s.start, s.n) for s in f.loss_spans] == [(s.start, s.n) for s in f.loss_bytes]
+    assert all(f.formatted[s.start : s.start + s.n] == f"t{2 * k + 1}" for k, s in enumerate(f.loss_spans))
+
+
 def test_chat_of_null_ids_and_repeated_rows(spark):
     rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (5, 1, "assistant", "x"), (5, 1, "assistant", "x"), (5, None, "user", "first"), (6, 1, "assistant", "w " * 30_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -14,7 +14,8 @@ and as code-point offsets into the formatted string.
 Defined results: a null text is empty; a null role is ``unknown``; rows of equal turn are ordered by
 role and text, a null turn first; repeated rows are repeated turns; an empty table gives an empty
 table; a null conv_id is a conversation of its own; other columns are not read. Rows of a conversation
-are merged by partial aggregation before the shuffle; its one output row is as long as its texts.
+are merged by partial aggregation before the shuffle; its one output row is as long as its texts, and
+work is linear in its turns.
 """
 
 from __future__ import annotations
@@ -88,19 +89,36 @@ def formatted(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
+#: Elements of a run that ``running`` sums at once, and levels of runs: beyond the longest array there can be.
+RUN, LEVELS = 32, 6
+
+
+def running(x: Column, levels: int = LEVELS) -> Column:
+    """The sum of the elements before each one: that of the runs before its run, and of the run's elements before it.
+
+    The sums of runs are taken in the same way, so work is linear in the elements.
+    """
+    zero = F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, zero, lambda n, k: n + k)
+
+    def of(x: Column) -> Column:
+        last = F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / RUN).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), last), lambda r: total(F.slice(x, r * RUN + 1, F.lit(RUN))))
+        before = running(runs, levels - 1) if levels else F.array(zero)
+        return let(before, lambda b: F.transform(x, lambda _, i: F.get(b, F.floor(i / RUN).cast("int")) + total(F.slice(x, i - i % RUN + 1, i % RUN))))
+
+    return let(x, of)
+
+
 def mask(pieces: Column, length) -> Column:
     """Start and length of each piece under the loss, by running sums of the pieces before it."""
-    found = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,n:long>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), length(p["text"]).cast("long").alias("n")))))
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-    )
-    return found["out"]
+
+    def of(lengths: Column) -> Column:
+        spans = F.zip_with(running(lengths), lengths, lambda s, n: F.struct(s.alias("start"), n.alias("n")))
+        marked = F.zip_with(spans, pieces["loss"], lambda s, loss: F.when(loss, s))
+        return F.array_compact(marked)
+
+    return let(F.transform(pieces, lambda p: length(p["text"]).cast("long")), of)
 
 
 def parsed(text: Column) -> Column:

@@ -4,7 +4,8 @@ Four base kinds (email, ip, card, phone) are always kept once their own check pa
 kinds are weaker alone: each has a prior score, a checksum or context words near the span raise it,
 words that speak against it lower it, and the span stays if its score reaches the threshold. Context
 words are those of English, German, French and Spanish. Where a checksum fails, the span is tried again
-without the words at its end, so that a word after a number doesn't hide it.
+without the words at its end, then the search goes on behind its first character, so that words before or
+after a number don't hide it.
 
 Defined results: null or empty text has no spans; a repeated row gives a repeated result; an empty
 table gives an empty table; other columns of the input are ignored, so their names cannot clash.
@@ -137,20 +138,25 @@ THRESHOLD, WINDOW, NEAR, AGAINST = 0.7, 48, 0.35, -0.4
 RANK = {k: i for i, k in enumerate([*BASE, *(d.kind for d in DETECTORS)])}
 
 
-def score(d: Detector, text: str, start: int, end: int) -> tuple[int, float]:
-    """The span's end, and prior, plus the checksum's weight, plus or less that of words within WINDOW characters."""
-    total = d.prior
-    if d.confirm:
-        confirmed = d.confirm(text, start, end)
-        if confirmed is None:
-            return end, 0.0
-        end, total = confirmed, total + d.confirmed
+def confirmed_spans(d: Detector, text: str) -> Iterator[tuple[int, int]]:
+    """Proposals that the checksum, if there is one, confirms; proposals are short, so retries keep the scan linear."""
+    m = d.pattern.search(text)
+    while m:
+        end = d.confirm(text, *m.span()) if d.confirm else m.end()
+        if end is not None:
+            yield m.start(), end
+        m = d.pattern.search(text, m.start() + 1 if end is None else end)
+
+
+def score(d: Detector, text: str, start: int, end: int) -> float:
+    """Prior and the checksum's weight, plus or less that of words within WINDOW characters."""
+    total = d.prior + d.confirmed
     around = text[max(0, start - WINDOW) : start] + "\n" + text[end : end + WINDOW]
     if d.near and d.near.search(around):
         total += NEAR
     if d.against and d.against.search(around):
         total += AGAINST
-    return end, total
+    return total
 
 
 def scored_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
@@ -159,11 +165,11 @@ def scored_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     taken = sorted((s, e) for s, e, _ in base)
     starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
     for d in DETECTORS:
-        for m in d.pattern.finditer(text):
-            end, x = score(d, text, *m.span())
+        for start, end in confirmed_spans(d, text):
+            x = score(d, text, start, end)
             # base spans that start before the end reach no further than reach[...]
-            if x >= THRESHOLD and reach[bisect_left(starts, end)] <= m.start():
-                found.append((m.start(), end, d.kind, x))
+            if x >= THRESHOLD and reach[bisect_left(starts, end)] <= start:
+                found.append((start, end, d.kind, x))
     return found
 
 

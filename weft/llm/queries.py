@@ -13,6 +13,7 @@ QUERIES = {
         neardup.op4_neardup,
         token_files.op5_token_files,
         secrets.op6_secrets,
+        secrets.secrets_incremental,
         cover_tree.op7_topk,
         bloom_lm.op8_lm,
         chat.op9_chat,
@@ -27,6 +28,7 @@ QUERIES = {
 }
 SQL = {
     "op4_neardup": neardup.SQL,
+    "secrets_incremental": secrets.INCREMENTAL_SQL,
     "op7_topk": cover_tree.SQL,
     "op9_chat": chat.SQL,
     "op12_hard_negatives": hard_negatives.SQL,

@@ -131,8 +131,8 @@ class JoinedCodes(SegmentCodes):
             return []
         ids = self.ids("".join([lead + s for s in segments]))
         at = np.flatnonzero(self.spaced[ids] if lead else ids == self.newline)
-        if len(at) != len(segments):
-            raise ValueError("a segment's ids can't be told apart")
+        if len(at) != len(segments):  # a vocabulary in which ids don't tell where a segment starts
+            return [self.whole(lead + s) for s in segments]
         return self.cut(ids, at.tolist())
 
     def learn(self, names: list[str]) -> list[bytes]:
@@ -261,9 +261,14 @@ def read_digests(shards: DataFrame) -> DataFrame:
 
 
 def read_document(shards: DataFrame, doc_id: int) -> np.ndarray | None:
-    """Random access: the ids of one document, unpacked from its blocks alone."""
+    """Random access: the ids of one document, unpacked from its blocks alone.
+
+    Shards are in document order, so the document is in the last one that starts no later; the others are told by
+    their first ids alone. Of several documents with that id it is one in that shard.
+    """
+    first = shards.filter(F.col("first_id") <= doc_id).agg(F.max("first_id")).first()[0]
     at = F.array_position("doc_ids", F.lit(doc_id).cast("long"))
-    row = shards.filter(at > 0).withColumn("k", at).first()
+    row = shards.filter(F.col("first_id") == first).withColumn("k", at).filter("k > 0").first() if first is not None else None
     if row is None:
         return None
     s, e = row["doc_offsets"][row["k"] - 1], row["doc_offsets"][row["k"]]
