@@ -417,10 +417,10 @@ FROM a JOIN b USING (session_id, turn_ordinal) JOIN len USING (session_id, turn_
 ORDER BY score DESC, started_at DESC, provider, t.session_id, t.turn_ordinal LIMIT 50),
 x AS (SELECT session_id, turn_ordinal, 0 AS c, coalesce(user_message, '') AS txt FROM p UNION ALL SELECT session_id, turn_ordinal, 1, coalesce(final_answer_text, '') FROM p),
 y AS (SELECT *, regexp_extract_all(txt, '[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*') AS ps FROM x),
-o AS (SELECT session_id, turn_ordinal, c, at, word FROM (SELECT *, unnest(list_transform(ps, lambda q: strip_accents(lower(regexp_replace(q, '^[^\p{{L}}\p{{N}}]+', ''))))) AS word, generate_subscripts(ps, 1) - 1 AS at FROM y) WHERE word IN ('que', 'en')),
-w AS (SELECT session_id, turn_ordinal, c, o.at, count(DISTINCT n.word) AS different, count(*) AS found, max(n.at) + 1 AS past FROM o JOIN o n USING (session_id, turn_ordinal, c) WHERE n.at BETWEEN o.at AND o.at + 15 GROUP BY ALL),
-f AS (SELECT *, greatest(0, least(at - ((16 - (past - at)) // 2), len(ps) - 16)) AS low FROM w JOIN y USING (session_id, turn_ordinal, c)
-  QUALIFY row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY different DESC, found DESC, c, at) = 1)
+o AS (SELECT session_id, turn_ordinal, c, spot, word FROM (SELECT *, unnest(list_transform(ps, lambda q: strip_accents(lower(regexp_replace(q, '^[^\p{{L}}\p{{N}}]+', ''))))) AS word, generate_subscripts(ps, 1) - 1 AS spot FROM y) WHERE word IN ('que', 'en')),
+w AS (SELECT session_id, turn_ordinal, c, o.spot, count(DISTINCT n.word) AS different, count(*) AS found, max(n.spot) + 1 AS past FROM o JOIN o n USING (session_id, turn_ordinal, c) WHERE n.spot BETWEEN o.spot AND o.spot + 15 GROUP BY ALL),
+f AS (SELECT *, greatest(0, least(spot - ((16 - (past - spot)) // 2), len(ps) - 16)) AS low FROM w JOIN y USING (session_id, turn_ordinal, c)
+  QUALIFY row_number() OVER (PARTITION BY session_id, turn_ordinal ORDER BY different DESC, found DESC, c, spot) = 1)
 SELECT session_id, turn_ordinal, score, started_at,
   CASE WHEN low > 0 THEN '…' || regexp_replace(array_to_string(ps[low + 1:low + 16], ''), '^[^\p{{L}}\p{{N}}]+', '') ELSE array_to_string(ps[1:16], '') END
   || CASE WHEN low + 16 < len(ps) THEN '…' ELSE substr(txt, length(array_to_string(ps, '')) + 1) END AS snippet
