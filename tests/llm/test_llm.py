@@ -766,6 +766,50 @@ def test_bloom_levels():
         assert (bloom_lm.unplanes(bloom_lm.planes(x)) == x).all()
 
 
+def test_language_model_rows_follow_runs_not_segments(spark, data, docs, monkeypatch):
+    """65,536 segments: the same runs, so the same rows are sent; scores are those of brute force on both ways.
+
+    Segments of few entries need more bits for each to have no false answers.
+    """
+    tokens = sum(len((t or "").encode().split()) + 1 for t in docs.values())
+    few = bloom_lm.Layout.of(tokens, 8)
+    assert few == bloom_lm.Layout(256, 8, 8)
+    monkeypatch.setattr(bloom_lm, "SEGMENT_TOKENS", tokens / 65_000)
+    many = bloom_lm.Layout.of(tokens, 8)
+    assert many == bloom_lm.Layout(65_536, 8, 8)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    out, ids = F.crc32(F.col("doc_id").cast("string")) % 5 == 1, sorted(docs)
+    want = plain_scores([docs[i] for i in ids], [held(i) for i in ids])
+    for bits in (bloom_lm.BITS, 0):
+        got = sorted(map(tuple, bloom_lm.score_documents(table(spark, data, "documents"), out, bits=bits, per_entry=600).collect()))
+        for r, i, w in zip(got, ids, want, strict=True):
+            assert r[:5] == (i, *w[:4]) and r[5:] == pytest.approx(w[4:], rel=1e-9)
+
+
+def test_language_model_layout():
+    for tasks in (1, 3, 8, 200, 5000):
+        for tokens in (0, 10**6, 10**9, 10**11, 10**14):
+            x = bloom_lm.Layout.of(tokens, tasks)
+            assert x.segments % x.runs == 0 and x.segments * bloom_lm.SEGMENT_TOKENS >= tokens and 1 <= x.tasks <= x.runs
+            assert x.runs * bloom_lm.RUN_TOKENS >= tokens and -(-x.runs // x.tasks) <= 4
+            assert x.tasks >= min(tasks, x.runs)
+
+
+@pytest.mark.parametrize("runs", [1, 8, 256])
+def test_language_model_segments_of_a_run(runs):
+    """The segments that runs make are those that a cut of all keys makes."""
+    rnd, layout = np.random.default_rng(4), bloom_lm.Layout(256, runs, runs)
+    words, pairs = (np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (3000, 5000))
+    level = {len(k): bloom_lm.levels_of(rnd.zipf(1.5, len(k))) for k in (words, pairs)}
+    got, cuts = [], [bloom_lm.cut(k, bloom_lm.Layout.shift(runs)) for k in (words, pairs)]
+    for run in range(runs):
+        entries = [(k[places[run]], level[len(k)][places[run]]) for k, (_, places) in zip((words, pairs), cuts)]
+        got += bloom_lm.segments_of(layout, run, entries, 9)
+    want = [np.concatenate([x[k >> np.uint64(56) == s] for k in (words, pairs) for x in ([k, level[len(k)]][i],)]) for s in range(256) for i in (0, 1)]
+    for s in range(256):
+        assert (got[s] == bloom_lm.built(want[2 * s], want[2 * s + 1], 9)).all()
+
+
 def test_language_model_of_odd_texts(spark):
     long = " ".join(f"w{k % 70000}" for k in range(150_000))
     for texts, ids in ((ODD, None), (ODD, [None] * len(ODD)), ([], None), ([long, " x \x0b", long, "İ K A"], None)):

@@ -7,13 +7,14 @@ high bits of the keys, and each segment has PER_ENTRY bits for every entry of it
 left out at any size. Errors are one-sided: a level may be read too high with a chance of about two in
 a hundred.
 
-Texts are cut into words once and kept as chunks. Each chunk sends its distinct keys, packed, with
-their training counts to the segments; a segment's task sums them, builds its bits and answers the
-exact counts of the words. A filter of at most BITS bits, which twice the training tokens bound before
-anything is counted, is broadcast and probed where the chunks are scored. Beyond that, the segment's
-task probes its bits for the keys it got, and levels travel back with the answers. Both ways read the
-same bits, so scores are the same. A key is sent once by each chunk, however often it occurs there, and
-a task holds one bucket of segments or one chunk at a time.
+Texts are cut into words once and kept as chunks. Neighbouring segments make a run of about RUN_TOKENS
+tokens, and each chunk sends one packed row of its distinct keys and their training counts to each run,
+so a row's size follows chunks and runs and not the number of segments. A run's task sums the counts,
+cuts the keys into segments, builds their bits and answers the exact counts of the words. A filter of at
+most BITS bits, which twice the training tokens bound before anything is counted, is broadcast and
+probed where the chunks are scored. Beyond that, the run's task probes its bits for the keys it got, and
+levels travel back with the answers. Both ways read the same bits, so scores are the same. A key is sent
+once by each chunk, however often it occurs there, and a task holds one run or one chunk at a time.
 
 A text's score is the sum of log10 P(word | word before) from the filter's counts alone, with Dirichlet
 smoothing toward the add-half unigram estimate. The base score uses the exact counts of all words.
@@ -45,6 +46,8 @@ from weft.runtime import materialize, table
 BITS, PER_ENTRY, PROBES = 1 << 29, 9, 4
 #: Training and other tokens for each segment of the filter, and the fewest segments.
 SEGMENT_TOKENS, LEAST_SEGMENTS = 1 << 20, 256
+#: Tokens whose keys a task holds at once, as one run of segments.
+RUN_TOKENS = 1 << 24
 #: Weight of the unigram estimate, in tokens.
 PRIOR = 3.0
 END = U64(0xE17A1465D2C0FFEE)
@@ -213,8 +216,33 @@ def cut(keys: np.ndarray, shift: int) -> tuple[np.ndarray, list[slice]]:
     return names, [slice(s, e) for s, e in zip(starts, [*starts[1:], len(keys)])]
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How many segments the filter has, how many runs they make and how many tasks share the runs; powers of two but the last."""
+
+    segments: int
+    runs: int
+    tasks: int
+
+    @staticmethod
+    def of(tokens: int, tasks: int) -> Layout:
+        """At least ``tasks`` tasks, and more where runs of RUN_TOKENS leave each of them over four."""
+        segments = LEAST_SEGMENTS
+        while segments * SEGMENT_TOKENS < tokens:
+            segments *= 2
+        runs = 1
+        while runs < segments and (runs < tasks or runs * RUN_TOKENS < tokens):
+            runs *= 2
+        return Layout(segments, runs, max(min(tasks, runs), runs // 4))
+
+    @staticmethod
+    def shift(names: int) -> int:
+        """Bits below the name of one of ``names`` equal ranges of keys."""
+        return 65 - names.bit_length()
+
+
 def sent(shift: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, chunk, order, keys, counts): each chunk's distinct words (1) and pairs (2) with their training counts."""
+    """(run, chunk, order, keys, counts): each chunk's distinct words (1) and pairs (2) with their training counts."""
     np.seterr(over="ignore")
     for b in batches:
         for k in range(b.num_rows):
@@ -230,19 +258,30 @@ def sent(shift: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 names, places = cut(keys, shift)
                 cols = [pa.array(names), pa.array([b.column(0)[k].as_py()] * len(names), pa.int64()), pa.array([order] * len(names), pa.int8())]
                 cols += [pa.array([pack(keys[at]) for at in places], pa.binary()), pa.array([planes(x[at]) for at in places], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["segment", "chunk", "order", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(cols, names=["run", "chunk", "order", "keys", "counts"])
+
+
+ANSWER = "run long, chunk long, order byte, levels binary, counts binary, segment long, bits binary, distinct long"
 
 
-ANSWER = "segment long, chunk long, order byte, levels binary, counts binary, bits binary, distinct long"
+def segments_of(layout: Layout, run: int, entries: list[tuple[np.ndarray, np.ndarray]], per_entry: int) -> list[np.ndarray]:
+    """Bits of each segment of a run, from (ascending keys, levels) of the words and of the pairs."""
+    each = layout.segments // layout.runs
+    edges = np.array([(run * each + k) << Layout.shift(layout.segments) for k in range(1, each)], U64)
+    cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys, _ in entries]
+    some = lambda x, c, k: x[c[k] : c[k + 1]]
+    return [built(*(np.concatenate([some(e[i], c, k) for e, c in zip(entries, cuts)]) for i in (0, 1)), per_entry) for k in range(each)]
 
 
-def answered(per_entry: int, probing: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers to the rows of ``sent``, which come by segment, and one row with the bits of each segment."""
+def answered(layout: Layout, per_entry: int, probing: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to the rows of ``sent``, which come by run; then each segment's bits, unless they are probed here, and the
+    run's number of distinct training words."""
     np.seterr(over="ignore")
     names = [f.split()[0] for f in ANSWER.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+    each, shift = layout.segments // layout.runs, Layout.shift(layout.segments)
 
-    def flush(segment: int, held: list[tuple]) -> pa.RecordBatch:
+    def flush(run: int, held: list[tuple]) -> pa.RecordBatch:
         out, distinct, entries = [], 0, []
         asked = []
         for order in (1, 2):
@@ -253,27 +292,33 @@ def answered(per_entry: int, probing: bool, batches: Iterator[pa.RecordBatch]) -
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, back, np.concatenate([c for _, _, c in rows]))
             entries.append((keys[total > 0], levels_of(total[total > 0])))
-            asked.append((order, rows, keys, back, total))
+            asked.append((order, [(chunk, len(k)) for chunk, k, _ in rows], keys, back, total))
             if order == 1:
                 distinct = int((total > 0).sum())
-        bits = built(*(np.concatenate(x) for x in zip(*entries)), per_entry)
+        bits = segments_of(layout, run, entries, per_entry)
+        sizes = np.array([len(b) * 8 for b in bits], U64)
+        starts, joined = np.cumsum(sizes) - sizes, np.concatenate(bits)
         for order, rows, keys, back, total in asked:
-            level = probe(bits, keys, 0, len(bits) * 8) if probing else None
+            if probing:
+                at_segment = (keys >> U64(shift)).astype(np.int64) - run * each
+                level = probe(joined, keys, starts[at_segment], sizes[at_segment])
             at = 0
-            for chunk, k, _ in rows:
-                mine, at = back[at : at + len(k)], at + len(k)
+            for chunk, n in rows:
+                mine, at = back[at : at + n], at + n
                 if order == 1 or probing:
-                    out.append((segment, chunk, order, level[mine].tobytes() if probing else None, planes(total[mine]) if order == 1 else None, None, None))
-        out.append((segment, None, None, None, None, bits.tobytes(), distinct))
+                    out.append((run, chunk, order, level[mine].tobytes() if probing else None, planes(total[mine]) if order == 1 else None, None, None, None))
+        if not probing:
+            out += [(run, None, None, None, None, run * each + k, b.tobytes(), None) for k, b in enumerate(bits)]
+        out.append((run, None, None, None, None, None, None, distinct))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     current, held = None, []
     for b in batches:
-        for segment, *row in zip(*(c.to_pylist() for c in b.columns)):
-            if held and segment != current:
+        for run, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and run != current:
                 yield flush(current, held)
                 held = []
-            current = segment
+            current = run
             held.append(row)
     if held:
         yield flush(current, held)
@@ -337,19 +382,17 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     packed = ", ".join(f"{c} binary" for c in PACKED)
     chunks = materialize(rows.mapInArrow(chunked, f"chunk long, n long, n_train long, rows array<struct<id:{id_type},held_out:boolean>>, {packed}"), "chunks")
     n, total = (x or 0 for x in chunks.agg(F.sum("n"), F.sum("n_train")).first())
-    segments = LEAST_SEGMENTS
-    while segments * SEGMENT_TOKENS < n:
-        segments *= 2
-    shift = 65 - segments.bit_length()
+    layout = Layout.of(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    run_shift = Layout.shift(layout.runs)
     # a token adds at most one entry for its word and one for its pair
-    apart = 2 * total * per_entry + 128 * segments > bits
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    requests = chunks.select("chunk", *PACKED).mapInArrow(lambda b: sent(shift, b), "segment long, chunk long, order byte, keys binary, counts binary")
-    met = requests.repartition(parts, "segment").sortWithinPartitions("segment").select("segment", "chunk", "order", "keys", "counts")
-    answers = materialize(met.mapInArrow(lambda b: answered(per_entry, apart, b), ANSWER), "answers")
+    apart = 2 * total * per_entry + 128 * layout.segments > bits
+    requests = chunks.select("chunk", *PACKED).mapInArrow(lambda b: sent(run_shift, b), "run long, chunk long, order byte, keys binary, counts binary")
+    # runs are equal ranges of hashes, so tasks that get equal numbers of them get equal work
+    met = requests.repartitionById(layout.tasks, F.expr(f"cast(run * {layout.tasks} div {layout.runs} as int)")).sortWithinPartitions("run")
+    answers = materialize(met.mapInArrow(lambda b: answered(layout, per_entry, apart, b), ANSWER), "answers")
     distinct = answers.agg(F.sum("distinct")).first()[0] or 0
-    model = Model(total, distinct, shift)
-    shared = spark.sparkContext.broadcast(model if apart else whole_filter(answers, model, segments))
+    model = Model(total, distinct, Layout.shift(layout.segments))
+    shared = spark.sparkContext.broadcast(model if apart else whole_filter(answers, model, layout.segments))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -370,9 +413,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
                 levels, counts = {1: [], 2: []}, []
                 yield pa.RecordBatch.from_arrays([*b.column(5)[k].values.flatten(), *cols], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    # a chunk's answers by segment, which is the order of its keys, and then the chunk
-    both = answers.filter("bits is null").drop("bits", "distinct").unionByName(chunks.drop("n", "n_train"), allowMissingColumns=True)
-    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("segment")).select("chunk", "segment", "order", "levels", "counts", "rows", *PACKED)
+    # a chunk's answers by run, which is the order of its keys, and then the chunk
+    told_of = answers.filter("chunk is not null").select("run", "chunk", "order", "levels", "counts")
+    both = told_of.unionByName(chunks.drop("n", "n_train"), allowMissingColumns=True)
+    both = both.repartition(layout.tasks, "chunk").sortWithinPartitions("chunk", F.asc_nulls_last("run")).select("chunk", "run", "order", "levels", "counts", "rows", *PACKED)
     found = both.mapInArrow(finish, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
