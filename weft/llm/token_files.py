@@ -36,6 +36,8 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 BLOCK = 1024
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD = 1 << 20
+#: Bytes of texts for one range, where the session's number of partitions would give more to each.
+RANGE = 256 << 20
 SHARD_SCHEMA = (
     "range int, seq int, first_id long, n_docs long, n_ids long, bits int, block int, "
     "doc_ids array<long>, doc_offsets array<long>, block_offsets array<long>, payload binary"
@@ -175,16 +177,23 @@ def id_type(vocabulary: int) -> str:
 def write_token_files(docs: DataFrame, out_path: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Write the ids of all documents, each with ``end_id``, to ``out_path`` in ascending id order.
 
-    Texts are dealt out by ranges of (id, hash of the text), so rows of one id can fill many ranges.
+    Texts are dealt out by ranges of (id, hash of the text), so rows of one id can fill many ranges. There are
+    ``parts`` of them, by default as many as leave about RANGE bytes to each, and no fewer than the session's partitions.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("salt", F.xxhash64("text"))
     order = [F.asc_nulls_first("id"), F.asc("salt")]
-    dealt = rows.repartitionByRange(parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    dealt = rows.repartitionByRange(parts or ranges_of(rows), *order)
     ordered = dealt.sortWithinPartitions(*order, F.asc_nulls_first("text")).select("id", "text")
     ordered.mapInArrow(functools.partial(write_shards, path, end_id), SHARD_SCHEMA).write.parquet(out_path)
 
 
+def ranges_of(rows: DataFrame) -> int:
+    """How many ranges the texts of ``rows`` need."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+
+
 def write_shards(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shards of one range, whose rows (id, text) come in order."""
     codes, size = encoder(path)
