@@ -499,6 +499,48 @@ def test_superminhash_estimates(spark):
     assert np.isinf(signature(few[:0], 8)).all()
 
 
+def test_size_classes_hold_all_links(spark):
+    pairs = [(m, n) for m in [*range(1, 400), 3**12, 3**15, 10**6 + 1] for n in {m, 4 * m // 3, max(m, 4 * m // 3 - 1)}]
+    df = spark.createDataFrame(pairs, "m long, n long")
+    assert df.filter(F.abs(neardup.size_class(F.col("m")) - neardup.size_class(F.col("n"))) > 1).isEmpty()
+
+
+def test_links_in_block():
+    """Rare shingles name every link that a comparison of all pairs finds, also where most shingles are shared by all."""
+    rnd = np.random.default_rng(8)
+    common = rnd.integers(-(1 << 62), 1 << 62, 60)
+    sets = []
+    for k in range(120):
+        base = np.union1d(rnd.choice(common, rnd.integers(0, 50), replace=False), rnd.integers(-(1 << 62), 1 << 62, rnd.integers(1, 40)))
+        sets += [base] + [np.union1d(rnd.choice(base, max(1, int(len(base) * f)), replace=False), rnd.choice(common, 1)) for f in (0.75, 0.8, 0.9)]
+    order = [(0, k) for k in range(0, len(sets), 2)] + [(1, k) for k in range(len(sets))]
+    roots = [bytes([rnd.integers(0, 9)]) for _ in sets]
+    names = [b"%04d" % k for k in range(len(sets))]
+    columns = {"side": [s for s, _ in order], "node": [names[k] for _, k in order], "root": [roots[k] for _, k in order]}
+    columns["packed"] = [sets[k].astype(np.int64).tobytes() for _, k in order]
+    got = neardup.links_in_block(pa.table(columns))
+    links = set(zip(got.column("u").to_pylist(), got.column("v").to_pylist()))
+    want = set()
+    for o in range(0, len(sets), 2):
+        for k in range(len(sets)):
+            inter = len(np.intersect1d(sets[o], sets[k]))
+            if roots[o] != roots[k] and 100 * inter >= 75 * (len(sets[o]) + len(sets[k]) - inter):
+                want.add(tuple(sorted((names[o], names[k]))))
+    assert links == want and len(want) > 50
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Nodes of many edges, and roots of many nodes, are dealt out to several tasks."""
+    monkeypatch.setattr(skew, "LEAST", 3)
+    monkeypatch.setattr(skew, "MOST", 50)
+    edges = [(1000 * h, 1000 * h + k) for h in range(1, 4) for k in range(1, 200)] + [(1005, 2005), (7, 8), (8, 9)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()}
+    groups = {}
+    for node, root in got.items():
+        groups.setdefault(root, set()).add(node)
+    assert sorted(map(len, groups.values())) == [3, 200, 400] and set(got) == {x for e in edges for x in e}
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, 1000 + k) for k in range(50)] + [(rnd.randint(2000, 2200), rnd.randint(2000, 2200)) for _ in range(90)] + [(5, 5)]
@@ -567,6 +609,12 @@ def test_bit_packing(vocabulary):
             assert token_files.unpack(payload, offsets, bits, s, e).tolist() == ids[s:e].tolist()
 
 
+def test_token_file_ranges_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE", 1000)
+    rows = spark.createDataFrame([("é" * 500,)] * 41 + [(None,)], "text string")
+    assert token_files.ranges_of(rows) == 41 and token_files.ranges_of(rows.filter("false")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_token_files(spark):
     texts = [*ODD, *made_texts(300)]
     ids = random.Random(1).sample(range(-50, 5000), len(texts))

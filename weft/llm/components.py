@@ -3,8 +3,9 @@
 Each partition first runs union-find over its own edges and hands on one edge per node, to its local
 root. Then the graph is contracted in rounds: each node moves to the neighbour (or itself) of least
 random rank, which at least halves the nodes in expectation; each round draws new ranks. The maps of
-the rounds, composed, give each node its root. All of it is joins and grouped minima; a node of very
-many edges is folded by partial aggregation before the shuffle.
+the rounds, composed, give each node its root. All of it is joins and grouped minima. A node of very
+many edges is folded by partial aggregation before a grouped shuffle, and dealt out to several tasks in
+a join; so is a root of very many nodes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.skew import hot_keys, hot_keys_of, salted_join
 from weft.runtime import materialize
 
 
@@ -52,18 +54,22 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(F.lit(step), c).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.select("u", rank("v").alias("best")).groupBy("u").agg(F.min("best").alias("best"))
-        moved = materialize(near.select("u", F.least(rank("u"), F.col("best"))["node"].alias("to")), f"moved{step}")
+        near = both.select("u", rank("v").alias("best")).groupBy("u").agg(F.min("best").alias("best"), F.count("*").alias("edges"))
+        moved = materialize(near.select("u", F.least(rank("u"), F.col("best"))["node"].alias("to"), "edges"), f"moved{step}")
+        hot = hot_keys(moved, "u", "edges", 2 * e.count())
         at = lambda c, to: moved.select(F.col("u").alias(c), F.col("to").alias(to))  # noqa: B023, E731
         e = materialize(
-            e.join(at("u", "a"), "u").join(at("v", "b"), "v").filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
+            salted_join(salted_join(e, at("u", "a"), "u", hot, ["v"]), at("v", "b"), "v", hot.withColumnRenamed("u", "v"), ["u"])
+            .filter("a <> b")
+            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
             f"edges{step}",
         )
         if roots is None:
             roots = at("node", "root")
         else:
-            roots = roots.join(at("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            met = salted_join(roots, at("root", "next"), "root", hot_keys_of(roots, "root"), ["node"], "left")
+            roots = materialize(met.select("node", F.coalesce("next", "root").alias("root")), f"roots{step}")
         step += 1
     if roots is None:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return materialize(roots, "roots")
+    return roots

@@ -9,9 +9,10 @@
    paired with it. Pairs are confirmed on the full sets and grouped.
 4. Buckets whose members are then still in several components hold what a pivot can't settle. In small
    ones every pair across components is confirmed; in larger ones the members outside the bucket's
-   largest component are compared with all others block by block, by counting shared shingles through
-   an inverted index inside each task. No pair is skipped, and no pairs of a large bucket are emitted
-   unless they are links.
+   largest component are compared with all others of a like size, block by block: of each member the
+   rarest shingles, of which a link must share one, name its candidates through an inverted index
+   inside the task, and only these are counted. No pair that can be a link is skipped, and no pairs of
+   a large bucket are emitted unless they are links.
 
 Defined results: null text, or a text without words, has n_shingles 0, is linked with nothing and is
 kept. Rows with one doc_id are told apart by their text. A null doc_id is never the smallest of a
@@ -48,21 +49,21 @@ def linked(inter, n_a, n_b):
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, keys): set size, digest of the set, and one bucket key for each band."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("n long, node binary, keys array<long>").fields])
+    """(id, text_hash, n, node, keys): hash of the text, set size, digest of the set, and one bucket key for each band."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("text_hash long, n long, node binary, keys array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore", RuntimeWarning)  # unsigned products wrap around by design
         hashes = WordHashes()
         for batch in batches:
             n, node, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text or "", hashes)
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(band_keys(signature(s, BANDS * ROWS), ROWS).view(np.int64) if len(s) else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -71,9 +72,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shingle_sets(docs: DataFrame, sk: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, n, shingles) of the given nodes, from one document of each; the others' texts stay."""
     # grouped before the join, so that a node of many copies is one row of each task by then
-    one = sk.groupBy("node").agg(F.min(F.struct("id")).alias("o")).join(nodes, "node", "left_semi").select(F.col("o.id").alias("one"))
+    one = sk.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("o")).join(nodes, "node", "left_semi").select(F.col("o.id").alias("one"), F.col("o.text_hash").alias("hash"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    source = source.join(one.distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("one")), "left_semi").select("text")
+    # by id and text, so that rows without an id, or of one id, aren't one task's
+    same = F.col("id").eqNullSafe(F.col("one")) & (F.xxhash64("text") == F.col("hash"))
+    source = source.join(one.distinct().hint("shuffle_hash"), same, "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore", RuntimeWarning)
@@ -111,7 +114,9 @@ def sizes_allow(a: str, b: str):
 def links_in_block(table_: pa.Table) -> pa.Table:
     """Links between the outside members (side 0) and all members (side 1) of one block of a bucket.
 
-    Counts shared shingles through an inverted index of side 1; pairs of one component are left out.
+    A set linked to one of n shingles holds at least 3 of 4 of them, so it holds one of any n // 4 + 1. Those that are
+    rarest in the block name the candidates, through an inverted index of side 1, and just their shared shingles are
+    counted. Pairs of one component are left out.
     """
     side = table_.column("side").to_numpy()
     node, root = table_.column("node").to_pylist(), table_.column("root").to_pylist()
@@ -128,30 +133,51 @@ def links_in_block(table_: pa.Table) -> pa.Table:
         flat = flat[order]
         for o in outs:
             lo, hi = np.searchsorted(flat, shingles[o], "left"), np.searchsorted(flat, shingles[o], "right")
-            width = hi - lo
+            rare = np.argsort(hi - lo, kind="stable")[: n[o] // 4 + 1]
+            lo, width = lo[rare], (hi - lo)[rare]
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-            inter = np.bincount(owner[at], minlength=len(ins))
-            for k in np.flatnonzero((7 * inter >= 3 * (n[o] + n[ins])) & (comp[ins] != comp[o])):
-                a, b = sorted((node[o], node[ins[k]]))
-                u.append(a)
-                v.append(b)
+            near = ins[np.unique(owner[at])]
+            near = near[(comp[near] != comp[o]) & (4 * np.minimum(n[o], n[near]) >= 3 * np.maximum(n[o], n[near]))]
+            for k in near:
+                few, many = sorted((shingles[o], shingles[k]), key=len)
+                place = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                if linked(int((many[place] == few).sum()), int(n[o]), int(n[k])):
+                    a, b = sorted((node[o], node[k]))
+                    u.append(a)
+                    v.append(b)
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 
+def size_class(n):
+    """Sets of sizes that allow a link are in one class or in neighbouring ones: a class ends at 4/3 of its start."""
+    return F.floor(F.log(n) / F.log(F.lit(4 / 3))).cast("int")
+
+
 def links_in_large(members: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
-    """Links across components in large buckets: (key, node, root) rows in blocks."""
-    per = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    main = per.groupBy("key").agg(F.max(F.struct("c", "root", "s")).alias("m"), F.sum("c").alias("size"), F.sum("s").alias("shingles"))
-    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / SHINGLES)).cast("int")
-    n_out, n_all = blocks(F.col("size") - F.col("m.c"), F.col("shingles") - F.col("m.s")), blocks(F.col("size"), F.col("shingles"))
-    main = main.select("key", F.col("m.root").alias("main"), n_out.alias("n_out"), n_all.alias("n_all"))
-    m = salted_join(members, main, "key", hot, ["node"])
+    """Links across components in large buckets: (key, node, root, n) rows in blocks of like sizes.
+
+    The members of a class outside the bucket's largest component meet all members of it and of the classes beside it.
+    """
+    members = members.withColumn("class", size_class("n"))
+    per = materialize(members.groupBy("key", "root", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s")), "per_root")
+    main = per.groupBy("key", "root").agg(F.sum("c").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    blocks = lambda c, s: F.ceil(F.greatest(F.sum(c) / BLOCK, F.sum(s) / SHINGLES)).cast("int")
+    beside = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("of")
+    n_out = per.join(main, "key").filter("root <> main").groupBy("key", F.col("class").alias("of")).agg(blocks("c", "s").alias("n_out"))
+    n_all = per.select("key", beside, "c", "s").groupBy("key", "of").agg(blocks("c", "s").alias("n_all"))
+    plan = n_out.join(n_all, ["key", "of"])
+    # one row a bucket: its main root and, for each class with outside members, the numbers of blocks
+    plan = plan.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("of", F.struct("n_out", "n_all")))).alias("plan")).join(main, "key")
+    m = salted_join(members, plan, "key", hot, ["node"])
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = m.select("key", "node", "root", F.lit(1).alias("side"), block("n_all").alias("j"), F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"))
-    out = m.filter("root <> main").select("key", "node", "root", F.lit(0).alias("side"), block("n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    in_plan = m.select("key", "node", "root", "main", "class", "plan", beside)
+    at = in_plan.withColumn("p", F.col("plan")[F.col("of")]).filter("p is not null").select("key", "node", "root", "main", "class", "of", "p.n_out", "p.n_all")
+    every = at.select("key", "of", "node", "root", F.lit(1).alias("side"), block("n_all").alias("j"), F.explode(count("n_out")).alias("i"))
+    out = at.filter("root <> main and class = of").select("key", "of", "node", "root", F.lit(0).alias("side"), block("n_out").alias("i"), F.explode(count("n_all")).alias("j"))
     packed = sets.mapInArrow(pack, "node binary, packed binary")
     rows = every.unionByName(out).join(packed, "node")  # a node is in a bucket of each band at most
-    return rows.groupBy("key", "i", "j").applyInArrow(links_in_block, "u binary, v binary")
+    return rows.groupBy("key", "of", "i", "j").applyInArrow(links_in_block, "u binary, v binary")
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = hot_keys(shared, "key", "size", bands.count())
     members = materialize(salted_join(bands, shared, "key", hot, ["node"]), "members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    sets = materialize(shingle_sets(docs, sk.select("id", "node"), weight.select("node"), id_col, text_col), "sets")
+    sets = materialize(shingle_sets(docs, sk.select("id", "text_hash", "node"), weight.select("node"), id_col, text_col), "sets")
 
     weighed = members.join(weight, "node")
     pivot = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
@@ -186,16 +212,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = a.join(b, across).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     more = confirm(materialize(pairs, "pairs"), sets).unionByName(links_in_large(rooted.filter(F.col("size") > SMALL), sets, hot))
     at = lambda c, to: first.select(F.col("node").alias(c), F.col("root").alias(to))
-    lifted = more.join(at("u", "a"), "u", "left").join(at("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    more = materialize(more, "more")
+    lifted = salted_join(more, at("u", "a"), "u", hot_keys_of(more, "u"), ["v"], "left")
+    lifted = salted_join(lifted, at("v", "b"), "v", hot_keys_of(more, "v"), ["u"], "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
     second = components(lifted).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = first.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("top"))
+    roots = salted_join(first, second, "root", hot_keys_of(first, "root"), ["node"], "left").select("node", F.coalesce("top", "root").alias("top"))
     # a node that only the second pass linked is in `second` alone
     roots = roots.unionByName(second.select(F.col("root").alias("node"), "top")).dropDuplicates(["node"])
 
     least = sk.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     named = least.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    lowest = named.groupBy("top").agg(F.min("id").alias("component"))
-    label = materialize(named.join(lowest, "top").select("node", "component"), "labels")
+    named = materialize(named, "named")
+    lowest = materialize(named.groupBy("top").agg(F.min("id").alias("component"), F.count("*").alias("size")), "lowest")
+    large = hot_keys(lowest, "top", "size", named.count())
+    label = materialize(salted_join(named, lowest.drop("size"), "top", large, ["node"]).select("node", "component"), "labels")
     copies = hot_keys_of(sk.filter("node is not null"), "node")
     return salted_join(sk.select("id", "n", "node"), label, "node", copies, ["id"], "left").select(
         F.col("id").alias(id_col),
