@@ -20,6 +20,12 @@ def millis_between(start: Column, end: Column) -> Column:
     return F.when(ms >= 0, ms)
 
 
+def clock_millis(c: Column) -> Column:
+    """Milliseconds since 1970 of a time without a zone, read as UTC whatever the session's zone is."""
+    parts = [f(c) for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute)]
+    return F.unix_millis(F.make_timestamp_ltz(*parts, F.extract(F.lit("SECOND"), c), F.lit("UTC")))
+
+
 def iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

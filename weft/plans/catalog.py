@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import display_path, preview
+from weft.functions.times import clock_millis
 from weft.operators import files, insights, postings, search, sessions
 from weft.operators import turns as turn_reads
 from weft.operators.paging import keyset
@@ -477,7 +478,7 @@ def dedupe_priority(spark, d):
         F.concat(F.lit("user-"), "user_id").alias("session_id"),
         F.concat(F.lit("f"), "event_id").alias("path"),
         F.floor("value").cast("long").alias("size"),
-        F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60_000).cast("long").alias("mtime_ms"),
+        F.call_function("div", clock_millis(F.col("ts")), F.lit(60_000)).alias("mtime_ms"),  # whole minutes, towards 1970
         (F.col("event_type") != "error").alias("parses"),
     )
     return first(rows, ["session_id"], "size", "mtime_ms", "path", "parses").drop("parses")
@@ -580,7 +581,7 @@ def manifest_diff(spark, d):
 
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
-    base = [k.alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("mtime_ms")]
+    base = [k.alias("id"), clock_millis(F.col("o_orderdate")).alias("mtime_ms")]
     found = o.filter((k % 11 != 3) | (k % 7 == 2)).select(*base, F.col("o_custkey").alias("size"), F.col("o_orderpriority").alias("meta"))
     old = o.filter(k % 7 != 2).select(*base, (F.col("o_custkey") + F.when(k % 13 == 0, 1).otherwise(0)).alias("size"), F.when(k % 17 == 0, "x").otherwise(F.col("o_orderpriority")).alias("meta"))
     return diff(found, old, ["id"])
