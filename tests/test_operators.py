@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -795,3 +796,23 @@ def test_assembled_tables_and_what_is_skipped(spark, tmp_path):
     assert again["turn_evidence"].exceptAll(read("turn_evidence").select(again["turn_evidence"].columns)).isEmpty()
     moved = incremental.migrated(read("turns").drop("tool_call_count")).first()
     assert moved.tool_call_count == 1 and moved.duration_ms == 2000
+
+
+def test_forms_of_paths_are_made_for_distinct_spellings(spark, data):
+    """A filter on a path's form meets stored spellings, not every access, and a scan's code is short enough for the JVM to compile."""
+    from weft.operators import files, paths
+    from weft.plans import standins as S
+
+    found = S.path_dictionary(spark, data)
+    spelt = S.accesses(spark, data).select("path").distinct().count()
+    plan = found.filter("shown is not null")._jdf.queryExecution().optimizedPlan()
+    assert "Aggregate" not in plan.toString() and found.count() == spelt
+    assert paths.matching(found, "src/**/*.rs", S.ROOT).count() > 0
+    touched = files.touches(S.accesses(spark, data), S.turns(spark, data), S.sessions(spark, data), root=S.ROOT, paths=found)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = files.top_files(touched, limit=100)
+        code = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import display_path, file_name, normal_path
 from weft.operators.sessions import matches_glob
+from weft.runtime import materialize
 
 RAW = ["repo_relative_path", "path"]
 
@@ -28,8 +29,12 @@ def keyed(accesses: DataFrame) -> DataFrame:
 
 
 def dictionary(accesses: DataFrame, root: str | None = None) -> DataFrame:
-    """(path_id, stored paths, shown, normal, file_name) of each distinct spelling."""
-    each = keyed(accesses).select("path_id", *RAW).distinct()
+    """(path_id, stored paths, shown, normal, file_name) of each distinct spelling.
+
+    The spellings are stored before their forms are made: a filter on a form would else be moved below the
+    distinct, and every access would be normalised for it.
+    """
+    each = materialize(keyed(accesses).select("path_id", *RAW).distinct(), "spellings")
     return each.select("path_id", *RAW, display_path(F.col(RAW[0]), F.col(RAW[1]), root).alias("shown"), normal_path(F.col("path")).alias("normal"), file_name(F.col("path")).alias("file_name"))
 
 

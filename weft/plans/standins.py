@@ -102,12 +102,10 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_of(k):
-    return (
-        F.when(k % 4 == 0, F.concat(F.lit("src/m"), k % 40, F.lit("/f"), k, F.lit(".rs")))
-        .when(k % 4 == 1, F.concat(F.lit("./src//m"), k % 40, F.lit("/x/../f"), k, F.lit(".rs")))
-        .when(k % 4 == 2, F.concat(F.lit(ROOT + "/src/m"), k % 40, F.lit("/f"), k, F.lit(".rs")))
-        .otherwise(F.concat(F.lit("docs\\T"), k % 10, F.lit("\\g"), k, F.lit(".md")))
-    )
+    """A part's file in one of four spellings. One concatenation: generated code stays short enough to be compiled where the path is named often."""
+    spelt = lambda *parts: F.get(F.array(*(F.lit(p) for p in parts)), (k % 4).cast("int"))
+    folder = F.when(k % 4 == 3, k % 10).otherwise(k % 40)
+    return F.concat(spelt("src/m", "./src//m", ROOT + "/src/m", "docs\\T"), folder, spelt("/f", "/x/../f", "/f", "\\g"), k, spelt(".rs", ".rs", ".rs", ".md"))
 
 
 @kept
