@@ -816,3 +816,20 @@ def test_forms_of_paths_are_made_for_distinct_spellings(spark, data):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
+def test_session_files_are_made_once(spark, data):
+    """Tables of files that a plan makes run that plan once, however many steps read them."""
+    from weft.operators.assemble import all_tables
+    from weft.plans import standins as S
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        made.add(1)
+        return t
+
+    files = S.session_files(spark, data)["codex"].limit(3).localCheckpoint()
+    tables = all_tables({"codex": files.withColumn("text", counted("text"))}, S.owners(spark))
+    assert tables["turns"].count() > 0 and made.value == 3

@@ -102,6 +102,8 @@ def provider_tables(raw: DataFrame, provider: str, owners: DataFrame, upstreams:
     url). Of several files of one session the largest and newest one that can be read is taken. A session whose
     folder and repository belong to no project is left out.
     """
+    if lines is None:  # read by many steps, so what makes the files runs once
+        raw = materialize(raw, "raw")
     turns, files = provider_turns(raw, provider, lines)
     skipped = files.filter("reason is not null").select("file", "reason")
     found = files.filter("session_id is not null").withColumn("__readable", F.col("reason").isNull())
